@@ -24,6 +24,7 @@ from docketscope.functions.text import (
     token_array,
 )
 from docketscope.operators.lookups import top_per_group
+from docketscope.session import cut_lineage
 
 TOP_CLUSTERS = 20
 SAMPLE_CHARS = 600
@@ -155,24 +156,26 @@ def orchestration_stats(
     lower bound; by default every cluster counts. ``unique_count`` is the
     comments outside form letters, not the distinct keys.
     """
-    chosen = top_clusters(clusters, top_n)
     flag = F.col(PLACEHOLDER_RULES[placeholder_rule])
-    letter = ~flag & (F.col("n") >= min_size)
-    found = chosen.groupBy("docket_id", "tier").agg(
-        F.count_if(~flag).alias("real_clusters"),
+    filled = F.col("n") > 0
+    if top_n is not None:
+        # rank once; the rows outside the report only count towards the totals
+        clusters = cut_lineage(clusters)
+        top = top_clusters(clusters, top_n).select("docket_id", "tier", "key", F.lit(True).alias("_top"))
+        same_key = ["docket_id", "tier", "key"]
+        clusters = clusters.join(top, same_key, "left")
+        filled = F.coalesce("_top", F.lit(False))
+    letter = filled & ~flag & (F.col("n") >= min_size)
+    stats = clusters.groupBy("docket_id", "tier").agg(
+        F.sum("rows").alias("total"),
+        F.count("key").alias("distinct_keys"),
+        F.count_if(filled & ~flag).alias("real_clusters"),
         F.count_if(letter).alias("form_letters"),
         F.coalesce(F.sum(F.when(letter, F.col("n"))), F.lit(0)).alias("orchestrated_count"),
     )
-    joined = cluster_totals(clusters).join(found, ["docket_id", "tier"], "left")
-    names = ["real_clusters", "form_letters", "orchestrated_count"]
-    filled = joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in names})
     unique = F.col("total") - F.col("orchestrated_count")
-    return filled.select(
-        "docket_id",
-        "tier",
-        "total",
-        "distinct_keys",
-        *names,
+    return stats.select(
+        "*",
         unique.alias("unique_count"),
         percent(unique, F.col("total")).alias("unique_pct"),
         percent(F.col("orchestrated_count"), F.col("total")).alias("orchestrated_pct"),

@@ -3,7 +3,7 @@
 Two exact ways to the same families:
 
 * ``families_of_reported`` - the report's at most 20 clusters per docket. The
-  group is bounded, so linking is array work inside one row per docket.
+  group is bounded: at most 190 pairs, merged inside one row per docket.
 * ``template_families`` with ``top_n=None`` - every form letter. Candidates come
   from a prefix filter (Chaudhuri et al. 2006, Bayardo et al. 2007); families
   are contracted through hubs first, and only pairs that still lie in different
@@ -54,38 +54,43 @@ def template_pairs(letters: DataFrame, threshold: float = SIMILARITY) -> DataFra
     )
 
 
-def _linked_labels() -> Column:
-    """Family label of each member of ``members`` (sorted, largest first).
+def _merged_labels(positions: Column, links: Column) -> Column:
+    """Family label per position: each link gives both sides the smaller label."""
 
-    Labels start as positions and take the smallest label among linked members
-    until nothing can change; a chain of k members needs k - 1 rounds.
-    """
-    positions = F.transform(F.col("members"), lambda _, i: i)
-    spread = lambda acc, _: F.transform(
-        F.col("links"), lambda near: F.array_min(F.transform(near, lambda j: F.get(acc, j)))
-    )
-    return F.aggregate(F.col("members"), positions, spread)
+    def merge(labels: Column, link: Column) -> Column:
+        a, b = F.get(labels, link["i"]), F.get(labels, link["j"])
+        return F.transform(
+            labels, lambda x: F.when(x == F.greatest(a, b), F.least(a, b)).otherwise(x)
+        )
+
+    return F.aggregate(links, positions, merge)
 
 
 def families_of_reported(letters: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """(docket_id, key, family) for a bounded number of clusters per docket."""
-    member = F.struct((-F.col("n")).alias("neg"), F.col("key"), F.col("tokens"))
-    grouped = letters.groupBy("docket_id").agg(F.array_sort(F.collect_list(member)).alias("members"))
-    links = F.transform(
-        F.col("members"),
-        lambda m: F.filter(
-            F.sequence(F.lit(0), F.size("members") - 1),
-            lambda j: (F.get(F.col("members"), j)["key"] == m["key"])
-            | same_template(F.get(F.col("members"), j)["tokens"], m["tokens"], threshold),
-        ),
-    )
-    linked = grouped.withColumn("links", links).withColumn("labels", _linked_labels())
-    keys = linked.select(
-        "docket_id", F.transform("members", lambda m: m["key"]).alias("keys"), "labels"
-    )
-    rows = keys.select("docket_id", "keys", "labels", F.posexplode("keys").alias("pos", "key"))
+    """(docket_id, key, family) for a bounded number of clusters per docket.
+
+    Pairs are compared in parallel; only the positions of similar pairs (at most
+    190 for 20 clusters) meet in one row per docket, where they are merged.
+    """
+    member = F.struct((-F.col("n")).alias("neg"), F.col("key"))
+    members = letters.groupBy("docket_id").agg(F.array_sort(F.collect_list(member)).alias("members"))
+    keys = members.select("docket_id", F.transform("members", lambda m: m["key"]).alias("keys"))
+    place = lambda c: (F.array_position("keys", F.col(c)) - 1).cast("int")
+    links = (
+        template_pairs(letters, threshold)
+        .join(keys, "docket_id")
+        .groupBy("docket_id")
+        .agg(F.collect_list(F.struct(place("hash_a").alias("i"), place("hash_b").alias("j"))).alias("links"))
+    )
+    joined = keys.join(links, "docket_id", "left")
+    none = F.array().cast("array<struct<i:int,j:int>>")
+    positions = F.sequence(F.lit(0), F.size("keys") - 1)
+    labels = _merged_labels(positions, F.coalesce("links", none))
+    rows = joined.select("docket_id", "keys", F.posexplode(labels).alias("pos", "label"))
     return rows.select(
-        "docket_id", "key", F.get("keys", F.get("labels", F.col("pos"))).alias("family")
+        "docket_id",
+        F.get("keys", F.col("pos")).alias("key"),
+        F.get("keys", F.col("label")).alias("family"),
     )
 
 
@@ -190,15 +195,17 @@ def _cross_candidates(members: DataFrame, threshold: float) -> DataFrame:
 
 def families_of_all(letters: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """(docket_id, key, family) for any number of clusters per docket."""
-    letters = cut_lineage(letters.select("docket_id", "key", "n", "tokens"))
+    letters = letters.select("docket_id", "key", "n", "tokens")
     buckets = cut_lineage(prefix_buckets(letters, threshold))
     labels = letters.select("docket_id", "key", F.concat_ws("\u0001", "docket_id", "key").alias("label"))
     edges = None
-    for step in range(HUB_ROUNDS + 1):
+    # hub rounds only save work; the cross step alone would already be exact
+    for propose in [_hub_candidates] * HUB_ROUNDS + [_cross_candidates]:
         members = _open_buckets(buckets, labels)
-        propose = _hub_candidates if step < HUB_ROUNDS else _cross_candidates
-        found = _verified(propose(members, threshold), letters, threshold)
-        edges = cut_lineage(found if edges is None else edges.unionByName(found))
+        found = cut_lineage(_verified(propose(members, threshold), letters, threshold))
+        if found.isEmpty():
+            continue
+        edges = found if edges is None else edges.unionByName(found)
         labels = cut_lineage(_labels(letters, edges))
     sized = labels.join(letters.select("docket_id", "key", "n"), ["docket_id", "key"])
     # largest member names the family, the smaller key on a tie

@@ -116,14 +116,15 @@ def match_terms(index: SearchIndex, terms: Column) -> DataFrame:
     ``terms`` is an array column with a handful of words (a literal or a scalar
     subquery), so the vocabulary is scanned once and nothing is joined.
     """
+    vocabulary = index.terms.withColumn("queries", terms)
     matches = F.filter(
         F.transform(
-            terms,
+            F.col("queries"),
             lambda q: F.struct(q.alias("query"), _term_weight(F.col("term"), q).alias("weight")),
         ),
         lambda m: m["weight"].isNotNull(),
     )
-    return index.terms.select("field", "term", "df", F.explode(matches).alias("m")).select(
+    return vocabulary.select("field", "term", "df", F.explode(matches).alias("m")).select(
         "field", "term", "df", F.col("m.query").alias("query"), F.col("m.weight").alias("weight")
     )
 

@@ -29,6 +29,7 @@ from docketscope.operators.clusters import (
 )
 from docketscope.operators.families import SIMILARITY, template_families
 from docketscope.operators.findings import stance_finding, stance_totals, volume_burst
+from docketscope.session import cut_lineage
 
 # Smallest family called a form letter; orchestration bands in percent.
 MIN_FORM_LETTER = 10
@@ -40,11 +41,13 @@ def near_letters(
 ) -> tuple[DataFrame, DataFrame]:
     """(form letters with body and tokens, totals) of the near tier.
 
-    ``top_n=20`` is the reported list; ``None`` takes every cluster.
+    ``top_n=20`` is the reported list; ``None`` takes every cluster. The cluster
+    table (narrow, one row per key) and the letters are stored once, because
+    several findings read them and the texts should be normalised once.
     """
-    clusters = all_clusters(keyed_comments(comments, ("near",)), ("near",))
+    clusters = cut_lineage(all_clusters(keyed_comments(comments, ("near",)), ("near",)))
     letters = form_letters(top_clusters(clusters, top_n), placeholder_rule="body")
-    return with_samples(letters, comments), cluster_totals(clusters)
+    return cut_lineage(with_samples(letters, comments)), cluster_totals(clusters)
 
 
 def families_with_stance(

@@ -102,7 +102,9 @@ for _name, _from in (("edges", "letters"), ("all_edges", "all_letters")):
         SELECT docket_id, a, b, shared / (na + nb - shared) AS similarity
         FROM (SELECT x.docket_id, x.key AS a, y.key AS b, len(x.tokens) AS na, len(y.tokens) AS nb,
                      len(list_intersect(x.tokens, y.tokens)) AS shared
-              FROM {_from} x JOIN {_from} y ON x.docket_id = y.docket_id AND x.key <> y.key)
+              FROM {_from} x JOIN {_from} y ON x.docket_id = y.docket_id AND x.key <> y.key
+                -- sets whose sizes differ by more cannot reach 0.8
+                AND len(x.tokens) >= 0.8 * len(y.tokens) AND len(y.tokens) >= 0.8 * len(x.tokens))
         WHERE na > 0 AND nb > 0
           AND shared / (na + nb - shared) >= CASE WHEN na < 4 OR nb < 4 THEN 0.95 ELSE 0.8 END""")
 for _p in ("", "all_"):

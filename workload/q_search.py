@@ -13,10 +13,13 @@ for _p in ("", "part_"):
                                              lambda w: w <> '') AS toks
         FROM (SELECT docket_id, 'title' AS field, coalesce(title, '') AS text FROM {_p}corpus
               UNION ALL SELECT docket_id, 'abstract', coalesce(abstract, '') FROM {_p}corpus)""")
-    TEXT_SQL[f"{_p}postings"] = ([f"{_p}tokens"], f"""
-        SELECT field, term, docket_id, length, count(*) AS tf
-        FROM (SELECT docket_id, field, CAST(len(list_distinct(toks)) AS bigint) AS length,
-                     unnest(toks) AS term FROM {_p}tokens) GROUP BY 1, 2, 3, 4""")
+    TEXT_SQL[f"{_p}words"] = ([f"{_p}tokens"], f"""
+        SELECT field, docket_id, term, count(*) AS tf
+        FROM (SELECT docket_id, field, unnest(toks) AS term FROM {_p}tokens) GROUP BY 1, 2, 3""")
+    TEXT_SQL[f"{_p}postings"] = ([f"{_p}words"], f"""
+        SELECT w.field, w.term, w.docket_id, l.length, w.tf
+        FROM {_p}words w JOIN (SELECT field, docket_id, count(*) AS length FROM {_p}words GROUP BY 1, 2) l
+          ON l.field = w.field AND l.docket_id = w.docket_id""")
 
 
 def hits_sql(p: str) -> str:

@@ -81,8 +81,9 @@ STANDINS = {
                  AS executive_order_number
         FROM {orders} JOIN {customer} ON o_custkey = c_custkey
              JOIN {nation} ON c_nationkey = n_nationkey""",
-    # each document as written, wrapped in markup with digits, and word-reversed;
-    # labelled documents add blank, missing and "see attached" bodies
+    # each document as written, wrapped in markup with digits and one more word,
+    # word-reversed, and word-reversed with the extra word; labelled documents add
+    # blank, missing and "see attached" bodies
     "comments": """
         SELECT comment_id, lang AS docket_id, source AS agency_code,
                'Comment ' || doc_id AS title, comment,
@@ -102,16 +103,19 @@ STANDINS = {
                          || '","formats":[{{"url":"https://a.example.org/' || doc_id || '"}}]}}]'
                     WHEN kind = 3 THEN 'not json' END AS attachments_json
         FROM (
-          SELECT doc_id * 4 AS comment_id, 0 AS kind, doc_id, lang, source, text AS comment
+          SELECT doc_id * 5 AS comment_id, 0 AS kind, doc_id, lang, source, text AS comment
           FROM {documents}
           UNION ALL
-          SELECT doc_id * 4 + 1, 1, doc_id, lang, source,
-                 '<p>' || text || '</p> 2024&nbsp;' || doc_id
+          SELECT doc_id * 5 + 1, 1, doc_id, lang, source,
+                 '<p>' || text || '</p> 2024&nbsp;furthermore ' || doc_id
           FROM {documents}
           UNION ALL
-          SELECT doc_id * 4 + 2, 2, doc_id, lang, source, REVERSED_WORDS FROM {documents}
+          SELECT doc_id * 5 + 2, 2, doc_id, lang, source, REVERSED_WORDS FROM {documents}
           UNION ALL
-          SELECT d.doc_id * 4 + 3, 3, d.doc_id, lang, source,
+          SELECT doc_id * 5 + 4, 4, doc_id, lang, source, 'Furthermore ' || REVERSED_WORDS
+          FROM {documents}
+          UNION ALL
+          SELECT d.doc_id * 5 + 3, 3, d.doc_id, lang, source,
                  CASE WHEN toxic = 1 THEN 'See attached file(s).' WHEN quality = 1 THEN '  ' END
           FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id
         ) x""",
