@@ -34,11 +34,18 @@ EMAIL_PATTERN = r"(?i)\S+@\S+\.\S+"
 TIERS = ("exact", "template", "near")
 
 
+def _only_if(test: Column, changed: Column, text: Column) -> Column:
+    """Run a costly rewrite only on texts that can contain what it rewrites."""
+    return F.when(test, changed).otherwise(text)
+
+
 def text_display(raw: Column) -> Column:
     """Readable text: tags to spaces, entities decoded, whitespace collapsed."""
-    text = F.regexp_replace(raw, r"<[^>]+>", " ")
+    text = _only_if(F.contains(raw, F.lit("<")), F.regexp_replace(raw, r"<[^>]+>", " "), raw)
+    decoded = text
     for entity, char in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
+        decoded = F.replace(decoded, F.lit(entity), F.lit(char))
+    text = _only_if(F.contains(raw, F.lit("&")), decoded, text)
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
@@ -49,8 +56,12 @@ def text_canonical(display: Column) -> Column:
 
 def text_strip_contacts(display: Column) -> Column:
     """Lower-case text without e-mail addresses and URLs."""
-    no_mail = F.regexp_replace(F.lower(display), r"\S+@\S+", " ")
-    return F.regexp_replace(no_mail, r"https?://\S+|www\.\S+", " ")
+    lower = F.lower(display)
+    no_mail = _only_if(
+        F.contains(display, F.lit("@")), F.regexp_replace(lower, r"\S+@\S+", " "), lower
+    )
+    linked = F.contains(display, F.lit("://")) | F.contains(lower, F.lit("www."))
+    return _only_if(linked, F.regexp_replace(no_mail, r"https?://\S+|www\.\S+", " "), no_mail)
 
 
 def text_strip_name(text: Column, name: Column) -> Column:
@@ -76,7 +87,7 @@ def text_skeleton(display: Column, names: list[Column] | None = None) -> Column:
 def token_array(skeleton: Column) -> Column:
     """Sorted distinct tokens longer than two characters."""
     words = F.filter(F.split(skeleton, " "), lambda w: F.length(w) > 2)
-    return F.array_sort(F.array_distinct(words))
+    return F.sort_array(F.array_distinct(words))
 
 
 def text_token_set(skeleton: Column) -> Column:
@@ -100,19 +111,27 @@ def is_blank(raw: Column) -> Column:
 
 
 def is_placeholder(display: Column) -> Column:
-    """Too short to be a letter, or only points at an attachment."""
-    clean = F.lower(F.trim(display))
-    return (
+    """Too short to be a letter, or only points at an attachment.
+
+    Nothing of 40 characters or more can be one, so long texts cost a length.
+    """
+    trimmed = F.trim(display)
+    clean = F.lower(trimmed)
+    short = (
         (F.length(clean) < 20)
         | clean.rlike(r"^see attached( file(s)?)?\.?$")
         | (clean.startswith("see attached") & (F.length(clean) < 40))
     )
+    return F.when(F.length(trimmed) >= 40, False).otherwise(short)
 
 
-def is_placeholder_body(text: Column) -> Column:
-    """The report's variant: drop tags and any named entity before the test."""
-    plain = F.regexp_replace(F.regexp_replace(text, r"<[^>]+>", " "), r"(?i)&[a-z]+;", " ")
-    return is_placeholder(F.trim(F.regexp_replace(plain, r"\s+", " ")))
+def is_placeholder_body(display: Column) -> Column:
+    """The report's variant, on display text: drop tags and any named entity first."""
+    plain = F.regexp_replace(F.regexp_replace(display, r"<[^>]+>", " "), r"(?i)&[a-z]+;", " ")
+    marked = F.contains(display, F.lit("<")) | F.contains(display, F.lit("&"))
+    return F.when(marked, is_placeholder(F.trim(F.regexp_replace(plain, r"\s+", " ")))).otherwise(
+        is_placeholder(display)
+    )
 
 
 def word_count(canonical: Column) -> Column:

@@ -127,26 +127,42 @@ def litigation_for_agency(suits: DataFrame, agency_name: str, limit: int = 4) ->
     return rows.where(named).orderBy(*order).limit(limit)
 
 
+def _grams(text: Column) -> Column:
+    """Distinct substrings of the minimal name length."""
+    last = F.length(text) - (MIN_AGENCY_NAME - 1)
+    starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(
+        F.transform(starts, lambda i: F.substring(text, i, F.lit(MIN_AGENCY_NAME)))
+    )
+
+
 def litigation_all_agencies(suits: DataFrame, agencies: DataFrame, limit: int = 4) -> DataFrame:
     """The same for every agency: (agency_code, name) against all case names.
 
-    A name of at least eight characters occurs in a case name only if its first
-    eight characters do, so the substring test becomes an equi-join on
-    eight-character grams followed by the exact test; suits are shuffled by gram,
-    never multiplied by the list of agencies.
+    A name of at least eight characters occurs in a case name only if each of
+    its eight-character grams does. Every name is therefore looked up by the one
+    of its grams that the fewest case names hold, an equi-join followed by the
+    exact test; names with a gram no case holds are done. Only ids, dates and
+    case names are shuffled, and the suits' columns are added to the reported
+    rows alone.
     """
-    names = agencies.select(
-        "agency_code", F.lower(F.trim("name")).alias("name")
-    ).where(F.length("name") >= MIN_AGENCY_NAME)
-    names = names.withColumn("gram", F.substring("name", 1, MIN_AGENCY_NAME))
-    rows = source_rows(suits, BY_KEY["court-dockets"]).withColumn("_case", F.lower("case_name"))
-    last = F.length("_case") - (MIN_AGENCY_NAME - 1)
-    grams = F.array_distinct(
-        F.transform(
-            F.sequence(F.lit(1), last), lambda i: F.substring(F.col("_case"), i, F.lit(MIN_AGENCY_NAME))
-        )
+    rows = source_rows(suits, BY_KEY["court-dockets"])
+    cases = rows.select("cl_docket_id", "date_filed", F.lower("case_name").alias("case"))
+    case_grams = cases.select("*", F.explode(_grams(F.col("case"))).alias("gram"))
+    names = agencies.select("agency_code", F.lower(F.trim("name")).alias("name"))
+    name_grams = names.select("*", F.explode(_grams(F.col("name"))).alias("gram"))
+    wanted = name_grams.select("gram").distinct()
+    held = case_grams.select("gram").join(wanted, "gram", "left_semi")
+    frequency = held.groupBy("gram").agg(F.count("*").alias("cases"))
+    rarest = F.min_by("gram", F.struct(F.coalesce("cases", F.lit(0)), F.col("gram")))
+    keyed = (
+        name_grams.join(frequency, "gram", "left")
+        .groupBy("agency_code", "name")
+        .agg(rarest.alias("gram"), F.min(F.coalesce("cases", F.lit(0))).alias("cases"))
+        .where(F.col("cases") > 0)
+        .drop("cases")
     )
-    keyed = rows.where(last >= 1).select("*", F.explode(grams).alias("gram"))
-    found = keyed.join(names, "gram").where(F.contains("_case", F.col("name")))
+    found = case_grams.join(keyed, "gram").where(F.contains("case", F.col("name")))
     order = [F.desc_nulls_last("date_filed"), F.asc("cl_docket_id")]
-    return top_per_group(found.drop("gram", "_case", "name"), ["agency_code"], order, limit)
+    top = top_per_group(found.select("agency_code", "cl_docket_id", "date_filed"), ["agency_code"], order, limit)
+    return top.select("agency_code", "cl_docket_id").join(rows, "cl_docket_id")

@@ -149,6 +149,16 @@ def payload_to_corpus(payload: DataFrame) -> DataFrame:
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core rows of a table stored in fewer files than there are cores.
+
+    One file with one row group is one task, however heavy the text work on its
+    rows. Tables with enough files are returned as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def to_silver(df: DataFrame) -> DataFrame:
     """Unquote string columns once, so keys compare equal everywhere downstream."""
     return df.select(

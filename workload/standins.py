@@ -13,12 +13,16 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 
 from docketscope.session import configure
+from docketscope.sources.tables import spread
 
 DRIVER_TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
 ).split()
 
+# Tables with heavy per-row text work.
+TEXT_TABLES = ("documents", "pages")
+
 # Words of a text in reverse order, per engine.
 REVERSED_WORDS = {
     "spark": "array_join(reverse(split(text, ' ')), ' ')",
@@ -274,7 +278,8 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table or a stand-in as a DataFrame."""
     if name in DRIVER_TABLES:
         configure(spark)
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return spread(table) if name in TEXT_TABLES else table
     text = STANDINS[name].replace("REVERSED_WORDS", REVERSED_WORDS["spark"])
     return spark.sql(text, **{r: load(spark, sf_dir, r) for r in references(name)})
 
