@@ -120,7 +120,7 @@ def agency_directory(
     point = F.struct("month", "n")
     # at most N months per agency
     series = dense_volume.groupBy("agency_code").agg(
-        F.transform(F.array_sort(F.collect_list(point)), lambda p: p["n"]).alias("monthly")
+        F.transform(F.sort_array(F.collect_list(point)), lambda p: p["n"]).alias("monthly")
     )
     joined = rows.join(counts, "agency_code", "left").join(series, "agency_code", "left")
     filled = joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("dockets", "comments")})

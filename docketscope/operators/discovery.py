@@ -27,14 +27,17 @@ def discovery_surge(index: DataFrame, feed: DataFrame, limit: int = 3) -> DataFr
         count_in(newest).alias("recent_n"),
         F.coalesce(count_in(newest - 1), F.lit(0)).alias("prev_n"),
     )
+    order = [F.desc("delta"), F.asc("docket_id"), F.asc("agency_code")]
     ranked = (
         per_docket.where(F.col("recent_n") > 0)
         .withColumn("delta", F.col("recent_n") - F.col("prev_n"))
-        .orderBy(F.desc("delta"), F.asc("docket_id"), F.asc("agency_code"))
+        .orderBy(*order)
         .limit(limit)
     )
-    titled = ranked.join(feed.select("docket_id", "title"), "docket_id", "left")
-    return titled.select("docket_id", "agency_code", "title", "recent_n", "prev_n", "delta")
+    titled = ranked.join(feed.select("docket_id", "title"), "docket_id", "left").select(
+        "docket_id", "agency_code", "title", "recent_n", "prev_n", "delta"
+    )
+    return titled.orderBy(*order)
 
 
 def discovery_closing(

@@ -27,6 +27,7 @@ SHORT_SET = 4
 SHORT_SIMILARITY = 0.95
 
 HUB_ROUNDS = 2
+BITMAP_WORDS = 4
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -73,7 +74,7 @@ def families_of_reported(letters: DataFrame, threshold: float = SIMILARITY) -> D
     190 for 20 clusters) meet in one row per docket, where they are merged.
     """
     member = F.struct((-F.col("n")).alias("neg"), F.col("key"))
-    members = letters.groupBy("docket_id").agg(F.array_sort(F.collect_list(member)).alias("members"))
+    members = letters.groupBy("docket_id").agg(F.sort_array(F.collect_list(member)).alias("members"))
     keys = members.select("docket_id", F.transform("members", lambda m: m["key"]).alias("keys"))
     place = lambda c: (F.array_position("keys", F.col(c)) - 1).cast("int")
     links = (
@@ -95,7 +96,7 @@ def families_of_reported(letters: DataFrame, threshold: float = SIMILARITY) -> D
 
 
 def prefix_buckets(letters: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """(docket_id, token, key, size, n): each set under its rarest tokens.
+    """(docket_id, token, key, shape, n): each set under its rarest tokens.
 
     Two sets with Jaccard >= t share a token among the first
     ``|x| - ceil(t |x|) + 1`` tokens of any common order; rarest first keeps the
@@ -105,6 +106,9 @@ def prefix_buckets(letters: DataFrame, threshold: float = SIMILARITY) -> DataFra
     tokens = letters.select(
         "docket_id", "key", "n", size.alias("size"), F.explode("tokens").alias("token")
     )
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64("token"), F.lit(64)).cast("int"))
+    word = F.pmod(F.hash("token"), F.lit(BITMAP_WORDS))
+    bitmap = [F.bit_or(F.when(word == w, bit).otherwise(0)) for w in range(BITMAP_WORDS)]
     frequency = tokens.groupBy("docket_id", "token").agg(F.count("*").alias("freq"))
     # 1e-9 keeps ceil exact when t * size is a whole number
     keep = F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1
@@ -112,16 +116,30 @@ def prefix_buckets(letters: DataFrame, threshold: float = SIMILARITY) -> DataFra
         tokens.join(frequency, ["docket_id", "token"])
         # one group is one comment's own token set
         .groupBy("docket_id", "key", "size", "n")
-        .agg(F.array_sort(F.collect_list(F.struct("freq", "token"))).alias("ordered"))
+        .agg(
+            F.sort_array(F.collect_list(F.struct("freq", "token"))).alias("ordered"),
+            F.array(*bitmap).alias("bits"),
+        )
     )
     prefix = F.slice("ordered", F.lit(1), keep.cast("int"))
-    return ranked.select("docket_id", "key", "size", "n", F.explode(prefix).alias("p")).select(
-        "docket_id", F.col("p.token").alias("token"), "key", "size", "n"
-    )
+    return ranked.select(
+        "docket_id", "key", F.struct("size", "bits").alias("shape"), "n", F.explode(prefix).alias("p")
+    ).select("docket_id", F.col("p.token").alias("token"), "key", "shape", "n")
+
 
+def _may_match(a: Column, b: Column, threshold: float) -> Column:
+    """Necessary conditions on two shapes, checked before tokens are fetched.
 
-def _lengths_allow(a: Column, b: Column, threshold: float) -> Column:
-    return (a >= b * threshold - 1e-9) & (b >= a * threshold - 1e-9)
+    Sizes must be within the threshold, and the sets may differ by at most
+    ``(1 - t) / (1 + t)`` of their joint size; every bit in which their bitmaps
+    differ is at least one differing token (bitmap filter, Sandes et al. 2020).
+    """
+    sizes = (a["size"] >= b["size"] * threshold - 1e-9) & (b["size"] >= a["size"] * threshold - 1e-9)
+    differing = sum(
+        (F.bit_count(a["bits"][w].bitwiseXOR(b["bits"][w])) for w in range(BITMAP_WORDS)), F.lit(0)
+    )
+    slack = (1 - threshold) / (1 + threshold)
+    return sizes & (differing <= (a["size"] + b["size"]) * slack + 1e-9)
 
 
 def _verified(candidates: DataFrame, letters: DataFrame, threshold: float) -> DataFrame:
@@ -163,15 +181,15 @@ def _hub_candidates(members: DataFrame, threshold: float) -> DataFrame:
     edited from. Linear in the bucket: two candidates per member.
     """
     inside = F.col("label") == F.col("main")
-    hub = F.struct("n", "key", "size", "label")
+    hub = F.struct("n", "key", "shape", "label")
     hubs = members.groupBy("docket_id", "token").agg(
         F.max(F.when(inside, hub)).alias("h1"), F.max(F.when(~inside, hub)).alias("h2")
     )
     joined = members.join(hubs, ["docket_id", "token"])
     rows = joined.select(
-        "docket_id", "key", "size", "label", F.explode(F.array("h1", "h2")).alias("h")
+        "docket_id", "key", "shape", "label", F.explode(F.array("h1", "h2")).alias("h")
     )
-    allowed = (F.col("label") != F.col("h.label")) & _lengths_allow(F.col("size"), F.col("h.size"), threshold)
+    allowed = (F.col("label") != F.col("h.label")) & _may_match(F.col("shape"), F.col("h.shape"), threshold)
     return rows.where(allowed).select(
         "docket_id", F.least("key", "h.key").alias("a"), F.greatest("key", "h.key").alias("b")
     )
@@ -185,10 +203,10 @@ def _cross_candidates(members: DataFrame, threshold: float) -> DataFrame:
     by adaptive skew joins.
     """
     minority = members.where(F.col("label") != F.col("main")).select(
-        "docket_id", "token", F.col("key").alias("k2"), F.col("size").alias("s2"), F.col("label").alias("l2")
+        "docket_id", "token", F.col("key").alias("k2"), F.col("shape").alias("s2"), F.col("label").alias("l2")
     )
     pairs = members.join(minority, ["docket_id", "token"]).where(
-        (F.col("label") != F.col("l2")) & _lengths_allow(F.col("size"), F.col("s2"), threshold)
+        (F.col("label") != F.col("l2")) & _may_match(F.col("shape"), F.col("s2"), threshold)
     )
     return pairs.select("docket_id", F.least("key", "k2").alias("a"), F.greatest("key", "k2").alias("b"))
 
@@ -201,7 +219,7 @@ def families_of_all(letters: DataFrame, threshold: float = SIMILARITY) -> DataFr
     edges = None
     # hub rounds only save work; the cross step alone would already be exact
     for propose in [_hub_candidates] * HUB_ROUNDS + [_cross_candidates]:
-        members = _open_buckets(buckets, labels)
+        members = cut_lineage(_open_buckets(buckets, labels))
         found = cut_lineage(_verified(propose(members, threshold), letters, threshold))
         if found.isEmpty():
             continue

@@ -148,7 +148,7 @@ def scored_hits(index: SearchIndex, terms: Column) -> DataFrame:
     per_docket = hits.groupBy("docket_id").agg(
         F.sum("s").alias("s"),
         F.count_distinct("query").alias("query_terms"),
-        F.array_sort(F.collect_set("term")).alias("matched_terms"),
+        F.sort_array(F.collect_set("term")).alias("matched_terms"),
     )
     # documents that match more of the query words rank higher
     return per_docket.select(
@@ -217,7 +217,7 @@ def title_terms(title: Column) -> Column:
             lambda w: (F.length(w) >= RELATED_MIN_LENGTH) & ~w.isin(STOP_WORDS),
         )
     )
-    ranked = F.array_sort(F.transform(words, lambda w, i: F.struct((-F.length(w)).alias("k"), i.alias("i"), w.alias("w"))))
+    ranked = F.sort_array(F.transform(words, lambda w, i: F.struct((-F.length(w)).alias("k"), i.alias("i"), w.alias("w"))))
     return F.transform(F.slice(ranked, 1, RELATED_TERMS), lambda r: r["w"])
 
 
@@ -227,8 +227,9 @@ def related_dockets(index: SearchIndex, docket_id: str, limit: int = 3) -> DataF
     terms = mine.select(title_terms(F.col("title"))).scalar()
     hits = scored_hits(index, F.coalesce(terms, F.array().cast("array<string>")))
     others = hits.where(F.upper("docket_id") != docket_id.upper())
-    page = others.orderBy(F.desc("score"), F.asc("docket_id")).limit(limit)
-    return page.join(index.dockets, "docket_id").select("docket_id", "agency_code", "title", "score")
+    order = [F.desc("score"), F.asc("docket_id")]
+    page = others.orderBy(*order).limit(limit).join(index.dockets, "docket_id")
+    return page.select("docket_id", "agency_code", "title", "score").orderBy(*order)
 
 
 def search_snippet(text: Column, terms: Column, window: int = 240) -> Column:

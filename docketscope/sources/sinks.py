@@ -92,7 +92,7 @@ def docket_bundle(
     def as_array(df: DataFrame, name: str, order_by: str) -> DataFrame:
         clean = clean_strings(df)
         item = F.struct(F.col(order_by).alias("k"), F.struct(*clean.columns).alias("v"))
-        newest_first = F.reverse(F.array_sort(F.collect_list(item)))
+        newest_first = F.sort_array(F.collect_list(item), asc=False)
         return clean.agg(F.transform(newest_first, lambda x: x["v"]).alias(name))
 
     docket = clean_strings(dockets.where(F.col("docket_id") == docket_id).limit(1))
