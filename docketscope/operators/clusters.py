@@ -23,6 +23,7 @@ from docketscope.functions.text import (
     tier_key,
     token_array,
 )
+from docketscope.operators.joins import keep_listed
 from docketscope.operators.lookups import top_per_group
 from docketscope.session import cut_lineage
 
@@ -105,13 +106,14 @@ def with_samples(
 ) -> DataFrame:
     """Adds the representative's display text and content tokens.
 
-    Joins reported clusters to the comments by id; only matched rows are
+    Reads the comments again for the reported ids alone; only those rows are
     normalised. ``sample_chars`` shortens the shown sample; ``body`` stays whole.
     """
+    keys = ["docket_id", "sample_id"]
     source = comments.select(
         "docket_id", F.col("comment_id").alias("sample_id"), F.col("comment").alias("_raw")
     )
-    joined = clusters.join(source, ["docket_id", "sample_id"])
+    joined = clusters.join(keep_listed(source, clusters, keys), keys)
     shown = joined.select("*", text_display(F.col("_raw")).alias("body")).drop("_raw")
     skeleton = text_skeleton(F.col("body"))
     sample = F.col("body") if sample_chars is None else F.substring("body", 1, sample_chars)
@@ -126,6 +128,7 @@ def comment_clusters(
 ) -> DataFrame:
     """The largest clusters of every docket at one tier, with sample and token set."""
     clusters = top_clusters(all_clusters(keyed_comments(comments, (tier,)), (tier,)), top_n)
+    clusters = cut_lineage(clusters)
     rows = with_samples(clusters, comments, sample_chars)
     return rows.select(
         "docket_id",

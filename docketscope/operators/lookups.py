@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from docketscope.functions.fields import unquote
 from docketscope.functions.text import comment_body
+from docketscope.operators.joins import keep_listed
 
 DEFAULT_LIMIT = 1000
 
@@ -55,12 +56,13 @@ def resolve_comment_partitions(
     The index is authoritative for a docket's agency, which may differ from the
     id prefix. A filter on one docket reaches both sides of the semi-join.
     """
-    known = index.select("agency_code", "docket_id").distinct()
+    keys = ["agency_code", "docket_id"]
+    known = index.select(*keys)
     if docket_id is not None:
         cid = clean_id(docket_id)
         comments = comments.where(F.col("docket_id") == cid)
         known = known.where(F.col("docket_id") == cid)
-    return comments.join(known, ["agency_code", "docket_id"], "left_semi")
+    return keep_listed(comments, known, keys)
 
 
 def get_data(

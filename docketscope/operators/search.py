@@ -1,7 +1,8 @@
 """Ranked docket search over a postings table.
 
 Terms are matched against the vocabulary first (exact, prefix, fuzzy), which is
-small next to the postings; postings are then read for the matched terms only.
+small next to the postings. The matched terms are stored and counted, so that
+postings meet them in a broadcast join without being shuffled.
 Scores are BM25+ per field (Robertson & Zaragoza 2009; Lv & Zhai 2011), titles
 boosted, prefix and fuzzy matches down-weighted by how far they are from the
 query term.
@@ -14,11 +15,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docketscope.operators.joins import checked_broadcast, keep_listed
+
 # Ranking parameters.
 K1, B, DELTA = 1.2, 0.7, 0.5
 FIELD_BOOST = {"title": 3.0, "abstract": 1.0}
 PREFIX_WEIGHT, FUZZY_WEIGHT = 0.375, 0.45
 FUZZY, MAX_EDITS = 0.2, 6
+SCORE_DIGITS = 6
 
 # Words that say nothing about a docket's subject.
 STOP_WORDS = (
@@ -141,19 +145,19 @@ def scored_hits(index: SearchIndex, terms: Column) -> DataFrame:
     )
     tf, relative = F.col("tf"), F.col("length") / F.col("avg_length")
     gain = F.lit(DELTA) + tf * (K1 + 1) / (tf + K1 * (1 - B + B * relative))
-    hits = index.postings.join(rated, ["field", "term"]).select(
+    hits = index.postings.join(checked_broadcast(rated), ["field", "term"]).select(
         "docket_id", "term", "query", (F.col("w") * gain).alias("s")
     )
     # one docket matches at most the vocabulary near a handful of query words
     per_docket = hits.groupBy("docket_id").agg(
         F.sum("s").alias("s"),
-        F.count_distinct("query").alias("query_terms"),
+        F.size(F.collect_set("query")).alias("query_terms"),
         F.sort_array(F.collect_set("term")).alias("matched_terms"),
     )
-    # documents that match more of the query words rank higher
-    return per_docket.select(
-        "docket_id", (F.col("s") * F.col("query_terms")).alias("score"), "query_terms", "matched_terms"
-    )
+    # documents that match more of the query words rank higher; rounding keeps ties
+    # ties whatever the order in which a cluster adds the parts up
+    score = F.round(F.col("s") * F.col("query_terms"), SCORE_DIGITS)
+    return per_docket.select("docket_id", score.alias("score"), "query_terms", "matched_terms")
 
 
 def docket_search(
@@ -181,8 +185,8 @@ def docket_search(
 
 def docket_search_total(index: SearchIndex, query: str, agency_code: str | None = None) -> DataFrame:
     """Number of matching dockets."""
-    matched = match_terms(index, query_terms(query)).select("field", "term").distinct()
-    hits = index.postings.join(matched, ["field", "term"], "left_semi").select("docket_id").distinct()
+    matched = match_terms(index, query_terms(query))
+    hits = keep_listed(index.postings, matched, ["field", "term"]).select("docket_id").distinct()
     if agency_code:
         mine = index.dockets.where(F.col("agency_code") == agency_code).select("docket_id")
         hits = hits.join(mine, "docket_id", "left_semi")
@@ -201,7 +205,7 @@ def docket_suggest(index: SearchIndex, query: str, limit: int = 5) -> DataFrame:
     if len(text) < 2:
         hits = hits.limit(0)
     phrases = hits.groupBy(F.array_join("matched_terms", " ").alias("suggestion")).agg(
-        F.avg("score").alias("score")
+        F.round(F.avg("score"), SCORE_DIGITS).alias("score")
     )
     return phrases.orderBy(F.desc("score"), F.asc("suggestion")).limit(limit)
 

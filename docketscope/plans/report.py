@@ -46,7 +46,7 @@ def near_letters(
     several findings read them and the texts should be normalised once.
     """
     clusters = cut_lineage(all_clusters(keyed_comments(comments, ("near",)), ("near",)))
-    letters = form_letters(top_clusters(clusters, top_n), placeholder_rule="body")
+    letters = cut_lineage(form_letters(top_clusters(clusters, top_n), placeholder_rule="body"))
     return cut_lineage(with_samples(letters, comments)), cluster_totals(clusters)
 
 

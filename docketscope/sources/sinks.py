@@ -68,12 +68,12 @@ def sink_json_bundles(
 ) -> None:
     """All dockets in one job: ``docket_id=…/section=…/*.txt`` JSON-lines folders.
 
-    Rows are range-partitioned by docket, section and record, so small dockets
-    share tasks and a large one is split.
+    Rows are range-partitioned by docket, section and a hash of the record, so small
+    dockets share tasks and a large one is split.
     """
     (
         json_records(dockets, documents, comments)
-        .repartitionByRange("docket_id", "section", "record")
+        .repartitionByRange("docket_id", "section", F.xxhash64("record"))
         .write.mode("overwrite")
         .partitionBy("docket_id", "section")
         .text(path)

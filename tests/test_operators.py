@@ -358,18 +358,6 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_no_cartesian_products_in_registered_queries(spark):
-    import __spark_entry__ as entry
-
-    # scalar lookups over one row are subqueries, not joins
-    iterative = {"template_families_all"}
-    for name, run in entry.queries().items():
-        if name in iterative or name.startswith(("sink_", "write_", "document_by_id", "stance", "template", "form_letter")):
-            continue
-        plan = plan_of(run(spark, "/root/testdata/sf0.001"))
-        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
-
-
 def test_top_k_per_docket_is_cut_before_the_shuffle(spark):
     import __spark_entry__ as entry
 
@@ -377,6 +365,22 @@ def test_top_k_per_docket_is_cut_before_the_shuffle(spark):
     assert plan.count("WindowGroupLimit") == 2
 
 
+def test_texts_are_not_shuffled_for_samples(spark):
+    from docketscope.operators import clusters as CL
+
+    rows = spark.range(100).selectExpr("id AS comment_id", "'d' AS docket_id", "concat('some longer text ', id % 7) AS comment", "'2026-01-01' AS posted_date")
+    plan = plan_of(CL.comment_clusters(rows, "near"))
+    assert "BroadcastHashJoin" in plan and "LeftSemi" in plan
+
+
+def test_a_long_list_falls_back_to_a_shuffle_join(spark):
+    from docketscope.operators.joins import keep_listed
+
+    big, listed = spark.range(1000).toDF("k"), spark.range(0, 1000, 3).toDF("k")
+    short, long = (keep_listed(big, listed, ["k"], n) for n in (1000, 10))
+    assert short.count() == long.count() == 334
+
+
 def test_scans_read_only_needed_columns(spark):
     import __spark_entry__ as entry
 

@@ -25,6 +25,8 @@ def con():
 def test_query_matches_sql(spark, con, name):
     df = entry.queries()[name](spark, SF)
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     result = con.execute(entry.oracle_sql()[name])
     columns = [d[0] for d in result.description]
     assert sorted(df.columns) == sorted(columns)

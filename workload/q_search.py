@@ -36,7 +36,7 @@ def hits_sql(p: str) -> str:
                      WHEN starts_with(term, q) THEN lt * 0.375 / (lt + (lt - lq) * 0.3)
                      WHEN ed <= k THEN lt * 0.45 / (lt + ed) END AS weight FROM dist),
     hits AS (
-      SELECT docket_id, sum(s) * count(DISTINCT q) AS score, count(DISTINCT q) AS query_terms,
+      SELECT docket_id, round(sum(s) * count(DISTINCT q), 6) AS score, count(DISTINCT q) AS query_terms,
              array_to_string(list_sort(list(DISTINCT term)), ' ') AS matched_terms
       FROM (SELECT p.docket_id, p.term, m.q,
                    ln(1 + (docs - df + 0.5) / (df + 0.5)) * CASE field WHEN 'title' THEN 3.0 ELSE 1.0 END * weight
@@ -89,7 +89,7 @@ def _(t):
 @query("docket_suggest", "part_corpus part_postings", f"""
     WITH {words('red', 'widg')}, {hits_sql('part_')}
     SELECT matched_terms AS suggestion, round(avg(score), 6) AS score FROM hits WHERE query_terms = 2
-    GROUP BY 1 ORDER BY avg(score) DESC, suggestion LIMIT 5""")
+    GROUP BY 1 ORDER BY round(avg(score), 6) DESC, suggestion LIMIT 5""")
 def _(t):
     rows = SE.docket_suggest(SE.search_index_build(t("part_corpus")), "Red widg")
     return rows.withColumn("score", F.round("score", 6))
