@@ -26,7 +26,8 @@ SIMILARITY = 0.8
 SHORT_SET = 4
 SHORT_SIMILARITY = 0.95
 
-HUB_ROUNDS = 2
+HUB_ROUNDS = 4
+PAIRS_PER_ROW = 100
 BITMAP_WORDS = 4
 
 
@@ -174,6 +175,15 @@ def _open_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     return tagged.join(spans.where(F.col("families") > 1), ["docket_id", "token"])
 
 
+def _cross_work(members: DataFrame) -> tuple[int, int]:
+    """(bucket rows, pairs the cross step would form)."""
+    buckets = members.groupBy("docket_id", "token").agg(
+        F.count("*").alias("m"), F.count_if(F.col("label") != F.col("main")).alias("outside")
+    )
+    row = buckets.agg(F.sum("m"), F.sum(F.col("m") * F.col("outside"))).first()
+    return row[0] or 0, row[1] or 0
+
+
 def _hub_candidates(members: DataFrame, threshold: float) -> DataFrame:
     """Every bucket member against one hub inside the bucket's main family and one outside.
 
@@ -216,15 +226,24 @@ def families_of_all(letters: DataFrame, threshold: float = SIMILARITY) -> DataFr
     letters = letters.select("docket_id", "key", "n", "tokens")
     buckets = cut_lineage(prefix_buckets(letters, threshold))
     labels = letters.select("docket_id", "key", F.concat_ws("\u0001", "docket_id", "key").alias("label"))
-    edges = None
-    # hub rounds only save work; the cross step alone would already be exact
-    for propose in [_hub_candidates] * HUB_ROUNDS + [_cross_candidates]:
+    edges, hubs_left = None, HUB_ROUNDS
+    while True:
         members = cut_lineage(_open_buckets(buckets, labels))
+        rows, pairs = _cross_work(members)
+        if rows == 0:
+            break
+        # hub rounds only save work; the cross step alone is already exact
+        final = hubs_left == 0 or pairs <= PAIRS_PER_ROW * rows
+        propose = _cross_candidates if final else _hub_candidates
         found = cut_lineage(_verified(propose(members, threshold), letters, threshold))
-        if found.isEmpty():
-            continue
-        edges = found if edges is None else edges.unionByName(found)
-        labels = cut_lineage(_labels(letters, edges))
+        if not found.isEmpty():
+            edges = found if edges is None else edges.unionByName(found)
+            labels = cut_lineage(_labels(letters, edges))
+            hubs_left -= 1
+        else:
+            hubs_left = 0
+        if final:
+            break
     sized = labels.join(letters.select("docket_id", "key", "n"), ["docket_id", "key"])
     # largest member names the family, the smaller key on a tie
     heads = sized.groupBy("label").agg(
