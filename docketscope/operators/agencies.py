@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docketscope.functions.dates import AsOf, as_day, era_of, iso_day, to_day
 from docketscope.functions.fields import unquote
+from docketscope.operators.lookups import top_per_group
 from docketscope.sources.dims import UNGROUPED_DEPARTMENT
 
 
@@ -141,11 +142,10 @@ def related_agencies(
     placed = parent_department(agencies, departments)
     known = agencies.select(F.col("agency_code").alias("peer_code"), F.col("name").alias("peer_name"))
     picked = curated.select("agency_code", "peer_code", F.col("position").cast("long").alias("position"))
+    # the first limit + 1 names of a department are all its members can be shown
+    first_names = top_per_group(placed, ["department"], [F.asc_nulls_last("name"), F.asc("agency_code")], limit + 1)
     siblings = placed.join(curated.select("agency_code"), "agency_code", "left_anti").join(
-        placed.select(
-            F.col("agency_code").alias("peer_code"), "department", F.col("name").alias("sort_name")
-        ),
-        "department",
+        first_names.select(F.col("agency_code").alias("peer_code"), "department"), "department"
     )
     by_name = siblings.select("agency_code", "peer_code", F.lit(0).cast("long").alias("position"))
     peers = picked.unionByName(by_name).join(known, "peer_code")

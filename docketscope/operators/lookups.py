@@ -148,7 +148,7 @@ def comments_for_docket(
 
 def export_comments(comments: DataFrame, docket_id: str, limit: int = 50_000) -> DataFrame:
     """All comments of one docket, newest first, up to the export limit."""
-    rows = comments.where(unquote(F.col("docket_id")) == docket_id)
+    rows = comments.where(F.col("docket_id") == docket_id)
     return rows.orderBy(F.desc_nulls_last("posted_date"), F.asc("comment_id")).limit(limit)
 
 

@@ -146,3 +146,27 @@ def comment_precompute(comments: DataFrame) -> DataFrame:
         word_count(text_canonical(F.col("display"))).alias("word_count"),
         is_placeholder(F.col("display")).alias("is_placeholder"),
     )
+
+
+def stance_by_template(
+    comments: DataFrame,
+    support: Sequence[str] = SUPPORT_PHRASES,
+    oppose: Sequence[str] = OPPOSE_PHRASES,
+) -> DataFrame:
+    """Stance per skeleton hash over all dockets, for storing beside the comments.
+
+    Cue counts of each comment are two numbers before the shuffle; the smallest
+    comment id speaks for its template.
+    """
+    shown = comments.select("comment_id", text_display(F.col("comment")).alias("display"))
+    forms = shown.where(F.col("display").isNotNull()).withColumn("skeleton", text_skeleton(F.col("display")))
+    pro, con = stance_hits(F.col("display"), support, oppose)
+    hits = forms.select(
+        "comment_id", F.md5("skeleton").alias("skeleton_hash"), pro.alias("pro"), con.alias("con")
+    )
+    templates = hits.groupBy("skeleton_hash").agg(
+        F.count("*").alias("n"),
+        F.min_by("pro", "comment_id").alias("support_hits"),
+        F.min_by("con", "comment_id").alias("oppose_hits"),
+    )
+    return templates.withColumn("stance", stance_label(F.col("support_hits"), F.col("oppose_hits")))

@@ -111,7 +111,7 @@ def scan_comments_partitioned(
     """
     comments = read_parquet(spark, f"{base}/comments/agency", "comments")
     if agency_code is not None:
-        comments = comments.where(F.col("agency_code") == agency_code.upper())
+        comments = comments.where(F.col("agency_code") == agency_code)
     return comments
 
 
@@ -150,13 +150,13 @@ def payload_to_corpus(payload: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give every core rows of a table stored in fewer files than there are cores.
+    """Give every core rows of a table read in fewer splits than there are cores.
 
     One file with one row group is one task, however heavy the text work on its
-    rows. Tables with enough files are returned as they are, without a shuffle.
+    rows. Larger tables are returned as they are, without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def to_silver(df: DataFrame) -> DataFrame:

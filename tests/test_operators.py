@@ -303,7 +303,7 @@ def test_mirror_keeps_codes_as_text_and_prunes_by_agency(spark, tmp_path):
     sinks.write_comments_mirror(comments(spark), path)
     mirror = tables.scan_comments_partitioned(spark, str(tmp_path))
     assert sorted(r.agency_code for r in mirror.select("agency_code").distinct().collect()) == ["001", "EPA"]
-    one_agency = tables.scan_comments_partitioned(spark, str(tmp_path), "epa")
+    one_agency = tables.scan_comments_partitioned(spark, str(tmp_path), "EPA")
     assert one_agency.count() == 2
     plan = one_agency._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(agency_code" in plan

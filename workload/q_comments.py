@@ -478,3 +478,13 @@ def _(t):
            {placeholder_sql('display')} AS is_placeholder FROM forms""")
 def _(t):
     return RP.comment_precompute(t("comments"))
+
+
+@query("stance_by_template", "forms", f"""
+    WITH h AS (SELECT comment_id, md5(skeleton) AS skeleton_hash, {hits_sql("lower(display)", SUPPORT)} AS s,
+                      {hits_sql("lower(display)", OPPOSE)} AS o FROM forms WHERE display IS NOT NULL),
+    g AS (SELECT skeleton_hash, count(*) AS n, arg_min(s, comment_id) AS support_hits,
+                 arg_min(o, comment_id) AS oppose_hits FROM h GROUP BY 1)
+    SELECT *, {stance_sql('support_hits', 'oppose_hits')} AS stance FROM g""")
+def _(t):
+    return RP.stance_by_template(t("comments"), SUPPORT, OPPOSE)

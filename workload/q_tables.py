@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from docketscope.functions import dates as D
@@ -46,7 +48,7 @@ _MIRROR_SQL = """
 
 def _mirror(t):
     ensure_checkpoint_dir(t.spark)
-    base = f"{t.spark.sparkContext.getCheckpointDir()}/mirror-{t.spark.sparkContext.applicationId}"
+    base = f"{t.spark.sparkContext.getCheckpointDir()}/mirror-{uuid4().hex}"
     sinks.write_comments_mirror(t("comments"), f"{base}/comments/agency")
     return base
 
@@ -60,6 +62,14 @@ def _(t):
     )
 
 
+@query("scan_comments_partitioned", "comments", """
+    SELECT comment_id, docket_id, agency_code, comment, posted_date FROM comments WHERE agency_code = 'src1'""")
+def _(t):
+    mirror = tables.scan_comments_partitioned(t.spark, _mirror(t), "src1")
+    return mirror.select(F.col("comment_id").cast("long").alias("comment_id"), "docket_id", "agency_code",
+                         "comment", "posted_date")
+
+
 @query("resolve_comment_partitions", "reg_documents comments_index", """
     SELECT document_id, agency_code, docket_id FROM reg_documents r
     WHERE EXISTS (SELECT 1 FROM comments_index i
@@ -142,7 +152,7 @@ def _(t):
            regexp_replace(comment, '^"|"$', '', 'g') AS comment FROM comments""")
 def _(t):
     ensure_checkpoint_dir(t.spark)
-    path = f"{t.spark.sparkContext.getCheckpointDir()}/export-{t.spark.sparkContext.applicationId}"
+    path = f"{t.spark.sparkContext.getCheckpointDir()}/export-{uuid4().hex}"
     sinks.sink_parquet(t("comments").select("comment_id", "docket_id", "comment"), path)
     return t.spark.read.parquet(path)
 
