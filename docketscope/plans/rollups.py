@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketscope.functions.dates import AsOf, as_instant, to_day, to_instant
@@ -79,30 +79,24 @@ def build_agency_monthly_volume(documents: DataFrame) -> DataFrame:
 def build_rulemaking_lifecycles(documents: DataFrame, dockets: DataFrame) -> DataFrame:
     """Per docket: first proposal and the first rule on or after it, or no rule at all.
 
-    A docket whose rules all precede the proposal is neither. Documents are
-    reduced to one row per (docket, type, day) first, so the join back of the
-    first proposal reads at most one row per day.
+    A docket whose rules all precede the proposal is neither. Documents are read
+    once and reduced to distinct (docket, type, day) rows, so the window per
+    docket meets at most two rows per calendar day however many documents it has.
     """
     day = to_day(F.col("posted_date"))
+    kinds = F.col("document_type")
     dated = (
-        documents.where(F.col("document_type").isin(PROPOSED, FINAL) & F.col("docket_id").isNotNull())
+        documents.where(kinds.isin(PROPOSED, FINAL) & F.col("docket_id").isNotNull())
         .select("docket_id", "document_type", day.alias("day"))
         .where(F.col("day").isNotNull())
         .distinct()
     )
-    proposed = (
-        dated.where(F.col("document_type") == PROPOSED)
-        .groupBy("docket_id")
-        .agg(F.min("day").alias("proposed_date"))
-    )
-    finals = dated.where(F.col("document_type") == FINAL).select("docket_id", F.col("day").alias("final"))
-    outcome = (
-        proposed.join(finals, "docket_id", "left")
-        .groupBy("docket_id", "proposed_date")
-        .agg(
-            F.min(F.when(F.col("final") >= F.col("proposed_date"), F.col("final"))).alias("final_date"),
-            F.count("final").alias("finals"),
-        )
+    first = F.min(F.when(kinds == PROPOSED, F.col("day"))).over(Window.partitionBy("docket_id"))
+    proposed = dated.withColumn("proposed_date", first).where(F.col("proposed_date").isNotNull())
+    later = (kinds == FINAL) & (F.col("day") >= F.col("proposed_date"))
+    outcome = proposed.groupBy("docket_id", "proposed_date").agg(
+        F.min(F.when(later, F.col("day"))).alias("final_date"),
+        F.count_if(kinds == FINAL).alias("finals"),
     )
     kind = F.when(F.col("final_date").isNotNull(), "pair").when(F.col("finals") == 0, "stuck")
     named = outcome.withColumn("kind", kind).where(F.col("kind").isNotNull())
