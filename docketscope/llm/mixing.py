@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketscope.llm.runtime import columns, slices
+from docketscope.llm.runtime import columns, ship, slices
 from docketscope.llm.textbytes import Texts
 from docketscope.session import cut_lineage
 
@@ -165,49 +165,93 @@ def _plan(lengths: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
-def mix_sources(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-    weights: tuple[float, ...] = WEIGHTS,
-    most: int = MOST,
-    seed: int = SEED,
+def _decide(
+    sized: DataFrame, weights: tuple[float, ...], most: int, seed: int
 ) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken), one row per document row."""
-    sized = word_sizes(columns(docs, doc_id=id_col, text=text_col, source=F.col(f"`{source_col}`").cast("string")))
-    rows = cut_lineage(
-        sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"))
-    ).withColumn("order", F.xxhash64(F.lit(seed), "doc_id"))
+    """(doc_id, source, size, n, source_size, target, whole, again): of n equal rows, ``again`` are taken once more."""
+    rows = cut_lineage(sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n")))
+    rows = rows.withColumn("order", F.xxhash64(F.lit(seed), "doc_id"))
     lengths = rows.groupBy("source", "size").agg(F.sum("n").alias("rows"))
-    targets = source_targets(lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size")), weights, most)
-    plan = cut_lineage(_plan(lengths, targets))
+    totals = lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"))
+    plan = cut_lineage(_plan(lengths, source_targets(totals, weights, most)))
     keyed = plan.withColumnsRenamed({"source": "plan_source", "size": "plan_size"})
-    ranges = F.ceil(F.col("rows") / RANKED_ROWS)
     rows = rows.join(
         keyed, F.col("source").eqNullSafe(F.col("plan_source")) & (F.col("size") == F.col("plan_size"))
     ).drop("plan_source", "plan_size")
+    ranges = F.ceil(F.col("rows") / RANKED_ROWS)
     rows = rows.withColumn("range", F.floor((F.col("order") / F.lit(2.0**64) + 0.5) * ranges))
     key = ["source", "size"]
-    before = rows.groupBy(*key, "range").agg(F.sum("n").alias("m"))
-    before = before.withColumn(
-        "before",
-        F.coalesce(F.sum("m").over(Window.partitionBy(*key).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-    ).select(F.col("source").alias("b_source"), F.col("size").alias("b_size"), F.col("range").alias("b_range"), "before")
-    ranked = rows.withColumn(
-        "inside",
-        F.coalesce(
-            F.sum("n").over(
-                Window.partitionBy(*key, "range").orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-            ),
-            F.lit(0),
-        ),
-    ).join(
+    so_far = Window.unboundedPreceding, -1
+    none = F.lit(0).cast("long")
+    before = rows.groupBy(*key, "range").agg(F.sum("n").alias("m")).select(
+        F.col("source").alias("b_source"), F.col("size").alias("b_size"), F.col("range").alias("b_range"),
+        F.coalesce(F.sum("m").over(Window.partitionBy(*key).orderBy("range").rowsBetween(*so_far)), none).alias("before"),
+    )
+    inside = Window.partitionBy(*key, "range").orderBy("order", "doc_id").rowsBetween(*so_far)
+    ranked = rows.withColumn("inside", F.coalesce(F.sum("n").over(inside), none)).join(
         before,
         F.col("source").eqNullSafe(F.col("b_source")) & (F.col("size") == F.col("b_size")) & (F.col("range") == F.col("b_range")),
     )
-    spread = ranked.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    again = F.col("before") + F.col("inside") + F.col("copy") < F.col("extra")
-    return spread.withColumn("copies", F.col("whole") + again.cast("long")).select(
+    left = F.col("extra") - F.col("before") - F.col("inside")
+    return ranked.select(
+        "doc_id", "source", "size", "n", "source_size", "target", "whole", F.greatest(F.least(left, F.col("n")), none).alias("again")
+    )
+
+
+def mix_sources(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: tuple[float, ...] = WEIGHTS,
+    most: int = MOST,
+    seed: int = SEED,
+) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, taken), one row per document row."""
+    sized = word_sizes(columns(docs, doc_id=id_col, text=text_col, source=F.col(f"`{source_col}`").cast("string")))
+    rows = _decide(sized, weights, most, seed)
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    copies = F.col("whole") + (F.col("copy") <= F.col("again")).cast("long")
+    return rows.withColumn("copies", copies).select(
         "doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken")
     )
+
+
+def repeat_documents(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: tuple[float, ...] = WEIGHTS,
+    most: int = MOST,
+    seed: int = SEED,
+) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it, with all their columns."""
+    names = docs.columns
+    work = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    key, text, source = (f"c{names.index(c)}" for c in (id_col, text_col, source_col))
+    ship(docs.sparkSession)
+    schema = ", ".join([f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(docs.schema)] + ["size long"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, text):
+            sizes = pa.array(Texts.of(part.column(text)).word_counts(), pa.int64())
+            yield pa.RecordBatch.from_arrays([*part.columns, sizes], [*part.schema.names, "size"])
+
+    sized = word_sizes(columns(docs, doc_id=id_col, text=text_col, source=F.col(f"`{source_col}`").cast("string")))
+    plan = _decide(sized, weights, most, seed).select(
+        F.col("doc_id").alias("p_id"), F.col("source").alias("p_source"), F.col("size").alias("p_size"), "n", "whole", "again"
+    )
+    met = work.mapInArrow(run, schema).join(
+        plan,
+        F.col(key).eqNullSafe(F.col("p_id")) & F.col(source).eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size")),
+    )
+    # Equal rows of which only some are taken once more are told apart by their place among them.
+    order = Window.partitionBy("p_id", "p_source", "p_size").orderBy(F.xxhash64(text))
+    split = (F.col("again") > 0) & (F.col("again") < F.col("n"))
+    alike = met.where(~split).withColumn("copies", F.col("whole") + (F.col("again") > 0).cast("long"))
+    apart = met.where(split).withColumn("place", F.row_number().over(order))
+    apart = apart.withColumn("copies", F.col("whole") + (F.col("place") <= F.col("again")).cast("long")).drop("place")
+    taken = alike.unionByName(apart).where("copies > 0")
+    repeated = taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return repeated.select(*[F.col(f"c{k}").alias(n) for k, n in enumerate(names)])
