@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketscope.llm import mixing, near_dups, packing, pii, quality, sharding, token_counts
+from docketscope.llm import (
+    language, mixing, near_dups, neighbours, packing, pii, quality, sharding, token_counts, toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -46,12 +48,24 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity score, learnt from the labels outside the held-out fifth."""
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the class of its near-copies."""
     return near_dups.find_near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every 20th vector."""
+    return neighbours.search(table(spark, sf_dir, "embeddings"), "id % 20 = 0")
+
+
 @query
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard and slot; counts of shards differ by at most one."""
@@ -61,6 +75,12 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's language."""
+    return language.identify_languages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document, as counts and span digests."""
