@@ -36,11 +36,11 @@ from docketscope.session import cut_lineage
 NEAREST = 20
 TABLES = 2
 WIDTH = 2.0
-BUCKET_ROWS = 1024
-BLOCK_ROWS = 4096
+BUCKET_ROWS = 4096
+BLOCK_ROWS = 8192
 SAMPLE = 4096
 SAMPLE_QUERIES = 256
-TARGET = 0.97
+TARGET = 0.95
 MOST_PROBES = 4096
 SEED = 6
 
