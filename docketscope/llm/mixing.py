@@ -36,6 +36,8 @@ MOST = 3
 SEED = 20
 # The dynamic program runs over budgets up to this many words; greater ones are first reduced by whole documents.
 DP_BUDGET = 1 << 16
+# A sum this much above the budget may be taken if it is nearer than any below.
+DP_ABOVE = 256
 # Rows of one length ranked together.
 RANKED_ROWS = 50_000
 
@@ -82,8 +84,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
 def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to take so that their words come to ``budget``.
 
-    At most ``counts``; the sum is the greatest reachable one not above the budget among the
-    choices that keep the proportional shares.
+    At most ``counts``; the sum is the reachable one nearest to the budget (at most DP_ABOVE above it) among
+    the choices that keep the proportional shares.
     """
     taken = np.zeros(len(lengths), dtype=np.int64)
     total = int((lengths * counts).sum())
@@ -97,7 +99,7 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndar
     left = budget - int((lengths * taken).sum())
     # largest remainders first, as long as the budget is too great for the program
     for k in np.argsort(-(share - np.floor(share)), kind="stable"):
-        if left <= DP_BUDGET // 8:
+        if left <= DP_BUDGET:
             break
         if 0 < lengths[k] <= left and taken[k] < counts[k]:
             taken[k] += 1
@@ -108,9 +110,10 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndar
         more = min(int(counts[k] - taken[k]), -((DP_BUDGET - left) // int(lengths[k])), left // int(lengths[k]))
         taken[k] += more
         left -= more * int(lengths[k])
-    span = min(left, DP_BUDGET)
-    if span <= 0:
+    if left <= 0:
         return taken
+    goal = min(left, DP_BUDGET)
+    span = goal + DP_ABOVE
     # bounded knapsack: each length in pieces of 1, 2, 4, ... documents; the piece that first reaches a sum
     first = np.full(span + 1, -1, dtype=np.int64)
     reached = np.zeros(span + 1, dtype=bool)
@@ -120,10 +123,10 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndar
         size = int(lengths[k])
         if size == 0:
             continue
-        if size > span or reached[span]:
+        if size > span or reached[goal]:
             break
         free, many = min(int(counts[k] - taken[k]), span // size), 1
-        while free > 0 and not reached[span]:
+        while free > 0 and not reached[goal]:
             use = min(many, free)
             step = use * size
             if step <= span:
@@ -133,7 +136,8 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndar
                 pieces.append((int(k), use))
             free -= use
             many *= 2
-    at = int(np.flatnonzero(reached)[-1])
+    sums = np.flatnonzero(reached)
+    at = int(sums[np.argmin(np.abs(sums - goal))])
     while at > 0:
         k, use = pieces[first[at]]
         taken[k] += use

@@ -177,6 +177,8 @@ def best_in_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.n
 def _meet(index: DataFrame, visits: DataFrame, dim: int, nearest: int) -> DataFrame:
     """(query_id, vec_id, score) from (cell, id, x) on both sides; cells are dealt over blocks of bounded size."""
 
+    visits = visits.toDF("cell", "id", "x")  # columns of its own, also when both sides come from one table
+
     def parts(side: DataFrame, name: str) -> DataFrame:
         return side.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias(name))
 
