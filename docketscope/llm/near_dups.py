@@ -301,7 +301,7 @@ def _classes(texts: DataFrame) -> DataFrame:
     def links(rows: DataFrame) -> DataFrame:
         return rows.where(F.col("similarity") >= SIMILARITY).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
-    labels = connected_components(links(checked))
+    labels = cut_lineage(connected_components(links(checked)))
     more = cut_lineage(_cross_pairs(bands, buckets.select("key", "leader"), checked, labels))
     again = cut_lineage(_verify(more, _texts_of(texts, more), idf))
     if links(again).isEmpty():
