@@ -27,9 +27,6 @@ from docketscope.operators.joins import keep_listed
 from docketscope.operators.lookups import top_per_group
 from docketscope.session import cut_lineage
 
-TOP_CLUSTERS = 20
-SAMPLE_CHARS = 600
-
 # name -> the flag column that marks a placeholder sample
 PLACEHOLDER_RULES = {"text": "placeholder", "body": "placeholder_body"}
 
@@ -92,8 +89,8 @@ def cluster_totals(clusters: DataFrame) -> DataFrame:
     )
 
 
-def top_clusters(clusters: DataFrame, top_n: int | None = TOP_CLUSTERS) -> DataFrame:
-    """Non-blank clusters, the largest ``top_n`` per docket and tier (all with None)."""
+def top_clusters(clusters: DataFrame, top_n: int | None = None) -> DataFrame:
+    """Non-blank clusters; with ``top_n`` only the largest per docket and tier, for a listing."""
     filled = clusters.where(F.col("n") > 0).drop("rows", "empty")
     if top_n is None:
         return filled
@@ -102,7 +99,7 @@ def top_clusters(clusters: DataFrame, top_n: int | None = TOP_CLUSTERS) -> DataF
 
 
 def with_samples(
-    clusters: DataFrame, comments: DataFrame, sample_chars: int | None = SAMPLE_CHARS
+    clusters: DataFrame, comments: DataFrame, sample_chars: int | None = None
 ) -> DataFrame:
     """Adds the representative's display text and content tokens.
 
@@ -123,10 +120,13 @@ def with_samples(
 def comment_clusters(
     comments: DataFrame,
     tier: str = "exact",
-    top_n: int | None = TOP_CLUSTERS,
-    sample_chars: int = SAMPLE_CHARS,
+    top_n: int | None = None,
+    sample_chars: int | None = None,
 ) -> DataFrame:
-    """The largest clusters of every docket at one tier, with sample and token set."""
+    """The clusters of every docket at one tier, with sample and token set.
+
+    ``top_n`` and ``sample_chars`` shorten a listing that is shown.
+    """
     clusters = top_clusters(all_clusters(keyed_comments(comments, (tier,)), (tier,)), top_n)
     clusters = cut_lineage(clusters)
     rows = with_samples(clusters, comments, sample_chars)
@@ -148,26 +148,14 @@ def form_letters(clusters: DataFrame, placeholder_rule: str = "text", min_size:
 
 
 def orchestration_stats(
-    clusters: DataFrame,
-    top_n: int | None = None,
-    placeholder_rule: str = "text",
-    min_size: int = 2,
+    clusters: DataFrame, placeholder_rule: str = "text", min_size: int = 2
 ) -> DataFrame:
     """Form letters and their share of all comments, per docket and tier.
 
-    ``top_n`` restricts the count to the reported clusters, which makes it a
-    lower bound; by default every cluster counts. ``unique_count`` is the
-    comments outside form letters, not the distinct keys.
+    ``unique_count`` is the comments outside form letters, not the distinct keys.
     """
     flag = F.col(PLACEHOLDER_RULES[placeholder_rule])
     filled = F.col("n") > 0
-    if top_n is not None:
-        # rank once; the rows outside the report only count towards the totals
-        clusters = cut_lineage(clusters)
-        top = top_clusters(clusters, top_n).select("docket_id", "tier", "key", F.lit(True).alias("_top"))
-        same_key = ["docket_id", "tier", "key"]
-        clusters = clusters.join(top, same_key, "left")
-        filled = F.coalesce("_top", F.lit(False))
     letter = filled & ~flag & (F.col("n") >= min_size)
     stats = clusters.groupBy("docket_id", "tier").agg(
         F.sum("rows").alias("total"),
@@ -190,9 +178,9 @@ def percent(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / F.nullif(whole, F.lit(0)) * 100).otherwise(0.0)
 
 
-def fidelity_ladder(comments: DataFrame, top_n: int | None = None) -> DataFrame:
+def fidelity_ladder(comments: DataFrame) -> DataFrame:
     """Each docket at all tiers, with the change of the unique share against exact."""
-    stats = orchestration_stats(all_clusters(keyed_comments(comments)), top_n)
+    stats = orchestration_stats(all_clusters(keyed_comments(comments)))
     # three rows per docket: the exact tier's share becomes a column of the group
     tiers = F.collect_list(
         F.struct("tier", "total", "form_letters", "unique_pct", "orchestrated_pct")

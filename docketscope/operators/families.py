@@ -1,14 +1,17 @@
 """Template families: single-linkage merges of form letters by token-set Jaccard.
 
-Two exact ways to the same families:
-
-* ``families_of_reported`` - the report's at most 20 clusters per docket. The
-  group is bounded: at most 190 pairs, merged inside one row per docket.
-* ``template_families`` with ``top_n=None`` - every form letter. Candidates come
-  from a prefix filter (Chaudhuri et al. 2006, Bayardo et al. 2007); families
-  are contracted through hubs first, and only pairs that still lie in different
-  families are compared, so a campaign of a million variants costs about one
-  comparison per variant and bucket instead of all pairs.
+All form letters of all dockets at once, exactly, in two fixed passes:
+
+1. Candidates share a bucket: a token among the rarest of both sets (prefix filter,
+   Chaudhuri et al. 2006, Bayardo et al. 2007) and a band of set sizes. Every member
+   meets its bucket's leader, the letter with most copies: as many pairs as members.
+2. What is linked by then is a family. Only members outside the leader's family
+   meet the rest of their bucket, and only pairs that sizes, bitmaps, positions and
+   distances to the leader allow: Jaccard distance is a metric, so two sets whose
+   distances to a third differ by more than the cut-off cannot be similar.
+
+A campaign of a million variants costs about one comparison per variant and bucket
+instead of all pairs; no group is collected.
 """
 
 from __future__ import annotations
@@ -26,8 +29,6 @@ SIMILARITY = 0.8
 SHORT_SET = 4
 SHORT_SIMILARITY = 0.95
 
-HUB_ROUNDS = 4
-PAIRS_PER_ROW = 100
 BITMAP_WORDS = 4
 
 
@@ -45,63 +46,13 @@ def same_template(a: Column, b: Column, threshold: float = SIMILARITY) -> Column
     return jaccard(a, b) >= cut
 
 
-def template_pairs(letters: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """Similar pairs among a docket's reported clusters (at most 20 per docket)."""
-    left = letters.select("docket_id", F.col("key").alias("hash_a"), F.col("tokens").alias("ta"))
-    right = letters.select("docket_id", F.col("key").alias("hash_b"), F.col("tokens").alias("tb"))
-    pairs = left.join(right, "docket_id").where(F.col("hash_a") < F.col("hash_b"))
-    similar = pairs.where(same_template(F.col("ta"), F.col("tb"), threshold))
-    return similar.select(
-        "docket_id", "hash_a", "hash_b", jaccard(F.col("ta"), F.col("tb")).alias("similarity")
-    )
-
-
-def _merged_labels(positions: Column, links: Column) -> Column:
-    """Family label per position: each link gives both sides the smaller label."""
-
-    def merge(labels: Column, link: Column) -> Column:
-        a, b = F.get(labels, link["i"]), F.get(labels, link["j"])
-        return F.transform(
-            labels, lambda x: F.when(x == F.greatest(a, b), F.least(a, b)).otherwise(x)
-        )
-
-    return F.aggregate(links, positions, merge)
-
-
-def families_of_reported(letters: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """(docket_id, key, family) for a bounded number of clusters per docket.
-
-    Pairs are compared in parallel; only the positions of similar pairs (at most
-    190 for 20 clusters) meet in one row per docket, where they are merged.
-    """
-    member = F.struct((-F.col("n")).alias("neg"), F.col("key"))
-    members = letters.groupBy("docket_id").agg(F.sort_array(F.collect_list(member)).alias("members"))
-    keys = members.select("docket_id", F.transform("members", lambda m: m["key"]).alias("keys"))
-    place = lambda c: (F.array_position("keys", F.col(c)) - 1).cast("int")
-    links = (
-        template_pairs(letters, threshold)
-        .join(keys, "docket_id")
-        .groupBy("docket_id")
-        .agg(F.collect_list(F.struct(place("hash_a").alias("i"), place("hash_b").alias("j"))).alias("links"))
-    )
-    joined = keys.join(links, "docket_id", "left")
-    none = F.array().cast("array<struct<i:int,j:int>>")
-    positions = F.sequence(F.lit(0), F.size("keys") - 1)
-    labels = _merged_labels(positions, F.coalesce("links", none))
-    rows = joined.select("docket_id", "keys", F.posexplode(labels).alias("pos", "label"))
-    return rows.select(
-        "docket_id",
-        F.get("keys", F.col("pos")).alias("key"),
-        F.get("keys", F.col("label")).alias("family"),
-    )
-
-
 def prefix_buckets(letters: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """(docket_id, token, key, shape, n): each set under its rarest tokens.
+    """(docket_id, token, band, key, n, shape, pos): each set under its rarest tokens.
 
     Two sets with Jaccard >= t share a token among the first
     ``|x| - ceil(t |x|) + 1`` tokens of any common order; rarest first keeps the
-    buckets small.
+    buckets small. Their sizes differ by a factor of at most 1 / t, so they share one of
+    the two size bands in which each set is filed.
     """
     size = F.size("tokens")
     tokens = letters.select(
@@ -123,127 +74,124 @@ def prefix_buckets(letters: DataFrame, threshold: float = SIMILARITY) -> DataFra
         )
     )
     prefix = F.slice("ordered", F.lit(1), keep.cast("int"))
-    return ranked.select(
-        "docket_id", "key", F.struct("size", "bits").alias("shape"), "n", F.explode(prefix).alias("p")
-    ).select("docket_id", F.col("p.token").alias("token"), "key", "shape", "n")
-
-
-def _may_match(a: Column, b: Column, threshold: float) -> Column:
-    """Necessary conditions on two shapes, checked before tokens are fetched.
-
-    Sizes must be within the threshold, and the sets may differ by at most
-    ``(1 - t) / (1 + t)`` of their joint size; every bit in which their bitmaps
-    differ is at least one differing token (bitmap filter, Sandes et al. 2020).
-    """
-    sizes = (a["size"] >= b["size"] * threshold - 1e-9) & (b["size"] >= a["size"] * threshold - 1e-9)
-    differing = sum(
-        (F.bit_count(a["bits"][w].bitwiseXOR(b["bits"][w])) for w in range(BITMAP_WORDS)), F.lit(0)
+    own = F.floor(F.log(F.col("size").cast("double")) / -F.log(F.lit(threshold)) + 1e-9).cast("int")
+    rows = ranked.select(
+        "docket_id", "key", F.struct("size", "bits").alias("shape"), "n", own.alias("own"),
+        F.posexplode(prefix).alias("pos", "p"),
+    )
+    return rows.select(
+        "docket_id", F.col("p.token").alias("token"), F.explode(F.array("own", F.col("own") + 1)).alias("band"),
+        "key", "n", "shape", "pos",
     )
-    slack = (1 - threshold) / (1 + threshold)
-    return sizes & (differing <= (a["size"] + b["size"]) * slack + 1e-9)
 
 
-def _verified(candidates: DataFrame, letters: DataFrame, threshold: float) -> DataFrame:
-    """Candidate (docket_id, a, b) pairs that pass the exact similarity test."""
-    sets = letters.select("docket_id", "key", "tokens")
-    left = sets.select("docket_id", F.col("key").alias("a"), F.col("tokens").alias("ta"))
-    right = sets.select("docket_id", F.col("key").alias("b"), F.col("tokens").alias("tb"))
-    joined = candidates.distinct().join(left, ["docket_id", "a"]).join(right, ["docket_id", "b"])
-    return joined.where(same_template(F.col("ta"), F.col("tb"), threshold)).select("docket_id", "a", "b")
+def _differing(a: Column, b: Column) -> Column:
+    """At least so many tokens differ: bits in which two bitmaps differ, or the sizes' difference."""
+    bits = sum((F.bit_count(a["bits"][w].bitwiseXOR(b["bits"][w])) for w in range(BITMAP_WORDS)), F.lit(0))
+    return F.greatest(bits, F.abs(a["size"] - b["size"]))
 
 
-def _labels(letters: DataFrame, edges: DataFrame) -> DataFrame:
-    """(docket_id, key, label): smallest linked key, or the key itself."""
-    # docket and key together identify a node
-    nodes = lambda c: F.concat_ws("\u0001", "docket_id", c)
-    roots = connected_components(edges.select(nodes("a").alias("src"), nodes("b").alias("dst")))
-    keyed = letters.select("docket_id", "key", nodes("key").alias("node"))
-    joined = keyed.join(roots, "node", "left")
-    return joined.select("docket_id", "key", F.coalesce("root", "node").alias("label"))
+def _least_distance(a: Column, b: Column) -> Column:
+    """Lower bound of the Jaccard distance of two sets, from their shapes alone."""
+    differing = _differing(a, b)
+    return 2 * differing / (a["size"] + b["size"] + differing)
 
 
-def _open_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Bucket members with their label, for buckets that still span several families.
+def _overlap_possible(a: Column, b: Column, pos_a: Column, pos_b: Column, threshold: float) -> Column:
+    """Can enough tokens follow, if this is the first one in both prefixes?
 
-    ``main`` is the label with most members in the bucket.
+    A similar pair passes in the bucket of its first common token.
     """
-    tagged = buckets.join(labels, ["docket_id", "key"])
-    sizes = tagged.groupBy("docket_id", "token", "label").agg(F.count("*").alias("c"))
-    spans = sizes.groupBy("docket_id", "token").agg(
-        F.count("*").alias("families"), F.max_by("label", F.struct("c", "label")).alias("main")
-    )
-    return tagged.join(spans.where(F.col("families") > 1), ["docket_id", "token"])
+    most = F.least(a["size"] - pos_a, b["size"] - pos_b)
+    return most >= (a["size"] + b["size"]) * (threshold / (1 + threshold)) - 1e-9
 
 
-def _cross_work(members: DataFrame) -> tuple[int, int]:
-    """(bucket rows, pairs the cross step would form)."""
-    buckets = members.groupBy("docket_id", "token").agg(
-        F.count("*").alias("m"), F.count_if(F.col("label") != F.col("main")).alias("outside")
+def _compared(candidates: DataFrame, letters: DataFrame, threshold: float) -> DataFrame:
+    """(docket_id, a, b, similarity, same) of candidate pairs."""
+    sets = letters.select("docket_id", "key", "tokens")
+    left = sets.select("docket_id", F.col("key").alias("a"), F.col("tokens").alias("ta"))
+    right = sets.select("docket_id", F.col("key").alias("b"), F.col("tokens").alias("tb"))
+    joined = candidates.join(left, ["docket_id", "a"]).join(right, ["docket_id", "b"])
+    ta, tb = F.col("ta"), F.col("tb")
+    return joined.select(
+        "docket_id", "a", "b", jaccard(ta, tb).alias("similarity"), same_template(ta, tb, threshold).alias("same")
     )
-    row = buckets.agg(F.sum("m"), F.sum(F.col("m") * F.col("outside"))).first()
-    return row[0] or 0, row[1] or 0
 
 
-def _hub_candidates(members: DataFrame, threshold: float) -> DataFrame:
-    """Every bucket member against one hub inside the bucket's main family and one outside.
-
-    Hubs are the variants with most copies, usually the letter the others were
-    edited from. Linear in the bucket: two candidates per member.
-    """
-    inside = F.col("label") == F.col("main")
-    hub = F.struct("n", "key", "shape", "label")
-    hubs = members.groupBy("docket_id", "token").agg(
-        F.max(F.when(inside, hub)).alias("h1"), F.max(F.when(~inside, hub)).alias("h2")
-    )
-    joined = members.join(hubs, ["docket_id", "token"])
-    rows = joined.select(
-        "docket_id", "key", "shape", "label", F.explode(F.array("h1", "h2")).alias("h")
-    )
-    allowed = (F.col("label") != F.col("h.label")) & _may_match(F.col("shape"), F.col("h.shape"), threshold)
-    return rows.where(allowed).select(
-        "docket_id", F.least("key", "h.key").alias("a"), F.greatest("key", "h.key").alias("b")
-    )
-
+def _node(key: str) -> Column:
+    """Docket and key together identify a letter."""
+    return F.concat_ws("\u0001", "docket_id", key)
 
-def _cross_candidates(members: DataFrame, threshold: float) -> DataFrame:
-    """All remaining candidate pairs of different families, exactly.
 
-    A pair of different families has a member outside the bucket's main family,
-    so only those few are joined with the whole bucket; skewed buckets are split
-    by adaptive skew joins.
-    """
-    minority = members.where(F.col("label") != F.col("main")).select(
-        "docket_id", "token", F.col("key").alias("k2"), F.col("shape").alias("s2"), F.col("label").alias("l2")
-    )
-    pairs = members.join(minority, ["docket_id", "token"]).where(
-        (F.col("label") != F.col("l2")) & _may_match(F.col("shape"), F.col("s2"), threshold)
-    )
-    return pairs.select("docket_id", F.least("key", "k2").alias("a"), F.greatest("key", "k2").alias("b"))
+def _links(compared: DataFrame) -> DataFrame:
+    return compared.where("same").select(_node("a").alias("src"), _node("b").alias("dst"))
 
 
-def families_of_all(letters: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """(docket_id, key, family) for any number of clusters per docket."""
-    letters = letters.select("docket_id", "key", "n", "tokens")
+def _leader_pairs(letters: DataFrame, threshold: float) -> DataFrame:
+    """Bucket members beside their bucket's leader (the leader's own row included)."""
     buckets = cut_lineage(prefix_buckets(letters, threshold))
-    labels = letters.select("docket_id", "key", F.concat_ws("\u0001", "docket_id", "key").alias("label"))
-    edges, hubs_left = None, HUB_ROUNDS
-    while True:
-        members = cut_lineage(_open_buckets(buckets, labels))
-        rows, pairs = _cross_work(members)
-        if rows == 0:
-            break
-        # hub rounds only save work; the cross step alone is already exact
-        final = hubs_left == 0 or pairs <= PAIRS_PER_ROW * rows
-        propose = _cross_candidates if final else _hub_candidates
-        found = cut_lineage(_verified(propose(members, threshold), letters, threshold))
-        if not found.isEmpty():
-            edges = found if edges is None else edges.unionByName(found)
-            labels = cut_lineage(_labels(letters, edges))
-            hubs_left -= 1
-        else:
-            hubs_left = 0
-        if final:
-            break
+    place = ["docket_id", "token", "band"]
+    leaders = buckets.groupBy(*place).agg(
+        F.max(F.struct("n", "key", "shape")).alias("leader"), F.count("*").alias("members")
+    )
+    return buckets.join(leaders.where(F.col("members") > 1), place).select(
+        *place, "key", "shape", "pos", F.col("leader.key").alias("leader"),
+        _least_distance(F.col("shape"), F.col("leader.shape")).alias("least"),
+    )
+
+
+def _cross_pairs(placed: DataFrame, first: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of one bucket in different families that may be similar, without those compared before."""
+    slack = 1 - threshold + 1e-9
+    exact = first.select("docket_id", F.col("a").alias("key"), F.col("b").alias("leader"), (1 - F.col("similarity")).alias("d"))
+    named = placed.join(labels, ["docket_id", "key"]).join(exact, ["docket_id", "key", "leader"], "left")
+    homes = labels.select("docket_id", F.col("key").alias("leader"), F.col("label").alias("home"))
+    named = named.join(homes, ["docket_id", "leader"])
+    named = named.select(
+        "docket_id", "token", "band", "key", "shape", "pos", "label",
+        F.when(F.col("key") == F.col("leader"), 0.0).otherwise(F.coalesce("d", "least")).alias("low"),
+        F.when(F.col("key") == F.col("leader"), 0.0).otherwise(F.coalesce("d", F.lit(1.0))).alias("high"),
+        (F.col("label") != F.col("home")).alias("outside"),
+    )
+    named = cut_lineage(named)
+    place = ["docket_id", "token", "band"]
+    left = named.where("outside").select(*place, *[F.col(c).alias(f"{c}1") for c in ("key", "shape", "pos", "label", "low", "high")])
+    right = named.select(*place, "outside", *[F.col(c).alias(f"{c}2") for c in ("key", "shape", "pos", "label", "low", "high")])
+    a, b = F.col("shape1"), F.col("shape2")
+    pairs = left.join(right, place).where(
+        (F.col("label1") != F.col("label2"))
+        & (~F.col("outside") | (F.col("key1") < F.col("key2")))
+        & (F.col("low1") - F.col("high2") <= slack)
+        & (F.col("low2") - F.col("high1") <= slack)
+        & (_least_distance(a, b) <= slack)
+        & _overlap_possible(a, b, F.col("pos1"), F.col("pos2"), threshold)
+    )
+    done = first.select("docket_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return pairs.select(
+        "docket_id", F.least("key1", "key2").alias("a"), F.greatest("key1", "key2").alias("b")
+    ).distinct().join(done, ["docket_id", "a", "b"], "left_anti")
+
+
+def _labels(letters: DataFrame, roots: DataFrame) -> DataFrame:
+    """(docket_id, key, label): smallest linked letter, or the letter itself."""
+    keyed = letters.select("docket_id", "key", _node("key").alias("node"))
+    return keyed.join(roots, "node", "left").select("docket_id", "key", F.coalesce("root", "node").alias("label"))
+
+
+def families_of(letters: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """(docket_id, key, family) of any number of letters per docket."""
+    letters = letters.select("docket_id", "key", "n", "tokens")
+    placed = cut_lineage(_leader_pairs(letters, threshold))
+    slack = 1 - threshold + 1e-9
+    met = placed.where((F.col("key") != F.col("leader")) & (F.col("least") <= slack))
+    met = met.select("docket_id", F.col("key").alias("a"), F.col("leader").alias("b")).distinct()
+    first = cut_lineage(_compared(met, letters, threshold))
+    roots = cut_lineage(connected_components(_links(first)))
+    labels = cut_lineage(_labels(letters, roots))
+    second = cut_lineage(_compared(_cross_pairs(placed, first, labels, threshold), letters, threshold))
+    # the stars of the first pass keep its families; the new links join them
+    stars = roots.select(F.col("node").alias("src"), F.col("root").alias("dst"))
+    labels = cut_lineage(_labels(letters, connected_components(stars.unionByName(_links(second)))))
     sized = labels.join(letters.select("docket_id", "key", "n"), ["docket_id", "key"])
     # largest member names the family, the smaller key on a tie
     heads = sized.groupBy("label").agg(
@@ -252,19 +200,37 @@ def families_of_all(letters: DataFrame, threshold: float = SIMILARITY) -> DataFr
     return labels.join(heads, "label").select("docket_id", "key", "family")
 
 
+def template_pairs(letters: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """All similar pairs of a docket's form letters; the result itself may be large.
+
+    The same buckets and bounds as for families, but every pair that passes is compared.
+    """
+    letters = letters.select("docket_id", "key", "n", "tokens")
+    rows = cut_lineage(prefix_buckets(letters, threshold))
+    place = ["docket_id", "token", "band"]
+    left = rows.select(*place, *[F.col(c).alias(f"{c}1") for c in ("key", "shape", "pos")])
+    right = rows.select(*place, *[F.col(c).alias(f"{c}2") for c in ("key", "shape", "pos")])
+    a, b = F.col("shape1"), F.col("shape2")
+    pairs = left.join(right, place).where(
+        (F.col("key1") < F.col("key2"))
+        & (_least_distance(a, b) <= 1 - threshold + 1e-9)
+        & _overlap_possible(a, b, F.col("pos1"), F.col("pos2"), threshold)
+    )
+    candidates = pairs.select("docket_id", F.col("key1").alias("a"), F.col("key2").alias("b")).distinct()
+    similar = _compared(candidates, letters, threshold).where("same")
+    return similar.select("docket_id", F.col("a").alias("hash_a"), F.col("b").alias("hash_b"), "similarity")
+
+
 def template_families(
     letters: DataFrame,
     totals: DataFrame,
     threshold: float = SIMILARITY,
-    bounded: bool = True,
 ) -> DataFrame:
     """One row per family: representative, comments, share, variants, first and last day.
 
-    ``letters`` are form letters (docket_id, key, n, tokens, first_day, last_day);
-    ``bounded`` says that they are the report's top clusters.
+    ``letters`` are form letters (docket_id, key, n, tokens, first_day, last_day).
     """
-    assign = families_of_reported if bounded else families_of_all
-    labelled = letters.drop("tokens").join(assign(letters, threshold), ["docket_id", "key"])
+    labelled = letters.drop("tokens").join(families_of(letters, threshold), ["docket_id", "key"])
     families = labelled.groupBy("docket_id", "family").agg(
         F.sum("n").alias("total_n"),
         F.count("*").alias("variant_count"),

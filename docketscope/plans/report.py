@@ -18,7 +18,6 @@ from docketscope.functions.text import (
     word_count,
 )
 from docketscope.operators.clusters import (
-    TOP_CLUSTERS,
     all_clusters,
     cluster_totals,
     form_letters,
@@ -36,17 +35,15 @@ MIN_FORM_LETTER = 10
 LOW_PCT, HIGH_PCT = 5, 50
 
 
-def near_letters(
-    comments: DataFrame, top_n: int | None = TOP_CLUSTERS
-) -> tuple[DataFrame, DataFrame]:
-    """(form letters with body and tokens, totals) of the near tier.
+def near_letters(comments: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(all form letters with body and tokens, totals) of the near tier.
 
-    ``top_n=20`` is the reported list; ``None`` takes every cluster. The cluster
+    The cluster
     table (narrow, one row per key) and the letters are stored once, because
     several findings read them and the texts should be normalised once.
     """
     clusters = cut_lineage(all_clusters(keyed_comments(comments, ("near",)), ("near",)))
-    letters = cut_lineage(form_letters(top_clusters(clusters, top_n), placeholder_rule="body"))
+    letters = cut_lineage(form_letters(top_clusters(clusters), placeholder_rule="body"))
     return cut_lineage(with_samples(letters, comments)), cluster_totals(clusters)
 
 
@@ -57,7 +54,6 @@ def families_with_stance(
     support: Sequence[str] = SUPPORT_PHRASES,
     oppose: Sequence[str] = OPPOSE_PHRASES,
     threshold: float = SIMILARITY,
-    bounded: bool = True,
 ) -> DataFrame:
     """Families of at least ``min_size`` comments, with the stance of their largest letter.
 
@@ -67,7 +63,6 @@ def families_with_stance(
         letters.select("docket_id", "key", "n", "tokens", "first_day", "last_day"),
         totals,
         threshold,
-        bounded,
     ).where(F.col("total_n") >= min_size)
     bodies = letters.select("docket_id", F.col("key").alias("family_id"), "body")
     joined = families.join(bodies, ["docket_id", "family_id"])
@@ -81,16 +76,13 @@ def form_letter_report(
     daily: DataFrame,
     periods: DataFrame,
     as_of: AsOf = None,
-    top_n: int | None = TOP_CLUSTERS,
     min_size: int = MIN_FORM_LETTER,
     support: Sequence[str] = SUPPORT_PHRASES,
     oppose: Sequence[str] = OPPOSE_PHRASES,
 ) -> DataFrame:
     """One row per docket: shares, orchestration band, stance totals, findings."""
-    letters, totals = near_letters(comments, top_n)
-    scored = families_with_stance(
-        letters, totals, min_size, support, oppose, bounded=top_n is not None
-    )
+    letters, totals = near_letters(comments)
+    scored = families_with_stance(letters, totals, min_size, support, oppose)
     per_docket = stance_totals(scored).join(
         scored.groupBy("docket_id").agg(F.count("*").alias("families")), "docket_id"
     )

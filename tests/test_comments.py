@@ -29,27 +29,24 @@ def words(*names):
     return [f"word{n}" for n in names]
 
 
-@pytest.mark.parametrize("bounded", [True, False])
-def test_variants_fold_into_one_family(spark, bounded):
+def test_variants_fold_into_one_family(spark):
     base = words(*range(9))
     data = letters(spark, [("d", "a", 60, base), ("d", "b", 40, [*base, "extra"])])
-    row = FM.template_families(data, totals(spark, [("d", 200)]), bounded=bounded).first()
+    row = FM.template_families(data, totals(spark, [("d", 200)])).first()
     assert (row.family_id, row.total_n, row.variant_count, row.share_pct) == ("a", 100, 2, 50.0)
 
 
-@pytest.mark.parametrize("bounded", [True, False])
-def test_chain_is_single_linkage(spark, bounded):
+def test_chain_is_single_linkage(spark):
     a, b, c = words(1, 2, 3, 4), words(2, 3, 4, 5), words(3, 4, 5, 6)
     data = letters(spark, [("d", "a", 9, a), ("d", "b", 8, b), ("d", "c", 7, c)])
-    row = FM.template_families(data, totals(spark, [("d", 30)]), threshold=0.6, bounded=bounded).collect()
+    row = FM.template_families(data, totals(spark, [("d", 30)]), threshold=0.6).collect()
     assert [(r.family_id, r.variant_count) for r in row] == [("a", 3)]
 
 
-@pytest.mark.parametrize("bounded", [True, False])
-def test_short_and_empty_sets_do_not_merge(spark, bounded):
+def test_short_and_empty_sets_do_not_merge(spark):
     data = letters(spark, [("d", "a", 5, words(1, 2, 3)), ("d", "b", 4, words(1, 2, 3, 4)),
                            ("d", "c", 3, []), ("d", "e", 2, [])])
-    families = FM.template_families(data, totals(spark, [("d", 20)]), threshold=0.7, bounded=bounded)
+    families = FM.template_families(data, totals(spark, [("d", 20)]), threshold=0.7)
     assert families.count() == 4
 
 
@@ -74,11 +71,9 @@ def brute_families(rows, threshold):
     return sorted((m[0][2], m[0][1], len(m)) for m in map(sorted, groups.values()))
 
 
-# 0 forces the hub rounds before the cross step, 100 lets small inputs skip them
-@pytest.mark.parametrize(("seed", "pairs_per_row"), [(1, 0), (2, 100)])
-def test_all_families_equal_brute_force(spark, monkeypatch, seed, pairs_per_row):
+@pytest.mark.parametrize("seed", [1, 2])
+def test_all_families_equal_brute_force(spark, seed):
     """Campaigns of edited copies beside unrelated letters; one docket holds most rows."""
-    monkeypatch.setattr(FM, "PAIRS_PER_ROW", pairs_per_row)
     rng = random.Random(seed)
     rows = []
     for campaign in range(6):
@@ -92,10 +87,30 @@ def test_all_families_equal_brute_force(spark, monkeypatch, seed, pairs_per_row)
             rows.append((docket, f"k{campaign:02}{copy:02}", rng.randint(2, 9), sorted(edited)))
     data = letters(spark, rows)
     sizes = totals(spark, [("hot", 1000), ("small", 100)])
-    got = FM.template_families(data, sizes, bounded=False).collect()
+    got = FM.template_families(data, sizes).collect()
     assert sorted((r.docket_id, r.family_id, r.variant_count) for r in got) == brute_families(rows, 0.8)
-    again = FM.template_families(data, sizes, bounded=True).collect()
-    assert sorted((r.docket_id, r.family_id, r.variant_count) for r in again) == brute_families(rows, 0.8)
+    pairs = {(r.docket_id, r.hash_a, r.hash_b) for r in FM.template_pairs(data).collect()}
+    want = set()
+    for (d1, k1, _, t1), (d2, k2, _, t2) in itertools.combinations(rows, 2):
+        a, b = set(t1), set(t2)
+        if d1 == d2 and len(a & b) / len(a | b) >= (0.95 if min(len(a), len(b)) < 4 else 0.8):
+            want.add((d1, min(k1, k2), max(k1, k2)))
+    assert pairs == want
+
+
+def test_a_large_campaign_forms_about_one_pair_per_member(spark):
+    """20,000 variants that share all their common tokens, beside some letters of their own."""
+    n, base = 20_000, [f"common{i}" for i in range(30)]
+    own = F.array(*[F.concat(F.lit(f"v{i}x"), (F.col("id") % (7 + 1000 * i)).cast("string")) for i in range(2)])
+    rows = spark.range(n).select(
+        F.lit("d").alias("docket_id"), F.format_string("k%06d", "id").alias("key"),
+        (2 + F.col("id") % 9).alias("n"), F.array_sort(F.concat(F.array(*map(F.lit, base)), own)).alias("tokens"),
+    )
+    placed = FM._leader_pairs(rows, 0.8).cache()
+    met = placed.where("key <> leader").select("key", "leader").distinct().count()
+    assert met <= 20 * n
+    families = FM.families_of(rows)
+    assert families.select("family").distinct().count() == 1 and families.count() == n
 
 
 def test_components_of_a_long_chain(spark):
@@ -161,8 +176,8 @@ def test_near_never_splits_template(spark, small):
 
 
 def test_families_keep_every_comment(spark, small):
-    near, sums = RP.near_letters(small, top_n=None)
-    families = FM.template_families(near, sums, bounded=False)
+    near, sums = RP.near_letters(small)
+    families = FM.template_families(near, sums)
     assert families.agg(F.sum("total_n")).first()[0] == near.agg(F.sum("n")).first()[0]
 
 

@@ -87,41 +87,34 @@ TEXT_SQL["clusters"] = (["keyed"], """
 TEXT_SQL["totals"] = (["clusters"], """
     SELECT docket_id, tier, CAST(sum(rows_) AS bigint) AS total, count(key) AS distinct_keys,
            CAST(sum(empty) AS bigint) AS empty FROM clusters GROUP BY 1, 2""")
-TEXT_SQL["top20"] = (["clusters"], """
-    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY docket_id, tier
-                                                ORDER BY n DESC, key NULLS FIRST) AS rn
-                   FROM clusters WHERE n > 0) WHERE rn <= 20""")
-for _name, _from in (("letters", "top20"), ("all_letters", "clusters")):
-    TEXT_SQL[_name] = ([_from, "forms"], f"""
-        SELECT c.docket_id, key, n, first_day, last_day, display AS body,
-               CASE WHEN tokenset = '' THEN [] ELSE string_split(tokenset, ' ') END AS tokens
-        FROM {_from} c JOIN forms f ON f.comment_id = c.sample_id
-        WHERE tier = 'near' AND n >= 2 AND NOT phb""")
-for _name, _from in (("edges", "letters"), ("all_edges", "all_letters")):
-    TEXT_SQL[_name] = ([_from], f"""
-        SELECT docket_id, a, b, shared / (na + nb - shared) AS similarity
-        FROM (SELECT x.docket_id, x.key AS a, y.key AS b, len(x.tokens) AS na, len(y.tokens) AS nb,
-                     len(list_intersect(x.tokens, y.tokens)) AS shared
-              FROM {_from} x JOIN {_from} y ON x.docket_id = y.docket_id AND x.key <> y.key
-                -- sets whose sizes differ by more cannot reach 0.8
-                AND len(x.tokens) >= 0.8 * len(y.tokens) AND len(y.tokens) >= 0.8 * len(x.tokens))
-        WHERE na > 0 AND nb > 0
-          AND shared / (na + nb - shared) >= CASE WHEN na < 4 OR nb < 4 THEN 0.95 ELSE 0.8 END""")
-for _p in ("", "all_"):
-    TEXT_SQL[f"{_p}reach"] = ([f"{_p}letters", f"{_p}edges"], f"""
-        SELECT docket_id, key AS a, key AS b FROM {_p}letters
-        UNION
-        SELECT r.docket_id, r.a, e.b FROM {_p}reach r
-        JOIN {_p}edges e ON e.docket_id = r.docket_id AND e.a = r.b""")
-    TEXT_SQL[f"{_p}families"] = ([f"{_p}reach", "totals"], f"""
-        WITH head AS (
-          SELECT r.docket_id, r.a, arg_min(r.b, (-l.n, r.b)) AS family_id
-          FROM {_p}reach r JOIN {_p}letters l ON l.docket_id = r.docket_id AND l.key = r.b GROUP BY 1, 2)
-        SELECT h.docket_id, family_id, CAST(sum(l.n) AS bigint) AS total_n,
-               sum(l.n) / any_value(t.total) * 100 AS share_pct, count(*) AS variant_count,
-               min(first_day) AS first_day, max(last_day) AS last_day
-        FROM head h JOIN {_p}letters l ON l.docket_id = h.docket_id AND l.key = h.a
-        JOIN totals t ON t.docket_id = h.docket_id AND t.tier = 'near' GROUP BY 1, 2""")
+TEXT_SQL["letters"] = (["clusters", "forms"], """
+    SELECT c.docket_id, key, n, first_day, last_day, display AS body,
+           CASE WHEN tokenset = '' THEN [] ELSE string_split(tokenset, ' ') END AS tokens
+    FROM clusters c JOIN forms f ON f.comment_id = c.sample_id
+    WHERE tier = 'near' AND n >= 2 AND NOT phb""")
+TEXT_SQL["edges"] = (["letters"], """
+    SELECT docket_id, a, b, shared / (na + nb - shared) AS similarity
+    FROM (SELECT x.docket_id, x.key AS a, y.key AS b, len(x.tokens) AS na, len(y.tokens) AS nb,
+                 len(list_intersect(x.tokens, y.tokens)) AS shared
+          FROM letters x JOIN letters y ON x.docket_id = y.docket_id AND x.key <> y.key
+            -- sets whose sizes differ by more cannot reach 0.8
+            AND len(x.tokens) >= 0.8 * len(y.tokens) AND len(y.tokens) >= 0.8 * len(x.tokens))
+    WHERE na > 0 AND nb > 0
+      AND shared / (na + nb - shared) >= CASE WHEN na < 4 OR nb < 4 THEN 0.95 ELSE 0.8 END""")
+TEXT_SQL["reach"] = (["letters", "edges"], """
+    SELECT docket_id, key AS a, key AS b FROM letters
+    UNION
+    SELECT r.docket_id, r.a, e.b FROM reach r
+    JOIN edges e ON e.docket_id = r.docket_id AND e.a = r.b""")
+TEXT_SQL["families"] = (["reach", "letters", "totals"], """
+    WITH head AS (
+      SELECT r.docket_id, r.a, arg_min(r.b, (-l.n, r.b)) AS family_id
+      FROM reach r JOIN letters l ON l.docket_id = r.docket_id AND l.key = r.b GROUP BY 1, 2)
+    SELECT h.docket_id, family_id, CAST(sum(l.n) AS bigint) AS total_n,
+           sum(l.n) / any_value(t.total) * 100 AS share_pct, count(*) AS variant_count,
+           min(first_day) AS first_day, max(last_day) AS last_day
+    FROM head h JOIN letters l ON l.docket_id = h.docket_id AND l.key = h.a
+    JOIN totals t ON t.docket_id = h.docket_id AND t.tier = 'near' GROUP BY 1, 2""")
 TEXT_SQL["scored"] = (["families", "letters"], f"""
     SELECT *, {stance_sql('support_hits', 'oppose_hits')} AS stance FROM (
       SELECT f.*, {hits_sql('lower(body)', SUPPORT)} AS support_hits,
@@ -294,14 +287,25 @@ def _(t):
 
 for _tier in TX.TIERS:
 
-    @query(f"comment_clusters_{_tier}" if _tier != "near" else "comment_clusters", "top20 forms", f"""
-        SELECT c.docket_id, key AS hash, n, substr(display, 1, 600) AS sample, tokenset,
+    @query(f"comment_clusters_{_tier}" if _tier != "near" else "comment_clusters", "clusters forms", f"""
+        SELECT c.docket_id, key AS hash, n, display AS sample, tokenset,
                strftime(first_day, '%Y-%m-%d') AS first_day, strftime(last_day, '%Y-%m-%d') AS last_day
-        FROM top20 c JOIN forms f ON f.comment_id = c.sample_id WHERE tier = '{_tier}'""")
+        FROM clusters c JOIN forms f ON f.comment_id = c.sample_id WHERE tier = '{_tier}' AND n > 0""")
     def _(t, tier=_tier):
         return CL.comment_clusters(t("comments"), tier)
 
 
+# the listing shown for each docket: its 20 largest clusters, samples cut for display
+@query("comment_clusters_listing", "clusters forms", """
+    SELECT c.docket_id, key AS hash, n, substr(display, 1, 600) AS sample, tokenset,
+           strftime(first_day, '%Y-%m-%d') AS first_day, strftime(last_day, '%Y-%m-%d') AS last_day
+    FROM (SELECT * FROM clusters WHERE n > 0
+          QUALIFY row_number() OVER (PARTITION BY docket_id, tier ORDER BY n DESC, key NULLS FIRST) <= 20) c
+    JOIN forms f ON f.comment_id = c.sample_id WHERE tier = 'near'""")
+def _(t):
+    return CL.comment_clusters(t("comments"), "near", top_n=20, sample_chars=600)
+
+
 _LETTER = "NOT ph AND n >= 2"
 
 
@@ -324,11 +328,6 @@ def _(t):
     return rounded(CL.orchestration_stats(clusters(t)), "unique_pct", "orchestrated_pct")
 
 
-@query("orchestration_stats_top20", "totals top20", _orch_sql("top20"))
-def _(t):
-    return rounded(CL.orchestration_stats(clusters(t), top_n=20), "unique_pct", "orchestrated_pct")
-
-
 @query("fidelity_ladder", "totals clusters", f"""
     WITH s AS ({_orch_sql('clusters')})
     SELECT a.docket_id, a.tier, a.total, a.form_letters, a.unique_pct, a.orchestrated_pct,
@@ -395,10 +394,10 @@ def _(t):
     return rounded(FM.template_families(*RP.near_letters(t("comments"))), "share_pct")
 
 
-@query("template_families_all", "all_families", _FAMILY.format(f="all_families"), recursive=True)
+@query("template_families_all", "families", _FAMILY.format(f="families") + " WHERE total_n >= 2", recursive=True)
 def _(t):
-    letters, totals = RP.near_letters(t("comments"), top_n=None)
-    return rounded(FM.template_families(letters, totals, bounded=False), "share_pct")
+    letters, totals = RP.near_letters(t("comments"))
+    return rounded(FM.template_families(letters, totals), "share_pct").where("total_n >= 2")
 
 
 def scored(t):
