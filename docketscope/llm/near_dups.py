@@ -4,17 +4,18 @@
 2. A text's features are its 5-word shingles (64-bit hashes). A feature weighs tf * idf, where the
    document frequency of a shingle is that of its hash bucket among 2**DF_BITS, counted over all
    documents: a table of fixed size, added up block by block, whose shape is the same at any corpus
-   size. idf = 1 + log(N / df) / log(N) lies between 1 and 2, so that the texts of a large group of
+   size. idf = 1 + IDF_SPREAD * log(N / df) / log(N): damped, so that the texts of a large group of
    near-copies, whose shingles are frequent because of the group, still resemble one another.
 3. Improved consistent weighted sampling (Ioffe 2010) draws SAMPLES features per text; two texts agree
-   on a sample with the probability of their weighted Jaccard similarity. Pairs of samples make
-   16 bands; two texts of similarity 0.8 miss each other in all of them once in ten million.
-4. Texts that share a band meet the smallest digest of that bucket: as many pairs as members. Pairs
-   are verified by exact weighted Jaccard similarity, verified links give components.
-5. Members of a bucket in different components are then compared too. 1 - similarity is a
-   metric, so a pair whose distances to the bucket's leader differ by more than 1 - 0.8 cannot be linked
-   and is never formed; in large buckets a pair must share a second band as well, which a pair of
-   similarity 0.8 fails once in four million times.
+   on a sample with the probability of their weighted Jaccard similarity. Three samples make a
+   band; two texts of similarity 0.8 miss each other in all 16 bands once in 100,000 times.
+4. Texts that share a band meet the leader of that bucket, the text whose bands are the most common ones
+   (the likely origin of its copies): as many pairs as members. Pairs are verified by exact weighted
+   Jaccard similarity, verified links give components.
+5. Texts that met one leader but lie in different components are then compared too, in blocks
+   of bounded size that return only links. 1 - similarity is a metric, so a pair whose
+   distances to the leader differ by more than 0.2 cannot be linked; pairs whose samples agree too
+   rarely for 0.8 are passed over; all others are verified exactly.
 
 No group is collected anywhere: buckets, links and components are rows in joins and partial
 aggregates, and skewed joins are split by the engine. Driver memory holds the frequency table only.
@@ -44,11 +45,17 @@ from docketscope.session import cut_lineage
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 16
-ROWS = 2
+ROWS = 3
 SAMPLES = BANDS * ROWS
 DF_BITS = 20
 BLOCK_BITS = 14
-LARGE_BUCKET = 32
+# idf lies between 1 and 1 + IDF_SPREAD
+IDF_SPREAD = 0.25
+# Of the samples of a pair of similarity 0.8, fewer agree three times in a thousand.
+AGREE = 30
+# Texts of one leader compared together.
+BLOCK_ROWS = 1024
+SLACK = 1 - SIMILARITY + 1e-9
 
 _TABLE_BITS = 16
 
@@ -113,9 +120,9 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def idf_table(frequencies: np.ndarray, rows: int) -> np.ndarray:
-    """idf of each hash bucket, between 1 and 2."""
+    """idf of each hash bucket, between 1 and 1 + IDF_SPREAD."""
     scale = log(max(rows, 1) + 1)
-    return (1 + np.log((rows + 1) / np.maximum(frequencies, 1)).clip(0) / scale).clip(1, 2)
+    return 1 + IDF_SPREAD * (np.log((rows + 1) / np.maximum(frequencies, 1)) / scale).clip(0, 1)
 
 
 # ---- sampling and similarity ---------------------------------------------------------------
@@ -240,9 +247,9 @@ def _verify(pairs: DataFrame, texts: DataFrame, idf: Broadcast) -> DataFrame:
     return met.mapInArrow(run, "a binary, b binary, similarity double")
 
 
-def _texts_of(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One (digest, text) row for each digest in a pair."""
-    wanted = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
+def _texts_of(texts: DataFrame, digests: DataFrame) -> DataFrame:
+    """One (digest, text) row for each digest in a one-column list."""
+    wanted = digests.toDF("digest").distinct()
     found = _first_in_task(texts).join(wanted, "digest", "left_semi")
     return found.groupBy("digest").agg(F.any_value("text").alias("text"))
 
@@ -250,38 +257,105 @@ def _texts_of(texts: DataFrame, pairs: DataFrame) -> DataFrame:
 # ---- classes -------------------------------------------------------------------------------
 
 
-def _cross_pairs(bands: DataFrame, buckets: DataFrame, checked: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs inside a bucket whose ends lie in different components and that were not checked yet."""
-    label = F.coalesce("root", "digest")
-    named = bands.join(buckets, "key").join(labels, F.col("digest") == F.col("node"), "left").select(
-        "key", "leader", "digest", label.alias("label")
+def _stars(checked: DataFrame, labels: DataFrame) -> DataFrame:
+    """(leader, digest, label, d, out): texts by the leader they met, for leaders with outsiders.
+
+    ``d`` is the exact distance to the leader, ``out`` marks texts outside its component.
+    """
+    def label(name: str, new: str) -> DataFrame:
+        return labels.select(F.col("node").alias(name), F.col("root").alias(new))
+
+    rows = checked.join(label("a", "root_a"), "a", "left").join(label("b", "root_b"), "b", "left").select(
+        F.col("b").alias("leader"), F.col("a").alias("digest"), F.coalesce("root_a", "a").alias("label"),
+        (1 - F.col("similarity")).alias("d"), F.coalesce("root_b", "b").alias("home"),
     )
-    # distance to the bucket's leader, known from the first round
-    known = checked.select(F.col("a").alias("digest"), F.col("b").alias("leader"), (1 - F.col("similarity")).alias("d"))
-    placed = named.join(known, ["digest", "leader"], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
-    home = placed.where(F.col("digest") == F.col("leader")).select("key", F.col("label").alias("home"))
-    mixed = placed.where(F.col("digest") != F.col("leader")).join(home, "key")
-    outer = mixed.where(F.col("label") != F.col("home"))
-    sizes = outer.groupBy("key").agg(F.count("*").alias("outer"))
-    members = cut_lineage(
-        mixed.join(sizes, "key").select("key", "digest", "label", "d", "outer", (F.col("label") != F.col("home")).alias("out"))
+    rows = rows.withColumn("out", F.col("label") != F.col("home")).drop("home")
+    sizes = rows.groupBy("leader").agg(F.count("*").alias("rows"), F.count_if("out").alias("outs"))
+    return rows.join(sizes.where("rows > 1 and outs > 0"), "leader")
+
+
+def _deal(stars: DataFrame) -> DataFrame:
+    """Blocks (unit, i, j): an outsider (role 1) and any text (role 2) of a leader meet in exactly one.
+
+    Leaders with few texts share a unit; those with many are dealt over several blocks.
+    """
+    few = (F.col("rows") <= BLOCK_ROWS) & (F.col("outs") <= BLOCK_ROWS)
+    units = max(1, stars.where(few).count() // BLOCK_ROWS + 1)
+    lefts, rights = (F.ceil(F.col(c) / BLOCK_ROWS).cast("int") for c in ("outs", "rows"))
+    place = F.xxhash64("digest")
+    names = ["leader", "digest", "label", "d", "out"]
+    small = stars.where(few).select(
+        F.pmod(F.xxhash64("leader"), F.lit(units)).alias("unit"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), *names, F.lit(3).alias("role")
     )
-    small = members.where(F.col("outer") <= LARGE_BUCKET).withColumn("second", F.lit(0).cast("long"))
-    large = members.where(F.col("outer") > LARGE_BUCKET).join(
-        bands.select("digest", F.col("key").alias("second")), "digest"
-    ).where(F.col("second") != F.col("key"))
-    both = small.unionByName(large.select(*small.columns))
-    left = both.where("out").select("key", "second", *[F.col(c).alias(f"{c}_a") for c in ("digest", "label", "d")])
-    right = both.select("key", "second", "out", *[F.col(c).alias(f"{c}_b") for c in ("digest", "label", "d")])
-    slack = 1 - SIMILARITY + 1e-9
-    pairs = left.join(right, ["key", "second"]).where(
-        (F.col("label_a") != F.col("label_b"))
-        & (F.abs(F.col("d_a") - F.col("d_b")) <= slack)
-        & (~F.col("out") | (F.col("digest_a") < F.col("digest_b")))
+    large = stars.where(~few).withColumn("unit", F.xxhash64("leader"))
+    left = large.where("out").select(
+        "unit", F.pmod(place, lefts).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), rights - 1)).alias("j"), *names, F.lit(1).alias("role")
     )
-    return pairs.select(
-        F.greatest("digest_a", "digest_b").alias("a"), F.least("digest_a", "digest_b").alias("b")
-    ).distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
+    right = large.select(
+        "unit", F.explode(F.sequence(F.lit(0), lefts - 1)).alias("i"), F.pmod(place, rights).cast("int").alias("j"), *names, F.lit(2).alias("role")
+    ).select("unit", "i", "j", *names, "role")
+    return small.unionByName(left).unionByName(right)
+
+
+def _block_links(table: pa.Table, weights: np.ndarray, logs: np.ndarray) -> list[tuple[bytes, bytes, float]]:
+    """Links between texts of different components in one block, enough to join the components.
+
+    Pairs of one leader are compared by metric bound and by their samples, and exactly if both allow it;
+    components that a link has joined are not compared again.
+    """
+    order = np.argsort(np.array(table.column("leader").to_pylist(), dtype=object), kind="stable")
+    table = table.take(pa.array(order))
+    leaders, digests = table.column("leader").to_pylist(), table.column("digest").to_pylist()
+    texts = table.column("text").combine_chunks()
+    profiles, sketches, at = [], np.zeros((len(digests), SAMPLES), dtype=np.uint64), 0
+    while at < len(digests):  # slices of texts, one after the other
+        part = texts.slice(at, 64)
+        for k, (hashes, counts) in enumerate(_shingles(part)):
+            profiles.append((hashes, counts * weights[_bucket(hashes)]))
+            sketches[at + k] = sample(hashes, logs[_bucket(hashes)] + np.log(counts))
+        at += len(part)
+    sketches = sketches.astype(np.uint8)
+    names, label = np.unique(np.array(table.column("label").to_pylist(), dtype=object), return_inverse=True)
+    rank = np.unique(np.array(digests, dtype=object), return_inverse=True)[1]
+    d, out, role = (table.column(c).to_numpy() for c in ("d", "out", "role"))
+    root = list(range(len(names)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    links = []
+    edges = [k for k in range(len(leaders)) if k == 0 or leaders[k] != leaders[k - 1]] + [len(leaders)]
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        rights = np.flatnonzero(role[a:b] & 2) + a
+        for x in np.flatnonzero((role[a:b] & 1).astype(bool) & out[a:b]) + a:
+            near = rights[(np.abs(d[rights] - d[x]) <= SLACK) & (label[rights] != label[x]) & (~out[rights] | (rank[x] < rank[rights]))]
+            if not len(near):
+                continue
+            agree = (sketches[near] == sketches[x]).sum(axis=1)
+            near, agree = near[agree >= AGREE], agree[agree >= AGREE]
+            for y in near[np.argsort(-agree, kind="stable")]:
+                one, two = find(label[x]), find(label[y])
+                if one != two:
+                    similarity = weighted_jaccard(profiles[x], profiles[y])
+                    if similarity >= SIMILARITY:
+                        root[max(one, two)] = min(one, two)
+                        links.append((digests[x], digests[y], similarity))
+    return links
+
+
+def _cross_links(stars: DataFrame, texts: DataFrame, idf: Broadcast) -> DataFrame:
+    """(a, b, similarity) of links between components that met the same leader."""
+
+    def run(table: pa.Table) -> pa.Table:
+        links = _block_links(table, idf.value, np.log(idf.value))
+        kinds = [pa.binary(), pa.binary(), pa.float64()]
+        return pa.Table.from_arrays([pa.array([x[k] for x in links], t) for k, t in enumerate(kinds)], names=["a", "b", "similarity"])
+
+    rows = _deal(stars).join(texts, "digest")
+    return rows.groupBy("unit", "i", "j").applyInArrow(run, "a binary, b binary, similarity double")
 
 
 def _classes(texts: DataFrame) -> DataFrame:
@@ -290,25 +364,31 @@ def _classes(texts: DataFrame) -> DataFrame:
     frequencies, rows = document_frequencies(texts.select("text"))
     idf = spark.sparkContext.broadcast(idf_table(frequencies, rows))
     bands = cut_lineage(_signatures(texts, idf))
-    buckets = cut_lineage(bands.groupBy("key").agg(F.count("*").alias("n"), F.min("digest").alias("leader")).where("n > 1"))
-    bands = bands.join(buckets.select("key"), "key", "left_semi")
-    pairs = (
-        bands.join(buckets.select("key", "leader"), "key").where(F.col("digest") != F.col("leader"))
+    buckets = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = cut_lineage(bands.join(buckets, "key"))
+    # the text whose bands are the most common ones is the likely origin of its copies
+    central = members.groupBy("digest").agg(F.sum("n").alias("score"))
+    leaders = (
+        members.join(central, "digest").groupBy("key").agg(F.max(F.struct("score", "digest")).alias("l"))
+        .select("key", F.col("l.digest").alias("leader"))
+    )
+    pairs = cut_lineage(
+        members.join(leaders, "key").where(F.col("digest") != F.col("leader"))
         .select(F.col("digest").alias("a"), F.col("leader").alias("b")).distinct()
     )
-    checked = cut_lineage(_verify(pairs, _texts_of(texts, pairs), idf))
+    checked = cut_lineage(_verify(pairs, _texts_of(texts, pairs.select("a").union(pairs.select("b"))), idf))
 
     def links(rows: DataFrame) -> DataFrame:
         return rows.where(F.col("similarity") >= SIMILARITY).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
     labels = cut_lineage(connected_components(links(checked)))
-    more = cut_lineage(_cross_pairs(bands, buckets.select("key", "leader"), checked, labels))
-    again = cut_lineage(_verify(more, _texts_of(texts, more), idf))
-    if links(again).isEmpty():
+    stars = cut_lineage(_stars(checked, labels))
+    again = cut_lineage(_cross_links(stars, _texts_of(texts, stars.select("digest")), idf))
+    if again.isEmpty():
         return labels
     # stars of the first round keep its components; the new links join them
-    stars = labels.select(F.col("node").alias("src"), F.col("root").alias("dst"))
-    return connected_components(stars.unionByName(links(again)))
+    joined = labels.select(F.col("node").alias("src"), F.col("root").alias("dst"))
+    return connected_components(joined.unionByName(links(again)))
 
 
 def _digested(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

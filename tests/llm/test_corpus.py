@@ -217,8 +217,8 @@ def test_near_duplicates_equal_all_pairs(spark, made):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
 
 
-def test_large_buckets_keep_their_links(spark, monkeypatch):
-    monkeypatch.setattr(near_dups, "LARGE_BUCKET", 1)
+def test_dealt_blocks_keep_their_links(spark, monkeypatch):
+    monkeypatch.setattr(near_dups, "BLOCK_ROWS", 2)
     test_near_duplicates_equal_all_pairs(spark, True)
 
 
