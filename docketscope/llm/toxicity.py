@@ -63,11 +63,11 @@ class Ftrl:
 
     @classmethod
     def empty(cls) -> Ftrl:
-        return cls(np.zeros((1 << BITS) + 1, dtype=np.float64), np.zeros((1 << BITS) + 1, dtype=np.float64))
+        return cls(np.zeros((1 << BITS) + 1, dtype=np.float32), np.zeros((1 << BITS) + 1, dtype=np.float32))
 
     def weights(self, at: np.ndarray | slice) -> np.ndarray:
         """Closed-form weights; the intercept's L1 is taken back by ``_l1``."""
-        z, n = self.z[at], self.n[at]
+        z, n = self.z[at].astype(np.float64), self.n[at].astype(np.float64)
         l1 = np.full(len(z), L1)
         l1[-1] = 0.0
         return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
@@ -77,7 +77,7 @@ class Ftrl:
         at = np.append(coordinates, 1 << BITS)
         weights = self.weights(at)
         g = _sigmoid(weights.sum()) - label
-        n = self.n[at]
+        n = self.n[at].astype(np.float64)
         after = n + g * g
         self.z[at] += g - (np.sqrt(after) - np.sqrt(n)) / ALPHA * weights
         self.n[at] = after
@@ -137,13 +137,16 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, epochs: i
 
         # one fixed-size state per stream
         states = rows.mapInArrow(run, "seen long, z binary, n binary").collect()
+        states.sort(key=lambda s: (s["seen"], s["z"]))
         shared.unpersist()
         if not states:
             break
         total = sum(s["seen"] for s in states)
         for name in ("z", "n"):
-            mean = sum(np.frombuffer(s[name]) * (s["seen"] / total) for s in sorted(states, key=lambda s: s["z"]))
-            setattr(state, name, mean)
+            mean = np.zeros((1 << BITS) + 1)
+            for s in states:
+                mean += np.frombuffer(s[name], np.float32) * (s["seen"] / total)
+            setattr(state, name, mean.astype(np.float32))
     return state.weights(slice(None))
 
 
