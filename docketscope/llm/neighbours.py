@@ -26,7 +26,7 @@ from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketscope.llm.runtime import columns
@@ -43,6 +43,10 @@ SAMPLE_QUERIES = 256
 TARGET = 0.95
 MOST_PROBES = 4096
 SEED = 6
+# Queries, and rows of their lists, that are merged together.
+MERGED_QUERIES = 64
+MERGED_ROWS = 8192
+MERGED_PARTS = 64
 
 
 class Hashing:
@@ -175,7 +179,10 @@ def best_in_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.n
 
 
 def _meet(index: DataFrame, visits: DataFrame, dim: int, nearest: int) -> DataFrame:
-    """(query_id, vec_id, score) from (cell, id, x) on both sides; cells are dealt over blocks of bounded size."""
+    """(query_id, vec_ids, scores) of every query and block, from (cell, id, x) on both sides.
+
+    Cells are dealt over blocks of bounded size.
+    """
 
     visits = visits.toDF("cell", "id", "x")  # columns of its own, also when both sides come from one table
 
@@ -206,10 +213,50 @@ def _meet(index: DataFrame, visits: DataFrame, dim: int, nearest: int) -> DataFr
         )
 
     key = ("cell", "i", "q")
-    met = rows.groupBy(*key).cogroup(asks.groupBy(*key)).applyInArrow(
-        run, "query_id long, vec_id array<long>, score array<double>"
-    )
-    return met.select("query_id", F.explode(F.arrays_zip("vec_id", "score")).alias("r")).select("query_id", "r.vec_id", "r.score")
+    return rows.groupBy(*key).cogroup(asks.groupBy(*key)).applyInArrow(run, _FOUND)
+
+
+_FOUND = "query_id long, vec_id array<long>, score array<double>"
+
+
+def _nearest_of(found: DataFrame, queries: int, nearest: int) -> DataFrame:
+    """One row per query: its nearest ids and scores over all the blocks it met.
+
+    Rows are merged in groups of bounded size, level by level, each query's lists cut to ``nearest``.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        lists, scores = table.column("vec_id").combine_chunks(), table.column("score").combine_chunks()
+        query = np.repeat(table.column("query_id").to_numpy(), np.diff(lists.offsets.to_numpy()))
+        vec, score = lists.flatten().to_numpy(), scores.flatten().to_numpy()
+        order = np.lexsort((-score, vec, query))
+        query, vec, score = query[order], vec[order], score[order]
+        fresh = np.ones(len(query), dtype=bool)  # an id met in several tables or blocks counts once
+        fresh[1:] = (query[1:] != query[:-1]) | (vec[1:] != vec[:-1])
+        query, vec, score = query[fresh], vec[fresh], score[fresh]
+        order = np.lexsort((vec, -score, query))
+        query, vec, score = query[order], vec[order], score[order]
+        heads = np.flatnonzero(np.concatenate(([True], query[1:] != query[:-1]))) if len(query) else np.zeros(0, int)
+        keep = np.arange(len(query)) - np.repeat(heads, np.diff(np.append(heads, len(query)))) < nearest
+        sizes = np.add.reduceat(keep, heads) if len(heads) else heads
+        ends = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
+        return pa.Table.from_arrays(
+            [
+                pa.array(query[heads], pa.int64()),
+                pa.ListArray.from_arrays(ends, pa.array(vec[keep], pa.int64())),
+                pa.ListArray.from_arrays(ends, pa.array(score[keep], pa.float64())),
+            ],
+            names=["query_id", "vec_id", "score"],
+        )
+
+    units = max(1, queries // MERGED_QUERIES)
+    unit = F.pmod(F.xxhash64("query_id"), F.lit(units))
+    parts = max(1, ceil(found.count() / units / MERGED_ROWS))
+    while parts > 1:
+        part = F.pmod(F.xxhash64("query_id", "vec_id"), F.lit(parts))
+        found = found.groupBy(unit.alias("unit"), part.alias("part")).applyInArrow(run, _FOUND)
+        parts = 1 if parts <= MERGED_PARTS else ceil(parts / MERGED_PARTS)
+    return found.groupBy(unit.alias("unit")).applyInArrow(run, _FOUND)
 
 
 def search(
@@ -275,19 +322,19 @@ def search(
     index = packed.mapInArrow(index_rows, kind)
     visits = queries.mapInArrow(visit_rows, kind)
 
-    def merged(found: DataFrame) -> DataFrame:
-        best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= nearest)
-
-    result = cut_lineage(merged(_meet(index, visits, dim, nearest)))
-    short = (
-        queries.select("id").distinct().join(result.groupBy("query_id").agg(F.count("*").alias("n")), F.col("id") == F.col("query_id"), "left")
-        .where(F.coalesce("n", F.lit(0)) < min(nearest, count - 1)).select("id")
+    asked = queries.select("id").distinct()
+    number = asked.count()
+    result = cut_lineage(_nearest_of(cut_lineage(_meet(index, visits, dim, nearest)), number, nearest))
+    short = cut_lineage(
+        asked.join(result, F.col("id") == F.col("query_id"), "left")
+        .where(F.coalesce(F.size("vec_id"), F.lit(0)) < min(nearest, count - 1)).select("id")
     )
-    short = cut_lineage(short)
     if not short.isEmpty():
         everywhere = F.lit(0).cast("long").alias("cell")
-        rest = merged(_meet(packed.select(everywhere, "id", "x"), queries.join(short, "id", "left_semi").select(everywhere, "id", "x"), dim, nearest))
+        rest = _meet(
+            packed.select(everywhere, "id", "x"), queries.join(short, "id", "left_semi").select(everywhere, "id", "x"), dim, nearest
+        )
+        rest = _nearest_of(cut_lineage(rest), number, nearest)
         result = result.join(short, F.col("query_id") == F.col("id"), "left_anti").unionByName(rest)
-    return result.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    ranked = result.select("query_id", F.posexplode(F.arrays_zip("vec_id", "score")).alias("place", "r"))
+    return ranked.select("query_id", (F.col("place") + 1).alias("rank"), "r.vec_id", "r.score")
