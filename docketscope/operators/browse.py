@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docketscope.functions.fields import json_strings, normalize_source_row
 from docketscope.operators.lookups import top_per_group
+from docketscope.session import cut_lineage
 from docketscope.sources.registry import BY_KEY, SourceDef, recency_by_table
 
 MIN_AGENCY_NAME = 8
@@ -97,7 +98,7 @@ def agenda_latest_edition(agenda: DataFrame) -> DataFrame:
 
 
 def agenda_for_docket(
-    links: DataFrame, agenda: DataFrame, docket_id: str | None = None, limit: int | None = 5
+    links: DataFrame, agenda: DataFrame, docket_id: str | None = None, limit: int | None = None
 ) -> DataFrame:
     """Agenda entries linked to a docket through the regulation ids of its notices.
 
@@ -140,25 +141,29 @@ def litigation_all_agencies(suits: DataFrame, agencies: DataFrame, limit: int =
     """The same for every agency: (agency_code, name) against all case names.
 
     A name of at least eight characters occurs in a case name only if each of
-    its eight-character grams does. Every name is therefore looked up by the one
-    of its grams that the fewest case names hold, an equi-join followed by the
-    exact test; names with a gram no case holds are done. Only ids, dates and
-    case names are shuffled, and the suits' columns are added to the reported
-    rows alone.
+    its eight-character grams does. The grams of all agency names are one short list (a
+    dimension); a case keeps those of its grams that are in it, before any row is made.
+    Every name is then looked up by the one of its grams that the fewest case names
+    hold, an equi-join followed by the exact test. Only ids, dates and the case
+    names with a gram are shuffled, and the suits' columns are added to the
+    reported rows alone.
     """
     rows = source_rows(suits, BY_KEY["court-dockets"])
-    cases = rows.select("cl_docket_id", "date_filed", F.lower("case_name").alias("case"))
-    case_grams = cases.select("*", F.explode(_grams(F.col("case"))).alias("gram"))
     names = agencies.select("agency_code", F.lower(F.trim("name")).alias("name"))
     name_grams = names.select("*", F.explode(_grams(F.col("name"))).alias("gram"))
-    wanted = name_grams.select("gram").distinct()
-    held = case_grams.select("gram").join(wanted, "gram", "left_semi")
-    frequency = held.groupBy("gram").agg(F.count("*").alias("cases"))
-    rarest = F.min_by("gram", F.struct(F.coalesce("cases", F.lit(0)), F.col("gram")))
+    wanted = name_grams.agg(F.coalesce(F.collect_set("gram"), F.array().cast("array<string>"))).scalar()
+    cases = rows.select("cl_docket_id", "date_filed", F.lower("case_name").alias("case"))
+    case_grams = cut_lineage(
+        cases.select("*", F.explode(F.array_intersect(_grams(F.col("case")), wanted)).alias("gram"))
+    )
+    frequency = case_grams.groupBy("gram").agg(F.count("*").alias("cases"))
     keyed = (
         name_grams.join(frequency, "gram", "left")
         .groupBy("agency_code", "name")
-        .agg(rarest.alias("gram"), F.min(F.coalesce("cases", F.lit(0))).alias("cases"))
+        .agg(
+            F.min_by("gram", F.struct(F.coalesce("cases", F.lit(0)), F.col("gram"))).alias("gram"),
+            F.min(F.coalesce("cases", F.lit(0))).alias("cases"),
+        )
         .where(F.col("cases") > 0)
         .drop("cases")
     )

@@ -105,9 +105,9 @@ def docket_meta_fallback(feed: DataFrame, dockets: DataFrame) -> DataFrame:
 
 
 def open_rulemakings(
-    feed: DataFrame, agency_code: str | None = None, limit: int = 20, as_of: AsOf = None
+    feed: DataFrame, agency_code: str | None = None, limit: int | None = None, as_of: AsOf = None
 ) -> DataFrame:
-    """Open comment windows, soonest first: one agency's, or the first of every agency."""
+    """Open comment windows, soonest first: one agency's, or every agency's; ``limit`` cuts each listing."""
     rows = feed.where(window_open(F.col("comment_end_date"), as_of)).select(*AGENCY_DOCKET_COLUMNS)
     order = [F.asc_nulls_last("comment_end_date"), F.asc("docket_id")]
     return _per_agency(rows, agency_code, order, limit)
@@ -122,11 +122,12 @@ def top_dockets_by_comments(
 
 
 def _per_agency(
-    rows: DataFrame, agency_code: str | None, order: list[Column], limit: int
+    rows: DataFrame, agency_code: str | None, order: list[Column], limit: int | None
 ) -> DataFrame:
     if agency_code is None:
         return top_per_group(rows, ["agency_code"], order, limit)
-    return rows.where(F.col("agency_code") == agency_code.upper()).orderBy(*order).limit(limit)
+    mine = rows.where(F.col("agency_code") == agency_code.upper()).orderBy(*order)
+    return mine if limit is None else mine.limit(limit)
 
 
 def feed_dedupe(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from docketscope.functions.fields import unquote
 from docketscope.functions.text import comment_body
-from docketscope.operators.joins import keep_listed
 
 DEFAULT_LIMIT = 1000
 
@@ -32,8 +31,10 @@ def clean_id(docket_id: str) -> str:
     return docket_id.removeprefix('"').removesuffix('"').upper()
 
 
-def top_per_group(df: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:
-    """First k rows of each group under a total order."""
+def top_per_group(df: DataFrame, group: list[str], order: list[Column], k: int | None) -> DataFrame:
+    """First k rows of each group under a total order; k None keeps all."""
+    if k is None:
+        return df
     rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
     return df.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")
 
@@ -54,7 +55,8 @@ def resolve_comment_partitions(
     """Comments whose (agency, docket) the index knows.
 
     The index is authoritative for a docket's agency, which may differ from the
-    id prefix. A filter on one docket reaches both sides of the semi-join.
+    id prefix. A filter on one docket reaches both sides of the semi-join, and through
+    the filtered index only that docket's agency folders of the mirror are read.
     """
     keys = ["agency_code", "docket_id"]
     known = index.select(*keys)
@@ -62,7 +64,7 @@ def resolve_comment_partitions(
         cid = clean_id(docket_id)
         comments = comments.where(F.col("docket_id") == cid)
         known = known.where(F.col("docket_id") == cid)
-    return keep_listed(comments, known, keys)
+    return comments.join(known, keys, "left_semi")
 
 
 def get_data(
@@ -104,7 +106,7 @@ def list_dockets(dockets: DataFrame, agency_code: str) -> DataFrame:
 
 
 def docket_by_id(dockets: DataFrame, docket_id: str) -> DataFrame:
-    return dockets.where(F.col("docket_id") == docket_id).limit(1)
+    return dockets.where(F.col("docket_id") == clean_id(docket_id)).limit(1)
 
 
 def document_by_id(documents: DataFrame, document_id: str) -> DataFrame:
@@ -113,14 +115,25 @@ def document_by_id(documents: DataFrame, document_id: str) -> DataFrame:
 
 
 def documents_for_docket(
-    documents: DataFrame, docket_id: str | None = None, limit: int = 50
+    documents: DataFrame, docket_id: str | None = None, limit: int | None = None
 ) -> DataFrame:
-    """A docket's documents, newest first; every docket's when no id is given."""
+    """A docket's documents, newest first; every docket's when no id is given.
+
+    ``limit`` cuts each docket's listing; by default all documents are listed.
+    """
     order = [F.desc_nulls_last("posted_date"), F.asc("document_id")]
     rows = documents.select(*DOCKET_DOCUMENT_COLUMNS)
     if docket_id is None:
         return top_per_group(rows.where(F.col("docket_id").isNotNull()), ["docket_id"], order, limit)
-    return rows.where(F.col("docket_id") == clean_id(docket_id)).orderBy(*order).limit(limit)
+    mine = rows.where(F.col("docket_id") == clean_id(docket_id)).orderBy(*order)
+    return mine if limit is None else mine.limit(limit)
+
+
+def _of_docket(comments: DataFrame, docket_id: str, index: DataFrame | None) -> DataFrame:
+    """One docket's comments; the index, where given, names the agency folders to read."""
+    if index is not None:
+        return resolve_comment_partitions(comments, index, docket_id)
+    return comments.where(F.col("docket_id") == clean_id(docket_id))
 
 
 def comments_for_docket(
@@ -129,11 +142,12 @@ def comments_for_docket(
     limit: int = 10,
     offset: int = 0,
     sort_by: str = "recent",
+    index: DataFrame | None = None,
 ) -> DataFrame:
     """One page of a docket's comments with the resolved body."""
     when = F.asc_nulls_last("posted_date") if sort_by == "oldest" else F.desc_nulls_last("posted_date")
     page = (
-        comments.where(F.col("docket_id") == docket_id)
+        _of_docket(comments, docket_id, index)
         .orderBy(when, F.asc("comment_id"))
         .offset(offset)
         .limit(limit)
@@ -146,10 +160,13 @@ def comments_for_docket(
     )
 
 
-def export_comments(comments: DataFrame, docket_id: str, limit: int = 50_000) -> DataFrame:
-    """All comments of one docket, newest first, up to the export limit."""
-    rows = comments.where(F.col("docket_id") == docket_id)
-    return rows.orderBy(F.desc_nulls_last("posted_date"), F.asc("comment_id")).limit(limit)
+def export_comments(
+    comments: DataFrame, docket_id: str, limit: int | None = None, index: DataFrame | None = None
+) -> DataFrame:
+    """All comments of one docket, newest first; ``limit`` keeps the newest only."""
+    rows = _of_docket(comments, docket_id, index)
+    ordered = rows.orderBy(F.desc_nulls_last("posted_date"), F.asc("comment_id"))
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def comment_counts(index: DataFrame, ids: DataFrame) -> DataFrame:

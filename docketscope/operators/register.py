@@ -84,7 +84,7 @@ def fr_search(
 
 
 def fr_publications_for_docket(
-    links: DataFrame, docket_id: str | None = None, limit: int = 5
+    links: DataFrame, docket_id: str | None = None, limit: int | None = None
 ) -> DataFrame:
     """Newest notices of one docket, or of every docket, from the link table."""
     order = [F.desc_nulls_last("publication_date"), F.asc("document_number")]
@@ -92,5 +92,6 @@ def fr_publications_for_docket(
         rows = top_per_group(links, ["docket_id"], order, limit)
     else:
         wanted = unquote(F.lit(docket_id))
-        rows = links.where(F.col("docket_id") == wanted).orderBy(*order).limit(limit)
+        rows = links.where(F.col("docket_id") == wanted).orderBy(*order)
+        rows = rows if limit is None else rows.limit(limit)
     return fr_normalize(rows, keep=("docket_id",))

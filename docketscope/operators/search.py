@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketscope.operators.joins import checked_broadcast, keep_listed
@@ -25,13 +25,13 @@ FUZZY, MAX_EDITS = 0.2, 6
 SCORE_DIGITS = 6
 
 # Words that say nothing about a docket's subject.
-STOP_WORDS = (
-    "a an and or but the of in on at to for with by from as is are was were be been "
-    "this that these those it its "
-    "notice proposed rulemaking rule rules comment comments request requests agency agencies "
-    "federal public final information collection meeting availability extension period "
-    "reopening amendment amendments"
-).split()
+STOP_WORDS = [
+    "a", "an", "and", "or", "but", "the", "of", "in", "on", "at", "to", "for", "with", "by", "from",
+    "as", "is", "are", "was", "were", "be", "been", "this", "that", "these", "those", "it", "its",
+    "notice", "proposed", "rulemaking", "rule", "rules", "comment", "comments", "request", "requests",
+    "agency", "agencies", "federal", "public", "final", "information", "collection", "meeting",
+    "availability", "extension", "period", "reopening", "amendment", "amendments",
+]
 
 RELATED_TERMS, RELATED_MIN_LENGTH = 5, 4
 
@@ -45,10 +45,13 @@ class SearchIndex:
     fields: DataFrame
     dockets: DataFrame
 
-    def write(self, path: str, buckets: int = 200) -> None:
-        """Store the index clustered by term, so that a term filter prunes files."""
+    def write(self, path: str) -> None:
+        """Store the index clustered by term, so that a term filter prunes files.
+
+        The session's shuffle partitions and adaptive coalescing decide the number of files.
+        """
         (
-            self.postings.repartitionByRange(buckets, "term", "docket_id")
+            self.postings.repartitionByRange("term", "docket_id")
             .sortWithinPartitions("term")
             .write.mode("overwrite")
             .parquet(f"{path}/postings")
@@ -56,6 +59,11 @@ class SearchIndex:
         for name in ("terms", "fields", "dockets"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> SearchIndex:
+        """A stored index; a search reads the vocabulary and the matched terms' row groups."""
+        return cls(*[spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "fields", "dockets")])
+
 
 def tokens_of(text: Column) -> Column:
     """Lower-case words: split at spaces, newlines and punctuation."""

@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketscope.functions.dates import AsOf
+from docketscope.functions.dates import AsOf, iso_day, to_day
 from docketscope.functions.stance import OPPOSE_PHRASES, SUPPORT_PHRASES, stance_hits, stance_label
 from docketscope.functions.text import (
+    is_blank,
     is_placeholder,
     text_canonical,
     text_display,
@@ -147,18 +148,38 @@ def stance_by_template(
 ) -> DataFrame:
     """Stance per skeleton hash over all dockets, for storing beside the comments.
 
-    Cue counts of each comment are two numbers before the shuffle; the smallest
-    comment id speaks for its template.
+    The smallest comment id speaks for its template: texts are grouped by hash first, and the cue
+    patterns run on one text per template only.
     """
     shown = comments.select("comment_id", text_display(F.col("comment")).alias("display"))
-    forms = shown.where(F.col("display").isNotNull()).withColumn("skeleton", text_skeleton(F.col("display")))
+    forms = shown.where(F.col("display").isNotNull()).select("comment_id", F.md5(text_skeleton(F.col("display"))).alias("skeleton_hash"))
+    templates = forms.groupBy("skeleton_hash").agg(F.count("*").alias("n"), F.min("comment_id").alias("comment_id"))
+    speakers = templates.join(shown, "comment_id")
     pro, con = stance_hits(F.col("display"), support, oppose)
-    hits = forms.select(
-        "comment_id", F.md5("skeleton").alias("skeleton_hash"), pro.alias("pro"), con.alias("con")
+    scored = speakers.select("skeleton_hash", "n", pro.alias("support_hits"), con.alias("oppose_hits"))
+    return scored.withColumn("stance", stance_label(F.col("support_hits"), F.col("oppose_hits")))
+
+
+def cross_docket_campaigns(comments: DataFrame, min_dockets: int = 2) -> DataFrame:
+    """Templates that occur in several dockets: comments, dockets, agencies, first and last day.
+
+    Texts are reduced to a hash where they are read; a first aggregate per template and docket,
+    pre-aggregated, leaves few rows for the second, however large a campaign is.
+    """
+    keyed = comments.select(
+        "docket_id", "agency_code", to_day(F.col("posted_date")).alias("day"), is_blank(F.col("comment")).alias("blank"),
+        text_display(F.col("comment")).alias("display"),
+    )
+    real = keyed.where(~F.col("blank") & ~F.coalesce(is_placeholder(F.col("display")), F.lit(True)))
+    hashed = real.select("docket_id", "agency_code", "day", F.md5(text_skeleton(F.col("display"))).alias("skeleton_hash"))
+    per_docket = hashed.groupBy("skeleton_hash", "docket_id", "agency_code").agg(
+        F.count("*").alias("n"), F.min("day").alias("first_day"), F.max("day").alias("last_day")
     )
-    templates = hits.groupBy("skeleton_hash").agg(
-        F.count("*").alias("n"),
-        F.min_by("pro", "comment_id").alias("support_hits"),
-        F.min_by("con", "comment_id").alias("oppose_hits"),
+    campaigns = per_docket.groupBy("skeleton_hash").agg(
+        F.sum("n").alias("n"),
+        F.countDistinct("docket_id").alias("dockets"),
+        F.countDistinct("agency_code").alias("agencies"),
+        iso_day(F.min("first_day")).alias("first_day"),
+        iso_day(F.max("last_day")).alias("last_day"),
     )
-    return templates.withColumn("stance", stance_label(F.col("support_hits"), F.col("oppose_hits")))
+    return campaigns.where(F.col("dockets") >= min_dockets)

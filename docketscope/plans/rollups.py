@@ -142,3 +142,34 @@ def write_fr_docket_links(links: DataFrame, path: str, row_group_bytes: int = 8
         .option("parquet.block.size", row_group_bytes)
         .parquet(path)
     )
+
+
+def publish_rollups(
+    base: str, dockets: DataFrame, documents: DataFrame, comments: DataFrame, register: DataFrame, as_of: AsOf = None
+) -> dict[str, str]:
+    """Write the seven rollups under ``base``; name -> path.
+
+    The comments index is written first, and the rollups that need it read it back,
+    so comments are scanned once.
+    """
+    spark = dockets.sparkSession
+    paths = {
+        name: f"{base}/{name}.parquet"
+        for name in (
+            "comments_index", "feed_summary", "agency_stats", "agency_monthly_volume", "rulemaking_lifecycles",
+            "discovery_signals", "fr_docket_links",
+        )
+    }
+
+    def put(name: str, df: DataFrame) -> None:
+        df.write.mode("overwrite").parquet(paths[name])
+
+    put("comments_index", build_comments_index(comments))
+    index = spark.read.parquet(paths["comments_index"])
+    put("feed_summary", build_feed_summary(dockets, index, documents))
+    put("agency_stats", build_agency_stats(dockets, documents, index))
+    put("agency_monthly_volume", build_agency_monthly_volume(documents))
+    put("rulemaking_lifecycles", build_rulemaking_lifecycles(documents, dockets))
+    put("discovery_signals", build_discovery_spike(documents, as_of))
+    write_fr_docket_links(build_fr_docket_links(register), paths["fr_docket_links"])
+    return paths

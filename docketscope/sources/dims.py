@@ -40,26 +40,43 @@ UNGROUPED_DEPARTMENT = "Other agencies"
 
 # Parent department -> agency codes, in display order.
 DEPARTMENTS = {
-    "Agriculture": "USDA AMS APHIS ARS CCC CSREES ERS FAS FCIC FNS FPAC FS FSA FSIS GIPSA NAL "
-    "NASS NIFA NRCS RBS RHS RMA RTB RUS USDAIG",
-    "Commerce": "DOC BIS EDA ESA ITA MBDA NIST NOAA NTIA PTO USBC",
-    "Defense": "DOD USA USAF USN COE",
-    "Education": "ED",
-    "Energy": "DOE BPA EERE EIA NNSA OEPNU SWPA WAPA",
-    "Health & Human Services": "HHS ACF ACL AHRQ AOA ATSDR CDC CMS FDA HHSIG HRSA IHS NIH SAMHSA",
-    "Homeland Security": "DHS CISA FEMA FLETC FIRSTNET ICEB TSA USCBP USCG USCIS",
-    "Housing & Urban Development": "HUD",
-    "Interior": "DOI BIA BLM BOEM BOR BSEE FWS MMS NPS ONRR OSM USGS",
-    "Justice": "DOJ ATF ATR BOP DEA EOIR FBI OJJDP OJP USPC",
-    "Labor": "DOL BLS EBSA ECAB ETA MSHA OFCCP OSHA VETS WHD",
-    "State": "DOS AID",
-    "Transportation": "DOT FAA FHWA FMCSA FRA FTA MARAD NHTSA PHMSA RITA SLSDC",
-    "Treasury": "TREAS BPD CDFI FINCEN FISCAL IRS OCC OFAC OTS TTB USMINT",
-    "Veterans Affairs": "VA",
-    "Environmental Protection Agency": "EPA EAB",
-    "Executive Office of the President": "OMB OSTP ONDCP ONCD IPEC CEQ USTR OFPP NSPC",
-    "Independent agencies": "SEC FCC FTC CFPB CPSC CSB EEOC EIB FMC FRTIB GSA NARA NASA NCUA "
-    "NLRB NRC NSF NTSB OPM PBGC PCLOB SBA SSA NIGC ASC FFIEC",
+    "Agriculture": [
+        "USDA", "AMS", "APHIS", "ARS", "CCC", "CSREES", "ERS", "FAS", "FCIC", "FNS", "FPAC", "FS", "FSA",
+        "FSIS", "GIPSA", "NAL", "NASS", "NIFA", "NRCS", "RBS", "RHS", "RMA", "RTB", "RUS", "USDAIG",
+    ],
+    "Commerce": ["DOC", "BIS", "EDA", "ESA", "ITA", "MBDA", "NIST", "NOAA", "NTIA", "PTO", "USBC"],
+    "Defense": ["DOD", "USA", "USAF", "USN", "COE"],
+    "Education": ["ED"],
+    "Energy": ["DOE", "BPA", "EERE", "EIA", "NNSA", "OEPNU", "SWPA", "WAPA"],
+    "Health & Human Services": [
+        "HHS", "ACF", "ACL", "AHRQ", "AOA", "ATSDR", "CDC", "CMS", "FDA", "HHSIG", "HRSA", "IHS", "NIH",
+        "SAMHSA",
+    ],
+    "Homeland Security": [
+        "DHS", "CISA", "FEMA", "FLETC", "FIRSTNET", "ICEB", "TSA", "USCBP", "USCG", "USCIS",
+    ],
+    "Housing & Urban Development": ["HUD"],
+    "Interior": [
+        "DOI", "BIA", "BLM", "BOEM", "BOR", "BSEE", "FWS", "MMS", "NPS", "ONRR", "OSM", "USGS",
+    ],
+    "Justice": ["DOJ", "ATF", "ATR", "BOP", "DEA", "EOIR", "FBI", "OJJDP", "OJP", "USPC"],
+    "Labor": ["DOL", "BLS", "EBSA", "ECAB", "ETA", "MSHA", "OFCCP", "OSHA", "VETS", "WHD"],
+    "State": ["DOS", "AID"],
+    "Transportation": [
+        "DOT", "FAA", "FHWA", "FMCSA", "FRA", "FTA", "MARAD", "NHTSA", "PHMSA", "RITA", "SLSDC",
+    ],
+    "Treasury": [
+        "TREAS", "BPD", "CDFI", "FINCEN", "FISCAL", "IRS", "OCC", "OFAC", "OTS", "TTB", "USMINT",
+    ],
+    "Veterans Affairs": ["VA"],
+    "Environmental Protection Agency": ["EPA", "EAB"],
+    "Executive Office of the President": [
+        "OMB", "OSTP", "ONDCP", "ONCD", "IPEC", "CEQ", "USTR", "OFPP", "NSPC",
+    ],
+    "Independent agencies": [
+        "SEC", "FCC", "FTC", "CFPB", "CPSC", "CSB", "EEOC", "EIB", "FMC", "FRTIB", "GSA", "NARA", "NASA",
+        "NCUA", "NLRB", "NRC", "NSF", "NTSB", "OPM", "PBGC", "PCLOB", "SBA", "SSA", "NIGC", "ASC", "FFIEC",
+    ],
 }
 
 # Agency -> curated peers, in display order.
@@ -86,7 +103,7 @@ def department_dim(spark: SparkSession) -> DataFrame:
     rows = [
         (code, department, position)
         for position, (department, codes) in enumerate(DEPARTMENTS.items())
-        for code in codes.split()
+        for code in codes
     ]
     return spark.createDataFrame(
         rows, "agency_code string, department string, department_order int"

@@ -6,10 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketscope.functions.fields import clean_strings
-from docketscope.operators.lookups import documents_for_docket, export_comments
-
-EXPORT_CAP = 50_000
-BUNDLE_DOCUMENTS = 50
+from docketscope.operators.lookups import clean_id
 
 
 def csv_field(c: Column) -> Column:
@@ -49,7 +46,7 @@ def _record(df: DataFrame) -> Column:
 
 
 def json_records(dockets: DataFrame, documents: DataFrame, comments: DataFrame) -> DataFrame:
-    """Bundle records of every docket: (docket_id, section, record).
+    """Bundle records of every docket: (agency_code, docket_id, section, record).
 
     One row per object instead of one array per docket, so that a docket with a
     third of all comments is still written by many tasks.
@@ -58,7 +55,7 @@ def json_records(dockets: DataFrame, documents: DataFrame, comments: DataFrame)
     rows = None
     for section, df in parts:
         clean = clean_strings(df)
-        part = clean.select("docket_id", F.lit(section).alias("section"), _record(clean).alias("record"))
+        part = clean.select("agency_code", "docket_id", F.lit(section).alias("section"), _record(clean).alias("record"))
         rows = part if rows is None else rows.unionByName(part)
     return rows
 
@@ -66,45 +63,43 @@ def json_records(dockets: DataFrame, documents: DataFrame, comments: DataFrame)
 def sink_json_bundles(
     dockets: DataFrame, documents: DataFrame, comments: DataFrame, path: str
 ) -> None:
-    """All dockets in one job: ``docket_id=…/section=…/*.txt`` JSON-lines folders.
+    """All dockets in one job, as JSON lines {docket_id, section, record} in one folder per agency.
 
-    Rows are range-partitioned by docket, section and a hash of the record, so small
-    dockets share tasks and a large one is split.
+    Rows are range-partitioned by agency, docket, section and a hash of the record: small
+    dockets share files, a large one is split over several, and no docket has a folder of
+    its own.
     """
     (
         json_records(dockets, documents, comments)
-        .repartitionByRange("docket_id", "section", F.xxhash64("record"))
+        .repartitionByRange("agency_code", "docket_id", "section", F.xxhash64("record"))
+        .sortWithinPartitions("agency_code", "docket_id", "section")
         .write.mode("overwrite")
-        .partitionBy("docket_id", "section")
-        .text(path)
+        .partitionBy("agency_code")
+        .json(path)
     )
 
 
 def docket_bundle(
     dockets: DataFrame, documents: DataFrame, comments: DataFrame, docket_id: str
 ) -> DataFrame:
-    """One docket's download: a single JSON object {docket, documents[], comments[]}.
+    """One docket's download as rows (place, section, record): the docket, its documents, its comments.
 
-    The arrays are bounded by the export's own limits (50 documents, 50,000
-    comments); use ``sink_json_bundles`` for everything.
+    Newest first in each section. Rows instead of one object, so that neither a task
+    nor the driver holds a docket of a million comments; written in order, the records
+    are the download's lines.
     """
-
-    def as_array(df: DataFrame, name: str, order_by: str) -> DataFrame:
+    wanted = clean_id(docket_id)
+    mine = [df.where(F.col("docket_id") == wanted) for df in (dockets, documents, comments)]
+    dated = [df.withColumn("_day", F.col("posted_date")) if "posted_date" in df.columns else df.withColumn("_day", F.lit(None).cast("string")) for df in mine]
+    rows = None
+    for place, (section, df, source) in enumerate(zip(("docket", "documents", "comments"), dated, mine, strict=True)):
         clean = clean_strings(df)
-        item = F.struct(F.col(order_by).alias("k"), F.struct(*clean.columns).alias("v"))
-        newest_first = F.sort_array(F.collect_list(item), asc=False)
-        return clean.agg(F.transform(newest_first, lambda x: x["v"]).alias(name))
-
-    docket = clean_strings(dockets.where(F.col("docket_id") == docket_id).limit(1))
-    docs = documents_for_docket(documents, docket_id, limit=BUNDLE_DOCUMENTS)
-    notes = export_comments(comments, docket_id, limit=EXPORT_CAP)
-    bundle = F.struct(
-        docket.select(F.struct(*docket.columns)).scalar().alias("docket"),
-        as_array(docs, "documents", "posted_date").scalar().alias("documents"),
-        as_array(notes, "comments", "posted_date").scalar().alias("comments"),
-    )
-    one_row = dockets.sparkSession.range(1)
-    return one_row.select(F.to_json(bundle, {"ignoreNullFields": "false"}).alias("bundle"))
+        part = clean.select(
+            F.lit(place).alias("place"), F.lit(section).alias("section"), "_day",
+            F.to_json(F.struct(*source.columns), {"ignoreNullFields": "false"}).alias("record"),
+        )
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.orderBy("place", F.desc_nulls_last("_day"), "record").drop("_day")
 
 
 def write_comments_mirror(comments: DataFrame, path: str, row_group_bytes: int = 8 << 20) -> None:

@@ -183,36 +183,36 @@ def test_families_keep_every_comment(spark, small):
 
 # --------------------------------------------------------------------- findings
 
-DAILY = [("d", "2026-05-27", 10), ("d", "2026-05-28", 320), ("d", "2026-05-29", 90), ("d", "2026-06-15", 30)]
+DAILY = [("d", "2026-03-03", 7), ("d", "2026-03-10", 150), ("d", "2026-03-11", 260), ("d", "2026-03-30", 16)]
 
 
-def burst(spark, daily, total=450, start="2026-05-27", end="2026-06-27", **kw):
+def burst(spark, daily, total=500, start="2026-03-02", end="2026-04-10", **kw):
     return FN.volume_burst(
         spark.createDataFrame(daily, "docket_id string, day string, n bigint"),
         totals(spark, [("d", total)]),
         spark.createDataFrame([("d", start, end)], "docket_id string, period_start string, period_end string"),
-        "2026-05-31",
+        "2026-03-21",
         **kw,
     ).collect()
 
 
 def test_burst(spark):
     (row,) = burst(spark, DAILY)
-    assert (row.start_day, row.end_day, row["count"], round(row.pct)) == ("2026-05-28", "2026-05-29", 410, 91)
-    assert (row.period_days, row.period_open, row.days_remaining) == (32, True, 27)
+    assert (row.start_day, row.end_day, row["count"], row.pct) == ("2026-03-10", "2026-03-11", 410, 82.0)
+    assert (row.period_days, row.period_open, row.days_remaining) == (40, True, 20)
 
 
 def test_no_burst_in_short_period_or_spread(spark):
-    assert burst(spark, DAILY, end="2026-05-29") == []
-    spread = [("d", f"2026-05-{d:02}", 10) for d in range(1, 30)]
-    assert burst(spark, spread, total=290) == []
+    assert burst(spark, DAILY, end="2026-03-04") == []
+    spread = [("d", f"2026-03-{d:02}", 4) for d in range(2, 31)]
+    assert burst(spark, spread, total=116) == []
 
 
 def test_burst_threshold_and_first_window_wins(spark):
-    daily = [("d", "2026-05-01", 35), ("d", "2026-05-02", 35), ("d", "2026-05-20", 70)]
-    (row,) = burst(spark, daily, total=200, share_threshold=35.0)
-    assert row.start_day == "2026-05-01"
-    assert burst(spark, daily, total=200) == []
+    daily = [("d", "2026-03-05", 33), ("d", "2026-03-06", 33), ("d", "2026-03-25", 66)]
+    (row,) = burst(spark, daily, total=190, share_threshold=34.0)
+    assert row.start_day == "2026-03-05"
+    assert burst(spark, daily, total=190) == []
 
 
 FAMILIES = "docket_id string, family_id string, stance string, total_n bigint"
@@ -225,23 +225,23 @@ def finding(spark, rows):
 
 
 def test_stance_findings(spark):
-    row = finding(spark, [("support", 229), ("unclear", 38)])
-    assert (row.kind, row.stance, round(row.top_pct)) == ("concentrated", "support", 86)
-    row = finding(spark, [("support", 200), ("oppose", 90), ("oppose", 20)])
-    assert (row.kind, row.remainder_stance, row.remainder_count, row.remainder_pct) == ("flip", "oppose", 110, 100.0)
-    row = finding(spark, [("support", 100), ("support", 95), ("oppose", 30)])
-    assert (row.kind, row.stance) == ("lopsided", "support")
-    row = finding(spark, [("support", 50), ("oppose", 45), ("unclear", 20)])
-    assert (row.kind, round(row.support_pct), round(row.oppose_pct)) == ("split", 43, 39)
-    assert finding(spark, [("unclear", 60), ("support", 30), ("oppose", 10)]) is None
+    row = finding(spark, [("oppose", 60), ("unclear", 20)])
+    assert (row.kind, row.stance, row.top_pct) == ("concentrated", "oppose", 75.0)
+    row = finding(spark, [("oppose", 70), ("support", 30), ("support", 20)])
+    assert (row.kind, row.remainder_stance, row.remainder_count, row.remainder_pct) == ("flip", "support", 50, 100.0)
+    row = finding(spark, [("oppose", 44), ("oppose", 42), ("support", 14)])
+    assert (row.kind, row.stance, row.pct) == ("lopsided", "oppose", 86.0)
+    row = finding(spark, [("oppose", 40), ("support", 30), ("mixed", 30)])
+    assert (row.kind, row.support_pct, row.oppose_pct) == ("split", 30.0, 40.0)
+    assert finding(spark, [("mixed", 50), ("oppose", 40), ("support", 10)]) is None
     # one template alone cannot be "concentrated"
-    assert finding(spark, [("support", 100)]).kind == "lopsided"
+    assert finding(spark, [("oppose", 77)]).kind == "lopsided"
 
 
 def test_stance_totals_have_all_labels(spark):
-    df = spark.createDataFrame([("d", "a", "support", 100), ("d", "b", "oppose", 5)], FAMILIES)
+    df = spark.createDataFrame([("d", "a", "mixed", 31), ("d", "b", "support", 12)], FAMILIES)
     row = FN.stance_totals(df).first()
-    assert (row.support, row.oppose, row.mixed, row.unclear) == (100, 5, 0, 0)
+    assert (row.support, row.oppose, row.mixed, row.unclear) == (12, 0, 31, 0)
 
 
 def test_coverage_adds_up(spark):

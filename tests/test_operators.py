@@ -1,6 +1,7 @@
 """Feed, sources, discovery, search, sinks and plan shapes."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -260,7 +261,7 @@ def test_snippet(one):
 
 
 def test_search_index_round_trip(spark, index, tmp_path):
-    index.write(str(tmp_path), buckets=2)
+    index.write(str(tmp_path))
     stored = SE.SearchIndex(*[spark.read.parquet(f"{tmp_path}/{n}") for n in ("postings", "terms", "fields", "dockets")])
     assert found(SE.docket_search(stored, "emission")) == found(SE.docket_search(index, "emission"))
 
@@ -315,21 +316,37 @@ def test_partition_lookup_uses_the_index(spark):
     assert LK.resolve_comment_partitions(comments(spark), index, "D-2").count() == 0
 
 
+def test_partition_lookup_reads_only_the_docket_s_agency_folder(spark, tmp_path):
+    sinks.write_comments_mirror(comments(spark), f"{tmp_path}/comments/agency")
+    index = spark.createDataFrame([("EPA", "D-1", 1)], "agency_code string, docket_id string, row_count bigint")
+    index.write.parquet(f"{tmp_path}/index")
+    mirror = tables.scan_comments_partitioned(spark, str(tmp_path))
+    rows = LK.export_comments(mirror, '"d-1"', index=spark.read.parquet(f"{tmp_path}/index"))
+    assert "dynamicpruning" in rows._jdf.queryExecution().optimizedPlan().toString().lower() or "dynamicpruning" in plan_of(rows).lower()
+    assert rows.count() == 2
+    assert LK.export_comments(comments(spark), "d-1").count() == LK.export_comments(comments(spark), "D-1").count() == 2
+    assert LK.comments_for_docket(mirror, '"D-1"').count() == 2
+
+
 def test_bundles(spark, tmp_path):
-    dockets = spark.createDataFrame([("D-1", '"A title"'), ("D-2", None)], "docket_id string, title string")
+    dockets = spark.createDataFrame(
+        [("EPA", "D-1", '"A title"'), ("001", "D-2", None)], "agency_code string, docket_id string, title string"
+    )
     documents = spark.createDataFrame(
-        [("x", "D-1", "t", "Rule", "2026-01-01", None, None, None)],
-        "document_id string, docket_id string, title string, document_type string, posted_date string, comment_start_date string, comment_end_date string, file_url string",
+        [("EPA", "x", "D-1", "t", "2026-01-01")],
+        "agency_code string, document_id string, docket_id string, title string, posted_date string",
     )
-    row = sinks.docket_bundle(dockets, documents, comments(spark), "D-1").first()
-    bundle = json.loads(row.bundle)
-    assert bundle["docket"] == {"docket_id": "D-1", "title": "A title"}
-    assert [c["comment_id"] for c in bundle["comments"]] == ["c2", "c1"] and len(bundle["documents"]) == 1
-    sinks.sink_json_bundles(dockets, documents, comments(spark), str(tmp_path / "all"))
-    stored = spark.read.text(str(tmp_path / "all")).groupBy("docket_id", "section").count().collect()
+    rows = sinks.docket_bundle(dockets, documents, comments(spark), '"d-1"').collect()
+    assert [r.section for r in rows] == ["docket", "documents", "comments", "comments"]
+    assert json.loads(rows[0].record) == {"agency_code": "EPA", "docket_id": "D-1", "title": "A title"}
+    assert [json.loads(r.record)["comment_id"] for r in rows[2:]] == ["c2", "c1"]
+    path = str(tmp_path / "all")
+    sinks.sink_json_bundles(dockets, documents, comments(spark), path)
+    stored = spark.read.json(path).groupBy("docket_id", "section").count().collect()
     assert {(r.docket_id, r.section): r["count"] for r in stored} == {
         ("D-1", "docket"): 1, ("D-1", "documents"): 1, ("D-1", "comments"): 2, ("D-2", "docket"): 1, ("D-2", "comments"): 1,
     }
+    assert all(name.startswith(("agency_code=", "_", ".")) for name in os.listdir(path))
 
 
 def test_contract_rejects_missing_required_and_fills_optional(spark):

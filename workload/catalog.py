@@ -75,15 +75,15 @@ ROLLUP_SQL = {
     ),
     "discovery_signals": (
         ["reg_documents"],
-        f"""SELECT agency_code, recent_30d, prior_yr / 12.0 AS baseline,
-                   recent_30d / (prior_yr / 12.0) AS ratio
-            FROM (SELECT agency_code,
-                         count(*) FILTER (WHERE t >= TIMESTAMP '{AS_OF}' - INTERVAL '30' DAY) AS recent_30d,
-                         count(*) FILTER (WHERE t >= TIMESTAMP '{AS_OF}' - INTERVAL '13' MONTH
-                                            AND t < TIMESTAMP '{AS_OF}' - INTERVAL '1' MONTH) AS prior_yr
-                  FROM (SELECT agency_code, TRY_CAST(posted_date AS timestamp) AS t FROM reg_documents)
-                  WHERE t >= TIMESTAMP '{AS_OF}' - INTERVAL '13' MONTH GROUP BY 1)
-            WHERE prior_yr >= 24 AND recent_30d / (prior_yr / 12.0) >= 1.0""",
+        f"""SELECT agency_code, coalesce(fresh, 0) AS recent_30d, year_n / 12.0 AS baseline,
+                   coalesce(fresh, 0) / (year_n / 12.0) AS ratio
+            FROM (SELECT agency_code, count(*) AS year_n FROM reg_documents
+                  WHERE TRY_CAST(posted_date AS timestamp) >= DATE '{AS_OF}' - INTERVAL 13 MONTH
+                    AND TRY_CAST(posted_date AS timestamp) < DATE '{AS_OF}' - INTERVAL 1 MONTH GROUP BY ALL)
+            LEFT JOIN (SELECT agency_code, count(*) AS fresh FROM reg_documents
+                  WHERE TRY_CAST(posted_date AS timestamp) >= DATE '{AS_OF}' - INTERVAL 30 DAY GROUP BY ALL)
+              USING (agency_code)
+            WHERE year_n >= 24 AND coalesce(fresh, 0) >= year_n / 12.0""",
     ),
     "fr_docket_links": (
         ["federal_register"],

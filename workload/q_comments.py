@@ -18,25 +18,23 @@ OPPOSE = ["la", "are*", "for the", "les"]
 MIN_FAMILY = 3
 
 
-def display_sql(c: str) -> str:
-    text = f"regexp_replace({c}, '<[^>]+>', ' ', 'g')"
-    for entity, char in [("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"),
-                         ("&nbsp;", " ")]:
-        text = f"replace({text}, '{entity}', '{char}')"
-    return f"trim(regexp_replace({text}, '\\s+', ' ', 'g'))"
+# The entities a display text resolves, in this order.
+ENTITIES = [("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " ")]
 
 
-def contacts_sql(c: str) -> str:
-    mail = f"regexp_replace(lower({c}), '\\S+@\\S+', ' ', 'g')"
-    return f"regexp_replace({mail}, 'https?://\\S+|www\\.\\S+', ' ', 'g')"
+def with_display(source: str) -> str:
+    """A subquery that adds ``display``, one step per lateral alias."""
+    steps = ["regexp_replace(comment, '<[^>]+>', ' ', 'g') AS d0"]
+    steps += [f"replace(d{k}, '{entity}', '{char}') AS d{k + 1}" for k, (entity, char) in enumerate(ENTITIES)]
+    steps.append(f"trim(regexp_replace(d{len(ENTITIES)}, '\\s+', ' ', 'g')) AS display")
+    aliases = ", ".join(f"d{k}" for k in range(len(ENTITIES) + 1))
+    return f"(SELECT * EXCLUDE ({aliases}) FROM (SELECT *, {', '.join(steps)} FROM {source}))"
 
 
-def letters_sql(c: str) -> str:
-    return f"trim(regexp_replace({c}, '[^a-z]+', ' ', 'g'))"
-
-
-def tokens_sql(c: str) -> str:
-    return f"list_sort(list_distinct(list_filter(string_split({c}, ' '), lambda x: length(x) > 2)))"
+def with_contacts(source: str) -> str:
+    """Adds ``plain``: lower case without mail addresses and links."""
+    return f"""(SELECT * EXCLUDE (unmailed), regexp_replace(unmailed, 'https?://\\S+|www\\.\\S+', ' ', 'g') AS plain
+        FROM (SELECT *, regexp_replace(lower(display), '\\S+@\\S+', ' ', 'g') AS unmailed FROM {source}))"""
 
 
 def placeholder_sql(c: str) -> str:
@@ -64,9 +62,14 @@ _BODY = ("trim(regexp_replace(regexp_replace(regexp_replace(display, '<[^>]+>',
          "'(?i)&[a-z]+;', ' ', 'g'), '\\s+', ' ', 'g'))")
 
 TEXT_SQL["forms"] = (["comments"], f"""
-    SELECT *, array_to_string({tokens_sql('skeleton')}, ' ') AS tokenset
-    FROM (SELECT *, {letters_sql(contacts_sql('display'))} AS skeleton
-          FROM (SELECT *, {display_sql('comment')} AS display FROM comments))""")
+    WITH skeletons AS (
+      SELECT *, trim(regexp_replace(plain, '[^a-z]+', ' ', 'g')) AS skeleton
+      FROM {with_contacts(with_display('comments'))}),
+    words AS (
+      SELECT comment_id, string_agg(DISTINCT w, ' ' ORDER BY w) AS kept
+      FROM (SELECT comment_id, unnest(string_split(skeleton, ' ')) AS w FROM skeletons) WHERE length(w) > 2 GROUP BY 1)
+    SELECT s.*, CASE WHEN skeleton IS NOT NULL THEN coalesce(kept, '') END AS tokenset
+    FROM skeletons s LEFT JOIN words USING (comment_id)""")
 TEXT_SQL["keyed"] = (["forms"], f"""
     SELECT docket_id, comment_id, TRY_CAST(posted_date AS date) AS day,
            comment IS NULL OR trim(comment) = '' AS blank,
@@ -183,9 +186,9 @@ def shown(t):
 
 
 @query("text_display", "html_comments comments", f"""
-    SELECT comment_id, docket_id, {display_sql('comment')} AS display FROM (
-      SELECT comment_id, docket_id, comment FROM html_comments
-      UNION ALL SELECT comment_id, docket_id, comment FROM comments)""")
+    SELECT comment_id, docket_id, display FROM {with_display(
+        "(SELECT comment_id, docket_id, comment FROM html_comments"
+        " UNION ALL SELECT comment_id, docket_id, comment FROM comments)")}""")
 def _(t):
     columns = ["comment_id", "docket_id", "comment"]
     rows = t("html_comments").select(*columns).unionByName(t("comments").select(*columns))
@@ -198,17 +201,15 @@ def _(t):
     return shown(t).select("comment_id", TX.text_canonical(F.col("display")).alias("canonical"))
 
 
-@query("text_strip_contacts", "forms", f"SELECT comment_id, {contacts_sql('display')} AS text FROM forms")
+@query("text_strip_contacts", "forms", "SELECT comment_id, plain AS text FROM forms")
 def _(t):
     return shown(t).select("comment_id", TX.text_strip_contacts(F.col("display")).alias("text"))
 
 
-@query("text_strip_name", "forms", f"""
-    SELECT comment_id, CASE WHEN lang_word IS NOT NULL AND length(trim(lang_word)) > 2
-        THEN replace(c, lower(trim(lang_word)), ' ') ELSE c END AS text
-    FROM (SELECT comment_id, {contacts_sql('display')} AS c,
-                 CASE WHEN organization <> '' THEN ' With ' WHEN first_name = 'Ann' THEN 'of' END AS lang_word
-          FROM forms)""")
+@query("text_strip_name", "forms", """
+    SELECT comment_id, CASE WHEN organization <> '' THEN array_to_string(string_split(plain, 'with'), ' ')
+                            ELSE plain END AS text
+    FROM forms""")
 def _(t):
     name = F.when(F.col("organization") != "", " With ").when(F.col("first_name") == "Ann", "of")
     text = TX.text_strip_name(TX.text_strip_contacts(F.col("display")), F.col("name"))
@@ -487,3 +488,17 @@ def _(t):
     SELECT *, {stance_sql('support_hits', 'oppose_hits')} AS stance FROM g""")
 def _(t):
     return RP.stance_by_template(t("comments"), SUPPORT, OPPOSE)
+
+
+@query("cross_docket_campaigns", "forms", f"""
+    SELECT md5(skeleton) AS skeleton_hash, count(*) AS n, count(DISTINCT (docket_id, agency_code)) AS dockets,
+           count(DISTINCT agency_code) AS agencies,
+           strftime(min(TRY_CAST(posted_date AS date)), '%Y-%m-%d') AS first_day,
+           strftime(max(TRY_CAST(posted_date AS date)), '%Y-%m-%d') AS last_day
+    FROM forms
+    WHERE NOT (comment IS NULL OR trim(comment) = '') AND NOT coalesce({placeholder_sql('display')}, true)
+    GROUP BY skeleton HAVING count(DISTINCT (docket_id, agency_code)) >= 2""")
+def _(t):
+    # one docket for each language and source
+    split = t("comments").withColumn("docket_id", F.concat_ws("-", "docket_id", "agency_code"))
+    return RP.cross_docket_campaigns(split)

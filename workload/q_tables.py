@@ -11,7 +11,7 @@ from docketscope.functions import fields as X
 from docketscope.functions.text import comment_body
 from docketscope.operators import feed as FEED
 from docketscope.operators import lookups as LK
-
+from docketscope.plans import rollups as R
 from docketscope.session import ensure_checkpoint_dir
 from docketscope.sources import sinks, tables
 from workload.catalog import AS_OF, query
@@ -19,11 +19,19 @@ from workload.catalog import AS_OF, query
 # ---------------------------------------------------------------- scans, sinks
 
 
+def _folder(t, kind):
+    """A new folder in the shared checkpoint storage."""
+    ensure_checkpoint_dir(t.spark)
+    return f"{t.spark.sparkContext.getCheckpointDir()}/{kind}-{uuid4().hex}"
+
+
 @query("scan_table", "dockets", """
     SELECT docket_id, agency_code, title, abstract, docket_type, modify_date, date_created,
            CAST(NULL AS varchar) AS raw_json FROM dockets""")
 def _(t):
-    return tables.conform(t("dockets"), "dockets")
+    base = _folder(t, "tables")
+    t("dockets").write.parquet(f"{base}/dockets.parquet")
+    return tables.scan_table(t.spark, base, "dockets")
 
 
 @query("scan_external_source", "", "SELECT * FROM customer")
@@ -38,7 +46,12 @@ def _(t):
         F.col("docket_id").alias("id"), F.col("agency_code").alias("a"), F.col("title").alias("t"),
         F.col("docket_type").alias("x"), F.col("modify_date").alias("d"), F.col("abstract").alias("s"),
     )
-    return tables.payload_to_corpus(t("corpus").select(F.array(doc).alias("docs")))
+    # compressed payload files of some dockets each, as a publisher would ship them
+    payloads = t("corpus").select(F.substring(F.md5("docket_id"), 1, 2).alias("part"), doc.alias("doc"))
+    path = _folder(t, "corpus")
+    grouped = payloads.groupBy("part").agg(F.collect_list("doc").alias("docs"))
+    grouped.repartition("part").write.partitionBy("part").option("compression", "gzip").json(path)
+    return tables.scan_search_corpus(t.spark, path)
 
 
 _MIRROR_SQL = """
@@ -47,8 +60,7 @@ _MIRROR_SQL = """
 
 
 def _mirror(t):
-    ensure_checkpoint_dir(t.spark)
-    base = f"{t.spark.sparkContext.getCheckpointDir()}/mirror-{uuid4().hex}"
+    base = _folder(t, "mirror")
     sinks.write_comments_mirror(t("comments"), f"{base}/comments/agency")
     return base
 
@@ -70,12 +82,13 @@ def _(t):
                          "comment", "posted_date")
 
 
-@query("resolve_comment_partitions", "reg_documents comments_index", """
-    SELECT document_id, agency_code, docket_id FROM reg_documents r
-    WHERE EXISTS (SELECT 1 FROM comments_index i
-                  WHERE i.agency_code = r.agency_code AND i.docket_id = r.docket_id)""")
+@query("resolve_comment_partitions", "reg_documents dockets", """
+    SELECT document_id, agency_code, docket_id FROM reg_documents
+    WHERE (agency_code, docket_id) IN (SELECT (agency_code, docket_id) FROM dockets WHERE docket_type = 'Rulemaking')""")
 def _(t):
-    known = LK.resolve_comment_partitions(t("reg_documents"), t("comments_index"))
+    # the index knows only some of the dockets
+    index = t("dockets").where("docket_type = 'Rulemaking'")
+    known = LK.resolve_comment_partitions(t("reg_documents"), index)
     return known.select("document_id", "agency_code", "docket_id")
 
 
@@ -117,10 +130,11 @@ def _(t):
                 THEN coalesce(nullif(trim(text_content), ''), comment) ELSE comment END AS comment,
            first_name, last_name, organization, category, posted_date, modify_date,
            attachments_json
-    FROM comments WHERE docket_id = 'en'
+    FROM comments WHERE docket_id = 'EN'
     ORDER BY posted_date DESC NULLS LAST, comment_id LIMIT 40 OFFSET 10""")
 def _(t):
-    return LK.comments_for_docket(t("comments"), "en", limit=40, offset=10)
+    # ids come quoted and in any case
+    return LK.comments_for_docket(t("comments"), '"en"', limit=40, offset=10)
 
 
 _EXPORT = ("comment_id docket_id agency_code title comment organization posted_date").split()
@@ -128,10 +142,10 @@ _EXPORT = ("comment_id docket_id agency_code title comment organization posted_d
 
 @query("export_comments", "comments", """
     SELECT comment_id, docket_id, agency_code, title, comment, organization, posted_date
-    FROM comments WHERE docket_id = 'en'
-    ORDER BY posted_date DESC NULLS LAST, comment_id LIMIT 50000""")
+    FROM comments WHERE docket_id = 'EN'""")
 def _(t):
-    return LK.export_comments(t("comments").select(*_EXPORT), "en")
+    mirror = tables.scan_comments_partitioned(t.spark, _mirror(t)).withColumn("comment_id", F.col("comment_id").cast("long"))
+    return LK.export_comments(mirror.select(*_EXPORT), '"en"', index=t("comments"))
 
 
 _CSV_FIELD = """CASE WHEN {c} IS NULL THEN '' WHEN regexp_matches({c}, '[,"\\n]')
@@ -142,40 +156,51 @@ _CSV_SQL = "SELECT " + " || ',' || ".join(
 ) + " AS line FROM comments"
 
 
-@query("sink_csv", "comments", _CSV_SQL)
+@query("csv_lines", "comments", _CSV_SQL)
 def _(t):
     return sinks.csv_lines(t("comments").select(*_EXPORT))
 
 
+# written and read back: an empty field is a missing value
+@query("sink_csv", "comments", "SELECT " + ", ".join(
+    f"nullif(regexp_replace(CAST({c} AS varchar), '^\"|\"$', '', 'g'), '') AS {c}" for c in _EXPORT) + " FROM comments")
+def _(t):
+    path = _folder(t, "csv")
+    sinks.sink_csv(t("comments").select(*_EXPORT), path)
+    return t.spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+
+
 @query("sink_parquet", "comments", """
     SELECT comment_id, regexp_replace(docket_id, '^"|"$', '', 'g') AS docket_id,
            regexp_replace(comment, '^"|"$', '', 'g') AS comment FROM comments""")
 def _(t):
-    ensure_checkpoint_dir(t.spark)
-    path = f"{t.spark.sparkContext.getCheckpointDir()}/export-{uuid4().hex}"
+    path = _folder(t, "export")
     sinks.sink_parquet(t("comments").select("comment_id", "docket_id", "comment"), path)
     return t.spark.read.parquet(path)
 
 
 @query("sink_json_bundle", "dockets reg_documents", """
-    SELECT docket_id, 'docket' AS section,
-           CAST(to_json({docket_id: docket_id, title: title, docket_type: docket_type}) AS varchar) AS record
+    SELECT agency_code, docket_id, 'docket' AS section,
+           CAST(to_json({agency_code: agency_code, docket_id: docket_id, title: title, docket_type: docket_type}) AS varchar) AS record
     FROM dockets
     UNION ALL
-    SELECT docket_id, 'documents',
-           CAST(to_json({docket_id: docket_id, document_id: document_id, file_url: file_url}) AS varchar)
+    SELECT agency_code, docket_id, 'documents',
+           CAST(to_json({agency_code: agency_code, docket_id: docket_id, document_id: document_id, file_url: file_url}) AS varchar)
     FROM reg_documents
     UNION ALL
-    SELECT docket_id, 'comments',
-           CAST(to_json({docket_id: docket_id, comment_id: document_id, posted_date: posted_date}) AS varchar)
+    SELECT agency_code, docket_id, 'comments',
+           CAST(to_json({agency_code: agency_code, docket_id: docket_id, comment_id: document_id, posted_date: posted_date}) AS varchar)
     FROM reg_documents""")
 def _(t):
     documents = t("reg_documents")
-    return sinks.json_records(
-        t("dockets").select("docket_id", "title", "docket_type"),
-        documents.select("docket_id", "document_id", "file_url"),
-        documents.select("docket_id", F.col("document_id").alias("comment_id"), "posted_date"),
+    path = _folder(t, "bundles")
+    sinks.sink_json_bundles(
+        t("dockets").select("agency_code", "docket_id", "title", "docket_type"),
+        documents.select("agency_code", "docket_id", "document_id", "file_url"),
+        documents.select("agency_code", "docket_id", F.col("document_id").alias("comment_id"), "posted_date"),
+        path,
     )
+    return t.spark.read.schema("docket_id string, section string, record string, agency_code string").json(path)
 
 
 @query("search_resources", "dockets reg_documents comments", """
@@ -305,21 +330,26 @@ def _(t):
 
 
 @query("docket_meta_fallback", "dockets feed_summary", """
-    WITH fs AS (SELECT * FROM feed_summary WHERE comment_count > 0)
-    SELECT docket_id, title, abstract, comment_end_date FROM fs
-    UNION ALL
-    SELECT docket_id, title, abstract, NULL FROM dockets d
-    WHERE NOT EXISTS (SELECT 1 FROM fs WHERE fs.docket_id = d.docket_id)""")
-def _(t):
-    return FEED.docket_meta_fallback(t("feed_summary").where("comment_count > 0"), t("dockets"))
+    SELECT coalesce(f.docket_id, d.docket_id) AS docket_id,
+           CASE WHEN f.docket_id IS NULL THEN d.title ELSE f.title END AS title,
+           CASE WHEN f.docket_id IS NULL THEN d.abstract ELSE f.abstract END AS abstract,
+           f.comment_end_date
+    FROM feed_summary f FULL JOIN (
+      SELECT docket_id, title, abstract FROM dockets
+      UNION ALL SELECT 'S-' || s_suppkey, s_name, NULL FROM supplier) d ON f.docket_id = d.docket_id""")
+def _(t):
+    # suppliers stand in for dockets that the feed does not have yet
+    late = t("supplier").select(
+        F.concat(F.lit("S-"), F.col("s_suppkey").cast("string")).alias("docket_id"), F.col("s_name").alias("title"),
+        F.lit(None).cast("string").alias("abstract"),
+    )
+    dockets = t("dockets").select("docket_id", "title", "abstract").unionByName(late)
+    return FEED.docket_meta_fallback(t("feed_summary"), dockets)
 
 
 @query("open_rulemakings", "feed_summary", f"""
     SELECT docket_id, agency_code, title, abstract, comment_count, comment_end_date, docket_type
-    FROM (SELECT *, row_number() OVER (PARTITION BY agency_code
-                                       ORDER BY comment_end_date NULLS LAST, docket_id) rn
-          FROM feed_summary WHERE TRY_CAST(comment_end_date AS timestamp) > {_NOW})
-    WHERE rn <= 20""")
+    FROM feed_summary WHERE TRY_CAST(comment_end_date AS timestamp) > {_NOW}""")
 def _(t):
     return FEED.open_rulemakings(t("feed_summary"), as_of=AS_OF)
 
@@ -538,3 +568,19 @@ def _(t):
 @query("build_fr_docket_links", "fr_docket_links", "SELECT * FROM fr_docket_links")
 def _(t):
     return t("fr_docket_links")
+
+
+@query("publish_rollups", "comments_index feed_summary agency_stats agency_monthly_volume rulemaking_lifecycles "
+       "discovery_signals fr_docket_links", "\nUNION ALL\n".join(
+    f"SELECT '{n}' AS rollup, count(*) AS n FROM {n}" + (" WHERE ratio >= 2" if n == "discovery_signals" else "")
+    for n in ("comments_index feed_summary agency_stats agency_monthly_volume rulemaking_lifecycles "
+              "discovery_signals fr_docket_links").split()))
+def _(t):
+    paths = R.publish_rollups(
+        _folder(t, "rollups"), t("dockets"), t("reg_documents"), t("reg_documents"), t("federal_register"), AS_OF
+    )
+    rows = None
+    for name, path in paths.items():
+        part = t.spark.read.parquet(path).agg(F.lit(name).alias("rollup"), F.count("*").alias("n"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows

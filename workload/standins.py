@@ -89,7 +89,7 @@ STANDINS = {
     # word-reversed, and word-reversed with the extra word; labelled documents add
     # blank, missing and "see attached" bodies
     "comments": """
-        SELECT comment_id, lang AS docket_id, source AS agency_code,
+        SELECT comment_id, upper(lang) AS docket_id, source AS agency_code,
                'Comment ' || doc_id AS title, comment,
                CASE WHEN kind = 1 THEN 'Attachment of ' || doc_id WHEN kind = 3 THEN ' ' END
                  AS text_content,
