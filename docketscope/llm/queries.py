@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import log
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -110,3 +111,70 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+_BLANK = r"[ \t\n\x0B\x0C\r]"
+_RATIOS = " UNION ALL ".join(
+    f"SELECT r, lang, source, base_failed, '{f}' AS feature, coalesce({over} / nullif({under}, 0), 0.0) AS x FROM counted"
+    for f, (over, under, _, _) in quality.FEATURES.items()
+)
+_SLACK = " ".join(f"WHEN '{f}' THEN {slack}" for f, (_, _, slack, _) in quality.FEATURES.items())
+_BOTH = ", ".join(f"'{f}'" for f, (_, _, _, sides) in quality.FEATURES.items() if sides == 0)
+_GROWTH = log((1 + quality.ACCURACY) / (1 - quality.ACCURACY))
+
+SQL["op10_quality"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+words AS (
+  SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i
+  FROM (SELECT r, list_filter(regexp_split_to_array(t, '{_BLANK}+'), lambda x: x <> '') AS ws FROM d)),
+grams AS (
+  SELECT r, i, count(*) OVER ahead AS k, string_agg(w, ' ') OVER ahead AS g
+  FROM words WINDOW ahead AS (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND {quality.WINDOW - 1} FOLLOWING)),
+twice AS (SELECT r, i, k = {quality.WINDOW} AND count(*) OVER (PARTITION BY r, k, g) > 1 AS again FROM grams),
+inside AS (
+  SELECT r, count(*) AS n_words, count(*) FILTER (covered) AS n_repeat_words
+  FROM (SELECT r, bool_or(again) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN {quality.WINDOW - 1} PRECEDING AND CURRENT ROW)
+          AS covered FROM twice) GROUP BY r),
+lines AS (
+  SELECT r, len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines
+  FROM (SELECT r, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \\t\\n\\x0B\\x0C\\r]')) AS ls FROM d)),
+counted AS (
+  SELECT d.r, doc_id, lang, source, coalesce(n_words, 0) AS n_words, coalesce(n_repeat_words, 0) AS n_repeat_words,
+         length(regexp_replace(t, '{_BLANK}', '', 'g')) AS word_chars,
+         length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_upper,
+         length(t) - length(regexp_replace(t, '[!?]', '', 'g')) AS n_marks, n_lines, n_dup_lines,
+         coalesce(n_words, 0) < {quality.LEAST_WORDS}
+           OR 100 * coalesce(n_repeat_words, 0) > {100 * quality.MOST_REPEATED} * coalesce(n_words, 0) AS base_failed
+  FROM d LEFT JOIN inside USING (r) JOIN lines USING (r)),
+ratios AS ({_RATIOS}),
+sketch AS (
+  SELECT lang, source, feature, CASE WHEN x > 0 THEN ceil(ln(x) / {_GROWTH!r}) ELSE -1e9 END AS bucket, count(*) AS n
+  FROM ratios WHERE NOT base_failed GROUP BY ALL),
+merged AS (
+  SELECT 0 AS level, lang, source, feature, bucket, n FROM sketch
+  UNION ALL SELECT 1, lang, NULL, feature, bucket, sum(n) FROM sketch GROUP BY ALL
+  UNION ALL SELECT 2, NULL, NULL, feature, bucket, sum(n) FROM sketch GROUP BY ALL),
+ranked AS (
+  SELECT *, sum(n) OVER (PARTITION BY level, lang, source, feature ORDER BY bucket) AS upto,
+         sum(n) OVER (PARTITION BY level, lang, source, feature) AS rows_ FROM merged),
+quartiles AS (
+  SELECT level, lang, source, feature, any_value(rows_) AS rows_,
+         min(bucket) FILTER (upto >= 0.25 * rows_) AS b1, min(bucket) FILTER (upto >= 0.75 * rows_) AS b3
+  FROM ranked GROUP BY ALL),
+fences AS (
+  SELECT *, q1 - spread AS low, q3 + spread AS high
+  FROM (SELECT *, {quality.REACH} * greatest(q3 - q1, CASE feature {_SLACK} END) AS spread
+        FROM (SELECT *, CASE WHEN b1 < -1e8 THEN 0 ELSE exp(b1 * {_GROWTH!r}) * {1 - quality.ACCURACY} END AS q1,
+                     CASE WHEN b3 < -1e8 THEN 0 ELSE exp(b3 * {_GROWTH!r}) * {1 - quality.ACCURACY} END AS q3
+              FROM quartiles))),
+beyond AS (
+  SELECT DISTINCT r FROM (
+    SELECT x.r, x.x, x.feature, f.low, f.high
+    FROM ratios x JOIN fences f ON f.feature = x.feature AND (f.rows_ >= {quality.LEAST_ROWS} OR f.level = 2)
+      AND (f.level = 2 OR f.lang IS NOT DISTINCT FROM x.lang AND (f.level = 1 OR f.source IS NOT DISTINCT FROM x.source))
+    QUALIFY row_number() OVER (PARTITION BY x.r, x.feature ORDER BY f.level) = 1)
+  WHERE x > high OR feature IN ({_BOTH}) AND x < low)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND r NOT IN (SELECT r FROM beyond) AS kept
+FROM counted"""

@@ -231,3 +231,16 @@ def test_thresholds_follow_language_and_source(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     gone = {r["doc_id"] for r in quality.judge(docs).where("not kept").collect()}
     assert gone == {5000}
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_quality_query_equals_its_sql(spark, sf):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '/root/testdata/{sf}/documents.parquet'")
+    df = queries.op10_quality(spark, f"/root/testdata/{sf}")
+    want = con.execute(queries.SQL["op10_quality"])
+    names = [d[0] for d in want.description]
+    assert sorted(names) == sorted(df.columns)
+    assert sorted(map(tuple, df.select(*names).collect())) == sorted(want.fetchall())
