@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from docketscope.llm.runtime import columns, ship, slices
 from docketscope.llm.textbytes import Texts, mix, ngrams
+from docketscope.operators.joins import checked_broadcast
 from docketscope.session import cut_lineage
 
 LEAST_WORDS = 20
@@ -36,6 +37,8 @@ WINDOW = 8
 ACCURACY = 0.01
 REACH = 8.0
 LEAST_ROWS = 200
+# Rows of about 150 bytes that are broadcast at most.
+MOST_BROADCAST = 100_000
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks")
 
@@ -197,7 +200,7 @@ def thresholds(counted: DataFrame, lang: str, source: str) -> DataFrame:
     names = [f"{f}_{s}" for f in FEATURES for s in ("low", "high")]
 
     def level(k: int) -> DataFrame:
-        return wide.where((F.col("level") == k) & ((F.col("rows") >= LEAST_ROWS) | F.lit(k == 2))).select(
+        return wide.where((F.col("level") == k) & (F.col("rows") >= LEAST_ROWS)).select(
             F.col("lang").alias(f"l{k}"), F.col("source").alias(f"s{k}"), F.lit(True).alias(f"has{k}"),
             *[F.col(n).alias(f"{n}{k}") for n in names],
         )
@@ -205,12 +208,14 @@ def thresholds(counted: DataFrame, lang: str, source: str) -> DataFrame:
     groups = counted.select(F.col(lang).alias("t_lang"), F.col(source).alias("t_source")).distinct()
     groups = groups.join(level(0), F.col("t_lang").eqNullSafe(F.col("l0")) & F.col("t_source").eqNullSafe(F.col("s0")), "left")
     groups = groups.join(level(1), F.col("t_lang").eqNullSafe(F.col("l1")), "left")
-    groups = groups.withColumn("k2", F.lit(0)).join(level(2).withColumn("j2", F.lit(0)), F.col("k2") == F.col("j2"), "left")
+    whole = wide.where("level = 2").first()  # one row of numbers
     chosen = [
-        F.when(F.col("has0"), F.col(f"{n}0")).when(F.col("has1"), F.col(f"{n}1")).otherwise(F.col(f"{n}2")).alias(n)
+        F.when(F.col("has0"), F.col(f"{n}0")).when(F.col("has1"), F.col(f"{n}1"))
+        .otherwise(F.lit(whole[n] if whole else None).cast("double")).alias(n)
         for n in names
     ]
-    return groups.select("t_lang", "t_source", *chosen)
+    # one row per language and source: broadcast up to a checked size, joined by shuffle beyond
+    return checked_broadcast(groups.select("t_lang", "t_source", *chosen), MOST_BROADCAST)
 
 
 def outside() -> Column:
@@ -247,6 +252,6 @@ def keep_good(
     """The rows of ``docs`` that pass, with all their columns."""
     lang, source = (f"c{docs.columns.index(c)}" for c in (lang_col, source_col))
     counted = cut_lineage(add_counts(docs, text_col, keep_text=False))
-    limits = cut_lineage(thresholds(counted, lang, source))
+    limits = thresholds(counted, lang, source)
     kept = _judged(add_counts(docs, text_col), limits, lang, source).where("kept")
     return kept.select(*[F.col(f"c{k}").alias(n) for k, n in enumerate(docs.columns)])
