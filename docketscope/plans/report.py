@@ -27,7 +27,7 @@ from docketscope.operators.clusters import (
     top_clusters,
     with_samples,
 )
-from docketscope.operators.families import SIMILARITY, template_families
+from docketscope.operators.families import SIMILARITY, families_of, template_families
 from docketscope.operators.findings import stance_finding, stance_totals, volume_burst
 from docketscope.session import cut_lineage
 
@@ -183,3 +183,34 @@ def cross_docket_campaigns(comments: DataFrame, min_dockets: int = 2) -> DataFra
         iso_day(F.max("last_day")).alias("last_day"),
     )
     return campaigns.where(F.col("dockets") >= min_dockets)
+
+
+def outlier_letters(letters: DataFrame, threshold: float = SIMILARITY, min_letters: int = 3) -> DataFrame:
+    """Distance of every letter to the centre of its family: (docket_id, family, key, n, distance).
+
+    One minus the cosine of TF-IDF vectors over token sets; the centre is the mean of the family's letters
+    weighted by their copies. Families of fewer than ``min_letters`` letters have no outliers. Tokens
+    are rows, so frequencies, centres and products are pre-aggregated sums.
+    """
+    rows = letters.select("docket_id", "key", "n", "tokens").join(families_of(letters, threshold), ["docket_id", "key"])
+    sizes = rows.groupBy("docket_id").agg(F.count("*").alias("letters"))
+    family = ["docket_id", "family"]
+    rows = cut_lineage(
+        rows.join(rows.groupBy(*family).agg(F.count("*").alias("members"), F.sum("n").alias("copies")), family)
+        .where(F.col("members") >= min_letters)
+        .select(*family, "key", "n", "copies", F.explode("tokens").alias("token"))
+    )
+    frequency = (
+        letters.select("docket_id", F.explode("tokens").alias("token")).groupBy("docket_id", "token")
+        .agg(F.count("*").alias("df")).join(sizes, "docket_id")
+        .select("docket_id", "token", (F.log((1 + F.col("letters")) / (1 + F.col("df"))) + 1).alias("w"))
+    )
+    weighted = rows.join(frequency, ["docket_id", "token"])
+    centres = weighted.groupBy(*family, "token").agg(F.sum(F.col("n") * F.col("w") / F.col("copies")).alias("c"))
+    lengths = centres.groupBy(*family).agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("centre"))
+    products = weighted.join(centres, [*family, "token"]).groupBy(*family, "key", "n").agg(
+        F.sum(F.col("w") * F.col("c")).alias("product"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length")
+    )
+    return products.join(lengths, family).select(
+        *family, "key", "n", (1 - F.col("product") / (F.col("length") * F.col("centre"))).alias("distance")
+    )

@@ -502,3 +502,23 @@ def _(t):
     # one docket for each language and source
     split = t("comments").withColumn("docket_id", F.concat_ws("-", "docket_id", "agency_code"))
     return RP.cross_docket_campaigns(split)
+
+
+@query("outlier_letters", "reach letters", """
+    WITH head AS (
+      SELECT r.docket_id, r.a AS key, arg_min(r.b, (-l.n, r.b)) AS family
+      FROM reach r JOIN letters l ON l.docket_id = r.docket_id AND l.key = r.b GROUP BY 1, 2),
+    toks AS (SELECT docket_id, key, family, n, unnest(tokens) AS token
+             FROM letters JOIN head USING (docket_id, key)),
+    idf AS (SELECT docket_id, token, ln((1 + any_value(total)) / (1 + count(*))) + 1 AS w
+            FROM toks JOIN (SELECT docket_id, count(*) AS total FROM letters GROUP BY 1) USING (docket_id) GROUP BY 1, 2),
+    vec AS (SELECT * FROM toks JOIN idf USING (docket_id, token)),
+    centre AS (SELECT docket_id, family, token, sum(n * w) AS c FROM vec GROUP BY ALL),
+    norm AS (SELECT docket_id, family, sqrt(sum(c * c)) AS cl FROM centre GROUP BY ALL),
+    kept AS (SELECT docket_id, family FROM head GROUP BY ALL HAVING count(*) >= 3)
+    SELECT docket_id, family, key, n, round(1 - sum(w * c) / (sqrt(sum(w * w)) * any_value(cl)), 6) + 0.0 AS distance
+    FROM vec JOIN centre USING (docket_id, family, token) JOIN norm USING (docket_id, family)
+    JOIN kept USING (docket_id, family) GROUP BY docket_id, family, key, n""", recursive=True)
+def _(t):
+    letters, _totals = RP.near_letters(t("comments"))
+    return rounded(RP.outlier_letters(letters), "distance").withColumn("distance", F.col("distance") + 0.0)
