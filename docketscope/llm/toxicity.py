@@ -15,11 +15,12 @@ score is 0.5; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,7 +94,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _training_rows(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """(doc_id, toxic, coordinates) of the labelled sample."""
+    """(doc_id, toxic, coordinates, order, stream) of the labelled sample."""
     sample = (
         labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -109,7 +110,26 @@ def _training_rows(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), lists], ["doc_id", "toxic", "at"])
 
     rows = met.mapInArrow(run, "doc_id long, toxic int, at array<int>")
-    return rows.repartition(SHARDS, "doc_id").sortWithinPartitions(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id", F.xxhash64("at"))
+    place = F.xxhash64(F.lit(SEED), "doc_id")
+    return rows.select("doc_id", "toxic", "at", place.alias("place"), F.xxhash64("at").alias("tie"), F.pmod(place, F.lit(SHARDS)).alias("stream"))
+
+
+def _epoch(shared: Broadcast) -> Callable[[pa.Table], pa.Table]:
+    """One pass of one stream over its rows, starting from the shared state."""
+
+    def run(table: pa.Table) -> pa.Table:
+        own, seen, last = Ftrl(*(a.copy() for a in shared.value)), 0, None
+        lists = table.column("at").combine_chunks()
+        at, bounds = lists.values.to_numpy(), lists.offsets.to_numpy()
+        keys, labels_ = table.column("doc_id").to_numpy(), table.column("toxic").to_numpy()
+        for k in np.lexsort((table.column("tie").to_numpy(), keys, table.column("place").to_numpy())):
+            if keys[k] != last:  # rows that repeat an id follow one another
+                own.learn(at[bounds[k] : bounds[k + 1]], int(labels_[k]))
+                seen += 1
+            last = keys[k]
+        return pa.table({"seen": pa.array([seen], pa.int64()), "z": [own.z.tobytes()], "n": [own.n.tobytes()]})
+
+    return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, epochs: int = EPOCHS) -> np.ndarray:
@@ -120,23 +140,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, epochs: i
     for _ in range(epochs):
         shared = context.broadcast((state.z, state.n))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own, seen, last = Ftrl(*(a.copy() for a in shared.value)), 0, None
-            for part in batches:
-                column = part.column("at")
-                at, bounds = column.values.to_numpy(), column.offsets.to_numpy()
-                for k, (key, label) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)):
-                    if key != last:  # rows that repeat an id follow one another
-                        own.learn(at[bounds[k] : bounds[k + 1]], label)
-                        seen += 1
-                    last = key
-            if seen:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([seen], pa.int64()), pa.array([own.z.tobytes()]), pa.array([own.n.tobytes()])], ["seen", "z", "n"]
-                )
-
-        # one fixed-size state per stream
-        states = rows.mapInArrow(run, "seen long, z binary, n binary").collect()
+        # SHARDS groups of a bounded sample, one fixed-size state each
+        states = rows.groupBy("stream").applyInArrow(_epoch(shared), "seen long, z binary, n binary").collect()
         states.sort(key=lambda s: (s["seen"], s["z"]))
         shared.unpersist()
         if not states:
