@@ -40,13 +40,14 @@ LEAST_ROWS = 200
 # Rows of about 150 bytes that are broadcast at most.
 MOST_BROADCAST = 100_000
 
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks", "n_echoes")
 
 # feature -> (numerator, denominator, least spread, fences: +1 upper only, 0 both)
 FEATURES = {
     "symbols": ("n_symbols", "n_words", 0.02, 1),
     "duplicate_lines": ("n_dup_lines", "n_lines", 0.05, 1),
-    "repeated_words": ("n_repeat_words", "n_words", 0.03, 1),
+    "repeated_words": ("n_repeat_words", "n_words", 0.04, 1),
+    "echoes": ("n_echoes", "n_words", 0.02, 1),
     "upper_case": ("n_upper", "word_chars", 0.05, 1),
     "marks": ("n_marks", "n_words", 0.05, 1),
     "word_length": ("word_chars", "n_words", 0.4, 0),
@@ -105,6 +106,15 @@ def repeated_words(words: np.ndarray, bounds: np.ndarray, window: int = WINDOW)
     return np.diff(covered[bounds])
 
 
+def echoes(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Words of each text that equal the word before them."""
+    same = np.zeros(len(words), dtype=np.int64)
+    same[1:] = words[1:] == words[:-1]
+    heads = bounds[:-1]
+    same[heads[heads < len(words)]] = 0
+    return np.diff(np.concatenate(([0], np.cumsum(same)))[bounds])
+
+
 def measure(column: pa.Array) -> list[np.ndarray]:
     """The COUNTS of each text."""
     texts = Texts.of(column)
@@ -116,6 +126,7 @@ def measure(column: pa.Array) -> list[np.ndarray]:
     return [
         np.diff(bounds).astype(np.int64), _per_text(texts, _CHARS), _per_text(texts, _SYMBOLS), lines[:, 1],
         repeated_words(words, bounds), lines[:, 0], _per_text(texts, _UPPER), _per_text(texts, _MARKS),
+        echoes(words, bounds),
     ]
 
 

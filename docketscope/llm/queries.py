@@ -131,6 +131,9 @@ grams AS (
   SELECT r, i, count(*) OVER ahead AS k, string_agg(w, ' ') OVER ahead AS g
   FROM words WINDOW ahead AS (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND {quality.WINDOW - 1} FOLLOWING)),
 twice AS (SELECT r, i, k = {quality.WINDOW} AND count(*) OVER (PARTITION BY r, k, g) > 1 AS again FROM grams),
+echoed AS (
+  SELECT r, count(*) FILTER (w = before) AS n_echoes
+  FROM (SELECT r, w, lag(w) OVER (PARTITION BY r ORDER BY i) AS before FROM words) GROUP BY r),
 inside AS (
   SELECT r, count(*) AS n_words, count(*) FILTER (covered) AS n_repeat_words
   FROM (SELECT r, bool_or(again) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN {quality.WINDOW - 1} PRECEDING AND CURRENT ROW)
@@ -144,9 +147,10 @@ counted AS (
          length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
          length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_upper,
          length(t) - length(regexp_replace(t, '[!?]', '', 'g')) AS n_marks, n_lines, n_dup_lines,
+         coalesce(n_echoes, 0) AS n_echoes,
          coalesce(n_words, 0) < {quality.LEAST_WORDS}
            OR 100 * coalesce(n_repeat_words, 0) > {100 * quality.MOST_REPEATED} * coalesce(n_words, 0) AS base_failed
-  FROM d LEFT JOIN inside USING (r) JOIN lines USING (r)),
+  FROM d LEFT JOIN inside USING (r) LEFT JOIN echoed USING (r) JOIN lines USING (r)),
 ratios AS ({_RATIOS}),
 sketch AS (
   SELECT lang, source, feature, CASE WHEN x > 0 THEN ceil(ln(x) / {_GROWTH!r}) ELSE -1e9 END AS bucket, count(*) AS n
