@@ -94,24 +94,18 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _training_rows(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """(doc_id, toxic, coordinates, order, stream) of the labelled sample."""
+    """(doc_id, toxic, text, order, stream) of the labelled sample; texts are a quarter of their coordinates."""
     sample = (
         labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
         .orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(most)
     )
     # at most ``most`` pairs of integers
-    met = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
-            at, bounds = features(part.column("text"))
-            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(at, pa.int32()))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), lists], ["doc_id", "toxic", "at"])
-
-    rows = met.mapInArrow(run, "doc_id long, toxic int, at array<int>")
+    met = docs.join(F.broadcast(sample), "doc_id")
     place = F.xxhash64(F.lit(SEED), "doc_id")
-    return rows.select("doc_id", "toxic", "at", place.alias("place"), F.xxhash64("at").alias("tie"), F.pmod(place, F.lit(SHARDS)).alias("stream"))
+    return met.select(
+        "doc_id", "toxic", "text", place.alias("place"), F.xxhash64("text").alias("tie"), F.pmod(place, F.lit(SHARDS)).alias("stream")
+    )
 
 
 def _epoch(shared: Broadcast) -> Callable[[pa.Table], pa.Table]:
@@ -119,14 +113,14 @@ def _epoch(shared: Broadcast) -> Callable[[pa.Table], pa.Table]:
 
     def run(table: pa.Table) -> pa.Table:
         own, seen, last = Ftrl(*(a.copy() for a in shared.value)), 0, None
-        lists = table.column("at").combine_chunks()
-        at, bounds = lists.values.to_numpy(), lists.offsets.to_numpy()
-        keys, labels_ = table.column("doc_id").to_numpy(), table.column("toxic").to_numpy()
-        for k in np.lexsort((table.column("tie").to_numpy(), keys, table.column("place").to_numpy())):
-            if keys[k] != last:  # rows that repeat an id follow one another
-                own.learn(at[bounds[k] : bounds[k + 1]], int(labels_[k]))
-                seen += 1
-            last = keys[k]
+        order = np.lexsort(tuple(table.column(c).to_numpy() for c in ("tie", "doc_id", "place")))
+        for part in slices(table.take(pa.array(order)).combine_chunks().to_batches(), "text"):
+            at, bounds = features(part.column("text"))
+            for k, (key, label) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("toxic").to_pylist(), strict=True)):
+                if key != last:  # rows that repeat an id follow one another
+                    own.learn(at[bounds[k] : bounds[k + 1]], label)
+                    seen += 1
+                last = key
         return pa.table({"seen": pa.array([seen], pa.int64()), "z": [own.z.tobytes()], "n": [own.n.tobytes()]})
 
     return run
