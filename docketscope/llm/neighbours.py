@@ -10,7 +10,9 @@ all tables. Scores are inner products of the original vectors in double precisio
 
 The number of projections grows with the logarithm of the number of rows; the number of probes is
 fitted on a sample of at most SAMPLE rows so that neighbours at the wanted rank are found with TARGET
-probability. Queries that find fewer rows than there are to find meet all rows in blocks.
+probability. Where MOST_PROBES probes do not find them, there are fewer projections and larger buckets, down
+to a single bucket, which is an exact search. Queries that find fewer rows than there are to find meet all
+rows in blocks.
 
 Cases: vectors that are null, zero, of another length than most, or hold null or non-finite components
 take no part, nor do rows without id; an id that occurs more than once is one candidate, with its best
@@ -117,8 +119,8 @@ def probed_codes(hashing: Hashing, queries: np.ndarray, probes: int) -> Iterator
         yield q, np.unique(np.concatenate(codes))
 
 
-def fit_probes(hashing: Hashing, sample: np.ndarray, rows: int, nearest: int) -> int:
-    """Fewest probes per table with which the sample's neighbours of like rank are found."""
+def fit_probes(hashing: Hashing, sample: np.ndarray, rows: int, nearest: int) -> int | None:
+    """Fewest probes per table with which TARGET of the sample's neighbours of like rank are found, if there are any."""
     if hashing.bits == 0 or len(sample) < 2:
         return 1
     queries = sample[:SAMPLE_QUERIES]
@@ -140,7 +142,19 @@ def fit_probes(hashing: Hashing, sample: np.ndarray, rows: int, nearest: int) ->
                 key = tuple((k, int(s)) for k, s in enumerate(step) if s)
                 first[q, j] = min(first[q, j], moves.get(key, most) + 1)
     rank = np.sort(first.ravel())
-    return int(min(most, rank[min(len(rank) - 1, ceil(TARGET * len(rank)) - 1)]))
+    probes = int(rank[min(len(rank) - 1, ceil(TARGET * len(rank)) - 1)])
+    return probes if probes <= most else None
+
+
+def fit_hashing(dim: int, norm: float, sample: np.ndarray, rows: int, nearest: int) -> tuple[Hashing, int]:
+    """The most projections, up to one per doubling beyond BUCKET_ROWS, that reach TARGET, and their probes."""
+    bits = max(0, round(log2(max(rows, 1) / BUCKET_ROWS)))
+    while True:
+        hashing = Hashing(dim, bits, norm, sample)
+        probes = fit_probes(hashing, sample, rows, nearest)
+        if probes is not None:  # always so with one bucket
+            return hashing, probes
+        bits -= 1
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -290,9 +304,7 @@ def search(
     good = good.where(F.size("v") == dim)
     chosen = good.orderBy(F.xxhash64(F.lit(SEED), "id"), "id").limit(SAMPLE).select("v").toPandas()["v"]
     sample = np.array([np.asarray(v, dtype=np.float64) for v in chosen]).reshape(-1, dim)
-    bits = max(0, round(log2(max(count, 1) / BUCKET_ROWS)))
-    hashing = Hashing(dim, bits, float(np.sqrt(shape["square"])), sample)
-    probes = fit_probes(hashing, sample, count, nearest)
+    hashing, probes = fit_hashing(dim, float(np.sqrt(shape["square"])), sample, count, nearest)
     shared = context.broadcast(hashing)
 
     def index_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

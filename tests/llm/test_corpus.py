@@ -313,6 +313,27 @@ def test_search_recall(spark, monkeypatch, bucket_rows):
     assert hits / (20 * len(want)) >= (1 if bucket_rows == 4096 else 0.9)
 
 
+def test_search_reaches_its_target_with_few_probes(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "MOST_PROBES", 8)
+    test_search_recall(spark, monkeypatch, 60)
+
+
+def test_projections_are_as_many_as_the_probes_can_cover(monkeypatch):
+    monkeypatch.setattr(neighbours, "MOST_PROBES", 64)
+    x = np.random.default_rng(6).standard_normal((4096, 64))
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    hashing, probes = neighbours.fit_hashing(64, 1.0, x, 1_000_000, 20)
+    assert hashing.bits < 8 and probes <= neighbours.MOST_PROBES
+    # of new queries, as many nearest rows of the sample lie within the probes
+    fresh = np.random.default_rng(7).standard_normal((200, 64))
+    fresh /= np.sqrt((fresh * fresh).sum(axis=1))[:, None]
+    near = np.argmax(fresh @ x.T, axis=1)
+    lattice, bits = np.floor(hashing.cells(hashing.rows(x))), hashing.bits
+    codes = [hashing.codes(lattice[:, t * bits : (t + 1) * bits], t) for t in range(neighbours.TABLES)]
+    found = [any(c[near[q]] in seen for c in codes) for q, seen in neighbours.probed_codes(hashing, fresh, probes)]
+    assert np.mean(found) >= 0.9
+
+
 def test_search_odd_vectors(spark, monkeypatch):
     inf, nan = float("inf"), float("nan")
     rows = [(i, [float(i % 3 + 1), float(i % 5), 1.0]) for i in range(100)]
