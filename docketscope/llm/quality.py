@@ -6,7 +6,8 @@ pre-aggregated ``groupBy``, come out the same in any order and after any retry,
 does not depend on the number of rows. A group with fewer than ``LEAST_ROWS`` documents takes the
 merged sketch of its language, and that of all documents where the language is as small.
 From the quartiles follow fences, quartile +- REACH * spread; a document outside any fence of its group
-goes. The spread is at least the feature's ``slack``, so that a constant feature rejects only what is far off.
+goes. The spread is at least the feature's ``slack``, so that a constant feature rejects only what is far off;
+REACH * slack of the repeated words is less than the base's cutoff, so that a group without any has a fence below it.
 
 Two fixed rules come first (``base_failed``): fewer than 20 words, or more than 30% of the words
 inside 8-word windows that occur more than once in the text.
@@ -46,7 +47,7 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 FEATURES = {
     "symbols": ("n_symbols", "n_words", 0.02, 1),
     "duplicate_lines": ("n_dup_lines", "n_lines", 0.05, 1),
-    "repeated_words": ("n_repeat_words", "n_words", 0.04, 1),
+    "repeated_words": ("n_repeat_words", "n_words", 0.03, 1),
     "echoes": ("n_echoes", "n_words", 0.02, 1),
     "upper_case": ("n_upper", "word_chars", 0.05, 1),
     "marks": ("n_marks", "n_words", 0.05, 1),

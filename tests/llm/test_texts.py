@@ -233,6 +233,22 @@ def test_thresholds_follow_language_and_source(spark):
     assert gone == {5000}
 
 
+def test_repeated_words_have_a_fence_below_the_base(spark):
+    def text(name, repeated):
+        """80 words, ``repeated`` of them in a window that occurs twice."""
+        window = [f"{name}r{k}" for k in range(repeated // 2)]
+        return " ".join(window + [f"{name}w{k}" for k in range(80 - repeated)] + window)
+
+    rows = [(i, text(f"t{i}", 0), "en", "tight") for i in range(300)]
+    rows += [(1000 + i, text(f"l{i}", (0, 16, 18)[i % 3]), "en", "loose") for i in range(300)]
+    rows += [(5000, text("a", 20), "en", "tight"), (5001, text("b", 20), "en", "loose")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    judged = quality.judge(docs).where("doc_id in (5000, 5001)").collect()
+    assert {r["doc_id"]: (r["n_repeat_words"], r["n_words"], r["base_failed"], r["kept"]) for r in judged} == {
+        5000: (20, 80, False, False), 5001: (20, 80, False, True)
+    }
+
+
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
 def test_quality_query_equals_its_sql(spark, sf):
     import duckdb
