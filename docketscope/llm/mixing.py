@@ -36,8 +36,6 @@ MOST = 3
 SEED = 20
 # The dynamic program runs over budgets up to this many words; greater ones are first reduced by whole documents.
 DP_BUDGET = 1 << 16
-# A sum this much above the budget may be taken if it is nearer than any below.
-DP_ABOVE = 256
 # Rows of one length ranked together.
 RANKED_ROWS = 50_000
 
@@ -84,8 +82,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
 def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to take so that their words come to ``budget``.
 
-    At most ``counts``; the sum is the reachable one nearest to the budget (at most DP_ABOVE above it) among
-    the choices that keep the proportional shares.
+    At most ``counts``; the sum is the reachable one nearest to the budget, below or above it, among the choices
+    that keep the proportional shares and the documents taken before the program.
     """
     taken = np.zeros(len(lengths), dtype=np.int64)
     total = int((lengths * counts).sum())
@@ -112,8 +110,14 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndar
         left -= more * int(lengths[k])
     if left <= 0:
         return taken
-    goal = min(left, DP_BUDGET)
-    span = goal + DP_ABOVE
+    if left > DP_BUDGET:  # every document still free is longer than what is left: the shortest of them or none
+        free = np.flatnonzero((taken < counts) & (lengths > 0))
+        least = free[np.argmin(lengths[free])]
+        if lengths[least] - left < left:
+            taken[least] += 1
+        return taken
+    # a sum of more than twice the goal is farther from it than none at all
+    goal, span = left, 2 * left
     # bounded knapsack: each length in pieces of 1, 2, 4, ... documents; the piece that first reaches a sum
     first = np.full(span + 1, -1, dtype=np.int64)
     reached = np.zeros(span + 1, dtype=bool)

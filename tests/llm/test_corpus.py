@@ -110,6 +110,24 @@ def test_small_budgets_are_met_exactly(monkeypatch):
     assert int((mixing.fit_lengths(lengths, many, 123_457) * lengths).sum()) == 123_457
 
 
+@pytest.mark.parametrize("lengths, counts, budget, words", [
+    ([1_000_000], [1], 950_000, 1_000_000), ([1_000_000], [1], 450_000, 0), ([400_000], [3], 1_100_000, 1_200_000),
+    ([30_000], [1], 29_000, 30_000), ([66_500], [1], 66_000, 66_500), ([3, 90_000, 100_000], [1, 1, 1], 60_000, 90_000),
+])
+def test_long_documents_are_taken_when_that_is_nearer(lengths, counts, budget, words):
+    taken = mixing.fit_lengths(np.array(lengths), np.array(counts), budget)
+    assert (taken <= counts).all() and int((taken * np.array(lengths)).sum()) == words
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(60_000, 400_000), min_size=1, max_size=5, unique=True), st.integers(1, 1_500_000))
+def test_no_single_long_document_would_come_nearer(lengths, budget):
+    lengths = np.array(sorted(lengths))
+    taken = mixing.fit_lengths(lengths, np.ones(len(lengths), dtype=int), budget)
+    words = int((taken * lengths).sum())
+    assert all(abs(words - budget) <= abs(words + n - budget) for n in lengths[taken == 0])
+
+
 def check_rows_law(rows, shards):
     counts = Counter(r["shard"] for r in rows)
     assert set(counts) <= set(range(shards))
