@@ -14,8 +14,8 @@
    Jaccard similarity, verified links give components.
 5. Texts that met one leader but lie in different components are then compared too, in blocks
    of bounded size that return only links. 1 - similarity is a metric, so a pair whose
-   distances to the leader differ by more than 0.2 cannot be linked; pairs whose samples agree too
-   rarely for 0.8 are passed over; all others are verified exactly.
+   distances to the leader differ by more than 0.2 cannot be linked, nor can one whose total weights
+   differ by more than a fifth; all others are verified exactly, those with the most equal samples first.
 
 No group is collected anywhere: buckets, links and components are rows in joins and partial
 aggregates, and skewed joins are split by the engine. Driver memory holds the frequency table only.
@@ -51,8 +51,6 @@ DF_BITS = 20
 BLOCK_BITS = 14
 # idf lies between 1 and 1 + IDF_SPREAD
 IDF_SPREAD = 0.25
-# Of the samples of a pair of similarity 0.8, fewer agree three times in a thousand.
-AGREE = 30
 # Texts of one leader compared together.
 BLOCK_ROWS = 1024
 SLACK = 1 - SIMILARITY + 1e-9
@@ -300,7 +298,7 @@ def _deal(stars: DataFrame) -> DataFrame:
 def _block_links(table: pa.Table, weights: np.ndarray, logs: np.ndarray) -> list[tuple[bytes, bytes, float]]:
     """Links between texts of different components in one block, enough to join the components.
 
-    Pairs of one leader are compared by metric bound and by their samples, and exactly if both allow it;
+    Pairs of one leader are compared by the metric bound and their total weights, and exactly if both allow it;
     components that a link has joined are not compared again.
     """
     order = np.argsort(np.array(table.column("leader").to_pylist(), dtype=object), kind="stable")
@@ -326,23 +324,35 @@ def _block_links(table: pa.Table, weights: np.ndarray, logs: np.ndarray) -> list
             x = root[x]
         return x
 
+    totals = np.array([w.sum() for _, w in profiles])
     links = []
     edges = [k for k in range(len(leaders)) if k == 0 or leaders[k] != leaders[k - 1]] + [len(leaders)]
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         rights = np.flatnonzero(role[a:b] & 2) + a
+        # features numbered within the leader's texts: one text is spread out and the others look it up
+        features, places = np.unique(np.concatenate([h for h, _ in profiles[a:b]]), return_inverse=True)
+        places = np.split(places, np.cumsum([len(h) for h, _ in profiles[a:b]])[:-1])
+        spread = np.zeros(len(features))
         for x in np.flatnonzero((role[a:b] & 1).astype(bool) & out[a:b]) + a:
             near = rights[(np.abs(d[rights] - d[x]) <= SLACK) & (label[rights] != label[x]) & (~out[rights] | (rank[x] < rank[rights]))]
             if not len(near):
                 continue
+            # shared weight is at most the smaller total, the union's at least the greater
+            low, high = np.minimum(totals[near], totals[x]), np.maximum(totals[near], totals[x])
+            near = near[low >= (SIMILARITY - 1e-9) * high]
             agree = (sketches[near] == sketches[x]).sum(axis=1)
-            near, agree = near[agree >= AGREE], agree[agree >= AGREE]
+            spread[places[x - a]] = profiles[x][1]
             for y in near[np.argsort(-agree, kind="stable")]:
                 one, two = find(label[x]), find(label[y])
                 if one != two:
+                    shared = np.minimum(profiles[y][1], spread[places[y - a]]).sum()
+                    if shared < (SIMILARITY - 1e-9) * (totals[x] + totals[y] - shared):
+                        continue
                     similarity = weighted_jaccard(profiles[x], profiles[y])
                     if similarity >= SIMILARITY:
                         root[max(one, two)] = min(one, two)
                         links.append((digests[x], digests[y], similarity))
+            spread[places[x - a]] = 0
     return links
 
 

@@ -240,6 +240,25 @@ def test_dealt_blocks_keep_their_links(spark, monkeypatch):
     test_near_duplicates_equal_all_pairs(spark, True)
 
 
+def test_links_between_components_do_not_depend_on_samples():
+    import pyarrow as pa
+
+    # 80 of 100 shingles shared: pairs of similarity 0.8, the first with fewer than 30 equal samples
+    for g in range(20_000):
+        common = [f"g{g}w{k}" for k in range(84)]
+        texts = [" ".join(common + [f"g{g}{side}{k}" for k in range(10)]) for side in "ab"]
+        one, two = ((near_dups.sample(h, np.log(c)) for h, c in near_dups._shingles(pa.array(texts))))
+        if (one == two).sum() < 30:
+            break
+    table = pa.table({
+        "leader": [b"l", b"l"], "digest": [b"a", b"b"], "label": [b"a", b"b"], "d": [0.3, 0.3], "out": [True, True],
+        "role": pa.array([3, 3], pa.int32()), "text": texts,
+    })
+    weights = np.ones(1 << near_dups.DF_BITS)
+    assert (one == two).sum() < 30
+    assert near_dups._block_links(table, weights, np.log(weights)) == [(b"a", b"b", 0.8)]
+
+
 def test_near_duplicates_query(spark, documents):
     rows = queries.op5_near_duplicates(spark, SF).collect()
     assert len(rows) == documents.count()
