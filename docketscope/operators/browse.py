@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketscope.functions.fields import json_strings, normalize_source_row
+from docketscope.operators.joins import keep_listed
 from docketscope.operators.lookups import top_per_group
 from docketscope.session import cut_lineage
 from docketscope.sources.registry import BY_KEY, SourceDef, recency_by_table
+from docketscope.sources.tables import spread
 
 MIN_AGENCY_NAME = 8
 
@@ -141,20 +143,18 @@ def litigation_all_agencies(suits: DataFrame, agencies: DataFrame, limit: int =
     """The same for every agency: (agency_code, name) against all case names.
 
     A name of at least eight characters occurs in a case name only if each of
-    its eight-character grams does. The grams of all agency names are one short list (a
-    dimension); a case keeps those of its grams that are in it, before any row is made.
-    Every name is then looked up by the one of its grams that the fewest case names
-    hold, an equi-join followed by the exact test. Only ids, dates and the case
-    names with a gram are shuffled, and the suits' columns are added to the
-    reported rows alone.
+    its eight-character grams does. A case's grams become rows of (id, gram) and meet
+    the names' grams in a semi-join, broadcast up to a checked size, so each case costs
+    its own length, whatever the number of names. Every name is then looked up by the one
+    of its grams that the fewest case names hold: an equi-join on ids, followed by the
+    exact test. The suits' columns are added to the reported rows alone.
     """
     rows = source_rows(suits, BY_KEY["court-dockets"])
     names = agencies.select("agency_code", F.lower(F.trim("name")).alias("name"))
-    name_grams = names.select("*", F.explode(_grams(F.col("name"))).alias("gram"))
-    wanted = name_grams.agg(F.coalesce(F.collect_set("gram"), F.array().cast("array<string>"))).scalar()
-    cases = rows.select("cl_docket_id", "date_filed", F.lower("case_name").alias("case"))
+    name_grams = cut_lineage(names.select("*", F.explode(_grams(F.col("name"))).alias("gram")))
+    cases = spread(rows.select("cl_docket_id", "date_filed", F.lower("case_name").alias("case")))
     case_grams = cut_lineage(
-        cases.select("*", F.explode(F.array_intersect(_grams(F.col("case")), wanted)).alias("gram"))
+        keep_listed(cases.select("cl_docket_id", F.explode(_grams(F.col("case"))).alias("gram")), name_grams, ["gram"])
     )
     frequency = case_grams.groupBy("gram").agg(F.count("*").alias("cases"))
     keyed = (
@@ -167,7 +167,8 @@ def litigation_all_agencies(suits: DataFrame, agencies: DataFrame, limit: int =
         .where(F.col("cases") > 0)
         .drop("cases")
     )
-    found = case_grams.join(keyed, "gram").where(F.contains("case", F.col("name")))
+    near = case_grams.join(keyed, "gram").select("cl_docket_id", "agency_code", "name")
+    found = near.join(cases, "cl_docket_id").where(F.contains("case", F.col("name")))
     order = [F.desc_nulls_last("date_filed"), F.asc("cl_docket_id")]
     top = top_per_group(found.select("agency_code", "cl_docket_id", "date_filed"), ["agency_code"], order, limit)
     return top.select("agency_code", "cl_docket_id").join(rows, "cl_docket_id")
