@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketscope.llm import (
-    language, mixing, near_dups, neighbours, packing, pii, quality, sharding, token_counts, toxicity,
+    centroids, language, mixing, near_dups, neighbours, packing, pii, quality, sharding, token_counts, toxicity,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -182,3 +182,47 @@ beyond AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND r NOT IN (SELECT r FROM beyond) AS kept
 FROM counted"""
+
+
+@query
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's cluster after three rounds, with exact distances."""
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def _assigned_sql(k: int) -> str:
+    """Nearest centroid of every vector before round k: a{k}(r, d, c)."""
+    return f"""
+a{k} AS (
+  SELECT r, min(CAST(d AS HUGEINT) * 1000 + c) // 1000 AS d, CAST(min(CAST(d AS HUGEINT) * 1000 + c) % 1000 AS INTEGER) AS c
+  FROM (SELECT r, c, list_sum(list_transform(list_zip(kept.v, c{k}.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d
+        FROM kept, c{k})
+  GROUP BY r)"""
+
+
+def _moved_sql(k: int) -> str:
+    """Centroids after round k: c{k + 1}(c, v)."""
+    return f"""
+m{k} AS (
+  SELECT c, list(CAST((s - (s % n + n) % n) // n AS BIGINT) ORDER BY i) AS v
+  FROM (SELECT c, i, sum(x) AS s, count(*) AS n
+        FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{k} JOIN kept USING (r)) GROUP BY c, i)
+  GROUP BY c),
+c{k + 1} AS (SELECT c, coalesce(m{k}.v, c{k}.v) AS v FROM c{k} LEFT JOIN m{k} USING (c))"""
+
+
+_ROUNDS = ",".join(f"{_assigned_sql(k)},{_moved_sql(k)}" for k in range(centroids.ROUNDS))
+
+SQL["op13_centroids"] = f"""
+WITH kept AS (
+  SELECT row_number() OVER () AS r, vec_id,
+         list_transform(embedding, lambda x: CAST(floor({centroids.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE len(embedding) = {centroids.DIMENSIONS} AND len(list_filter(embedding, lambda x: isfinite(x))) = {centroids.DIMENSIONS}),
+c0 AS (
+  SELECT CAST(row_number() OVER (ORDER BY h, v) - 1 AS INTEGER) AS c, v
+  FROM (SELECT sha256('{centroids.SEED}:' || vec_id) AS h, v FROM kept WHERE vec_id IS NOT NULL
+        ORDER BY h, v LIMIT {centroids.CLUSTERS})),{_ROUNDS},{_assigned_sql(centroids.ROUNDS)}
+SELECT vec_id, c AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(f.v, ',')) AS centroid_sha256
+FROM a{centroids.ROUNDS} JOIN kept USING (r) JOIN c{centroids.ROUNDS} f USING (c)"""
