@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketscope.llm import (
-    centroids, language, mixing, near_dups, neighbours, packing, pii, quality, sharding, token_counts, toxicity,
+    centroids, language, mixing, near_dups, neighbours, packing, pii, quality, sharding, store,
+    token_counts, toxicity, warc,
 )
+from docketscope.llm.capture_index import CaptureIndex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -184,6 +186,27 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM counted"""
 
 
+@query
+def op12_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, written to archives, found by its address in the index and read back."""
+    pages = table(spark, sf_dir, "pages")
+    folder = store.new_folder(spark, "warc")
+    index = CaptureIndex.build(warc.write_archives(pages, folder), folder)
+    records = warc.read_records(index.lookup(pages), folder)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL["op12_archives"] = f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+q AS (
+  SELECT *, row_number() OVER same AS place, first_value(page_id) OVER same AS first_id
+  FROM p WINDOW same AS (PARTITION BY payload_digest ORDER BY page_id NULLS LAST))
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= {warc.LEAST_SHARED} AND place > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= {warc.LEAST_SHARED} AND place > 1 THEN first_id END AS refers_to
+FROM q"""
+
+
 @query
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector's cluster after three rounds, with exact distances."""
