@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketscope.llm import (
-    centroids, language, mixing, near_dups, neighbours, packing, pii, quality, sharding, store,
+    centroids, conversations, language, mixing, near_dups, neighbours, packing, pii, quality, sharding, store,
     token_counts, toxicity, warc,
 )
 from docketscope.llm.capture_index import CaptureIndex
@@ -186,6 +186,13 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM counted"""
 
 
+@query
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with every damaged conversation, and its cheapest repair."""
+    damaged = conversations.damage(table(spark, sf_dir, "conversations"))
+    return conversations.summarise(conversations.repair(damaged))
+
+
 @query
 def op12_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's record, written to archives, found by its address in the index and read back."""
