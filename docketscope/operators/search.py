@@ -1,7 +1,8 @@
 """Ranked docket search over a postings table.
 
-Terms are matched against the vocabulary first (exact, prefix, fuzzy), which is
-small next to the postings. The matched terms are stored and counted, so that
+Terms are matched against the vocabulary first (exact, prefix, fuzzy). Fuzzy matches are looked
+up under segment keys that are stored with the index, so no distance to the rest of the
+vocabulary is computed. The matched terms are stored and counted, so that
 postings meet them in a broadcast join without being shuffled.
 Scores are BM25+ per field (Robertson & Zaragoza 2009; Lv & Zhai 2011), titles
 boosted, prefix and fuzzy matches down-weighted by how far they are from the
@@ -11,11 +12,14 @@ query term.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docketscope.operators.joins import checked_broadcast, keep_listed
+from docketscope.operators.lookups import top_per_group
+from docketscope.session import cut_lineage
 
 # Ranking parameters.
 K1, B, DELTA = 1.2, 0.7, 0.5
@@ -35,34 +39,36 @@ STOP_WORDS = [
 
 RELATED_TERMS, RELATED_MIN_LENGTH = 5, 4
 
+# Dockets of equal title words that a docket is first compared with, per set of words.
+SEEDS = 4
+
 
 @dataclass(frozen=True)
 class SearchIndex:
-    """postings(field, term, docket_id, tf, length), terms(field, term, df), fields(field, docs, avg_length)."""
+    """postings(field, term, docket_id, tf, length), terms(field, term, df), keys(key, field, term, df), fields(field, docs, avg_length)."""
 
     postings: DataFrame
     terms: DataFrame
+    keys: DataFrame
     fields: DataFrame
     dockets: DataFrame
 
     def write(self, path: str) -> None:
-        """Store the index clustered by term, so that a term filter prunes files.
+        """Store the index clustered by term and key, so that filters on them prune files and row groups.
 
         The session's shuffle partitions and adaptive coalescing decide the number of files.
         """
-        (
-            self.postings.repartitionByRange("term", "docket_id")
-            .sortWithinPartitions("term")
-            .write.mode("overwrite")
-            .parquet(f"{path}/postings")
-        )
-        for name in ("terms", "fields", "dockets"):
+        clustered = {"postings": ["term", "docket_id"], "terms": ["term"], "keys": ["key"]}
+        for name, order in clustered.items():
+            rows = getattr(self, name).repartitionByRange(*order).sortWithinPartitions(order[0])
+            rows.write.mode("overwrite").parquet(f"{path}/{name}")
+        for name in ("fields", "dockets"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> SearchIndex:
-        """A stored index; a search reads the vocabulary and the matched terms' row groups."""
-        return cls(*[spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "fields", "dockets")])
+        """A stored index; a search reads the row groups of its keys, prefixes and matched terms."""
+        return cls(*[spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "keys", "fields", "dockets")])
 
 
 def tokens_of(text: Column) -> Column:
@@ -96,12 +102,59 @@ def search_index_build(corpus: DataFrame) -> SearchIndex:
         F.count("*").alias("docs"), F.avg("length").alias("avg_length")
     )
     listed = corpus.select("docket_id", "agency_code", "title", "docket_type", "modify_date", "abstract")
-    return SearchIndex(postings, terms, sizes, listed)
+    return SearchIndex(postings, terms, fuzzy_keys(terms), sizes, listed)
+
+
+def _segment(size: Column, edits: Column, i: Column) -> tuple[Column, Column]:
+    """(start from 0, length) of the i-th of edits + 1 nearly even segments of a term."""
+    parts = edits + 1
+    short = parts - size % parts  # the first segments are one shorter
+    base = F.floor(size / parts).cast("int")
+    return i * base + F.greatest(F.lit(0), i - short), base + F.when(i >= short, 1).otherwise(0)
+
+
+def _key(edits: Column, size: Column, i: Column, text: Column) -> Column:
+    return F.concat_ws(":", edits.cast("string"), size.cast("string"), i.cast("string"), text)
+
 
+def allowed_edits(size: Column) -> Column:
+    """The edits that a query term may have: a fifth of its length, rounded."""
+    return F.least(F.lit(MAX_EDITS), F.round(size * F.lit(FUZZY)).cast("int"))
 
-def query_terms(query: str) -> Column:
-    """Distinct terms of a typed query."""
-    return F.array_distinct(tokens_of(F.lit(query)))
+
+def fuzzy_keys(terms: DataFrame) -> DataFrame:
+    """(key, field, term, df): each term under its segments, for every number of edits that can reach it.
+
+    Of k + 1 segments of a term, one is left whole by k edits and occurs in the query term at most k places
+    away (Li et al. 2011). A term's length limits the queries that reach it, and so k, to a few values.
+    """
+    size = F.length("term")
+    # queries of k edits are 5 k - 2 to 5 k + 2 long, or longer for the most edits; a term differs by k at most
+    k = F.col("k")
+    reached = (size >= 4 * k - 2) & ((size <= 6 * k + 2) | (k == MAX_EDITS)) & (size > k)
+    rows = terms.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(MAX_EDITS)))).where(reached)
+    rows = rows.withColumn("i", F.explode(F.sequence(F.lit(0), "k")))
+    start, length = _segment(size, k, F.col("i"))
+    return rows.select(_key(k, size, F.col("i"), F.substring("term", start + 1, length)).alias("key"), "field", "term", "df")
+
+
+def fuzzy_probes(queries: DataFrame) -> DataFrame:
+    """(query, key): the keys under which terms within the allowed edits of each query are filed."""
+    k, i, size = F.col("k"), F.col("i"), F.col("size")
+    rows = queries.select("query", F.length("query").alias("length")).withColumn("k", allowed_edits(F.col("length"))).where("k > 0")
+    rows = rows.withColumn("size", F.explode(F.sequence(F.greatest(F.lit(1), F.col("length") - k), F.col("length") + k)))
+    rows = rows.withColumn("i", F.explode(F.sequence(F.lit(0), "k"))).where("size > k")
+    start, length = _segment(size, k, i)
+    rows = rows.withColumns({"first": start, "taken": length}).where("taken <= length")
+    low = F.greatest(F.lit(0), F.col("first") - k)
+    high = F.least(F.col("length") - F.col("taken"), F.col("first") + k)
+    rows = rows.withColumns({"low": low, "high": high}).where("low <= high").withColumn("at", F.explode(F.sequence("low", "high")))
+    return rows.select("query", _key(k, size, i, F.substring("query", F.col("at") + 1, F.col("taken"))).alias("key")).distinct()
+
+
+def query_terms(spark: SparkSession, query: str) -> list[str]:
+    """Distinct terms of a typed query: a constant of the plan's optimiser, no job."""
+    return spark.sql("SELECT :query AS query", args={"query": query}).select(F.array_distinct(tokens_of(F.col("query")))).first()[0]
 
 
 def _term_weight(term: Column, q: Column) -> Column:
@@ -112,7 +165,7 @@ def _term_weight(term: Column, q: Column) -> Column:
     """
     size, qsize = F.length(term), F.length(q)
     extra = (size - qsize).cast("double")
-    edits = F.least(F.lit(MAX_EDITS), F.round(qsize * F.lit(FUZZY)).cast("int"))
+    edits = allowed_edits(qsize)
     distance = F.levenshtein(term, q).cast("double")
     near = (F.abs(size - qsize) <= edits) & (distance <= edits)
     return (
@@ -122,40 +175,61 @@ def _term_weight(term: Column, q: Column) -> Column:
     )
 
 
-def match_terms(index: SearchIndex, terms: Column) -> DataFrame:
-    """Vocabulary rows that match any query term: (field, term, df, query, weight).
+def match_terms(index: SearchIndex, terms: list[str]) -> DataFrame:
+    """Vocabulary rows that match any typed term: (field, term, df, query, weight).
 
-    ``terms`` is an array column with a handful of words (a literal or a scalar
-    subquery), so the vocabulary is scanned once and nothing is joined.
+    Prefixes and keys are literals, so that only the row groups that may hold them are read.
     """
-    vocabulary = index.terms.withColumn("queries", terms)
+    spark = index.terms.sparkSession
+    typed = spark.createDataFrame([(q,) for q in terms], "query string") if terms else spark.createDataFrame([], "query string")
+    none = F.lit(False)
+    begins = reduce(lambda a, b: a | b, [F.startswith("term", F.lit(q)) for q in terms], none)
+    keys = [r["key"] for r in fuzzy_probes(typed).select("key").distinct().collect()] if terms else []
+    near = index.keys.where(F.col("key").isin(keys) if keys else none).select("field", "term", "df").distinct()
+    found = index.terms.where(begins).select("field", "term", "df").unionByName(near.where(~begins))
     matches = F.filter(
-        F.transform(
-            F.col("queries"),
-            lambda q: F.struct(q.alias("query"), _term_weight(F.col("term"), q).alias("weight")),
-        ),
+        F.array(*[F.struct(F.lit(q).alias("query"), _term_weight(F.col("term"), F.lit(q)).alias("weight")) for q in terms])
+        if terms else F.array().cast("array<struct<query:string,weight:double>>"),
         lambda m: m["weight"].isNotNull(),
     )
-    return vocabulary.select("field", "term", "df", F.explode(matches).alias("m")).select(
+    return found.select("field", "term", "df", F.explode(matches).alias("m")).select(
         "field", "term", "df", F.col("m.query").alias("query"), F.col("m.weight").alias("weight")
     )
 
 
-def scored_hits(index: SearchIndex, terms: Column) -> DataFrame:
-    """(docket_id, score, query_terms, matched_terms) of every docket with a matched term."""
-    matched = match_terms(index, terms).join(F.broadcast(index.fields), "field")
+def match_queries(index: SearchIndex, queries: DataFrame) -> DataFrame:
+    """The same for any number of query terms of at least RELATED_MIN_LENGTH characters, as rows (query).
+
+    Prefixes and segment keys meet in equi-joins.
+    """
+    asked = cut_lineage(queries.select("query").distinct())
+    lengths = F.sequence(F.lit(RELATED_MIN_LENGTH), F.greatest(F.length("term"), F.lit(RELATED_MIN_LENGTH)))
+    begun = index.terms.withColumn("query", F.explode(F.transform(lengths, lambda n: F.substring("term", F.lit(1), n))))
+    prefixed = begun.join(asked, "query").select("field", "term", "df", "query")
+    near = fuzzy_probes(asked).join(index.keys, "key").select("field", "term", "df", "query")
+    pairs = prefixed.unionByName(near).distinct()
+    return pairs.withColumn("weight", _term_weight(F.col("term"), F.col("query"))).where("weight IS NOT NULL")
+
+
+def _contributions(index: SearchIndex, matched: DataFrame) -> DataFrame:
+    """(docket_id, term, query, s): what each matched posting adds to its docket's score."""
     boost = F.lit(0.0)
     for name, value in FIELD_BOOST.items():
         boost = F.when(F.col("field") == name, value).otherwise(boost)
     idf = F.log1p((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    rated = matched.select(
+    rated = matched.join(F.broadcast(index.fields), "field").select(
         "field", "term", "query", "avg_length", (idf * boost * F.col("weight")).alias("w")
     )
     tf, relative = F.col("tf"), F.col("length") / F.col("avg_length")
     gain = F.lit(DELTA) + tf * (K1 + 1) / (tf + K1 * (1 - B + B * relative))
-    hits = index.postings.join(checked_broadcast(rated), ["field", "term"]).select(
+    return index.postings.join(checked_broadcast(rated), ["field", "term"]).select(
         "docket_id", "term", "query", (F.col("w") * gain).alias("s")
     )
+
+
+def scored_hits(index: SearchIndex, matched: DataFrame) -> DataFrame:
+    """(docket_id, score, query_terms, matched_terms) of every docket with a matched term."""
+    hits = _contributions(index, matched)
     # one docket matches at most the vocabulary near a handful of query words
     per_docket = hits.groupBy("docket_id").agg(
         F.sum("s").alias("s"),
@@ -170,15 +244,15 @@ def scored_hits(index: SearchIndex, terms: Column) -> DataFrame:
 
 def docket_search(
     index: SearchIndex,
-    query: str | Column,
+    query: str,
     agency_code: str | None = None,
     sort_by: str = "relevance",
     limit: int = 20,
     offset: int = 0,
 ) -> DataFrame:
     """One page of ranked dockets with their matched terms."""
-    terms = query_terms(query) if isinstance(query, str) else query
-    found = scored_hits(index, terms).join(index.dockets, "docket_id")
+    terms = query_terms(index.terms.sparkSession, query)
+    found = scored_hits(index, match_terms(index, terms)).join(index.dockets, "docket_id")
     if agency_code:
         found = found.where(F.col("agency_code") == agency_code)
     order = [F.desc("score"), F.asc("docket_id")]
@@ -193,7 +267,7 @@ def docket_search(
 
 def docket_search_total(index: SearchIndex, query: str, agency_code: str | None = None) -> DataFrame:
     """Number of matching dockets."""
-    matched = match_terms(index, query_terms(query))
+    matched = match_terms(index, query_terms(index.terms.sparkSession, query))
     hits = keep_listed(index.postings, matched, ["field", "term"]).select("docket_id").distinct()
     if agency_code:
         mine = index.dockets.where(F.col("agency_code") == agency_code).select("docket_id")
@@ -208,8 +282,8 @@ def docket_suggest(index: SearchIndex, query: str, limit: int = 5) -> DataFrame:
     phrase; phrases rank by their mean score.
     """
     text = query.strip()
-    terms = query_terms(text)
-    hits = scored_hits(index, terms).where(F.col("query_terms") == F.size(terms))
+    terms = query_terms(index.terms.sparkSession, text)
+    hits = scored_hits(index, match_terms(index, terms)).where(F.col("query_terms") == len(terms))
     if len(text) < 2:
         hits = hits.limit(0)
     phrases = hits.groupBy(F.array_join("matched_terms", " ").alias("suggestion")).agg(
@@ -236,14 +310,77 @@ def title_terms(title: Column) -> Column:
 def related_dockets(index: SearchIndex, docket_id: str, limit: int = 3) -> DataFrame:
     """Dockets that rank highest for the title words of one docket."""
     mine = index.dockets.where(F.col("docket_id") == docket_id).limit(1)
-    terms = mine.select(title_terms(F.col("title"))).scalar()
-    hits = scored_hits(index, F.coalesce(terms, F.array().cast("array<string>")))
+    words = mine.select(F.explode(title_terms(F.col("title"))).alias("query"))
+    hits = scored_hits(index, match_queries(index, words))
     others = hits.where(F.upper("docket_id") != docket_id.upper())
     order = [F.desc("score"), F.asc("docket_id")]
     page = others.orderBy(*order).limit(limit).join(index.dockets, "docket_id")
     return page.select("docket_id", "agency_code", "title", "score").orderBy(*order)
 
 
+def _pair_scores(pairs: DataFrame, words: DataFrame, parts: DataFrame) -> DataFrame:
+    """(docket_id, other, score) of candidate pairs, from all words of the first docket."""
+    held = pairs.join(words.select("docket_id", "query"), "docket_id").join(parts.withColumnRenamed("docket_id", "other"), ["query", "other"])
+    return held.groupBy("docket_id", "other").agg(F.round(F.sum("s") * F.count("*"), SCORE_DIGITS).alias("score"))
+
+
+def related_to_all(index: SearchIndex, limit: int = 3) -> DataFrame:
+    """(docket_id, place, related_id, agency_code, title, score): the same for every docket, in one top-k join.
+
+    What a query word adds to a docket's score is computed once per word and docket, whoever asks. A
+    word's largest part bounds what it can add elsewhere. Each docket is first compared with a few dockets that
+    have most of its title words or much of one word, which gives a lower bound of its last place. Its most frequent
+    words are then left out of the join as long as all of them together stay below that bound; they are looked
+    up for the candidates of the rarer words alone, and only where these can still reach the bound.
+    """
+    titles = index.dockets.dropDuplicates(["docket_id"]).select("docket_id", title_terms(F.col("title")).alias("words"))
+    words = cut_lineage(titles.select("docket_id", F.explode("words").alias("query")))
+    parts = cut_lineage(
+        _contributions(index, match_queries(index, words)).groupBy("query", "docket_id").agg(F.sum("s").alias("s"))
+    )
+    bounds = parts.groupBy("query").agg(F.count("*").alias("n"), F.max("s").alias("most"))
+    asked = cut_lineage(words.join(bounds, "query"))
+
+    # dockets under every set of all but two of their title words: a few of each set are compared
+    size = F.size("words")
+    masks = F.filter(F.sequence(F.lit(1), F.lit((1 << RELATED_TERMS) - 1)), lambda m: (m < F.call_function("shiftleft", F.lit(1), size)) & (F.bit_count(m) >= size - 2))
+    chosen = F.transform(
+        masks, lambda m: F.xxhash64(F.filter(F.array_sort("words"), lambda w, i: F.call_function("getbit", m, i) == 1))
+    )
+    keyed = cut_lineage(titles.where(size > 0).select("docket_id", F.explode(chosen).alias("key")))
+    alike = keyed.join(top_per_group(keyed, ["key"], [F.asc("docket_id")], SEEDS).select("key", F.col("docket_id").alias("other")), "key")
+    heads = top_per_group(parts, ["query"], [F.desc("s"), F.asc("docket_id")], SEEDS)
+    strong = asked.join(heads.select("query", F.col("docket_id").alias("other")), "query")
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        return pairs.where(F.upper("docket_id") != F.upper("other"))
+
+    seeds = apart(alike.select("docket_id", "other").unionByName(strong.select("docket_id", "other"))).distinct()
+    best = top_per_group(_pair_scores(seeds, asked, parts), ["docket_id"], [F.desc("score"), F.asc("other")], limit)
+    last = best.groupBy("docket_id").agg(F.count("*").alias("places"), F.min("score").alias("least")).where(F.col("places") == limit)
+    floor = F.coalesce("least", F.lit(-1.0)) - 10.0 ** (1 - SCORE_DIGITS)
+
+    # the most frequent words, as long as they cannot reach the floor together
+    frequent = Window.partitionBy("docket_id").orderBy(F.desc("n"), "query")
+    upto = frequent.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = asked.join(last.select("docket_id", "least"), "docket_id", "left").withColumns(
+        {"floor": floor, "sum": F.sum("most").over(upto), "rank": F.row_number().over(frequent)}
+    )
+    judged = cut_lineage(ranked.withColumn("left_out", F.col("sum") * F.col("rank") < F.col("floor")))
+    rest = judged.groupBy("docket_id").agg(
+        F.first("floor").alias("floor"), F.sum(F.when(F.col("left_out"), F.col("most")).otherwise(0.0)).alias("more"),
+        F.count_if("left_out").alias("others"),
+    )
+    met = judged.where(~F.col("left_out")).select("docket_id", "query").join(parts.withColumnRenamed("docket_id", "other"), "query")
+    sums = apart(met).groupBy("docket_id", "other").agg(F.sum("s").alias("s"), F.count("*").alias("c")).join(rest, "docket_id")
+    open_pairs = sums.where((F.col("s") + F.col("more")) * (F.col("c") + F.col("others")) >= F.col("floor")).select("docket_id", "other")
+    scores = _pair_scores(open_pairs, asked, parts)
+    place = F.row_number().over(Window.partitionBy("docket_id").orderBy(F.desc("score"), F.asc("other")))
+    found = scores.withColumn("place", place).where(F.col("place") <= limit)
+    listed = index.dockets.select(F.col("docket_id").alias("other"), "agency_code", "title")
+    return found.join(listed, "other").select("docket_id", "place", F.col("other").alias("related_id"), "agency_code", "title", "score")
+
+
 def search_snippet(text: Column, terms: Column, window: int = 240) -> Column:
     """Text around the first matched term, with an ellipsis at each cut end."""
     lower = F.lower(text)

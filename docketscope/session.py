@@ -13,6 +13,8 @@ SQL_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # lists of keys reach the row groups' statistics and dictionaries
+    "spark.sql.parquet.pushdown.inFilterThreshold": "5000",
     # partition values such as agency codes stay strings
     "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
 }

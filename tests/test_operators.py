@@ -262,7 +262,7 @@ def test_snippet(one):
 
 def test_search_index_round_trip(spark, index, tmp_path):
     index.write(str(tmp_path))
-    stored = SE.SearchIndex(*[spark.read.parquet(f"{tmp_path}/{n}") for n in ("postings", "terms", "fields", "dockets")])
+    stored = SE.SearchIndex.read(spark, str(tmp_path))
     assert found(SE.docket_search(stored, "emission")) == found(SE.docket_search(index, "emission"))
 
 

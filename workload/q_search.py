@@ -58,9 +58,9 @@ _STORED: dict[tuple, str] = {}
 
 def stored_index(t, corpus: str = "corpus") -> SE.SearchIndex:
     """The index of a corpus, built and written once per session, read back for each search."""
-    key = (t.spark.sparkContext.applicationId, t.sf_dir, corpus)
+    ensure_checkpoint_dir(t.spark)
+    key = (t.spark.sparkContext.applicationId, t.spark.sparkContext.getCheckpointDir(), t.sf_dir, corpus)
     if key not in _STORED:
-        ensure_checkpoint_dir(t.spark)
         path = f"{t.spark.sparkContext.getCheckpointDir()}/index-{uuid4().hex}"
         SE.search_index_build(t(corpus)).write(path)
         _STORED[key] = path
@@ -126,6 +126,30 @@ def _(t):
     return rows.withColumn("score", F.round("score", 6))
 
 
+@query("related_dockets_all", "part_corpus part_postings part_tokens", f"""
+    WITH spread AS (SELECT docket_id, w, min(i) AS i FROM (
+            SELECT docket_id, unnest(ws) AS w, unnest(range(len(ws))) AS i
+            FROM (SELECT docket_id, regexp_split_to_array(lower(title), '[^a-z]+') AS ws FROM part_corpus))
+          WHERE length(w) >= 4 AND w NOT IN ({', '.join(f"'{s}'" for s in SE.STOP_WORDS)}) GROUP BY 1, 2),
+    mine AS (SELECT docket_id, w AS q FROM spread
+             QUALIFY row_number() OVER (PARTITION BY docket_id ORDER BY length(w) DESC, i) <= 5),
+    q AS (SELECT DISTINCT q FROM mine), {hits_sql('part_')},
+    parts AS (
+      SELECT p.docket_id AS other, m.q,
+             sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * CASE field WHEN 'title' THEN 3.0 ELSE 1.0 END * weight
+                 * (0.5 + tf * 2.2 / (tf + 1.2 * (1 - 0.7 + 0.7 * p.length / avg_length)))) AS s
+      FROM part_postings p JOIN matched m USING (field, term) JOIN sizes USING (field) WHERE weight IS NOT NULL GROUP BY ALL),
+    scored AS (
+      SELECT m.docket_id, other, round(sum(s) * count(*), 6) AS score FROM mine m JOIN parts USING (q)
+      WHERE other <> m.docket_id GROUP BY m.docket_id, other
+      QUALIFY row_number() OVER (PARTITION BY m.docket_id ORDER BY round(sum(s) * count(*), 6) DESC, other) <= 3)
+    SELECT s.docket_id, row_number() OVER (PARTITION BY s.docket_id ORDER BY score DESC, other) AS place, other AS related_id,
+           agency_code, title, score
+    FROM scored s JOIN part_corpus p ON p.docket_id = other""")
+def _(t):
+    return SE.related_to_all(stored_index(t, "part_corpus"))
+
+
 @query("search_snippet", "corpus", """
     WITH x AS (SELECT docket_id, abstract AS t, list_min(list_filter(
                  [instr(lower(abstract), 'nation'), instr(lower(abstract), 'ther')], lambda p: p > 0)) - 1 AS f
