@@ -1,29 +1,33 @@
 """Approximate nearest neighbours: multiprobe p-stable hashing.
 
-Largest inner products are nearest neighbours after one coordinate is appended, sqrt(M**2 - |x|**2) for
-rows and 0 for queries (M the largest norm). Each table hashes a vector with a few Gaussian projections,
-floor((a.x + b) / w). A query visits its own bucket and perturbed buckets in the order of their estimated
-success: sets of +-1 steps by rising sum of squared distances to the cell walls, made with a heap (Lv et
-al. 2007). The index holds every row. Buckets are met in blocks of bounded size: a bucket with many rows or
-queries is dealt over several blocks, each gives a query's best in it, and the merge takes the nearest over
-all tables. Scores are inner products of the original vectors in double precision.
-
-The number of projections grows with the logarithm of the number of rows; the number of probes is
-fitted on a sample of at most SAMPLE rows so that neighbours at the wanted rank are found with TARGET
-probability. Where MOST_PROBES probes do not find them, there are fewer projections and larger buckets, down
-to a single bucket, which is an exact search. Queries that find fewer rows than there are to find meet all
-rows in blocks.
+Rows are divided into ranges of norms by powers of two. In a range, largest inner products are nearest neighbours after
+one coordinate is appended, sqrt(M**2 - |x|**2) for rows and 0 for queries (M the range's largest norm), so a few
+very long vectors do not blur the hashing of the others. Each table of a range hashes a vector with Gaussian projections,
+floor((a.x + b) / w). A query visits its own bucket and perturbed buckets in the order of their estimated success:
+sets of +-1 steps by rising sum of squared distances to the cell walls (Lv et al. 2007), as far as a fitted sum. The
+index holds every row. Scores are inner products of the original vectors in double precision.
+
+The first projections of a table name a block of about BLOCK_ROWS rows, the others a bucket in it. A query's vector
+travels once to each block with a bucket to visit, and the task of the block lists the buckets; only their rows
+are compared. Blocks with many rows or queries are dealt over several tasks, each gives a query's best, and the
+merge takes the nearest over all tables.
+
+Tables, projections, width and sum are fitted together: of all settings with which TARGET of the exact neighbours of a
+few queries are found (SAMPLE_QUERIES, by a scan of all rows), the one with the
+fewest comparisons, judged by SAMPLE rows, and visits. A range of
+at most BUCKET_ROWS rows is one bucket, and so is one for which no setting saves comparisons: both are exact. Queries that
+find fewer rows than there are to find meet all rows in blocks.
 
 Cases: vectors that are null, zero, of another length than most, or hold null or non-finite components
 take no part, nor do rows without id; an id that occurs more than once is one candidate, with its best
-score; ties go to the smaller id; with few rows there is one bucket and the search is exact; an empty
-table gives no rows; other columns are ignored.
+score; ties go to the smaller id; scores that overflow are infinite and rank as such; a table of BUCKET_ROWS rows is searched
+exactly; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
+from itertools import product
 from math import ceil, log2
 
 import numpy as np
@@ -33,34 +37,67 @@ from pyspark.sql import functions as F
 
 from docketscope.llm.runtime import columns
 from docketscope.llm.textbytes import mix
+from docketscope.operators.lookups import top_per_group
 from docketscope.session import cut_lineage
 
 NEAREST = 20
-TABLES = 2
-WIDTH = 2.0
 BUCKET_ROWS = 4096
-BLOCK_ROWS = 8192
-SAMPLE = 4096
-SAMPLE_QUERIES = 256
-TARGET = 0.95
-MOST_PROBES = 4096
+BLOCK_ROWS = 16384
+# A visit to a block costs about as much as comparing so many rows.
+VISIT_ROWS = 256
+SAMPLE = 2048
+SAMPLE_QUERIES = 128
+TARGET = 0.94
+MOST_PROBES = 8192
 SEED = 6
+# Settings that are tried: tables, projections, widths in standard deviations of a projection.
+SETTINGS = tuple(product((1, 2), (2, 4, 6, 8, 10, 12, 14, 16, 20), (1.5, 2.0, 3.0)))
+# Norms below the largest by more than this power of two share the last range.
+RANGES = 16
 # Queries, and rows of their lists, that are merged together.
 MERGED_QUERIES = 64
 MERGED_ROWS = 8192
 MERGED_PARTS = 64
 
 
+def perturbations(low: np.ndarray, budget: float, most: int | None = None) -> tuple[np.ndarray, np.ndarray] | None:
+    """(steps, costs) of all sets of -1, 0 or +1 steps whose cost is within the budget, cheapest first.
+
+    ``low`` is the place within the cell, 0 to 1 per projection; a step costs the squared distance to the wall it
+    crosses. None if there are more than ``most``.
+    """
+    steps, costs = np.zeros((1, 0), dtype=np.int64), np.zeros(1)
+    for d in low:
+        sums = np.concatenate((costs, costs + d * d, costs + (1 - d) ** 2))
+        kept = np.flatnonzero(sums <= budget)
+        if most is not None and len(kept) > most:
+            return None
+        n = len(costs)
+        steps = np.column_stack((steps[kept % n], np.array([0, -1, 1])[kept // n]))
+        costs = sums[kept]
+    order = np.argsort(costs, kind="stable")
+    return steps[order], costs[order]
+
+
+def _codes(first: np.ndarray, lattice: np.ndarray) -> np.ndarray:
+    """64-bit codes of integer places, one row each, that begin from ``first``."""
+    code = first.astype(np.int64).view(np.uint64)
+    for k in range(lattice.shape[1]):
+        code = mix(code * np.uint64(0x9E3779B97F4A7C15) + lattice[:, k].astype(np.int64).view(np.uint64))
+    return mix(code).view(np.int64)
+
+
 class Hashing:
-    """Seeded projections of all tables; ``spread`` is the standard deviation of each projection."""
+    """Seeded projections of the tables of one range of norms, and how far its queries probe."""
 
-    def __init__(self, dim: int, bits: int, norm: float, sample: np.ndarray) -> None:
+    def __init__(self, number: int, norm: float, sample: np.ndarray, tables: int = 1, bits: int = 0, width: float = 1.0) -> None:
         rng = np.random.Generator(np.random.PCG64(SEED))
-        self.norm, self.bits = norm, bits
-        self.a = rng.standard_normal((TABLES * bits, dim + 1))
-        shift = rng.random(TABLES * bits)
-        spread = (self.rows(sample) @ self.a.T).std(axis=0) if bits and len(sample) else np.ones(TABLES * bits)
-        self.width = WIDTH * np.where(spread > 0, spread, 1.0)
+        self.number, self.norm, self.tables, self.bits = number, norm, tables, bits
+        self.head, self.budget = 0, 0.0
+        self.a = rng.standard_normal((tables * bits, sample.shape[1] + 1))
+        shift = rng.random(tables * bits)
+        spread = (self.rows(sample) @ self.a.T).std(axis=0) if bits and len(sample) else np.ones(tables * bits)
+        self.width = width * np.where(spread > 0, spread, 1.0)
         self.b = shift * self.width
 
     def rows(self, x: np.ndarray) -> np.ndarray:
@@ -68,171 +105,205 @@ class Hashing:
         rest = np.sqrt(np.maximum(self.norm**2 - (x * x).sum(axis=1), 0))
         return np.column_stack((x, rest))
 
-    def cells(self, augmented: np.ndarray) -> np.ndarray:
-        """Real-valued lattice places, one row per vector, tables side by side."""
-        return (augmented @ self.a.T + self.b) / self.width
+    def cells(self, augmented: np.ndarray, table: int) -> np.ndarray:
+        """Real-valued lattice places in one table, one row per vector."""
+        part = slice(table * self.bits, (table + 1) * self.bits)
+        return (augmented @ self.a[part].T + self.b[part]) / self.width[part]
 
-    def codes(self, lattice: np.ndarray, table: int) -> np.ndarray:
-        """64-bit bucket code of integer places (vectors x bits) of one table."""
-        code = np.full(len(lattice), table + 1, dtype=np.uint64)
-        for k in range(self.bits):
-            code = mix(code * np.uint64(0x9E3779B97F4A7C15) + lattice[:, k].astype(np.int64).view(np.uint64))
-        return mix(code).view(np.int64)
+    def places(self, queries: np.ndarray, table: int) -> np.ndarray:
+        return self.cells(np.column_stack((queries, np.zeros(len(queries)))), table)
 
+    def family(self, table: int) -> int:
+        return self.number * 64 + table
 
-def probe_sets(place: np.ndarray, probes: int) -> list[list[tuple[int, int]]]:
-    """The first ``probes`` perturbations of one place: lists of (dimension, step), the empty one first."""
-    low = place - np.floor(place)
-    steps = sorted(
-        [(d * d, k, -1) for k, d in enumerate(low)] + [((1 - d) ** 2, k, 1) for k, d in enumerate(low)]
-    )
-    found: list[list[tuple[int, int]]] = [[]]
-    if not steps:
-        return found
-    heap = [(steps[0][0], (0,))]
-    while heap and len(found) < probes:
-        cost, chosen = heapq.heappop(heap)
-        last = chosen[-1]
-        if last + 1 < len(steps):
-            more = steps[last + 1][0]
-            heapq.heappush(heap, (cost + more, (*chosen, last + 1)))
-            heapq.heappush(heap, (cost - steps[last][0] + more, (*chosen[:-1], last + 1)))
-        dims = [steps[i][1] for i in chosen]
-        if len(set(dims)) == len(dims):
-            found.append([(steps[i][1], steps[i][2]) for i in chosen])
-    return found
-
-
-def probed_codes(hashing: Hashing, queries: np.ndarray, probes: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(query number, distinct bucket codes to visit in rising order)."""
-    cells = hashing.cells(np.column_stack((queries, np.zeros(len(queries)))))
-    for q in range(len(queries)):
-        codes = []
-        for table in range(TABLES):
-            place = cells[q, table * hashing.bits : (table + 1) * hashing.bits]
-            sets = probe_sets(place, probes)
-            lattice = np.repeat(np.floor(place)[None, :], len(sets), axis=0)
-            for i, chosen in enumerate(sets):
-                for k, step in chosen:
-                    lattice[i, k] += step
-            codes.append(hashing.codes(lattice, table))
-        yield q, np.unique(np.concatenate(codes))
-
-
-def fit_probes(hashing: Hashing, sample: np.ndarray, rows: int, nearest: int) -> int | None:
-    """Fewest probes per table with which TARGET of the sample's neighbours of like rank are found, if there are any."""
-    if hashing.bits == 0 or len(sample) < 2:
-        return 1
-    queries = sample[:SAMPLE_QUERIES]
-    want = max(1, ceil(nearest * len(sample) / max(rows, 1)))
-    scores = queries @ sample.T
-    scores[np.arange(len(queries)), np.arange(len(queries))] = -np.inf
-    near = np.argsort(-scores, axis=1)[:, :want]
-    lattice = np.floor(hashing.cells(hashing.rows(sample)))
-    cells = hashing.cells(np.column_stack((queries, np.zeros(len(queries)))))
-    most = min(MOST_PROBES, 3**hashing.bits)
-    first = np.full(near.shape, most + 1)
-    for table in range(TABLES):
-        part = slice(table * hashing.bits, (table + 1) * hashing.bits)
-        for q in range(len(queries)):
-            floor = np.floor(cells[q, part])
-            moves = {tuple(m): i for i, m in reversed(list(enumerate(map(sorted, probe_sets(cells[q, part], most)))))}
-            for j, row in enumerate(near[q]):
-                step = lattice[row, part] - floor
-                key = tuple((k, int(s)) for k, s in enumerate(step) if s)
-                first[q, j] = min(first[q, j], moves.get(key, most) + 1)
-    rank = np.sort(first.ravel())
-    probes = int(rank[min(len(rank) - 1, ceil(TARGET * len(rank)) - 1)])
-    return probes if probes <= most else None
-
-
-def fit_hashing(dim: int, norm: float, sample: np.ndarray, rows: int, nearest: int) -> tuple[Hashing, int]:
-    """The most projections, up to one per doubling beyond BUCKET_ROWS, that reach TARGET, and their probes."""
-    bits = max(0, round(log2(max(rows, 1) / BUCKET_ROWS)))
-    while True:
-        hashing = Hashing(dim, bits, norm, sample)
-        probes = fit_probes(hashing, sample, rows, nearest)
-        if probes is not None:  # always so with one bucket
-            return hashing, probes
-        bits -= 1
+    def blocks(self, heads: np.ndarray, table: int) -> np.ndarray:
+        return _codes(np.full(len(heads), self.family(table) + 1), heads)
+
+    def index(self, x: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
+        """(block, bucket) of rows in one table."""
+        lattice = np.floor(self.cells(self.rows(x), table))
+        return self.blocks(lattice[:, : self.head], table), _codes(np.zeros(len(x)), lattice[:, self.head :])
+
+    def visits(self, place: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
+        """(block, cost so far) of every block in which a query has buckets to visit."""
+        floor = np.floor(place)
+        steps, costs = perturbations((place - floor)[: self.head], self.budget)
+        return self.blocks(floor[: self.head] + steps, table), costs
+
+    def buckets(self, place: np.ndarray, spent: float) -> np.ndarray:
+        """Codes of the buckets to visit in a block, by rising cost."""
+        floor = np.floor(place)
+        steps, _ = perturbations((place - floor)[self.head :], self.budget - spent)
+        return _codes(np.zeros(len(steps)), floor[self.head :] + steps)
+
+
+def _costs(places: np.ndarray, lattice: np.ndarray) -> np.ndarray:
+    """Cost of the step from one query's place to each row's cell; infinite beyond one step."""
+    floor = np.floor(places)
+    low, step = places - floor, lattice - floor
+    each = np.where(step == 0, 0.0, np.where(step == -1, low * low, np.where(step == 1, (1 - low) ** 2, np.inf)))
+    return each.sum(axis=1)
+
+
+def fit(number: int, norm: float, rows: int, sample: np.ndarray, queries: np.ndarray, near: list[np.ndarray]) -> Hashing:
+    """The setting of one range that finds TARGET of the near rows of the queries with the fewest comparisons.
+
+    ``near`` holds each query's exact neighbours in the range, ``sample`` rows of the range.
+    """
+    exact = Hashing(number, norm, sample)
+    if rows <= BUCKET_ROWS or len(sample) < 16:
+        return exact
+    best, least = exact, 1.0
+    found = sum(len(n) for n in near)
+    for tables, bits, width in SETTINGS:
+        tried = Hashing(number, norm, sample, tables, bits, width)
+        augmented = tried.rows(sample)
+        want, cost = [], []
+        for table in range(tables):
+            lattice, places = np.floor(tried.cells(augmented, table)), tried.places(queries, table)
+            cost.append(np.stack([_costs(p, lattice) for p in places]))
+            want.append(np.concatenate([_costs(p, np.floor(tried.cells(tried.rows(n), table))) for p, n in zip(places, near, strict=True)]))
+        # without near rows in the range, a query visits its own bucket
+        tried.budget = float(np.sort(np.min(want, axis=0))[ceil(TARGET * found) - 1]) if found else 0.0
+        if not np.isfinite(tried.budget):
+            continue
+        compared = float(np.mean(np.sum([c <= tried.budget for c in cost], axis=0)))
+        if compared >= least:
+            continue
+        lows = [p - np.floor(p) for p in tried.places(queries[:8], 0)]
+        if any(perturbations(low, tried.budget, MOST_PROBES) is None for low in lows):
+            continue
+        tried.head = min(bits, max(0, int(log2(rows / BLOCK_ROWS))))
+        blocks = tables * np.mean([len(perturbations(low[: tried.head], tried.budget)[0]) for low in lows])
+        cost_of_all = compared + blocks * VISIT_ROWS / rows
+        if cost_of_all < least:
+            best, least = tried, cost_of_all
+    return best
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float64).reshape(-1, dim)
 
 
-def _packed(vectors: DataFrame) -> DataFrame:
-    """(id, x): vectors as bytes of doubles."""
+def _packed(vectors: DataFrame, largest: float) -> DataFrame:
+    """(id, x, range): vectors as bytes of doubles, and the range of their norms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            rows = [np.asarray(v, dtype=np.float64).tobytes() for v in part.column("v").to_numpy(zero_copy_only=False)]
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(rows, pa.binary())], ["id", "x"])
+            if not part.num_rows:
+                continue
+            x = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+            scaled = x / largest
+            with np.errstate(divide="ignore"):
+                norm = np.log2(np.sqrt((scaled * scaled).sum(axis=1)))
+            number = np.clip(np.floor(-norm), 0, RANGES - 1).astype(np.int32)
+            rows = pa.array([r.tobytes() for r in x], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("id"), rows, pa.array(number)], ["id", "x", "range"])
 
-    return vectors.mapInArrow(run, "id long, x binary")
+    return vectors.mapInArrow(run, "id long, x binary, range int")
 
 
-def best_in_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, nearest: int) -> Iterator[tuple]:
-    """(query id, ids, scores): the nearest rows of one block for each query, its own id left out."""
+def _best(ids: np.ndarray, x: np.ndarray, query_id: int, q: np.ndarray, nearest: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, scores) of the nearest of some rows to one query, its own id left out."""
     with np.errstate(over="ignore", invalid="ignore"):
-        rough = q @ x.T
-    scale = np.sqrt((q * q).sum(axis=1)) * np.sqrt((x * x).sum(axis=1)).max()
-    for k in range(len(q)):
-        line = np.where(ids == query_ids[k], -np.inf, rough[k])
-        if len(line) > nearest:
-            bound = np.partition(line, -nearest)[-nearest]
-            chosen = np.flatnonzero(line >= bound - 1e-11 * scale[k])
-        else:
-            chosen = np.arange(len(line))
-        chosen = chosen[ids[chosen] != query_ids[k]]
-        if len(chosen):
-            # summed row by row, so that equal vectors get equal scores
-            exact = (x[chosen] * q[k]).sum(axis=1)
-            order = np.lexsort((ids[chosen], -exact))[:nearest]
-            yield query_ids[k], ids[chosen][order], exact[order]
-
-
-def _meet(index: DataFrame, visits: DataFrame, dim: int, nearest: int) -> DataFrame:
-    """(query_id, vec_ids, scores) of every query and block, from (cell, id, x) on both sides.
-
-    Cells are dealt over blocks of bounded size.
+        rough = np.where(ids == query_id, -np.inf, x @ q)
+        rough = np.where(np.isnan(rough), -np.inf, rough)
+        chosen = np.flatnonzero(ids != query_id)
+        if len(chosen) > nearest:
+            scale = np.sqrt((q * q).sum()) * np.sqrt((x * x).sum(axis=1)).max()
+            bound = np.partition(rough, -nearest)[-nearest]
+            if np.isfinite(bound) and np.isfinite(scale):
+                chosen = chosen[rough[chosen] >= bound - 1e-11 * scale]
+        # summed row by row, so that equal vectors get equal scores
+        exact = (x[chosen] * q).sum(axis=1)
+    order = np.lexsort((ids[chosen], -exact))[:nearest]
+    return ids[chosen][order], exact[order]
+
+
+def _meet(index: DataFrame, visits: DataFrame, dim: int, nearest: int, hashings: dict[int, Hashing] | None = None) -> DataFrame:
+    """(query_id, vec_ids, scores) of every query and block: (block, id, cell, x) meet (block, id, x, spent, family).
+
+    Blocks are dealt over tasks of bounded size. Without ``hashings`` all rows of a block are compared.
     """
-
-    visits = visits.toDF("cell", "id", "x")  # columns of its own, also when both sides come from one table
+    shared = index.sparkSession.sparkContext.broadcast(hashings)
+    visits = visits.toDF("block", "id", "x", "spent", "family")  # columns of its own, also when both sides come from one table
 
     def parts(side: DataFrame, name: str) -> DataFrame:
-        return side.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias(name))
+        return side.groupBy("block").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias(name))
 
-    sizes = parts(index, "i_parts").join(parts(visits, "q_parts"), "cell")
+    sizes = parts(index, "i_parts").join(parts(visits, "q_parts"), "block")
 
-    def dealt(side: DataFrame, own: str, other: str, own_name: str, other_name: str) -> DataFrame:
-        return side.join(sizes, "cell").select(
-            "cell", F.pmod(F.xxhash64("id"), F.col(own)).cast("int").alias(own_name),
-            F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other_name), "id", "x",
-        ).select("cell", "i", "q", "id", "x")
+    def dealt(side: DataFrame, own: str, other: str, own_name: str, other_name: str, *more: str) -> DataFrame:
+        return side.join(sizes, "block").select(
+            "block", F.pmod(F.xxhash64("id"), F.col(own)).cast("int").alias(own_name),
+            F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other_name), "id", "x", *more,
+        ).select("block", "i", "q", "id", "x", *more)
 
-    rows = dealt(index, "i_parts", "q_parts", "i", "q")
-    asks = dealt(visits, "q_parts", "i_parts", "q", "i")
+    rows = dealt(index, "i_parts", "q_parts", "i", "q", "cell")
+    asks = dealt(visits, "q_parts", "i_parts", "q", "i", "spent", "family")
     kind = pa.schema([("query_id", pa.int64()), ("vec_id", pa.list_(pa.int64())), ("score", pa.list_(pa.float64()))])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         found = []
         if left.num_rows and right.num_rows:
-            ids, x = left.column("id").to_numpy(), _matrix(left.column("x"), dim)
+            cell = left.column("cell").to_numpy()
+            order = np.argsort(cell, kind="stable")
+            ids, x = left.column("id").to_numpy()[order], _matrix(left.column("x"), dim)[order]
+            cells, firsts = np.unique(cell[order], return_index=True)
+            ends = np.append(firsts[1:], len(ids))
             query_ids, q = right.column("id").to_numpy(), _matrix(right.column("x"), dim)
-            for a in range(0, len(q), 512):
-                found.extend(best_in_block(ids, x, query_ids[a : a + 512], q[a : a + 512], nearest))
+            tools, family = shared.value, right.column("family").to_numpy()
+            tool = None if tools is None else tools[int(family[0]) // 64]
+            if tool is not None:
+                places, spent = tool.places(q, int(family[0]) % 64), right.column("spent").to_numpy()
+            for k in range(len(q)):
+                some, chosen = ids, x
+                if tool is not None and tool.bits:
+                    codes = tool.buckets(places[k], spent[k])
+                    at = np.searchsorted(cells, codes)
+                    at = at[(at < len(cells)) & (cells[np.minimum(at, len(cells) - 1)] == codes)]
+                    if not len(at):
+                        continue
+                    taken = np.concatenate([np.arange(firsts[c], ends[c]) for c in at])
+                    some, chosen = ids[taken], x[taken]
+                best, scores = _best(some, chosen, query_ids[k], q[k], nearest)
+                if len(best):
+                    found.append((query_ids[k], best, scores))
         return pa.Table.from_arrays(
             [pa.array([f[k] for f in found], t.type) for k, t in enumerate(kind)], schema=kind
         )
 
-    key = ("cell", "i", "q")
+    key = ("block", "i", "q")
     return rows.groupBy(*key).cogroup(asks.groupBy(*key)).applyInArrow(run, _FOUND)
 
 
 _FOUND = "query_id long, vec_id array<long>, score array<double>"
 
 
+def _exact_near(packed: DataFrame, ids: np.ndarray, queries: np.ndarray, nearest: int) -> list[tuple[int, int, bytes]]:
+    """(query number, range, vector) of the exact nearest rows of a few queries: one scan, a short list per task."""
+    dim = queries.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[tuple]] = [[] for _ in queries]
+        for batch in batches:
+            for first in range(0, batch.num_rows, 4096):
+                part = batch.slice(first, 4096)
+                own, x = part.column("id").to_numpy(), _matrix(part.column("x"), dim)
+                number = part.column("range").to_numpy()
+                for k, q in enumerate(queries):
+                    best, scores = _best(np.arange(len(own)), np.where((own == ids[k])[:, None], 0.0, x), -1, q, nearest)
+                    held[k].extend((s, int(number[i]), x[i].tobytes()) for i, s in zip(best, scores, strict=True) if own[i] != ids[k])
+                    held[k] = sorted(held[k], reverse=True)[:nearest]
+        rows = [(k, *row) for k, some in enumerate(held) for row in some]
+        kinds = {"q": pa.int32(), "score": pa.float64(), "range": pa.int32(), "x": pa.binary()}
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.values())], list(kinds))
+
+    found = packed.mapInArrow(run, "q int, score double, range int, x binary")
+    best = top_per_group(found, ["q"], [F.desc("score"), F.asc("x")], nearest)
+    return [(r["q"], r["range"], bytes(r["x"])) for r in best.collect()]  # at most SAMPLE_QUERIES * nearest rows
+
+
 def _nearest_of(found: DataFrame, queries: int, nearest: int) -> DataFrame:
     """One row per query: its nearest ids and scores over all the blocks it met.
 
@@ -292,8 +363,9 @@ def search(
         & F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False))
     )
     square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    largest = F.max(F.sqrt(square))
     shape = (
-        good.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max(square).alias("square"))
+        good.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), largest.alias("largest"))
         .orderBy(F.desc("n"), "dim").first()
     )
     if shape is None:
@@ -301,50 +373,75 @@ def search(
             F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")
         ).where(F.lit(False))
     dim, count = shape["dim"], shape["n"]
+    # norms beyond double precision share the first range, which is then searched exactly
+    norm = shape["largest"] if 0 < shape["largest"] < float("inf") else float("inf")
     good = good.where(F.size("v") == dim)
-    chosen = good.orderBy(F.xxhash64(F.lit(SEED), "id"), "id").limit(SAMPLE).select("v").toPandas()["v"]
-    sample = np.array([np.asarray(v, dtype=np.float64) for v in chosen]).reshape(-1, dim)
-    hashing, probes = fit_hashing(dim, float(np.sqrt(shape["square"])), sample, count, nearest)
-    shared = context.broadcast(hashing)
+    packed = _packed(good.select("id", "v"), norm if norm < float("inf") else 1.0)
+    hashings = {0: Hashing(0, norm, np.zeros((0, dim)))}
+    if count > BUCKET_ROWS and norm < float("inf"):
+        chosen = packed.orderBy(F.xxhash64(F.lit(SEED), "id"), "id").limit(SAMPLE).toPandas()
+        sample = np.stack([np.frombuffer(x) for x in chosen["x"]])
+        queries = sample[:SAMPLE_QUERIES]
+        near = _exact_near(packed, chosen["id"].to_numpy()[: len(queries)], queries, nearest)
+        for row in packed.groupBy("range").agg(F.count("*").alias("n")).collect():  # at most RANGES rows
+            number = row["range"]
+            mine = [[np.frombuffer(x) for k, r, x in near if k == q and r == number] for q in range(len(queries))]
+            hashings[number] = fit(
+                number, norm * 2.0**-number, row["n"], sample[(chosen["range"] == number).to_numpy()],
+                queries, [np.array(m).reshape(-1, dim) for m in mine],
+            )
+    else:
+        packed = packed.withColumn("range", F.lit(0))
+    shared = context.broadcast(hashings)
 
     def index_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = shared.value
         for part in batches:
-            if not part.num_rows:
-                continue
-            lattice = np.floor(tool.cells(tool.rows(_matrix(part.column("x"), dim))))
-            for table in range(TABLES if tool.bits else 1):
-                codes = tool.codes(lattice[:, table * tool.bits : (table + 1) * tool.bits], table)
-                yield pa.RecordBatch.from_arrays([pa.array(codes), part.column("id"), part.column("x")], ["cell", "id", "x"])
+            number = part.column("range").to_numpy()
+            for r in np.unique(number):
+                tool, some = shared.value[int(r)], part.filter(pa.array(number == r))
+                x = _matrix(some.column("x"), dim)
+                for table in range(tool.tables):
+                    block, cell = tool.index(x, table) if tool.bits else (tool.blocks(np.zeros((len(x), 0)), 0), np.zeros(len(x), np.int64))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(block), some.column("id"), pa.array(cell), some.column("x")], ["block", "id", "cell", "x"]
+                    )
 
     def visit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = shared.value
-        for whole in batches:
-            for a in range(0, whole.num_rows, 256):
-                part = whole.slice(a, 256)
-                found = list(probed_codes(tool, _matrix(part.column("x"), dim), probes))
-                at = np.repeat([q for q, _ in found], [len(c) for _, c in found])
-                codes = np.concatenate([c for _, c in found])
-                picked = part.take(pa.array(at, pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(codes), picked.column("id"), picked.column("x")], ["cell", "id", "x"])
-
-    packed = _packed(good)
-    queries = packed.where(is_query)
-    kind = "cell long, id long, x binary"
-    index = packed.mapInArrow(index_rows, kind)
-    visits = queries.mapInArrow(visit_rows, kind)
-
-    asked = queries.select("id").distinct()
+        for part in batches:
+            x = _matrix(part.column("x"), dim)
+            for tool in shared.value.values():
+                for table in range(tool.tables):
+                    places = tool.places(x, table)
+                    found = [tool.visits(p, table) for p in places]
+                    if not found:
+                        continue
+                    picked = part.take(pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found])))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.concatenate([f[0] for f in found])), picked.column("id"), picked.column("x"),
+                            pa.array(np.concatenate([f[1] for f in found])),
+                            pa.array(np.full(picked.num_rows, tool.family(table), np.int32)),
+                        ],
+                        ["block", "id", "x", "spent", "family"],
+                    )
+
+    asking = packed.where(is_query)
+    index = packed.mapInArrow(index_rows, "block long, id long, cell long, x binary")
+    visits = asking.mapInArrow(visit_rows, "block long, id long, x binary, spent double, family int")
+
+    asked = asking.select("id").distinct()
     number = asked.count()
-    result = cut_lineage(_nearest_of(cut_lineage(_meet(index, visits, dim, nearest)), number, nearest))
+    result = cut_lineage(_nearest_of(cut_lineage(_meet(index, visits, dim, nearest, hashings)), number, nearest))
     short = cut_lineage(
         asked.join(result, F.col("id") == F.col("query_id"), "left")
         .where(F.coalesce(F.size("vec_id"), F.lit(0)) < min(nearest, count - 1)).select("id")
     )
     if not short.isEmpty():
-        everywhere = F.lit(0).cast("long").alias("cell")
+        everywhere, none = F.lit(0).cast("long"), F.lit(0)
         rest = _meet(
-            packed.select(everywhere, "id", "x"), queries.join(short, "id", "left_semi").select(everywhere, "id", "x"), dim, nearest
+            packed.select(everywhere.alias("block"), "id", everywhere.alias("cell"), "x"),
+            asking.join(short, "id", "left_semi").select(everywhere.alias("block"), "id", "x", none.cast("double").alias("spent"), none.alias("family")),
+            dim, nearest,
         )
         rest = _nearest_of(cut_lineage(rest), number, nearest)
         result = result.join(short, F.col("query_id") == F.col("id"), "left_anti").unionByName(rest)

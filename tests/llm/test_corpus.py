@@ -355,20 +355,64 @@ def test_search_reaches_its_target_with_few_probes(spark, monkeypatch):
     test_search_recall(spark, monkeypatch, 60)
 
 
-def test_projections_are_as_many_as_the_probes_can_cover(monkeypatch):
-    monkeypatch.setattr(neighbours, "MOST_PROBES", 64)
-    x = np.random.default_rng(6).standard_normal((4096, 64))
-    x /= np.sqrt((x * x).sum(axis=1))[:, None]
-    hashing, probes = neighbours.fit_hashing(64, 1.0, x, 1_000_000, 20)
-    assert hashing.bits < 8 and probes <= neighbours.MOST_PROBES
-    # of new queries, as many nearest rows of the sample lie within the probes
-    fresh = np.random.default_rng(7).standard_normal((200, 64))
-    fresh /= np.sqrt((fresh * fresh).sum(axis=1))[:, None]
-    near = np.argmax(fresh @ x.T, axis=1)
-    lattice, bits = np.floor(hashing.cells(hashing.rows(x))), hashing.bits
-    codes = [hashing.codes(lattice[:, t * bits : (t + 1) * bits], t) for t in range(neighbours.TABLES)]
-    found = [any(c[near[q]] in seen for c in codes) for q, seen in neighbours.probed_codes(hashing, fresh, probes)]
-    assert np.mean(found) >= 0.9
+def unit_rows(n, seed, spread=None):
+    """Unit vectors in 64 dimensions: random, or round 100 centres."""
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((n, 64))
+    if spread is not None:
+        x = rng.standard_normal((100, 64))[rng.integers(0, 100, n)] + spread * x
+    return x / np.sqrt((x * x).sum(axis=1))[:, None]
+
+
+def fitted(x, queries, rows=None, nearest=20):
+    scores = queries @ x.T
+    near = [x[i] for i in np.argsort(-scores, axis=1)[:, 1 : nearest + 1]]
+    return neighbours.fit(0, 1.0, rows or len(x), x[: neighbours.SAMPLE], queries, near)
+
+
+def compared(hashing, x, q):
+    """Numbers of the rows that one query compares, with repetitions over tables."""
+    rows = []
+    for table in range(hashing.tables):
+        block, cell = hashing.index(x, table)
+        place = hashing.places(q[None, :], table)[0]
+        for b, spent in zip(*hashing.visits(place, table)):
+            rows.append(np.flatnonzero((block == b) & np.isin(cell, hashing.buckets(place, spent))))
+    return np.concatenate(rows)
+
+
+@pytest.mark.parametrize("spread, most", [(None, 0.75), (0.4, 0.2)])
+def test_fewer_comparisons_than_rows(spread, most):
+    x = unit_rows(51282, 6, spread)
+    hashing = fitted(x, x[: neighbours.SAMPLE_QUERIES])
+    assert hashing.bits > 0
+    met, hits = 0, 0
+    for q in range(10000, 10040):  # queries that the fit has not seen
+        rows = compared(hashing, x, x[q])
+        near = np.argsort(-(x @ x[q]))[1:21]
+        met, hits = met + len(rows), hits + len(set(near) & set(rows.tolist()))
+    assert hits / (40 * 20) >= 0.9
+    assert met / (40 * len(x)) <= most
+
+
+def test_search_hashes_with_production_parameters(spark):
+    x = unit_rows(6000, 3, 0.5)
+    x[17] *= 1000  # one long vector does not end the hashing of the others
+    x[40] *= 1e-9
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    found = defaultdict(list)
+    for r in neighbours.search(df, "id % 20 = 0").collect():
+        found[r["query_id"]].append(r["vec_id"])
+    want = exact_search(np.arange(6000), x)
+    assert found.keys() == want.keys() and all(len(v) == 20 for v in found.values())
+    assert sum(len({v for v, _ in near} & set(found[q])) for q, near in want.items()) >= 0.9 * 20 * len(want)
+
+
+def test_search_scores_beyond_doubles(spark):
+    rows = [(i, [1e300 * (i + 1), -1e300, 1.0]) for i in range(30)] + [(40, [1.0, 2.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = neighbours.search(df, "id % 20 = 0").toPandas()
+    assert (found.groupby("query_id").size() == 20).all() and sorted(found["query_id"].unique()) == [0, 20, 40]
 
 
 def test_search_odd_vectors(spark, monkeypatch):
@@ -397,12 +441,14 @@ def test_search_odd_vectors(spark, monkeypatch):
 def test_probes_come_in_order_of_distance():
     rng = np.random.default_rng(4)
     for _ in range(30):
-        place = rng.uniform(-3, 3, 4)
-        low = place - np.floor(place)
-        sets = neighbours.probe_sets(place, 81)
-        cost = [sum((low[k] if s < 0 else 1 - low[k]) ** 2 for k, s in chosen) for chosen in sets]
-        assert len(sets) == 81 == len({tuple(sorted(c)) for c in sets})
-        assert cost == sorted(cost) or np.allclose(cost, sorted(cost))
+        low = rng.random(4)
+        steps, costs = neighbours.perturbations(low, 9.0)
+        cost = [sum((low[k] if s < 0 else 1 - low[k]) ** 2 for k, s in enumerate(chosen) if s) for chosen in steps.tolist()]
+        assert len(steps) == 81 == len({tuple(c) for c in steps.tolist()})
+        assert np.allclose(cost, costs) and (np.diff(costs) >= 0).all()
+        few, within = neighbours.perturbations(low, 0.7)
+        assert len(few) == sum(c <= 0.7 for c in costs) and (within <= 0.7).all()
+        assert neighbours.perturbations(low, 9.0, 80) is None
 
 
 def test_language_query(spark):
