@@ -19,6 +19,7 @@ import hashlib
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import ceil
 from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
@@ -34,6 +35,7 @@ from docketscope.session import cut_lineage
 LEAST_SHARED = 100
 ARCHIVE_BYTES = 1 << 30
 READ_BYTES = 4 << 20
+TASK_BYTES = 64 << 20
 LONGEST_KEY = 2048
 DATE = "1970-01-01T00:00:00Z"
 
@@ -258,5 +260,9 @@ def read_records(captures: DataFrame, folder: str) -> DataFrame:
         finally:
             source.close()
 
-    dealt = captures.select("archive", "offset", "length").repartitionByRange("archive", "offset")
+    places = cut_lineage(captures.select("archive", "offset", "length"))
+    size = places.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    # by bytes to read: the places themselves are too small to tell how many tasks there should be
+    tasks = max(places.sparkSession.sparkContext.defaultParallelism, ceil(size / TASK_BYTES))
+    dealt = places.repartitionByRange(tasks, "archive", "offset")
     return dealt.sortWithinPartitions("archive", "offset").mapInArrow(run, RECORD)
