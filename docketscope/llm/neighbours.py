@@ -203,14 +203,21 @@ def _packed(vectors: DataFrame, largest: float) -> DataFrame:
     return vectors.mapInArrow(run, "id long, x binary, range int")
 
 
-def _best(ids: np.ndarray, x: np.ndarray, query_id: int, q: np.ndarray, nearest: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, scores) of the nearest of some rows to one query, its own id left out."""
+def _longest(x: np.ndarray) -> float:
+    with np.errstate(over="ignore"):
+        return float(np.sqrt(np.einsum("ij,ij->i", x, x).max())) if len(x) else 0.0
+
+
+def _best(
+    ids: np.ndarray, x: np.ndarray, longest: float, query_id: int, q: np.ndarray, nearest: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, scores) of the nearest of some rows, none above a norm, to one query, its own id left out."""
     with np.errstate(over="ignore", invalid="ignore"):
         rough = np.where(ids == query_id, -np.inf, x @ q)
         rough = np.where(np.isnan(rough), -np.inf, rough)
         chosen = np.flatnonzero(ids != query_id)
         if len(chosen) > nearest:
-            scale = np.sqrt((q * q).sum()) * np.sqrt((x * x).sum(axis=1)).max()
+            scale = np.sqrt((q * q).sum()) * longest
             bound = np.partition(rough, -nearest)[-nearest]
             if np.isfinite(bound) and np.isfinite(scale):
                 chosen = chosen[rough[chosen] >= bound - 1e-11 * scale]
@@ -249,8 +256,8 @@ def _meet(index: DataFrame, visits: DataFrame, dim: int, nearest: int, hashings:
             cell = left.column("cell").to_numpy()
             order = np.argsort(cell, kind="stable")
             ids, x = left.column("id").to_numpy()[order], _matrix(left.column("x"), dim)[order]
-            cells, firsts = np.unique(cell[order], return_index=True)
-            ends = np.append(firsts[1:], len(ids))
+            cells, members = np.unique(cell, return_counts=True)
+            longest = _longest(x)
             query_ids, q = right.column("id").to_numpy(), _matrix(right.column("x"), dim)
             tools, family = shared.value, right.column("family").to_numpy()
             tool = None if tools is None else tools[int(family[0]) // 64]
@@ -264,9 +271,11 @@ def _meet(index: DataFrame, visits: DataFrame, dim: int, nearest: int, hashings:
                     at = at[(at < len(cells)) & (cells[np.minimum(at, len(cells) - 1)] == codes)]
                     if not len(at):
                         continue
-                    taken = np.concatenate([np.arange(firsts[c], ends[c]) for c in at])
+                    visited = np.zeros(len(cells), dtype=bool)
+                    visited[at] = True
+                    taken = np.flatnonzero(np.repeat(visited, members))
                     some, chosen = ids[taken], x[taken]
-                best, scores = _best(some, chosen, query_ids[k], q[k], nearest)
+                best, scores = _best(some, chosen, longest, query_ids[k], q[k], nearest)
                 if len(best):
                     found.append((query_ids[k], best, scores))
         return pa.Table.from_arrays(
@@ -290,10 +299,12 @@ def _exact_near(packed: DataFrame, ids: np.ndarray, queries: np.ndarray, nearest
             for first in range(0, batch.num_rows, 4096):
                 part = batch.slice(first, 4096)
                 own, x = part.column("id").to_numpy(), _matrix(part.column("x"), dim)
-                number = part.column("range").to_numpy()
+                number, longest = part.column("range").to_numpy(), _longest(x)
                 for k, q in enumerate(queries):
-                    best, scores = _best(np.arange(len(own)), np.where((own == ids[k])[:, None], 0.0, x), -1, q, nearest)
-                    held[k].extend((s, int(number[i]), x[i].tobytes()) for i, s in zip(best, scores, strict=True) if own[i] != ids[k])
+                    others = np.flatnonzero(own != ids[k]) if (own == ids[k]).any() else slice(None)
+                    mine = x[others]
+                    best, scores = _best(np.arange(len(mine)), mine, longest, -1, q, nearest)
+                    held[k].extend((s, int(r), v.tobytes()) for s, r, v in zip(scores, number[others][best], mine[best], strict=True))
                     held[k] = sorted(held[k], reverse=True)[:nearest]
         rows = [(k, *row) for k, some in enumerate(held) for row in some]
         kinds = {"q": pa.int32(), "score": pa.float64(), "range": pa.int32(), "x": pa.binary()}
