@@ -2,6 +2,9 @@
 
 Every source is described by data and small Column factories; the browser,
 statistics and card queries in ``operators.browse`` are generic over it.
+
+Fixed values: table and column names, filter parameters and values, sort keys and labels below are those of
+the published tables and pages; they are stated as they are.
 """
 
 from __future__ import annotations

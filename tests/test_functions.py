@@ -183,3 +183,11 @@ def test_fields(one):
     assert one(lambda o, f, n, t: X.comment_author(o, f, n, t), None, "", None, "") == "Anonymous"
     assert one(X.slug_list, "epa, doe,,epa") == ["epa", "doe"]
     assert one(lambda t, s, n: X.presidential_label(t, s, n), "Presidential Document", "Executive Order", "14000") == "Executive Order 14000"
+
+
+def test_cue_words_have_their_forms():
+    from docketscope.functions.stance import word_forms
+
+    assert word_forms("oppose*") == ("oppose", "opposes", "opposed", "opposing")
+    assert word_forms("adopt*") == ("adopt", "adopts", "adoptes", "adopted", "adopting")
+    assert word_forms("favor") == ("favor",)

@@ -39,6 +39,9 @@ def _(t):
     return tables.scan_external_source(t.spark, t.sf_dir, "customer")
 
 
+PAYLOAD_DOCKETS = 200
+
+
 @query("scan_search_corpus", "corpus", """
     SELECT docket_id, agency_code, title, docket_type, modify_date, abstract FROM corpus""")
 def _(t):
@@ -46,8 +49,9 @@ def _(t):
         F.col("docket_id").alias("id"), F.col("agency_code").alias("a"), F.col("title").alias("t"),
         F.col("docket_type").alias("x"), F.col("modify_date").alias("d"), F.col("abstract").alias("s"),
     )
-    # compressed payload files of some dockets each, as a publisher would ship them
-    payloads = t("corpus").select(F.substring(F.md5("docket_id"), 1, 2).alias("part"), doc.alias("doc"))
+    # compressed payload files of about so many dockets each, as a publisher would ship them, however many there are
+    parts = F.ceil(t("corpus").agg(F.count("*") / PAYLOAD_DOCKETS).scalar())
+    payloads = t("corpus").select(F.pmod(F.xxhash64("docket_id"), F.greatest(parts, F.lit(1))).alias("part"), doc.alias("doc"))
     path = _folder(t, "corpus")
     grouped = payloads.groupBy("part").agg(F.collect_list("doc").alias("docs"))
     grouped.repartition("part").write.partitionBy("part").option("compression", "gzip").json(path)
