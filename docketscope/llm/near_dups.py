@@ -1,11 +1,13 @@
 """Near-duplicates: improved consistent weighted sampling over TF-IDF shingles.
 
 1. Texts become digests; equal texts are one node from here on.
-2. A text's features are its 5-word shingles (64-bit hashes). A feature weighs tf * idf, where the
-   document frequency of a shingle is that of its hash bucket among 2**DF_BITS, counted over all
-   documents: a table of fixed size, added up block by block, whose shape is the same at any corpus
-   size. idf = 1 + IDF_SPREAD * log(N / df) / log(N): damped, so that the texts of a large group of
-   near-copies, whose shingles are frequent because of the group, still resemble one another.
+2. A text's features are its 5-word shingles (64-bit hashes). A feature weighs tf * idf. idf depends on the
+   share of all documents that hold the shingle: 1 for all, rising with the logarithm to 1 + IDF_SPREAD for a
+   share of FLOOR or less, so it means the same at any corpus size. It is damped: a pair of plain similarity
+   0.822 stays above 0.8 even where all that is shared is in every document and all that differs is rare, so
+   the texts of a large group of near-copies still resemble one another. Frequencies above FLOOR are exact: a
+   table of 2**DF_BITS hash buckets, added up block by block, says which buckets can hold such a shingle, and
+   the shingles of those buckets are counted by hash, pre-aggregated per task.
 3. Improved consistent weighted sampling (Ioffe 2010) draws SAMPLES features per text; two texts agree
    on a sample with the probability of their weighted Jaccard similarity. Three samples make a
    band; two texts of similarity 0.8 miss each other in all 16 bands once in 100,000 times.
@@ -18,7 +20,9 @@
    differ by more than a fifth; all others are verified exactly, those with the most equal samples first.
 
 No group is collected anywhere: buckets, links and components are rows in joins and partial
-aggregates, and skewed joins are split by the engine. Driver memory holds the frequency table only.
+aggregates, and skewed joins are split by the engine. Driver memory holds the bucket table and the shingles of
+more than FLOOR of all documents: at most 1024 times the mean number of shingles in a document, whatever the
+number of documents.
 
 Cases: null counts as empty, empty texts are copies of one another; texts of 1 to 4 words are one
 shingle; repeated rows are copies; a class without any id has a null class id; an empty table gives no
@@ -28,6 +32,7 @@ rows; other columns are passed through or ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 from math import log
 
@@ -49,8 +54,11 @@ ROWS = 3
 SAMPLES = BANDS * ROWS
 DF_BITS = 20
 BLOCK_BITS = 14
-# idf lies between 1 and 1 + IDF_SPREAD
-IDF_SPREAD = 0.25
+# idf lies between 1 and 1 + IDF_SPREAD, which is reached at this share of all documents
+IDF_SPREAD = 0.15
+FLOOR = 1 / 1024
+# Shingles a task holds before it counts and emits them.
+HELD = 1 << 20
 # Texts of one leader compared together.
 BLOCK_ROWS = 1024
 SLACK = 1 - SIMILARITY + 1e-9
@@ -69,22 +77,22 @@ def _shingles(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield np.unique(grams[a:b], return_counts=True)
 
 
-def _bucket(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - DF_BITS)).astype(np.int64)
+def _bucket(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
+def _bucket_counts(texts: DataFrame, bits: int) -> tuple[np.ndarray, int]:
     """(documents with a shingle in each hash bucket, number of documents) of a column ``text``.
 
     Every task adds up one table of fixed size; blocks of it are summed by streaming tasks.
     """
-    size = 1 << BLOCK_BITS
+    size = 1 << min(BLOCK_BITS, bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, rows = np.zeros(1 << DF_BITS, dtype=np.int64), 0
+        table, rows = np.zeros(1 << bits, dtype=np.int64), 0
         for part in slices(batches, "text"):
             rows += part.num_rows
-            found = [np.unique(_bucket(hashes)) for hashes, _ in _shingles(part.column("text"))]
+            found = [np.unique(_bucket(hashes, bits)) for hashes, _ in _shingles(part.column("text"))]
             table += np.bincount(np.concatenate(found), minlength=len(table)) if found else 0
         blocks = table.astype("<i4").reshape(-1, size)
         used = [k for k in range(len(blocks)) if blocks[k].any()]
@@ -104,10 +112,10 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
         )
 
     summed = (
-        texts.mapInArrow(count, "block int, counts binary").repartition(1 << (DF_BITS - BLOCK_BITS), "block")
+        texts.mapInArrow(count, "block int, counts binary").repartition((1 << bits) // size, "block")
         .mapInArrow(add, "block int, counts binary")
     )
-    table, rows = np.zeros(1 << DF_BITS, dtype=np.int64), 0
+    table, rows = np.zeros(1 << bits, dtype=np.int64), 0
     for row in summed.collect():
         values = np.frombuffer(row["counts"], "<i8")
         if row["block"] < 0:
@@ -117,10 +125,70 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     return table, rows
 
 
-def idf_table(frequencies: np.ndarray, rows: int) -> np.ndarray:
-    """idf of each hash bucket, between 1 and 1 + IDF_SPREAD."""
-    scale = log(max(rows, 1) + 1)
-    return 1 + IDF_SPREAD * (np.log((rows + 1) / np.maximum(frequencies, 1)) / scale).clip(0, 1)
+def _count_marked(texts: DataFrame, marked: Broadcast, bits: int) -> DataFrame:
+    """(hash, n): exact document frequencies of the shingles in marked buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.unpackbits(marked.value).astype(bool)
+        held: list[np.ndarray] = []
+
+        def counted() -> pa.RecordBatch:
+            hashes, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n.astype(np.int64))], ["hash", "n"])
+
+        for part in slices(batches, "text"):
+            held += [hashes[wanted[_bucket(hashes, bits)]] for hashes, _ in _shingles(part.column("text"))]
+            if sum(map(len, held)) > HELD:
+                yield counted()
+                held = []
+        if held:
+            yield counted()
+
+    return texts.mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+
+
+@dataclass
+class Idf:
+    """idf of the frequent shingles (hashes rising), and the one of all others."""
+
+    hashes: np.ndarray
+    values: np.ndarray
+    rest: float
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.full(len(hashes), self.rest)
+        if len(self.hashes):
+            at = np.minimum(self.hashes.searchsorted(hashes), len(self.hashes) - 1)
+            known = self.hashes[at] == hashes
+            out[known] = self.values[at[known]]
+        return out
+
+
+def idf_of_share(share: np.ndarray | float) -> np.ndarray:
+    """idf of a shingle that this share of all documents holds."""
+    return 1 + IDF_SPREAD * np.log(np.maximum(share, FLOOR)) / log(FLOOR)
+
+
+def document_frequencies(texts: DataFrame, bits: int = DF_BITS) -> tuple[np.ndarray, np.ndarray, int]:
+    """(hashes, documents, all documents) of the shingles that two and more than FLOOR of all documents hold.
+
+    A bucket's count is at least that of each of its shingles, so none is missed.
+    """
+    table, rows = _bucket_counts(texts, bits)
+    least = max(1, int(FLOOR * rows))
+    marked = table > least
+    if not marked.any():
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), rows
+    shared = texts.sparkSession.sparkContext.broadcast(np.packbits(marked))
+    found = _count_marked(texts, shared, bits).where(F.col("n") > least).toArrow()
+    hashes = found.column("hash").to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], found.column("n").to_numpy()[order], rows
+
+
+def idf_table(hashes: np.ndarray, documents: np.ndarray, rows: int) -> Idf:
+    """Weights from document frequencies; a shingle without one is held by FLOOR of all documents or by one."""
+    return Idf(hashes, idf_of_share(documents / max(rows, 1)), float(idf_of_share(1 / max(rows, 1))))
 
 
 # ---- sampling and similarity ---------------------------------------------------------------
@@ -179,7 +247,7 @@ def _signatures(texts: DataFrame, idf: Broadcast) -> DataFrame:
     """(key, digest): the bands of each distinct text that has words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs = np.log(idf.value)
+        weights = idf.value
         seen: set[bytes] = set()
         for part in slices(batches, "text"):
             digests, keys = [], []
@@ -190,7 +258,7 @@ def _signatures(texts: DataFrame, idf: Broadcast) -> DataFrame:
             for k, (hashes, counts) in zip(fresh, _shingles(part.column("text").take(pa.array(fresh, pa.int64()))), strict=True):
                 if len(hashes):
                     digests.append(names[k])
-                    keys.append(band_keys(sample(hashes, logs[_bucket(hashes)] + np.log(counts))))
+                    keys.append(band_keys(sample(hashes, np.log(counts * weights.of(hashes)))))
             if keys:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(keys)), pa.array([d for d in digests for _ in range(BANDS)], pa.binary())],
@@ -221,7 +289,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, idf: Broadcast) -> DataFrame:
         weights = idf.value
 
         def profiles(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-            return [(h, c * weights[_bucket(h)]) for h, c in _shingles(column)]
+            return [(h, c * weights.of(h)) for h, c in _shingles(column)]
 
         for whole in batches:
             for a in range(0, whole.num_rows, 64):
@@ -295,7 +363,7 @@ def _deal(stars: DataFrame) -> DataFrame:
     return small.unionByName(left).unionByName(right)
 
 
-def _block_links(table: pa.Table, weights: np.ndarray, logs: np.ndarray) -> list[tuple[bytes, bytes, float]]:
+def _block_links(table: pa.Table, idf: Idf) -> list[tuple[bytes, bytes, float]]:
     """Links between texts of different components in one block, enough to join the components.
 
     Pairs of one leader are compared by the metric bound and their total weights, and exactly if both allow it;
@@ -309,8 +377,8 @@ def _block_links(table: pa.Table, weights: np.ndarray, logs: np.ndarray) -> list
     while at < len(digests):  # slices of texts, one after the other
         part = texts.slice(at, 64)
         for k, (hashes, counts) in enumerate(_shingles(part)):
-            profiles.append((hashes, counts * weights[_bucket(hashes)]))
-            sketches[at + k] = sample(hashes, logs[_bucket(hashes)] + np.log(counts))
+            profiles.append((hashes, counts * idf.of(hashes)))
+            sketches[at + k] = sample(hashes, np.log(profiles[-1][1]))
         at += len(part)
     sketches = sketches.astype(np.uint8)
     names, label = np.unique(np.array(table.column("label").to_pylist(), dtype=object), return_inverse=True)
@@ -360,7 +428,7 @@ def _cross_links(stars: DataFrame, texts: DataFrame, idf: Broadcast) -> DataFram
     """(a, b, similarity) of links between components that met the same leader."""
 
     def run(table: pa.Table) -> pa.Table:
-        links = _block_links(table, idf.value, np.log(idf.value))
+        links = _block_links(table, idf.value)
         kinds = [pa.binary(), pa.binary(), pa.float64()]
         return pa.Table.from_arrays([pa.array([x[k] for x in links], t) for k, t in enumerate(kinds)], names=["a", "b", "similarity"])
 
@@ -371,8 +439,7 @@ def _cross_links(stars: DataFrame, texts: DataFrame, idf: Broadcast) -> DataFram
 def _classes(texts: DataFrame) -> DataFrame:
     """(node, root) of the digests that are linked to another text."""
     spark = texts.sparkSession
-    frequencies, rows = document_frequencies(texts.select("text"))
-    idf = spark.sparkContext.broadcast(idf_table(frequencies, rows))
+    idf = spark.sparkContext.broadcast(idf_table(*document_frequencies(texts.select("text"))))
     bands = cut_lineage(_signatures(texts, idf))
     buckets = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = cut_lineage(bands.join(buckets, "key"))

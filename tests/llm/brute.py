@@ -70,8 +70,11 @@ def crc(data):
     return zlib.crc32(data)
 
 
-def shingles(text, n=5):
+def shingle_list(text, n=5):
+    """Runs of n words, with repetitions; shorter texts are one run."""
     words = WORD.findall(text or "")
-    if not words:
-        return set()
-    return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))}
+    return [tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))] if words else []
+
+
+def shingles(text, n=5):
+    return set(shingle_list(text, n))

@@ -1,8 +1,10 @@
 """Mixing, sharding, near-duplicates, toxicity, vector search, page languages and the pipeline."""
 
+import math
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -169,18 +171,25 @@ def test_sharding_moves_little():
     assert moved < 0.10  # 1 of 17 is needed; a plain modulo would move 16
 
 
-def weighted_links(rows, idf):
-    """Pairs of different texts with weighted Jaccard similarity of 0.8 or more, by comparing all pairs."""
-    import pyarrow as pa
+def share_weight(documents, rows):
+    """1 for a shingle of all documents, 1.15 for one of at most every 1024th; the logarithm between."""
+    return 1 + 0.15 * math.log2(1 / max(documents / rows, 1 / 1024)) / 10
+
 
+def weighted_links(rows):
+    """Pairs of different texts with weighted Jaccard similarity of 0.8 or more, by comparing all pairs."""
+    found = Counter(s for r in rows for s in set(brute.shingle_list(r["text"])))
     texts = sorted({r["text"] or "" for r in rows})
-    profiles = [(h, c * idf[near_dups._bucket(h)]) for h, c in near_dups._shingles(pa.array(texts))]
-    shingled = [brute.shingles(t) for t in texts]
+    profiles = [
+        {s: n * share_weight(found[s], len(rows)) for s, n in Counter(brute.shingle_list(t)).items()} for t in texts
+    ]
     for i in range(len(texts)):
         for j in range(i):
-            if shingled[i] & shingled[j]:
-                s = near_dups.weighted_jaccard(profiles[i], profiles[j])
-                if s >= near_dups.SIMILARITY:
+            x, y = profiles[i], profiles[j]
+            both = x.keys() & y.keys()
+            if both:
+                shared = sum(min(x[s], y[s]) for s in both)
+                if shared >= 0.8 * (sum(x.values()) + sum(y.values()) - shared):
                     yield texts[i], texts[j]
 
 
@@ -226,8 +235,7 @@ def variants(spark):
 def test_near_duplicates_equal_all_pairs(spark, made):
     docs = variants(spark) if made else spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = docs.collect()
-    idf = near_dups.idf_table(*near_dups.document_frequencies(docs.selectExpr("coalesce(text, '') as text")))
-    want = classes_of(rows, weighted_links(rows, idf))
+    want = classes_of(rows, weighted_links(rows))
     got = {r["doc_id"]: r["class_id"] for r in near_dups.find_near_duplicates(docs).collect()}
     assert got == want
     kept = near_dups.keep_one(docs)
@@ -241,8 +249,6 @@ def test_dealt_blocks_keep_their_links(spark, monkeypatch):
 
 
 def test_links_between_components_do_not_depend_on_samples():
-    import pyarrow as pa
-
     # 80 of 100 shingles shared: pairs of similarity 0.8, the first with fewer than 30 equal samples
     for g in range(20_000):
         common = [f"g{g}w{k}" for k in range(84)]
@@ -254,9 +260,33 @@ def test_links_between_components_do_not_depend_on_samples():
         "leader": [b"l", b"l"], "digest": [b"a", b"b"], "label": [b"a", b"b"], "d": [0.3, 0.3], "out": [True, True],
         "role": pa.array([3, 3], pa.int32()), "text": texts,
     })
-    weights = np.ones(1 << near_dups.DF_BITS)
     assert (one == two).sum() < 30
-    assert near_dups._block_links(table, weights, np.log(weights)) == [(b"a", b"b", 0.8)]
+    even = near_dups.Idf(np.zeros(0, np.uint64), np.zeros(0), 1.0)
+    assert near_dups._block_links(table, even) == [(b"a", b"b", 0.8)]
+
+
+@pytest.mark.parametrize("bits", [3, 20])
+def test_document_frequencies_are_exact(spark, documents, bits):
+    texts = documents.selectExpr("coalesce(text, '') as text")
+    # 11 times the table: more than 1024 documents, so that the floor lies above one document
+    many = texts.crossJoin(spark.range(11)).select("text")
+    for rows in (texts, many):
+        hashes, counts, total = near_dups.document_frequencies(rows, bits)
+        listed = [r["text"] for r in rows.collect()]
+        want = Counter(s for t in listed for s in set(brute.shingle_list(t)))
+        least = max(1, len(listed) // 1024)
+        assert total == len(listed) and (np.diff(hashes.astype(object)) > 0).all()
+        assert sorted(counts.tolist()) == sorted(n for n in want.values() if n > least)
+        weights = near_dups.idf_table(hashes, counts, total)
+        mean = [weights.of(h) for h, _ in near_dups._shingles(pa.array(listed[:20]))]
+        for text, got in zip(listed, mean):
+            assert sorted(got) == pytest.approx(sorted(share_weight(want[s], total) for s in set(brute.shingle_list(text))))
+
+
+def test_weights_keep_pairs_of_large_groups():
+    # all that is shared is in every document, all that differs is unique among many
+    frequent, rare = near_dups.idf_of_share(1.0), near_dups.idf_of_share(1e-9)
+    assert 0.822 * frequent / (0.822 * frequent + 0.178 * rare) >= near_dups.SIMILARITY
 
 
 def test_near_duplicates_query(spark, documents):
@@ -302,8 +332,6 @@ def test_toxicity_held_out_accuracy(spark):
 
 
 def test_toxicity_features():
-    import pyarrow as pa
-
     at, bounds = toxicity.features(pa.array(["One two, three!", None, "one ONE one", "x"]))
     counts = np.diff(bounds)
     # words, pairs and pairs that skip one word
