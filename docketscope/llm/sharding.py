@@ -6,9 +6,12 @@ its even share of rows: documents beyond it continue clockwise to the next shard
 differ by at most one, and changing the number of shards moves little more than the share that has to
 move. Only the number of rows per cell reaches the driver, at most 2**ring_bits integers however
 large the table is; placing cells happens there, placing rows in the join with the cells' segments.
+Rows of a cell are ordered by a hash of id, size and checksum. A cell of many rows, as that of all null ids or
+of one id with many texts, is ranked in ranges of that hash whose offsets are added up; the ranks are the same.
 
 Cases: a null text has size 1 and checksum 0; null ids share one cell; repeated rows are counted
-together first and then get places one by one; an empty table gives no rows; other columns are ignored.
+together first and then get places one by one, a bounded number of them in a task's array; an empty table gives
+no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from docketscope.llm.runtime import columns
@@ -26,6 +29,8 @@ from docketscope.session import cut_lineage
 RING_BITS = 16
 NODES = 64
 SHARDS = 16
+# Rows that are ranked together, and repeated rows that are laid out together.
+RANGE_ROWS = 50_000
 
 
 def ring_owners(shards: int, nodes: int = NODES, ring_bits: int = RING_BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -84,6 +89,26 @@ def place_cells(loads: np.ndarray, shards: int, nodes: int = NODES, ring_bits: i
     )
 
 
+def _ranked(rows: DataFrame, crowded: DataFrame | None) -> DataFrame:
+    """Rows with ``rank``, the number of row copies before them in their cell; ``crowded`` has (cell, parts)."""
+    order = ("head", "doc_id", "text_crc32", "size")
+    rows = rows.withColumn("head", F.shiftrightunsigned(F.xxhash64("doc_id", "size", "text_crc32"), 33))
+
+    def before(window: WindowSpec) -> Column:
+        return F.coalesce(F.sum("n").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    if crowded is None:
+        return rows.withColumn("rank", before(Window.partitionBy("cell").orderBy(*order)))
+    # at most one row per cell of the ring
+    dealt = rows.join(F.broadcast(crowded), "cell", "left").withColumn(
+        "part", F.shiftrightunsigned(F.col("head") * F.coalesce("parts", F.lit(1)), 31)
+    )
+    inside = dealt.withColumn("inner", before(Window.partitionBy("cell", "part").orderBy(*order)))
+    sums = dealt.where("parts is not null").groupBy("cell", "part").agg(F.sum("n").alias("n"))
+    offsets = sums.select("cell", "part", before(Window.partitionBy("cell").orderBy("part")).alias("outer"))
+    return inside.join(offsets, ["cell", "part"], "left").withColumn("rank", F.col("inner") + F.coalesce("outer", F.lit(0)))
+
+
 def assign_shards(
     docs: DataFrame,
     shards: int = SHARDS,
@@ -100,22 +125,26 @@ def assign_shards(
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
     )
-    place = F.xxhash64("doc_id")
     rows = cut_lineage(
-        narrow.groupBy("doc_id", "size", "text_crc32")
-        .agg(F.count("*").alias("n"))
-        .withColumn("place", place)
-        .withColumn("cell", F.shiftrightunsigned("place", 64 - ring_bits).cast("int"))
+        narrow.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("n"))
+        .withColumn("cell", F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - ring_bits).cast("int"))
     )
+    cells = rows.groupBy("cell").agg(F.sum("n").alias("n"), F.count("*").alias("rows"), F.max("n").alias("most")).toPandas()
     loads = np.zeros(1 << ring_bits, dtype=np.int64)
-    for part in rows.groupBy("cell").agg(F.sum("n").alias("n")).toPandas().itertuples():
-        loads[part.cell] = part.n
+    loads[cells["cell"]] = cells["n"]
     placed = place_cells(loads, shards, nodes, ring_bits)
     segments = spark.createDataFrame(placed, "cell int, low long, high long, shard int, slot long")
-    inside = Window.partitionBy("cell").orderBy("place", "doc_id", "text_crc32", "size")
-    ranked = rows.withColumn(
-        "rank", F.coalesce(F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ).withColumn("rank", F.explode(F.sequence(F.col("rank"), F.col("rank") + F.col("n") - 1)))
+    full = cells[cells["rows"] > RANGE_ROWS]
+    crowded = None
+    if len(full):
+        parts = (full["rows"] // RANGE_ROWS + 1).astype("int64")
+        crowded = spark.createDataFrame(pd.DataFrame({"cell": full["cell"], "parts": parts}), "cell int, parts long")
+    ranked = _ranked(rows, crowded).withColumn("end", F.col("rank") + F.col("n"))
+    if (cells["most"] > RANGE_ROWS).any():
+        starts = F.sequence(F.col("rank"), F.col("end") - 1, F.lit(RANGE_ROWS).cast("long"))
+        ranked = ranked.withColumn("rank", F.explode(starts)).withColumn("end", F.least("end", F.col("rank") + RANGE_ROWS))
+        ranked = ranked.repartition("cell", "rank")
+    ranked = ranked.withColumn("rank", F.explode(F.sequence("rank", F.col("end") - 1)))
     joined = ranked.join(F.broadcast(segments), "cell").where((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
     return joined.select(
         "doc_id", "size", "text_crc32", "shard", (F.col("slot") + F.col("rank") - F.col("low")).alias("slot")

@@ -1,5 +1,6 @@
 """Mixing, sharding, near-duplicates, toxicity, vector search, page languages and the pipeline."""
 
+import hashlib
 import math
 from collections import Counter, defaultdict
 
@@ -158,6 +159,57 @@ def test_sharding_odd_documents(spark, odd_documents, no_documents):
     assert sharding.assign_shards(no_documents).count() == 0
 
 
+def walked_shards(rows, shards, nodes=sharding.NODES, bits=sharding.RING_BITS):
+    """Shards of rows in ring order, one row after the other: home while it has room, then clockwise."""
+    points = {}
+    for value, shard in sorted(
+        (int.from_bytes(hashlib.blake2b(f"{s}/{k}".encode(), digest_size=8).digest(), "big"), s) for s in range(shards) for k in range(nodes)
+    ):
+        points.setdefault(value >> (64 - bits), shard)
+    ring = sorted(points)
+    first = [next((k for k, p in enumerate(ring) if p >= cell), 0) for cell in (r[0] for r in rows)]
+    home = [points[ring[k]] for k in first]
+    wanted = Counter(home)
+    room = dict.fromkeys(range(shards), len(rows) // shards)
+    for shard in sorted(room, key=lambda s: (-wanted[s], s))[: len(rows) % shards]:
+        room[shard] += 1
+    out, over = [None] * len(rows), []
+    for i, shard in enumerate(home):
+        if room[shard]:
+            out[i] = shard
+            room[shard] -= 1
+        else:
+            over.append(i)
+    for i in over:
+        k = first[i]
+        while not room[points[ring[k % len(ring)]]]:
+            k += 1
+        out[i] = points[ring[k % len(ring)]]
+        room[out[i]] -= 1
+    return out
+
+
+@pytest.mark.parametrize("range_rows", [sharding.RANGE_ROWS, 40])
+def test_sharding_equals_a_walk_round_the_ring(spark, documents, monkeypatch, range_rows):
+    monkeypatch.setattr(sharding, "RANGE_ROWS", range_rows)
+    # many texts without id, many of one id, one row very often, and others
+    docs = documents.select("doc_id", "text").unionByName(
+        spark.range(600).selectExpr("cast(null as long) as doc_id", "concat('t', id % 500) as text")
+    ).unionByName(spark.range(300).selectExpr("-5L as doc_id", "repeat('x', cast(id as int)) as text")).unionByName(
+        spark.range(700).selectExpr("-9L as doc_id", "'same' as text")
+    )
+    keyed = docs.selectExpr(
+        "*", f"cast(shiftrightunsigned(xxhash64(doc_id), {64 - sharding.RING_BITS}) as int) as cell",
+        "coalesce(octet_length(text), 0) + 1L as size", "crc32(cast(coalesce(text, '') as binary)) as crc",
+    ).selectExpr("*", "shiftrightunsigned(xxhash64(doc_id, size, crc), 33) as head").collect()
+    rows = sorted((r["cell"], r["head"], r["doc_id"] or 0, r["crc"], r["size"]) for r in keyed)
+    id_of = {(r["cell"], r["head"], r["crc"], r["size"]): r["doc_id"] for r in keyed}
+    want = Counter((id_of[r[0], r[1], r[3], r[4]], r[4], r[3], s) for r, s in zip(rows, walked_shards(rows, 7)))
+    got = sharding.assign_shards(docs, shards=7).collect()
+    check_rows_law(got, 7)
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"], r["shard"]) for r in got) == want
+
+
 def test_sharding_moves_little():
     loads = np.random.default_rng(2).poisson(0.5, 1 << sharding.RING_BITS)
 
