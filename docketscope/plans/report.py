@@ -28,7 +28,13 @@ from docketscope.operators.clusters import (
     with_samples,
 )
 from docketscope.operators.families import SIMILARITY, families_of, template_families
-from docketscope.operators.findings import stance_finding, stance_totals, volume_burst
+from docketscope.operators.findings import (
+    BURST_SHARE_PCT,
+    BURST_WINDOW_DAYS,
+    stance_finding,
+    stance_totals,
+    volume_burst,
+)
 from docketscope.session import cut_lineage
 
 # Smallest family called a form letter; orchestration bands in percent.
@@ -80,6 +86,8 @@ def form_letter_report(
     min_size: int = MIN_FORM_LETTER,
     support: Sequence[str] = SUPPORT_PHRASES,
     oppose: Sequence[str] = OPPOSE_PHRASES,
+    burst_share: float = BURST_SHARE_PCT,
+    burst_days: int = BURST_WINDOW_DAYS,
 ) -> DataFrame:
     """One row per docket: shares, orchestration band, stance totals, findings."""
     letters, totals = near_letters(comments)
@@ -87,7 +95,7 @@ def form_letter_report(
     per_docket = stance_totals(scored).join(
         scored.groupBy("docket_id").agg(F.count("*").alias("families")), "docket_id"
     )
-    burst = volume_burst(daily, totals, periods, as_of).select(
+    burst = volume_burst(daily, totals, periods, as_of, burst_share, burst_days).select(
         "docket_id", F.col("pct").alias("burst_pct"), "start_day", "end_day"
     )
     finding = stance_finding(scored).select(

@@ -351,21 +351,25 @@ def _(t):
 BURST_SHARE = 12.0
 
 
-@query("volume_burst", "event_comments", f"""
-    WITH daily AS (SELECT docket_id, TRY_CAST(posted_date AS date) AS d, count(*) AS n FROM event_comments
+def burst_sql(source: str, share: float, days: int) -> str:
+    """Fullest run of days of each docket, where it holds the share; bodies of ``WITH`` and the last SELECT's source."""
+    return f"""daily AS (SELECT docket_id, TRY_CAST(posted_date AS date) AS d, count(*) AS n FROM {source}
                    WHERE TRY_CAST(posted_date AS date) IS NOT NULL GROUP BY 1, 2),
     tot AS (SELECT docket_id, count(*) AS total, min(nullif(posted_date, '')) AS s,
-                   max(nullif(posted_date, '')) AS e FROM event_comments GROUP BY 1),
+                   max(nullif(posted_date, '')) AS e FROM {source} GROUP BY 1),
     w AS (SELECT a.docket_id, a.d, CAST(sum(b.n) AS bigint) AS c, max(b.d) AS l
-          FROM daily a JOIN daily b ON b.docket_id = a.docket_id AND b.d BETWEEN a.d AND a.d + 1 GROUP BY 1, 2),
+          FROM daily a JOIN daily b ON b.docket_id = a.docket_id AND b.d BETWEEN a.d AND a.d + {days - 1} GROUP BY 1, 2),
     p AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY docket_id ORDER BY c DESC, d) = 1),
     x AS (SELECT *, CAST(e AS date) - CAST(s AS date) + 1 AS len, CAST(e AS date) - DATE '{AS_OF_2024}' AS lft
-          FROM p JOIN tot USING (docket_id))
-    SELECT docket_id, round(c / total * 100, 6) AS pct, c AS count, total, CAST(2 AS bigint) AS window_days,
-           strftime(d, '%Y-%m-%d') AS start_day, strftime(l, '%Y-%m-%d') AS end_day,
-           CAST(len AS bigint) AS period_days, e AS period_end_day, lft >= 0 AS period_open,
-           CAST(CASE WHEN lft >= 0 THEN lft END AS bigint) AS days_remaining
-    FROM x WHERE c / total * 100 >= {BURST_SHARE} AND len >= 4""")
+          FROM p JOIN tot USING (docket_id)),
+    burst AS (SELECT docket_id, round(c / total * 100, 6) AS pct, c AS count, total, CAST({days} AS bigint) AS window_days,
+                     strftime(d, '%Y-%m-%d') AS start_day, strftime(l, '%Y-%m-%d') AS end_day,
+                     CAST(len AS bigint) AS period_days, e AS period_end_day, lft >= 0 AS period_open,
+                     CAST(CASE WHEN lft >= 0 THEN lft END AS bigint) AS days_remaining
+              FROM x WHERE c / total * 100 >= {share} AND len >= {2 * days})"""
+
+
+@query("volume_burst", "event_comments", f"WITH {burst_sql('event_comments', BURST_SHARE, 2)} SELECT * FROM burst")
 def _(t):
     events = t("event_comments")
     posted = F.nullif("posted_date", F.lit(""))
@@ -443,18 +447,25 @@ def _(t):
     return rounded(FN.template_coverage(FM.template_families(letters, totals), totals), "pct")
 
 
-@query("form_letter_report", "totals stances finding", """
-    SELECT t.docket_id, total, distinct_keys, empty, coalesce(templates, 0) AS families,
+# Comments of the test tables are spread over a month: two days hold a fifteenth at least.
+REPORT_BURST_SHARE = 8.0
+_DATED = "(SELECT docket_id, CASE WHEN posted_date <> 'undated' THEN posted_date END AS posted_date FROM comments)"
+
+
+@query("form_letter_report", "totals stances finding comments", f"""
+    WITH {burst_sql(_DATED, REPORT_BURST_SHARE, 2)}
+    SELECT t.docket_id, t.total, distinct_keys, empty, coalesce(templates, 0) AS families,
            coalesce(covered, 0) AS orchestrated_count,
-           round(coalesce(covered, 0) / total * 100, 6) AS orchestrated_pct,
-           round((total - coalesce(covered, 0)) / total * 100, 6) AS unique_pct,
-           CASE WHEN coalesce(covered, 0) / total * 100 < 5 THEN 'low'
-                WHEN coalesce(covered, 0) / total * 100 < 50 THEN 'mixed' ELSE 'high' END AS band,
+           round(coalesce(covered, 0) / t.total * 100, 6) AS orchestrated_pct,
+           round((t.total - coalesce(covered, 0)) / t.total * 100, 6) AS unique_pct,
+           CASE WHEN coalesce(covered, 0) / t.total * 100 < 5 THEN 'low'
+                WHEN coalesce(covered, 0) / t.total * 100 < 50 THEN 'mixed' ELSE 'high' END AS band,
            coalesce(support, 0) AS support, coalesce(oppose, 0) AS oppose, coalesce(mixed, 0) AS mixed,
-           coalesce(unclear, 0) AS unclear, CAST(NULL AS double) AS burst_pct,
-           CAST(NULL AS varchar) AS burst_start, CAST(NULL AS varchar) AS burst_end,
+           coalesce(unclear, 0) AS unclear, b.pct AS burst_pct,
+           b.start_day AS burst_start, b.end_day AS burst_end,
            f.kind AS stance_finding, f.stance AS finding_stance
     FROM totals t LEFT JOIN stances s USING (docket_id) LEFT JOIN finding f USING (docket_id)
+    LEFT JOIN burst b USING (docket_id)
     WHERE t.tier = 'near'""", recursive=True)
 def _(t):
     comments = t("comments")
@@ -464,7 +475,7 @@ def _(t):
     )
     report = RP.form_letter_report(
         comments, CL.comment_volume_by_day(comments), periods, AS_OF_2024,
-        min_size=MIN_FAMILY, support=SUPPORT, oppose=OPPOSE,
+        min_size=MIN_FAMILY, support=SUPPORT, oppose=OPPOSE, burst_share=REPORT_BURST_SHARE,
     )
     return rounded(report, "orchestrated_pct", "unique_pct", "burst_pct")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from uuid import uuid4
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from docketscope.operators import search as SE
@@ -60,11 +61,15 @@ def stored_index(t, corpus: str = "corpus") -> SE.SearchIndex:
     """The index of a corpus, built and written once per session, read back for each search."""
     ensure_checkpoint_dir(t.spark)
     key = (t.spark.sparkContext.applicationId, t.spark.sparkContext.getCheckpointDir(), t.sf_dir, corpus)
-    if key not in _STORED:
-        path = f"{t.spark.sparkContext.getCheckpointDir()}/index-{uuid4().hex}"
-        SE.search_index_build(t(corpus)).write(path)
-        _STORED[key] = path
-    return SE.SearchIndex.read(t.spark, _STORED[key])
+    if key in _STORED:
+        try:
+            return SE.SearchIndex.read(t.spark, _STORED[key])
+        except AnalysisException:  # the folder has been cleaned: build it again
+            pass
+    path = f"{t.spark.sparkContext.getCheckpointDir()}/index-{uuid4().hex}"
+    SE.search_index_build(t(corpus)).write(path)
+    _STORED[key] = path
+    return SE.SearchIndex.read(t.spark, path)
 
 
 def flat(df):
