@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from docketscope.llm import language, mixing, near_dups, neighbours, queries, sharding, toxicity
@@ -383,6 +384,42 @@ def test_toxicity_held_out_accuracy(spark):
     assert ((rows["predicted"] == 1) == toxic).mean() > 0.95
 
 
+def test_toxicity_weights_equal_a_plain_loop(spark, documents):
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "toxic")
+    ids = [r[0] for r in labels.join(documents, "doc_id").select("doc_id").distinct().collect()]
+    ids = sorted(i for i in ids if brute.crc(str(i).encode()) % 5)[:60]
+    docs = documents.where(F.col("doc_id").isin(ids)).select("doc_id", "text")
+    place = F.xxhash64(F.lit(toxicity.SEED), "doc_id")
+    rows = docs.join(labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id").withColumn("place", place).collect()
+    streams = defaultdict(list)
+    for r in sorted(rows, key=lambda r: r["place"]):
+        streams[r["place"] % toxicity.SHARDS].append(([*toxicity.features(pa.array([r["text"]]))[0].tolist(), "bias"], r["toxic"]))
+
+    def weight(z, n, i):
+        l1 = 0.0 if i == "bias" else 3.0
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / (1.0 + math.sqrt(n[i]) + 0.01)
+
+    z, n = defaultdict(float), defaultdict(float)
+    for _ in range(3):
+        ends = []
+        for stream in streams.values():
+            own_z, own_n = z.copy(), n.copy()
+            for coordinates, label in stream:
+                w = {i: weight(own_z, own_n, i) for i in coordinates}
+                g = 1 / (1 + math.exp(-sum(w.values()))) - label
+                for i in coordinates:
+                    own_z[i] += g - (math.sqrt(own_n[i] + g * g) - math.sqrt(own_n[i])) * w[i]
+                    own_n[i] += g * g
+            ends.append((len(stream) / len(rows), own_z, own_n))
+        z, n = (defaultdict(float, {i: sum(e[0] * e[k][i] for e in ends) for i in set().union(*(e[k] for e in ends))}) for k in (1, 2))
+    got = toxicity.fit(docs, labels.where(F.col("doc_id").isin(ids)))
+    want = np.zeros(len(got))
+    for i in z:
+        want[-1 if i == "bias" else i] = weight(z, n, i)
+    assert len(rows) == len(ids) == 60 and np.count_nonzero(want) > 1
+    assert np.abs(got - want).max() < 1e-4
+
+
 def test_toxicity_features():
     at, bounds = toxicity.features(pa.array(["One two, three!", None, "one ONE one", "x"]))
     counts = np.diff(bounds)
