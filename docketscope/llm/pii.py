@@ -23,7 +23,6 @@ any length are read whole; null ids and repeated rows are kept; an empty table g
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -224,11 +223,6 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*parts, text[at:]])
 
 
-def joined(spans: list[tuple[str, int, int]]) -> str:
-    """kind:start:end, comma-joined."""
-    return ",".join(f"{kind}:{start}:{end}" for kind, start, end in spans)
-
-
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, spans array<struct<kind, start, end>>) of every document."""
     item = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
@@ -262,8 +256,3 @@ def redact_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, schema=part.schema)
 
     return work.mapInArrow(run, work.schema).toDF(*schema.names)
-
-
-def sha256_hex(value: str) -> str:
-    """Lowercase hex digest of the UTF-8 bytes."""
-    return hashlib.sha256(value.encode()).hexdigest()
