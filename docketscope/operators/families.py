@@ -11,7 +11,9 @@ All form letters of all dockets at once, exactly, in two fixed passes:
    distances to a third differ by more than the cut-off cannot be similar.
 
 A campaign of a million variants costs about one comparison per variant and bucket
-instead of all pairs; no group is collected.
+instead of all pairs; no group is collected. A crowded bucket of unlike letters is
+divided by the next common token (adaptive prefixes, Wang et al. 2012) and dealt over
+blocks, so that no task holds it.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 from docketscope.functions.dates import iso_day
 from docketscope.operators.clusters import percent
 from docketscope.operators.components import connected_components
+from docketscope.operators.joins import checked_broadcast
 from docketscope.session import cut_lineage
 
 # Similarity cut-offs.
@@ -31,6 +34,11 @@ SHORT_SIMILARITY = 0.95
 
 BITMAP_WORDS = 4
 
+BUCKET = ["h", "band"]
+# Pairs of one bucket that one task may form; rows of a block of a crowded one.
+CROWDED_PAIRS = 4_000_000
+BLOCK_ROWS = 2_000
+
 
 def jaccard(a: Column, b: Column) -> Column:
     """Similarity of two distinct-token arrays; 0 when either is empty."""
@@ -46,179 +54,250 @@ def same_template(a: Column, b: Column, threshold: float = SIMILARITY) -> Column
     return jaccard(a, b) >= cut
 
 
-def prefix_buckets(letters: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """(docket_id, token, band, key, n, shape, pos): each set under its rarest tokens.
+def _ranked(letters: DataFrame, threshold: float) -> DataFrame:
+    """(id, n, shape, own, keep, prefix): each set with its rarest tokens in order, hashed with the docket.
 
-    Two sets with Jaccard >= t share a token among the first
-    ``|x| - ceil(t |x|) + 1`` tokens of any common order; rarest first keeps the
-    buckets small. Their sizes differ by a factor of at most 1 / t, so they share one of
-    the two size bands in which each set is filed.
+    Two sets with Jaccard >= t share a token among the first ``|x| - ceil(t |x|) + 1``
+    tokens of any common order; rarest first keeps the buckets small. One token more is
+    stored: among one more each, two sets share two. Equal hashes of different tokens only
+    add candidates.
     """
-    size = F.size("tokens")
-    tokens = letters.select(
-        "docket_id", "key", "n", size.alias("size"), F.explode("tokens").alias("token")
+    hashed = F.transform("tokens", lambda t: F.xxhash64(F.col("docket_id"), t))
+    tokens = letters.select("id", "n", F.explode(hashed).alias("h"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("h", F.lit(64)).cast("int"))
+    word = F.pmod(F.shiftright("h", 8), F.lit(BITMAP_WORDS))
+    bitmap = [F.bit_or(F.when(word == w, bit).otherwise(0)).alias(f"w{w}") for w in range(BITMAP_WORDS)]
+    frequency = tokens.groupBy("h").agg(F.count("*").alias("freq"))
+    # one group is one comment's own token set
+    ordered = tokens.join(frequency, "h").groupBy("id", "n").agg(
+        F.sort_array(F.collect_list(F.struct("freq", "h"))).alias("ordered"), *bitmap
     )
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64("token"), F.lit(64)).cast("int"))
-    word = F.pmod(F.hash("token"), F.lit(BITMAP_WORDS))
-    bitmap = [F.bit_or(F.when(word == w, bit).otherwise(0)) for w in range(BITMAP_WORDS)]
-    frequency = tokens.groupBy("docket_id", "token").agg(F.count("*").alias("freq"))
     # 1e-9 keeps ceil exact when t * size is a whole number
-    keep = F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1
-    ranked = (
-        tokens.join(frequency, ["docket_id", "token"])
-        # one group is one comment's own token set
-        .groupBy("docket_id", "key", "size", "n")
-        .agg(
-            F.sort_array(F.collect_list(F.struct("freq", "token"))).alias("ordered"),
-            F.array(*bitmap).alias("bits"),
+    size = F.size("ordered")
+    keep = (size - F.ceil(size * threshold - 1e-9) + 1).cast("int")
+    own = F.floor(F.log(size.cast("double")) / -F.log(F.lit(threshold)) + 1e-9).cast("int")
+    return cut_lineage(
+        ordered.select(
+            "id", "n", F.struct(size.alias("size"), *[f"w{w}" for w in range(BITMAP_WORDS)]).alias("shape"),
+            own.alias("own"), keep.alias("keep"),
+            F.transform(F.slice("ordered", F.lit(1), keep + 1), lambda p: p["h"]).alias("prefix"),
         )
     )
-    prefix = F.slice("ordered", F.lit(1), keep.cast("int"))
-    own = F.floor(F.log(F.col("size").cast("double")) / -F.log(F.lit(threshold)) + 1e-9).cast("int")
+
+
+def prefix_buckets(ranked: DataFrame, *carried: str) -> DataFrame:
+    """(h, band, id, n, shape, pos, carried): each set under its rarest tokens.
+
+    Sizes of similar sets differ by a factor of at most 1 / t, so they share one of the
+    two size bands in which each set is filed.
+    """
     rows = ranked.select(
-        "docket_id", "key", F.struct("size", "bits").alias("shape"), "n", own.alias("own"),
-        F.posexplode(prefix).alias("pos", "p"),
+        "id", "n", "shape", "own", *carried, F.posexplode(F.slice("prefix", F.lit(1), F.col("keep"))).alias("pos", "h")
     )
     return rows.select(
-        "docket_id", F.col("p.token").alias("token"), F.explode(F.array("own", F.col("own") + 1)).alias("band"),
-        "key", "n", "shape", "pos",
+        "h", F.explode(F.array("own", F.col("own") + 1)).alias("band"), "id", "n", "shape", "pos", *carried
     )
 
 
-def _differing(a: Column, b: Column) -> Column:
-    """At least so many tokens differ: bits in which two bitmaps differ, or the sizes' difference."""
-    bits = sum((F.bit_count(a["bits"][w].bitwiseXOR(b["bits"][w])) for w in range(BITMAP_WORDS)), F.lit(0))
-    return F.greatest(bits, F.abs(a["size"] - b["size"]))
-
-
 def _least_distance(a: Column, b: Column) -> Column:
-    """Lower bound of the Jaccard distance of two sets, from their shapes alone."""
-    differing = _differing(a, b)
+    """Lower bound of the Jaccard distance of two sets, from their shapes alone.
+
+    At least so many tokens differ: bits in which two bitmaps differ, or the sizes' difference.
+    """
+    bits = sum((F.bit_count(a[f"w{w}"].bitwiseXOR(b[f"w{w}"])) for w in range(BITMAP_WORDS)), F.lit(0))
+    differing = F.greatest(bits, F.abs(a["size"] - b["size"]))
     return 2 * differing / (a["size"] + b["size"] + differing)
 
 
-def _overlap_possible(a: Column, b: Column, pos_a: Column, pos_b: Column, threshold: float) -> Column:
-    """Can enough tokens follow, if this is the first one in both prefixes?
+def _overlap_possible(a: Column, b: Column, most_a: Column, most_b: Column, threshold: float) -> Column:
+    """Are enough tokens left in both sets, if the bucket's token is their first common one?
 
     A similar pair passes in the bucket of its first common token.
     """
-    most = F.least(a["size"] - pos_a, b["size"] - pos_b)
-    return most >= (a["size"] + b["size"]) * (threshold / (1 + threshold)) - 1e-9
+    return F.least(most_a, most_b) >= (a["size"] + b["size"]) * (threshold / (1 + threshold)) - 1e-9
 
 
 def _compared(candidates: DataFrame, letters: DataFrame, threshold: float) -> DataFrame:
-    """(docket_id, a, b, similarity, same) of candidate pairs."""
-    sets = letters.select("docket_id", "key", "tokens")
-    left = sets.select("docket_id", F.col("key").alias("a"), F.col("tokens").alias("ta"))
-    right = sets.select("docket_id", F.col("key").alias("b"), F.col("tokens").alias("tb"))
-    joined = candidates.join(left, ["docket_id", "a"]).join(right, ["docket_id", "b"])
+    """(a, b, similarity, same) of candidate pairs of one docket."""
+    left = letters.select(F.col("id").alias("a"), F.col("docket_id").alias("da"), F.col("tokens").alias("ta"))
+    right = letters.select(F.col("id").alias("b"), F.col("docket_id").alias("db"), F.col("tokens").alias("tb"))
+    joined = candidates.join(left, "a").join(right, "b").where(F.col("da").eqNullSafe(F.col("db")))
     ta, tb = F.col("ta"), F.col("tb")
-    return joined.select(
-        "docket_id", "a", "b", jaccard(ta, tb).alias("similarity"), same_template(ta, tb, threshold).alias("same")
-    )
-
-
-def _node(key: str) -> Column:
-    """Docket and key together identify a letter."""
-    return F.concat_ws("\u0001", "docket_id", key)
+    return joined.select("a", "b", jaccard(ta, tb).alias("similarity"), same_template(ta, tb, threshold).alias("same"))
 
 
 def _links(compared: DataFrame) -> DataFrame:
-    return compared.where("same").select(_node("a").alias("src"), _node("b").alias("dst"))
+    return compared.where("same").select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
-def _leader_pairs(letters: DataFrame, threshold: float) -> DataFrame:
-    """Bucket members beside their bucket's leader (the leader's own row included)."""
-    buckets = cut_lineage(prefix_buckets(letters, threshold))
-    place = ["docket_id", "token", "band"]
-    leaders = buckets.groupBy(*place).agg(
-        F.max(F.struct("n", "key", "shape")).alias("leader"), F.count("*").alias("members")
+def _leaders(ranked: DataFrame) -> DataFrame:
+    """(h, band, leader): the letter with most copies of every bucket that holds two letters or more."""
+    grouped = prefix_buckets(ranked).groupBy(*BUCKET).agg(
+        F.max(F.struct("n", "id", "shape", "pos")).alias("leader"), F.count("*").alias("members")
     )
-    return buckets.join(leaders.where(F.col("members") > 1), place).select(
-        *place, "key", "shape", "pos", F.col("leader.key").alias("leader"),
-        _least_distance(F.col("shape"), F.col("leader.shape")).alias("least"),
+    return cut_lineage(grouped.where(F.col("members") > 1).drop("members"))
+
+
+def _leader_pairs(ranked: DataFrame, leaders: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): bucket members and the leaders that they may resemble."""
+    met = prefix_buckets(ranked).join(leaders, BUCKET)
+    a, b = F.col("shape"), F.col("leader.shape")
+    possible = (F.col("id") != F.col("leader.id")) & (_least_distance(a, b) <= 1 - threshold + 1e-9)
+    possible &= _overlap_possible(a, b, a["size"] - F.col("pos"), b["size"] - F.col("leader.pos"), threshold)
+    return met.where(possible).select(F.col("id").alias("a"), F.col("leader.id").alias("b")).distinct()
+
+
+def _placed(ranked: DataFrame, leaders: DataFrame, labels: DataFrame, first: DataFrame) -> DataFrame:
+    """Bucket rows with their family, whether the leader is of another one, and bounds of the distance to the leader."""
+    homes = leaders.join(labels.select(F.col("id").alias("_leader"), F.col("label").alias("home")), F.col("leader.id") == F.col("_leader"))
+    rows = prefix_buckets(ranked.join(labels, "id"), "label").join(homes, BUCKET)
+    exact = first.select(F.col("a").alias("id"), F.col("b").alias("_leader"), (1 - F.col("similarity")).alias("d"))
+    own = F.col("id") == F.col("_leader")
+    known = rows.join(exact, ["id", "_leader"], "left")
+    return known.select(
+        *BUCKET, "id", "shape", "pos", "label",
+        F.when(own, 0.0).otherwise(F.coalesce("d", _least_distance(F.col("shape"), F.col("leader.shape")))).alias("low"),
+        F.when(own, 0.0).otherwise(F.coalesce("d", F.lit(1.0))).alias("high"),
+        (F.col("label") != F.col("home")).alias("outside"),
     )
 
 
-def _cross_pairs(placed: DataFrame, first: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of one bucket in different families that may be similar, without those compared before."""
+def _met(left: DataFrame, right: DataFrame, on: list[str], threshold: float) -> DataFrame:
+    """(a, b) of rows that meet and may be similar; ``most`` tokens of each can be common."""
+    names = ("id", "shape", "most", "label", "low", "high", "outside")
     slack = 1 - threshold + 1e-9
-    exact = first.select("docket_id", F.col("a").alias("key"), F.col("b").alias("leader"), (1 - F.col("similarity")).alias("d"))
-    named = placed.join(labels, ["docket_id", "key"]).join(exact, ["docket_id", "key", "leader"], "left")
-    homes = labels.select("docket_id", F.col("key").alias("leader"), F.col("label").alias("home"))
-    named = named.join(homes, ["docket_id", "leader"])
-    named = named.select(
-        "docket_id", "token", "band", "key", "shape", "pos", "label",
-        F.when(F.col("key") == F.col("leader"), 0.0).otherwise(F.coalesce("d", "least")).alias("low"),
-        F.when(F.col("key") == F.col("leader"), 0.0).otherwise(F.coalesce("d", F.lit(1.0))).alias("high"),
-        (F.col("label") != F.col("home")).alias("outside"),
-    )
-    named = cut_lineage(named)
-    place = ["docket_id", "token", "band"]
-    left = named.where("outside").select(*place, *[F.col(c).alias(f"{c}1") for c in ("key", "shape", "pos", "label", "low", "high")])
-    right = named.select(*place, "outside", *[F.col(c).alias(f"{c}2") for c in ("key", "shape", "pos", "label", "low", "high")])
+    left = left.select(*on, *[F.col(c).alias(f"{c}1") for c in names])
+    right = right.select(*on, *[F.col(c).alias(f"{c}2") for c in names])
     a, b = F.col("shape1"), F.col("shape2")
-    pairs = left.join(right, place).where(
+    return left.join(right, on).where(
         (F.col("label1") != F.col("label2"))
-        & (~F.col("outside") | (F.col("key1") < F.col("key2")))
+        & (~F.col("outside2") | (F.col("id1") < F.col("id2")))
+        & _overlap_possible(a, b, F.col("most1"), F.col("most2"), threshold)
         & (F.col("low1") - F.col("high2") <= slack)
         & (F.col("low2") - F.col("high1") <= slack)
         & (_least_distance(a, b) <= slack)
-        & _overlap_possible(a, b, F.col("pos1"), F.col("pos2"), threshold)
+    ).select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b"))
+
+
+def _split(rows: DataFrame, ranked: DataFrame, threshold: float) -> DataFrame:
+    """Rows of crowded buckets under a second token as well: ``second`` and what can be common from there on.
+
+    Similar sets share two tokens among one more of their rarest: with the bucket's token
+    as the first common one, the next common one comes after it in both. Of a similarity
+    above one half, a set of one token resembles nothing but itself; it has no second token.
+    Below that two common tokens are not certain, and the bucket stays whole.
+    """
+    if threshold <= 0.5:
+        return rows.withColumn("second", F.lit(0).cast("long"))
+    later = rows.join(ranked.select("id", "prefix"), "id").select(
+        *rows.columns, F.posexplode_outer(F.slice("prefix", F.col("pos") + 2, F.size("prefix"))).alias("_next", "_second")
     )
-    done = first.select("docket_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return pairs.select(
-        "docket_id", F.least("key1", "key2").alias("a"), F.greatest("key1", "key2").alias("b")
-    ).distinct().join(done, ["docket_id", "a", "b"], "left_anti")
+    after = F.when(F.col("_next").isNull(), F.col("most")).otherwise(F.col("most") - F.col("_next"))
+    return later.withColumns({"second": F.coalesce("_second", F.lit(0).cast("long")), "most": after}).drop("_next", "_second")
+
+
+def _dealt(rows: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(a, b) of crowded buckets: both sides of every cell are dealt over blocks of bounded size.
+
+    A row stays only if some size in its cell is within what its position allows.
+    """
+    cell = [*BUCKET, "second"]
+    largest = F.floor(F.col("most") * ((1 + threshold) / threshold) - F.col("shape")["size"] + 1e-6).alias("largest")
+    rows = cut_lineage(rows.select("*", largest))
+    cells = rows.groupBy(*cell).agg(
+        F.ceil(F.count_if("outside") / block).cast("int").alias("outsiders"),
+        F.ceil(F.count("*") / block).cast("int").alias("members"),
+        F.min(F.col("shape")["size"]).alias("_least"), F.max("largest").alias("_most"), F.count("*").alias("_rows"),
+    )
+    known = rows.join(cells.where((F.col("outsiders") > 0) & (F.col("_rows") > 1)), cell)
+    known = known.where((F.col("largest") >= F.col("_least")) & (F.col("shape")["size"] <= F.col("_most")))
+    known = cut_lineage(known.drop("_least", "_most", "_rows", "largest"))
+
+    def mine(blocks: str) -> Column:
+        return F.pmod(F.xxhash64("id"), F.col(blocks)).cast("int")
+
+    def each(blocks: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+
+    left = known.where("outside").select("*", mine("outsiders").alias("i"), each("members").alias("j"))
+    right = known.select("*", each("outsiders").alias("i"), mine("members").alias("j"))
+    return _met(left, right, [*cell, "i", "j"], threshold)
+
+
+def _bucket_pairs(
+    rows: DataFrame, ranked: DataFrame, threshold: float, crowded_pairs: int, block: int
+) -> DataFrame:
+    """(a, b) of one bucket, one of them outside, in different families, that may be similar.
+
+    A bucket with more than ``crowded_pairs`` of outsiders times members is divided by a
+    second token and its cells are dealt over blocks, so that no task holds it.
+    """
+    rows = cut_lineage(rows.withColumn("most", F.col("shape")["size"] - F.col("pos")))
+    sizes = rows.groupBy(*BUCKET).agg(F.count_if("outside").alias("outsiders"), F.count("*").alias("members"))
+    crowded = checked_broadcast(sizes.where(F.col("outsiders") * F.col("members") > crowded_pairs).select(*BUCKET))
+    if crowded.isEmpty():
+        return _met(rows.where("outside"), rows, BUCKET, threshold).distinct()
+    quiet = rows.join(crowded, BUCKET, "left_anti")
+    full = _split(rows.join(crowded, BUCKET), ranked, threshold)
+    pairs = _met(quiet.where("outside"), quiet, BUCKET, threshold)
+    return pairs.unionByName(_dealt(full, threshold, block)).distinct()
+
+
+def _numbered(letters: DataFrame) -> DataFrame:
+    """Letters under stored numbers, which stand for docket and key from here on."""
+    return cut_lineage(letters.select(F.monotonically_increasing_id().alias("id"), "docket_id", "key", "n", "tokens"))
 
 
 def _labels(letters: DataFrame, roots: DataFrame) -> DataFrame:
-    """(docket_id, key, label): smallest linked letter, or the letter itself."""
-    keyed = letters.select("docket_id", "key", _node("key").alias("node"))
-    return keyed.join(roots, "node", "left").select("docket_id", "key", F.coalesce("root", "node").alias("label"))
+    """(id, label): smallest linked letter, or the letter itself."""
+    return letters.select("id").join(roots.withColumnRenamed("node", "id"), "id", "left").select(
+        "id", F.coalesce("root", "id").alias("label")
+    )
 
 
-def families_of(letters: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+def families_of(
+    letters: DataFrame, threshold: float = SIMILARITY, crowded_pairs: int = CROWDED_PAIRS, block: int = BLOCK_ROWS
+) -> DataFrame:
     """(docket_id, key, family) of any number of letters per docket."""
-    letters = letters.select("docket_id", "key", "n", "tokens")
-    placed = cut_lineage(_leader_pairs(letters, threshold))
-    slack = 1 - threshold + 1e-9
-    met = placed.where((F.col("key") != F.col("leader")) & (F.col("least") <= slack))
-    met = met.select("docket_id", F.col("key").alias("a"), F.col("leader").alias("b")).distinct()
-    first = cut_lineage(_compared(met, letters, threshold))
+    letters = _numbered(letters)
+    ranked = _ranked(letters, threshold)
+    leaders = _leaders(ranked)
+    first = cut_lineage(_compared(_leader_pairs(ranked, leaders, threshold), letters, threshold))
     roots = cut_lineage(connected_components(_links(first)))
     labels = cut_lineage(_labels(letters, roots))
-    second = cut_lineage(_compared(_cross_pairs(placed, first, labels, threshold), letters, threshold))
+    crossing = _bucket_pairs(_placed(ranked, leaders, labels, first), ranked, threshold, crowded_pairs, block)
+    done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    second = cut_lineage(_compared(crossing.join(done, ["a", "b"], "left_anti"), letters, threshold))
     # the stars of the first pass keep its families; the new links join them
     stars = roots.select(F.col("node").alias("src"), F.col("root").alias("dst"))
-    labels = cut_lineage(_labels(letters, connected_components(stars.unionByName(_links(second)))))
-    sized = labels.join(letters.select("docket_id", "key", "n"), ["docket_id", "key"])
+    labels = _labels(letters, connected_components(stars.unionByName(_links(second))))
+    sized = cut_lineage(labels.join(letters.select("id", "docket_id", "key", "n"), "id"))
     # largest member names the family, the smaller key on a tie
     heads = sized.groupBy("label").agg(
         F.min_by("key", F.struct(-F.col("n"), F.col("key"))).alias("family")
     )
-    return labels.join(heads, "label").select("docket_id", "key", "family")
+    return sized.join(heads, "label").select("docket_id", "key", "family")
 
 
-def template_pairs(letters: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+def template_pairs(
+    letters: DataFrame, threshold: float = SIMILARITY, crowded_pairs: int = CROWDED_PAIRS, block: int = BLOCK_ROWS
+) -> DataFrame:
     """All similar pairs of a docket's form letters; the result itself may be large.
 
-    The same buckets and bounds as for families, but every pair that passes is compared.
+    The same buckets, bounds and blocks as for families, but every pair that passes is compared.
     """
-    letters = letters.select("docket_id", "key", "n", "tokens")
-    rows = cut_lineage(prefix_buckets(letters, threshold))
-    place = ["docket_id", "token", "band"]
-    left = rows.select(*place, *[F.col(c).alias(f"{c}1") for c in ("key", "shape", "pos")])
-    right = rows.select(*place, *[F.col(c).alias(f"{c}2") for c in ("key", "shape", "pos")])
-    a, b = F.col("shape1"), F.col("shape2")
-    pairs = left.join(right, place).where(
-        (F.col("key1") < F.col("key2"))
-        & (_least_distance(a, b) <= 1 - threshold + 1e-9)
-        & _overlap_possible(a, b, F.col("pos1"), F.col("pos2"), threshold)
+    letters = _numbered(letters)
+    ranked = _ranked(letters, threshold)
+    rows = prefix_buckets(ranked).drop("n").withColumns({
+        "label": F.col("id"), "low": F.lit(0.0), "high": F.lit(1.0), "outside": F.lit(True),
+    })
+    candidates = _bucket_pairs(rows, ranked, threshold, crowded_pairs, block)
+    similar = _compared(candidates, letters, threshold).where("same").select("a", "b", "similarity")
+    keys = letters.select("id", "docket_id", "key")
+    named = similar.join(keys.toDF("a", "docket_id", "key_a"), "a").join(keys.drop("docket_id").toDF("b", "key_b"), "b")
+    return named.select(
+        "docket_id", F.least("key_a", "key_b").alias("hash_a"), F.greatest("key_a", "key_b").alias("hash_b"), "similarity"
     )
-    candidates = pairs.select("docket_id", F.col("key1").alias("a"), F.col("key2").alias("b")).distinct()
-    similar = _compared(candidates, letters, threshold).where("same")
-    return similar.select("docket_id", F.col("a").alias("hash_a"), F.col("b").alias("hash_b"), "similarity")
 
 
 def template_families(

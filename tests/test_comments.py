@@ -96,6 +96,44 @@ def test_all_families_equal_brute_force(spark, seed):
         if d1 == d2 and len(a & b) / len(a | b) >= (0.95 if min(len(a), len(b)) < 4 else 0.8):
             want.add((d1, min(k1, k2), max(k1, k2)))
     assert pairs == want
+    # every bucket crowded, and dealt over blocks of two rows
+    pairs = {(r.docket_id, r.hash_a, r.hash_b) for r in FM.template_pairs(data, crowded_pairs=0, block=2).collect()}
+    assert pairs == want
+    named = FM.families_of(data, crowded_pairs=0, block=2)
+    got = named.groupBy("docket_id", "family").count().collect()
+    assert sorted((r.docket_id, r.family, r["count"]) for r in got) == brute_families(rows, 0.8)
+
+
+@pytest.mark.parametrize("threshold", [0.4, 0.6])
+def test_crowded_buckets_at_low_thresholds(spark, threshold):
+    """At 0.4 two common tokens are not certain, so a bucket is dealt without a second token."""
+    rng = random.Random(7)
+    rows = [("d", f"k{i:02}", 2 + i % 3, sorted({f"w{rng.randint(0, 14)}" for _ in range(rng.randint(1, 9))})) for i in range(60)]
+    got = FM.families_of(letters(spark, rows), threshold, crowded_pairs=0, block=3).groupBy("docket_id", "family").count().collect()
+    assert sorted((r.docket_id, r.family, r["count"]) for r in got) == brute_families(rows, threshold)
+
+
+def test_a_crowded_bucket_of_unlike_letters_is_divided(spark):
+    """20,000 letters that share a token and a size band, but no two of which are similar."""
+    n = 20_000
+    pool = [F.concat(F.lit("p"), F.pmod(F.xxhash64("id", F.lit(i)), F.lit(40)).cast("string")) for i in range(14)]
+    own = [F.format_string(f"u%06dx{i}", "id") for i in range(2)]
+    rows = spark.range(n).select(
+        F.lit("d").alias("docket_id"), F.format_string("k%06d", "id").alias("key"), (2 + F.col("id") % 9).alias("n"),
+        F.array_sort(F.array_distinct(F.array(*own, F.lit("shared"), *pool))).alias("tokens"),
+    )
+    rows = FM._numbered(rows)
+    ranked = FM._ranked(rows, 0.8)
+    alone = FM.prefix_buckets(ranked).drop("n").withColumns(
+        {"label": F.col("id"), "low": F.lit(0.0), "high": F.lit(1.0), "outside": F.lit(True)}
+    ).withColumn("most", F.col("shape")["size"] - F.col("pos"))
+    buckets = alone.groupBy("h", "band").count()
+    largest = buckets.agg(F.max("count")).first()[0]
+    divided = FM._split(alone, ranked, 0.8).groupBy("h", "band", "second").count().agg(F.max("count")).first()[0]
+    assert largest > 2_000 and divided < largest / 3
+    families = FM.families_of(rows, crowded_pairs=100_000, block=500)
+    assert families.select("family").distinct().count() == n
+
 
 
 def test_a_large_campaign_forms_about_one_pair_per_member(spark):
@@ -106,9 +144,9 @@ def test_a_large_campaign_forms_about_one_pair_per_member(spark):
         F.lit("d").alias("docket_id"), F.format_string("k%06d", "id").alias("key"),
         (2 + F.col("id") % 9).alias("n"), F.array_sort(F.concat(F.array(*map(F.lit, base)), own)).alias("tokens"),
     )
-    placed = FM._leader_pairs(rows, 0.8).cache()
-    met = placed.where("key <> leader").select("key", "leader").distinct().count()
-    assert met <= 20 * n
+    numbered = FM._numbered(rows)
+    ranked = FM._ranked(numbered, 0.8)
+    assert FM._leader_pairs(ranked, FM._leaders(ranked), 0.8).count() <= 20 * n
     families = FM.families_of(rows)
     assert families.select("family").distinct().count() == 1 and families.count() == n
 
