@@ -32,11 +32,12 @@ PLACEHOLDER_RULES = {"text": "placeholder", "body": "placeholder_body"}
 
 
 def keyed_comments(
-    comments: DataFrame, tiers: tuple[str, ...] = TIERS, name_columns: tuple[str, ...] = ()
+    comments: DataFrame, tiers: tuple[str, ...] = TIERS, name_columns: tuple[str, ...] = (), carried: tuple[str, ...] = ()
 ) -> DataFrame:
     """Per comment: docket, id, day, flags and the key of every tier; no text.
 
-    ``name_columns`` masks the signer's own names before the template keys.
+    ``name_columns`` masks the signer's own names before the template keys; ``carried`` columns
+    are kept.
     """
     shown = comments.select("*", text_display(F.col("comment")).alias("_display"))
     names = [F.col(c) for c in name_columns]
@@ -50,6 +51,7 @@ def keyed_comments(
         F.coalesce(is_placeholder(F.col("_display")), F.lit(True)).alias("placeholder"),
         F.coalesce(is_placeholder_body(F.col("_display")), F.lit(True)).alias("placeholder_body"),
         *keys,
+        *carried,
     )
 
 

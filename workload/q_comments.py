@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from docketscope.functions import stance as ST
@@ -10,6 +12,8 @@ from docketscope.operators import clusters as CL
 from docketscope.operators import families as FM
 from docketscope.operators import findings as FN
 from docketscope.plans import report as RP
+from docketscope.plans import stored as SK
+from docketscope.session import ensure_checkpoint_dir
 from workload.catalog import AS_OF_2024, TEXT_SQL, query
 
 # Cue words that occur in the test texts; the library's own lexicon does not.
@@ -286,12 +290,17 @@ def _(t):
     return CL.cluster_totals(clusters(t))
 
 
+CLUSTERS_SQL = """
+    SELECT c.docket_id, key AS hash, n, display AS sample, tokenset,
+           strftime(first_day, '%Y-%m-%d') AS first_day, strftime(last_day, '%Y-%m-%d') AS last_day
+    FROM clusters c JOIN forms f ON f.comment_id = c.sample_id WHERE tier = '{tier}' AND n > 0"""
+
 for _tier in TX.TIERS:
 
-    @query(f"comment_clusters_{_tier}" if _tier != "near" else "comment_clusters", "clusters forms", f"""
-        SELECT c.docket_id, key AS hash, n, display AS sample, tokenset,
-               strftime(first_day, '%Y-%m-%d') AS first_day, strftime(last_day, '%Y-%m-%d') AS last_day
-        FROM clusters c JOIN forms f ON f.comment_id = c.sample_id WHERE tier = '{_tier}' AND n > 0""")
+    @query(
+        f"comment_clusters_{_tier}" if _tier != "near" else "comment_clusters", "clusters forms",
+        CLUSTERS_SQL.format(tier=_tier),
+    )
     def _(t, tier=_tier):
         return CL.comment_clusters(t("comments"), tier)
 
@@ -491,30 +500,64 @@ def _(t):
     return RP.comment_precompute(t("comments"))
 
 
-@query("stance_by_template", "forms", f"""
+STANCE_BY_TEMPLATE_SQL = f"""
     WITH h AS (SELECT comment_id, md5(skeleton) AS skeleton_hash, {hits_sql("lower(display)", SUPPORT)} AS s,
                       {hits_sql("lower(display)", OPPOSE)} AS o FROM forms WHERE display IS NOT NULL),
     g AS (SELECT skeleton_hash, count(*) AS n, arg_min(s, comment_id) AS support_hits,
                  arg_min(o, comment_id) AS oppose_hits FROM h GROUP BY 1)
-    SELECT *, {stance_sql('support_hits', 'oppose_hits')} AS stance FROM g""")
+    SELECT *, {stance_sql('support_hits', 'oppose_hits')} AS stance FROM g"""
+
+
+@query("stance_by_template", "forms", STANCE_BY_TEMPLATE_SQL)
 def _(t):
     return RP.stance_by_template(t("comments"), SUPPORT, OPPOSE)
 
 
-@query("cross_docket_campaigns", "forms", f"""
+CAMPAIGNS_SQL = f"""
     SELECT md5(skeleton) AS skeleton_hash, count(*) AS n, count(DISTINCT (docket_id, agency_code)) AS dockets,
            count(DISTINCT agency_code) AS agencies,
            strftime(min(TRY_CAST(posted_date AS date)), '%Y-%m-%d') AS first_day,
            strftime(max(TRY_CAST(posted_date AS date)), '%Y-%m-%d') AS last_day
     FROM forms
     WHERE NOT (comment IS NULL OR trim(comment) = '') AND NOT coalesce({placeholder_sql('display')}, true)
-    GROUP BY skeleton HAVING count(DISTINCT (docket_id, agency_code)) >= 2""")
+    GROUP BY skeleton HAVING count(DISTINCT (docket_id, agency_code)) >= 2"""
+
+
+@query("cross_docket_campaigns", "forms", CAMPAIGNS_SQL)
 def _(t):
     # one docket for each language and source
     split = t("comments").withColumn("docket_id", F.concat_ws("-", "docket_id", "agency_code"))
     return RP.cross_docket_campaigns(split)
 
 
+# the same rows from stored keys, written to the shared folder first
+def stored(t, comments=None):
+    ensure_checkpoint_dir(t.spark)
+    base = f"{t.spark.sparkContext.getCheckpointDir()}/keys-{uuid4().hex}"
+    return SK.store_keys(t("comments") if comments is None else comments, base, support=SUPPORT, oppose=OPPOSE)
+
+
+@query("stored_comment_clusters", "clusters forms", CLUSTERS_SQL.format(tier="near"))
+def _(t):
+    return SK.stored_comment_clusters(stored(t))
+
+
+@query("stored_orchestration_stats", "totals clusters", _orch_sql("clusters"))
+def _(t):
+    return rounded(SK.stored_orchestration(stored(t)), "unique_pct", "orchestrated_pct")
+
+
+@query("stored_stance_by_template", "forms", STANCE_BY_TEMPLATE_SQL)
+def _(t):
+    return SK.stored_stance(stored(t))
+
+
+@query("stored_cross_docket_campaigns", "forms", CAMPAIGNS_SQL)
+def _(t):
+    split = t("comments").withColumn("docket_id", F.concat_ws("-", "docket_id", "agency_code"))
+    return SK.stored_campaigns(stored(t, split))
+
+
 @query("outlier_letters", "reach letters", """
     WITH head AS (
       SELECT r.docket_id, r.a AS key, arg_min(r.b, (-l.n, r.b)) AS family
