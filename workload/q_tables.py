@@ -11,6 +11,7 @@ from docketscope.functions import fields as X
 from docketscope.functions.text import comment_body
 from docketscope.operators import feed as FEED
 from docketscope.operators import lookups as LK
+from docketscope.plans import incremental
 from docketscope.plans import rollups as R
 from docketscope.session import ensure_checkpoint_dir
 from docketscope.sources import sinks, tables
@@ -588,3 +589,72 @@ def _(t):
         part = t.spark.read.parquet(path).agg(F.lit(name).alias("rollup"), F.count("*").alias("n"))
         rows = part if rows is None else rows.unionByName(part)
     return rows
+
+
+@query("publish_rollups_rows", "comments_index feed_summary agency_stats agency_monthly_volume rulemaking_lifecycles "
+       "discovery_signals fr_docket_links", """
+    SELECT 'comments_index' AS rollup, docket_id AS a, concat_ws('-', agency_code, year, month) AS b, row_count AS v
+    FROM comments_index
+    UNION ALL SELECT 'feed_summary', docket_id, concat_ws('-', agency_code, title, comment_end_date), comment_count
+    FROM feed_summary
+    UNION ALL SELECT 'agency_stats', agency_code, concat_ws('-', docket_count, document_count), comment_count
+    FROM agency_stats
+    UNION ALL SELECT 'agency_monthly_volume', agency_code, concat_ws('-', document_type, year, month), document_count
+    FROM agency_monthly_volume
+    UNION ALL SELECT 'rulemaking_lifecycles', docket_id,
+        concat_ws('-', kind, agency_code, title, strftime(proposed_date, '%Y-%m-%d'), strftime(final_date, '%Y-%m-%d')),
+        CAST(days AS bigint)
+    FROM rulemaking_lifecycles
+    UNION ALL SELECT 'discovery_signals', agency_code, CAST(CAST(round(baseline * 12) AS bigint) AS varchar), recent_30d
+    FROM discovery_signals WHERE ratio >= 2
+    UNION ALL SELECT 'fr_docket_links', docket_id, concat_ws('-', document_number, title, publication_date),
+        CAST(length(docket_ids_json) AS bigint)
+    FROM fr_docket_links""")
+def _(t):
+    """The rows of the published rollups, read back from their files."""
+    paths = R.publish_rollups(
+        _folder(t, "rollups"), t("dockets"), t("reg_documents"), t("reg_documents"), t("federal_register"), AS_OF
+    )
+    columns = {
+        "comments_index": ("docket_id", "agency_code year month", "row_count"),
+        "feed_summary": ("docket_id", "agency_code title comment_end_date", "comment_count"),
+        "agency_stats": ("agency_code", "docket_count document_count", "comment_count"),
+        "agency_monthly_volume": ("agency_code", "document_type year month", "document_count"),
+        "rulemaking_lifecycles": ("docket_id", "kind agency_code title proposed_date final_date", "days"),
+        "discovery_signals": ("agency_code", "prior", "recent_30d"),
+        "fr_docket_links": ("docket_id", "document_number title publication_date", "size"),
+    }
+    rows = None
+    for name, path in paths.items():
+        table = t.spark.read.parquet(path)
+        if name == "discovery_signals":
+            table = table.withColumn("prior", F.round(F.col("baseline") * 12).cast("long"))
+        if name == "fr_docket_links":
+            table = table.withColumn("size", F.length("docket_ids_json"))
+        a, b, v = columns[name]
+        part = table.select(
+            F.lit(name).alias("rollup"), F.col(a).alias("a"),
+            F.concat_ws("-", *[F.col(c).cast("string") for c in b.split()]).alias("b"), F.col(v).cast("long").alias("v"),
+        )
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
+def _refreshed(t, build):
+    """A rollup after two snapshots: the older documents, then the others appended to their agencies' folders."""
+    base, docs = _folder(t, "incremental"), t("reg_documents")
+    early = F.coalesce(F.col("posted_date") < "1997", F.lit(True))
+    docs.where(early).write.partitionBy("agency_code").parquet(f"{base}/documents")
+    incremental.refresh(t.spark.read.parquet(f"{base}/documents"), f"{base}/rollup", build)
+    docs.where(~early).write.mode("append").partitionBy("agency_code").parquet(f"{base}/documents")
+    return incremental.refresh(t.spark.read.parquet(f"{base}/documents"), f"{base}/rollup", build).rollup
+
+
+@query("incremental_comments_index", "comments_index", "SELECT * FROM comments_index")
+def _(t):
+    return _refreshed(t, R.build_comments_index).select("agency_code", "docket_id", "year", "month", "row_count")
+
+
+@query("incremental_monthly_volume", "agency_monthly_volume", "SELECT * FROM agency_monthly_volume")
+def _(t):
+    return _refreshed(t, R.build_agency_monthly_volume)
