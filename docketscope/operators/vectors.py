@@ -6,6 +6,9 @@ partner: its distance to the plane between the two pivots is at most the radius,
 ball round the cell's rows. Of two cells only one sends visitors to the other, so a pair is formed once. Nothing is lost
 by either bound, whatever the pivots are; poor pivots only cost comparisons. Cells are dealt over blocks of bounded size,
 which Spark spreads, and a block is compared as one matrix product inside its task.
+
+Rows without clusters visit nearly every cell, and their copies would grow with n * sqrt(n). So visits are counted
+before a row is sent, and where larger blocks of all rows take fewer copies, all rows are compared in such blocks.
 """
 
 from __future__ import annotations
@@ -25,11 +28,17 @@ SIMILARITY = 0.9
 # Pivots are broadcast: at most so many.
 MOST_PIVOTS = 8192
 BLOCK_ROWS = 2048
+# Blocks of all rows: their bytes, and as many blocks at least where rows suffice, so that tasks share the work.
+WHOLE_BYTES = 32 << 20
+WHOLE_BLOCKS = 4
+# Of fewer rows, cells are compared as they are.
+WHOLE_FROM = 4096
 # Slack of distances that are computed from inner products.
 SLACK = 1e-6
 
 _PLACED = "id long, x binary, cell int, away double"
 _VISIT = "cell int, id long, x binary"
+_COUNT = "cell int, n long"
 _PAIR = "a long, b long, similarity double"
 
 
@@ -61,6 +70,13 @@ def directions_of(rows: DataFrame) -> DataFrame:
     return cut_lineage(rows.groupBy("unit").agg(F.min("id").alias("id")))
 
 
+def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
+    """The vectors of a column of bytes, where they lie in its buffer."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    first = np.frombuffer(column.buffers()[1], np.int32)[column.offset]
+    return np.frombuffer(column.buffers()[2], count=len(column) * dim, offset=int(first)).reshape(-1, dim)
+
+
 def _placed(units: DataFrame, pivots: np.ndarray) -> DataFrame:
     """(id, x, cell, away): each row with its nearest pivot and the distance to it."""
 
@@ -80,17 +96,21 @@ def _placed(units: DataFrame, pivots: np.ndarray) -> DataFrame:
     return cut_lineage(units.select("id", "unit").mapInArrow(run, _PLACED))
 
 
-def _visits(placed: DataFrame, pivots: np.ndarray, radii: np.ndarray, reach: float) -> DataFrame:
-    """(cell, id, x): rows in every other cell that may hold a partner and receives visitors of theirs."""
+def _visits(placed: DataFrame, pivots: np.ndarray, radii: np.ndarray, reach: float, count: bool = False) -> DataFrame:
+    """(cell, id, x): rows in every other cell that may hold a partner and receives visitors of theirs.
+
+    With ``count`` only their numbers: (cell, n), a row per cell and piece of the table.
+    """
     between = np.sqrt(np.maximum(2 - 2 * pivots @ pivots.T, 0))
     limit = reach + SLACK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = np.arange(len(pivots))
+        total = np.zeros(len(pivots), np.int64)
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
-                x = np.frombuffer(b"".join(part.column("x").to_pylist())).reshape(-1, pivots.shape[1])
+                x = _matrix(part.column("x"), pivots.shape[1])
                 home = part.column("cell").to_numpy()
                 square = np.maximum(2 - 2 * (x @ pivots.T), 0)
                 own = square[np.arange(len(x)), home][:, None]
@@ -99,11 +119,40 @@ def _visits(placed: DataFrame, pivots: np.ndarray, radii: np.ndarray, reach: flo
                 ball = np.sqrt(square) <= radii[None, :] + limit
                 even = (home[:, None] + number) % 2 == 0
                 sends = np.where(even, home[:, None] < number, home[:, None] > number)
-                row, cell = np.nonzero(plane & ball & sends)
+                visits = plane & ball & sends
+                if count:
+                    total += visits.sum(axis=0)
+                    continue
+                row, cell = np.nonzero(visits)
                 taken = part.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), taken.column("id"), taken.column("x")], ["cell", "id", "x"])
 
-    return placed.mapInArrow(run, _VISIT)
+        if count:
+            yield pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), pa.array(total)], ["cell", "n"])
+
+    return placed.mapInArrow(run, _COUNT if count else _VISIT)
+
+
+def _whole_rows(rows: int, dim: int) -> int:
+    """Rows of a block of all rows."""
+    return max(BLOCK_ROWS, min(WHOLE_BYTES // (8 * dim), ceil(rows / WHOLE_BLOCKS)))
+
+
+def _copies(homes: int, guests: int, block: int) -> int:
+    """Rows that the units of one cell receive."""
+    i, j = ceil(homes / block), ceil(guests / block)
+    return homes * (i + 1 + j) + guests * i
+
+
+def _dealt_whole(placed: DataFrame, blocks: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of both sides under their units, all rows as one cell without visitors."""
+    unit = ["cell", "visitor", "i", "j"]
+    rows = placed.select(
+        F.lit(0).alias("cell"), F.lit(False).alias("visitor"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("mine"), "id", "x"
+    )
+    left = rows.select("cell", "visitor", F.col("mine").alias("i"), F.explode(F.sequence(F.col("mine"), F.lit(blocks - 1))).alias("j"), "id", "x")
+    right = rows.select("cell", "visitor", F.explode(F.sequence(F.lit(0), F.col("mine"))).alias("i"), F.col("mine").alias("j"), "id", "x")
+    return left, right.toDF(*unit, "id", "x")
 
 
 def _dealt(placed: DataFrame, visits: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -140,8 +189,7 @@ def _compared(left: DataFrame, right: DataFrame, dim: int, threshold: float, for
         found: list[tuple] = []
         if one.num_rows and two.num_rows:
             ids, ids2 = one.column("id").to_numpy(), two.column("id").to_numpy()
-            x = np.frombuffer(b"".join(one.column("x").to_pylist())).reshape(-1, dim)
-            y = np.frombuffer(b"".join(two.column("x").to_pylist())).reshape(-1, dim)
+            x, y = _matrix(one.column("x"), dim), _matrix(two.column("x"), dim)
             same = not two.column("visitor")[0].as_py() and two.column("i")[0].as_py() == two.column("j")[0].as_py()
             root = {int(i): int(i) for i in np.concatenate((ids, ids2))} if forest else {}
 
@@ -151,8 +199,8 @@ def _compared(left: DataFrame, right: DataFrame, dim: int, threshold: float, for
                     i = root[i]
                 return i
 
-            for first in range(0, len(x), 256):
-                near = x[first : first + 256] @ y.T
+            for first in range(0, len(x), 128):
+                near = x[first : first + 128] @ y.T
                 rows, cols = np.nonzero(near >= threshold - SLACK)
                 rows = rows + first
                 exact = (x[rows] * y[cols]).sum(axis=1)
@@ -182,11 +230,17 @@ def _units(directions: DataFrame, threshold: float, pivots: int | None) -> tuple
         return None
     points = np.array([np.frombuffer(r["unit"]) for r in taken])
     placed = _placed(directions, points)
-    radii = np.zeros(len(points))
-    for row in placed.groupBy("cell").agg(F.max("away").alias("r")).collect():  # one row per pivot
-        radii[row["cell"]] = row["r"]
-    visits = _visits(placed, points, radii, sqrt(max(2 - 2 * threshold, 0)))
-    return *_dealt(placed, visits), points.shape[1]
+    dim = points.shape[1]
+    radii, homes, guests = np.zeros(len(points)), {}, {}
+    for row in placed.groupBy("cell").agg(F.max("away").alias("r"), F.count("*").alias("n")).collect():  # one row per pivot
+        radii[row["cell"]], homes[row["cell"]] = row["r"], row["n"]
+    reach = sqrt(max(2 - 2 * threshold, 0))
+    for row in _visits(placed, points, radii, reach, count=True).groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        guests[row["cell"]] = row["n"]
+    whole = _whole_rows(count, dim)
+    if count >= WHOLE_FROM and sum(_copies(n, guests[cell], BLOCK_ROWS) for cell, n in homes.items()) > _copies(count, 0, whole):
+        return *_dealt_whole(placed, ceil(count / whole)), dim
+    return *_dealt(placed, _visits(placed, points, radii, reach)), dim
 
 
 def comparisons(left: DataFrame, right: DataFrame) -> DataFrame:

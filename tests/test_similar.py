@@ -73,6 +73,22 @@ def test_cells_save_comparisons(spark, points, monkeypatch):
     assert work["pairs"] < 0.35 * n * (n - 1) / 2 and work["most"] <= 100 * 100
 
 
+def test_unlike_vectors_are_sent_to_few_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(vectors, "WHOLE_FROM", 1000)
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.standard_normal(64).tolist()) for i in range(1200)]
+    rows += [(2000 + i, [*v[:60], 0.0, 0.0, 0.0, 0.0]) for i, v in rows[:200]]
+    directions = vectors.directions_of(vectors.unit_rows(frame(spark, rows), "comment_id", "embedding"))
+    left, right, _ = vectors._units(directions, 0.9, None)
+    # every pair meets, from five copies of a row instead of one for most of 38 cells
+    assert left.count() + right.count() == 5 * len(rows)
+    pairs, classes = by_hand(rows, 0.9)
+    got = vectors.semantic_pairs(frame(spark, rows), 0.9).collect()
+    assert len(got) == len(pairs) >= 100 and {(r["a"], r["b"]) for r in got} == pairs
+    assert {r["comment_id"]: r["class_id"] for r in vectors.semantic_classes(frame(spark, rows), 0.9).collect()} == classes
+
+
 def test_vectors_that_take_no_part(spark):
     rows = [(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, [1.0]), (7, [2.0, -0.0]),
             (None, [1.0, 0.0]), (8, [float("inf"), 1.0]), (9, []), (10, [0.0, 1.0]), (10, [0.0, 1.0])]
