@@ -213,6 +213,13 @@ def test_near_never_splits_template(spark, small):
     assert split.count() == 0
 
 
+def test_letters_are_stored_without_their_texts(spark, small):
+    near, sums = RP.near_letters(small)
+    assert not {"body", "sample", "_raw"} & set(near.columns) and dict(near.dtypes)["tokens"] == "array<bigint>"
+    scored = RP.families_with_stance(near, sums, small, min_size=1, support=["protect*"], oppose=["nothing"]).collect()
+    assert scored and {r.stance for r in scored} <= {"support", "unclear"} and any(r.support_hits for r in scored)
+
+
 def test_families_keep_every_comment(spark, small):
     near, sums = RP.near_letters(small)
     families = FM.template_families(near, sums)
