@@ -70,11 +70,15 @@ def directions_of(rows: DataFrame) -> DataFrame:
     return cut_lineage(rows.groupBy("unit").agg(F.min("id").alias("id")))
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
-    """The vectors of a column of bytes, where they lie in its buffer."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    first = np.frombuffer(column.buffers()[1], np.int32)[column.offset]
-    return np.frombuffer(column.buffers()[2], count=len(column) * dim, offset=int(first)).reshape(-1, dim)
+def _reader():
+    """How tasks read the vectors of a column of bytes where they lie; a closure, so that executors need no module of ours."""
+
+    def matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        first = np.frombuffer(column.buffers()[1], np.int32)[column.offset]
+        return np.frombuffer(column.buffers()[2], count=len(column) * dim, offset=int(first)).reshape(-1, dim)
+
+    return matrix
 
 
 def _placed(units: DataFrame, pivots: np.ndarray) -> DataFrame:
@@ -103,6 +107,7 @@ def _visits(placed: DataFrame, pivots: np.ndarray, radii: np.ndarray, reach: flo
     """
     between = np.sqrt(np.maximum(2 - 2 * pivots @ pivots.T, 0))
     limit = reach + SLACK
+    matrix = _reader()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = np.arange(len(pivots))
@@ -110,7 +115,7 @@ def _visits(placed: DataFrame, pivots: np.ndarray, radii: np.ndarray, reach: flo
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
-                x = _matrix(part.column("x"), pivots.shape[1])
+                x = matrix(part.column("x"), pivots.shape[1])
                 home = part.column("cell").to_numpy()
                 square = np.maximum(2 - 2 * (x @ pivots.T), 0)
                 own = square[np.arange(len(x)), home][:, None]
@@ -184,12 +189,13 @@ def _dealt(placed: DataFrame, visits: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _compared(left: DataFrame, right: DataFrame, dim: int, threshold: float, forest: bool) -> DataFrame:
     """(a, b, similarity) of every similar pair of a unit, or of pairs that connect the same rows."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
+    matrix = _reader()
 
     def run(one: pa.Table, two: pa.Table) -> pa.Table:
         found: list[tuple] = []
         if one.num_rows and two.num_rows:
             ids, ids2 = one.column("id").to_numpy(), two.column("id").to_numpy()
-            x, y = _matrix(one.column("x"), dim), _matrix(two.column("x"), dim)
+            x, y = matrix(one.column("x"), dim), matrix(two.column("x"), dim)
             same = not two.column("visitor")[0].as_py() and two.column("i")[0].as_py() == two.column("j")[0].as_py()
             root = {int(i): int(i) for i in np.concatenate((ids, ids2))} if forest else {}
 
