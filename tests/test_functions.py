@@ -104,6 +104,40 @@ def test_cue_next_to_accent_counts(one):
     assert one(lambda t: ST.phrase_hits(t, ["support"]), "xsupport") == 0
 
 
+ODD_TEXTS = [
+    None, "", " ", "a", " \t\x0b\f\r\n a\n\n b  c\u00a0d \u2028", "((x)) 1-2  (y) z!! ", "\u00e9t\u00e9 -- l'an\u0130 2024, a9 b", "www.a WWW.b http://c HTTPS://d xhttp://e",
+    "a@b.c @ x@y", "Thanks", "no thanks, ", "THANK YOU\u2028", "regards . ", "thank  you", "Best regards,,\t,", "with withs withing xwith with_ dies dying died di this  is this\tis this is",
+]
+
+
+def test_forms_equal_the_plain_patterns(spark):
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(ODD_TEXTS)], "k int, t string")
+    t = F.col("t")
+    display = F.trim(F.regexp_replace(t, r"\s+", " "))
+    words = F.size(F.filter(F.split(F.trim(F.regexp_replace(F.lower(t), "[^a-z0-9]+", " ")), " "), lambda w: w != ""))
+    pairs = {
+        "display": (TX.text_display(t), display),
+        "canonical": (TX.text_canonical(t), F.trim(F.regexp_replace(F.lower(t), "[^a-z0-9]+", " "))),
+        "letters": (TX.text_letters(F.lower(t)), F.trim(F.regexp_replace(F.lower(t), "[^a-z]+", " "))),
+        "words": (TX.word_count(TX.text_canonical(t)), words.cast("long")),
+        "links": (TX.link_count(t), (F.regexp_count(t, F.lit(TX.URL_PATTERN)) + F.regexp_count(t, F.lit(TX.EMAIL_PATTERN))).cast("long")),
+        "signoff": (TX.has_signoff(t), F.trim(t).rlike(rf"(?i){TX.WORD_START}(?:{'|'.join(TX.SIGNOFF_WORDS)}){TX.WORD_END}[\s,]*$")),
+    }
+    for phrase in ["with*", "die*", "this is", "b", "e*", "x y*", "a*"]:
+        plain = F.regexp_count(t, F.lit(f"{TX.WORD_START}{ST.phrase_body(phrase)}{TX.WORD_END}"))
+        pairs[phrase] = (ST.phrase_hits(t, [phrase]), F.coalesce(plain, F.lit(0)).cast("long"))
+    bad = {n: F.collect_list(F.when(~a.eqNullSafe(b), F.col("k"))).alias(n) for n, (a, b) in pairs.items()}
+    assert rows.agg(*bad.values()).first().asDict() == dict.fromkeys(pairs, [])
+
+
+def test_cues_begin_with_a_letter_and_only_where_their_stem_occurs():
+    # a look behind at every place of a text cost ten times as much
+    for phrase in ST.SUPPORT_PHRASES + ST.OPPOSE_PHRASES:
+        assert ST.cue_pattern(phrase).startswith(phrase[0] + TX.WORD_START[:-1])
+        assert any(all(ST.cue_stem(phrase) in form for form in ST.word_forms(w)) for w in phrase.split(" "))
+    assert ST.cue_stem("urge* the adoption") == "adoption" and ST.cue_stem("die*") == "di"
+
+
 def test_overlapping_phrases_all_count(one):
     # "i support*", "support* this rule" and nothing else
     assert one(lambda t: ST.phrase_hits(t, ST.SUPPORT_PHRASES), "i support this rule") == 2
