@@ -296,3 +296,21 @@ def test_coverage_adds_up(spark):
     by_name = {r.segment: r.n for r in parts}
     assert sum(by_name.values()) == 100 and by_name["other"] == 7 and by_name["unique"] == 48
     assert len(parts) == 8
+
+
+def test_texts_are_read_once_and_do_not_cross_the_shuffle(spark):
+    from docketscope.plans import report as RP
+
+    df = spark.createDataFrame(
+        [("d1", "a", 1, "I support this rule because clean water matters", "2024-01-01"), ("d2", "b", 2, "I support this rule because clean water matters 7", "2024-01-02"),
+         ("d1", "a", 3, None, None), ("d1", "a", 4, "see attached", "2024-01-03")],
+        "docket_id string, agency_code string, comment_id int, comment string, posted_date string",
+    )
+    stance, campaigns = RP.stance_by_template(df), RP.cross_docket_campaigns(df)
+    assert sorted((r["n"], r["support_hits"], r["oppose_hits"], r["stance"]) for r in stance.collect()) == [(1, 0, 0, "unclear"), (2, 2, 0, "support")]
+    assert [(r["n"], r["dockets"], r["agencies"], r["first_day"], r["last_day"]) for r in campaigns.collect()] == [(2, 2, 2, "2024-01-01", "2024-01-02")]
+    for found in (stance, campaigns):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan
+        # a filter below the text forms would compute them a second time
+        assert not any("regexp_replace" in line for line in plan.splitlines() if "Filter" in line)
