@@ -30,7 +30,7 @@ from docketscope.functions.dates import iso_day
 from docketscope.functions.stance import OPPOSE_PHRASES, SUPPORT_PHRASES, stance_hits, stance_label
 from docketscope.functions.text import text_display, text_skeleton, text_token_set
 from docketscope.operators.clusters import all_clusters, keyed_comments, orchestration_stats, top_clusters
-from docketscope.operators.joins import keep_listed
+from docketscope.operators.joins import checked_broadcast, keep_listed
 
 TEMPLATE = ["key_near", "key_template"]
 
@@ -117,7 +117,12 @@ def store_keys(
     letters = keys.table("letters").where(F.col("key_template").isNotNull())
     shown = letters.select(F.col("sample_id").alias("comment_id")).union(letters.select("speaker")).distinct()
     texts = keep_listed(comments.select("comment_id", "comment"), shown.where("comment_id IS NOT NULL"), ["comment_id"])
-    texts = texts.groupBy("comment_id").agg(F.min("comment").alias("comment"))  # an id that repeats speaks once
+    # an id that repeats speaks once; such ids are found without the texts, and only their texts are grouped
+    counted = comments.where("comment_id IS NOT NULL").groupBy("comment_id").agg(F.count("*").alias("n"))
+    repeated = checked_broadcast(counted.where("n > 1").select("comment_id"))
+    if not repeated.isEmpty():
+        once = texts.join(repeated, "comment_id", "left_semi").groupBy("comment_id").agg(F.min("comment").alias("comment"))
+        texts = texts.join(repeated, "comment_id", "left_anti").unionByName(once)
     display = texts.select("comment_id", text_display(F.col("comment")).alias("body"))
     pro, con = stance_hits(F.col("body"), support, oppose)
     scored = display.select(

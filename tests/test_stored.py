@@ -73,3 +73,17 @@ def test_no_comments(spark, tmp_path):
     keys = SK.store_keys(spark.createDataFrame([], COMMENTS), str(tmp_path / "t"), buckets=2)
     assert SK.stored_clusters(keys, "near").count() == 0 and SK.stored_campaigns(keys).count() == 0
     assert SK.stored_stance(keys).count() == 0 and SK.stored_orchestration(keys).count() == 0
+
+
+def test_only_texts_of_repeated_ids_are_grouped(spark, tmp_path, monkeypatch):
+    twice = [("c1", "d0", "a0", "Please stop this rule before it ruins us", "2024-01-05", "x"), ("c1", "d0", "a0", "Another text under the same id, and longer", "2024-01-06", "x"),
+             ("c2", "d1", "a0", "A letter of its own, about clean water", "2024-01-07", "x")]
+    grouped = []
+    plain = type(spark.range(0)).groupBy
+    monkeypatch.setattr(type(spark.range(0)), "groupBy", lambda df, *by: grouped.append(df.columns) or plain(df, *by))
+    SK.store_keys(spark.createDataFrame(twice[1:], COMMENTS), str(tmp_path / "one"), buckets=2)
+    assert ["comment_id", "comment"] not in grouped
+    keys = SK.store_keys(spark.createDataFrame(twice, COMMENTS), str(tmp_path / "two"), buckets=2)
+    assert ["comment_id", "comment"] in grouped
+    bodies = sorted((r["comment_id"], r["body"]) for r in keys.speakers().collect())
+    assert bodies == [("c1", twice[1][3]), ("c2", twice[2][3])]
