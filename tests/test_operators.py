@@ -349,6 +349,14 @@ def test_bundles(spark, tmp_path):
     assert all(name.startswith(("agency_code=", "_", ".")) for name in os.listdir(path))
 
 
+def test_bundle_files_are_compressed(spark, tmp_path):
+    one = spark.createDataFrame([("EPA", "D-1", "t")], "agency_code string, docket_id string, title string")
+    sinks.sink_json_bundles(one, one, one, str(tmp_path / "all"))
+    names = [name for name in os.listdir(tmp_path / "all" / "agency_code=EPA") if not name.startswith(".")]
+    assert names and all(name.endswith(".json.gz") for name in names)
+    assert spark.read.json(str(tmp_path / "all")).count() == 3
+
+
 def test_contract_rejects_missing_required_and_fills_optional(spark):
     full = tables.conform(comments(spark), "comments")
     assert "attachments_json" in full.columns and full.first().attachments_json is None
