@@ -12,6 +12,7 @@ from docketscope.operators import clusters as CL
 from docketscope.operators import families as FM
 from docketscope.operators import findings as FN
 from docketscope.operators import forms as FR
+from docketscope.operators import joins as J
 from docketscope.operators.components import connected_components
 from docketscope.plans import report as RP
 
@@ -263,6 +264,21 @@ def test_keys_are_made_without_patterns(small):
     assert "MapInArrow" in plan and "regexp_replace" not in plan and "sort_array" not in plan
 
 
+def test_samples_are_made_without_patterns(small):
+    for tier in TX.TIERS:
+        plan = plan_of(CL.comment_clusters(small, tier))
+        assert "MapInArrow" in plan and "regexp_replace" not in plan and "sort_array" not in plan
+
+
+def test_listed_rows_are_found_alike_at_every_size(spark):
+    big = spark.range(1000).select(F.col("id").alias("k"), F.lit("text").alias("comment"))
+    listed = spark.range(0, 2000, 3).select(F.col("id").alias("k"), F.lit(1).alias("n"))
+    found = [J.join_listed(listed, big, ["k"], most, few) for most, few in ((1000, 1000), (1000, 10), (10, 10))]
+    assert [f.agg(F.count("*"), F.sum("k")).first() for f in found] == [(334, sum(range(0, 1000, 3)))] * 3
+    # a long list is hashed, so that texts are not sorted
+    assert "ShuffledHashJoin" in plan_of(found[2]) and "Sort " not in plan_of(found[2])
+
+
 y\nand see HTTPS://Example.org/a?b=1 or (WWW.site) www. end",
     "http:// none https://x prefixhttp://y.z", "Caf\u00e9 M\u00dcLLER \u0130stanbul \u212aelvin \u00a0 nbsp \u2003 wide \u017fharp 12,5",
     "one\x0btwo\x0cthree\x1cfour\x85five\r\nsix", "Dear all zebra apple zebra an of apple Zebra 42 times", "\U0001f600 " * 60, "x" * 500,
@@ -316,6 +332,21 @@ def test_keys_are_made_without_patterns(small):
     assert "MapInArrow" in plan and "regexp_replace" not in plan and "sort_array" not in plan
 
 
+def test_samples_are_made_without_patterns(small):
+    for tier in TX.TIERS:
+        plan = plan_of(CL.comment_clusters(small, tier))
+        assert "MapInArrow" in plan and "regexp_replace" not in plan and "sort_array" not in plan
+
+
+def test_listed_rows_are_found_alike_at_every_size(spark):
+    big = spark.range(1000).select(F.col("id").alias("k"), F.lit("text").alias("comment"))
+    listed = spark.range(0, 2000, 3).select(F.col("id").alias("k"), F.lit(1).alias("n"))
+    found = [J.join_listed(listed, big, ["k"], most, few) for most, few in ((1000, 1000), (1000, 10), (10, 10))]
+    assert [f.agg(F.count("*"), F.sum("k")).first() for f in found] == [(334, sum(range(0, 1000, 3)))] * 3
+    # a long list is hashed, so that texts are not sorted
+    assert "ShuffledHashJoin" in plan_of(found[2]) and "Sort " not in plan_of(found[2])
+
+
 # --------------------------------------------------------------------- findings
 
 DAILY = [("d", "2026-03-03", 7), ("d", "2026-03-10", 150), ("d", "2026-03-11", 260), ("d", "2026-03-30", 16)]
