@@ -390,3 +390,16 @@ def test_texts_are_read_once_and_do_not_cross_the_shuffle(spark):
         assert "Join" not in plan
         # a filter below the text forms would compute them a second time
         assert not any("regexp_replace" in line for line in plan.splitlines() if "Filter" in line)
+
+
+def test_features_tell_placeholders(spark, tmp_path):
+    """All five features of a comment: words, links, greeting, sign-off, placeholder."""
+    import __spark_entry__ as entry
+
+    docs = [(1, "Dear all, see https://a.example.org/ on this long enough rule. Thanks", "en", "s"), (2, "No.", "fr", "s")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = {r.comment_id: r for r in entry.queries()["comment_features"](spark, str(tmp_path)).collect()}
+    assert set(rows[5].asDict()) == {"comment_id", "words", "links", "greeting", "signoff", "placeholder"}
+    # the whole letter, "See attached file(s).", a short text, the same in markup with one more word
+    assert [rows[c].placeholder for c in (5, 8, 10, 11)] == [False, True, True, False]
