@@ -154,6 +154,39 @@ def test_a_large_campaign_forms_about_one_pair_per_member(spark):
     assert families.select("family").distinct().count() == 1 and families.count() == n
 
 
+@pytest.mark.parametrize("crowded", [FM.CROWDED_PAIRS, 40])
+def test_long_letters_equal_brute_force(spark, crowded):
+    """Sets of 50 to 700 tokens about the cut-off, which must share several rare tokens; some tokens are crowded, some not."""
+    rng = random.Random(crowded)
+    rows, pool = [], [f"p{i}" for i in range(900)]
+    for campaign in range(14):
+        base = rng.sample(pool, rng.choice([50, 100, 250, 500])) + [f"c{campaign}w{i}" for i in range(rng.choice([10, 60, 200]))]
+        for copy in range(8):
+            edits = int(len(base) * rng.choice([0, 0.02, 0.05, 0.1, 0.11, 0.12, 0.2]))
+            kept = rng.sample(base, len(base) - edits)
+            rows.append(("d", f"k{campaign:02}{copy}", rng.randint(2, 9), sorted({*kept, *(f"x{rng.randint(0, 400)}" for _ in range(edits))})))
+    want = {
+        (min(k1, k2), max(k1, k2)): len(a & b) / len(a | b)
+        for (k1, a), (k2, b) in itertools.combinations([(k, set(t)) for _, k, _, t in rows], 2) if len(a & b) / len(a | b) >= 0.8
+    }
+    data = letters(spark, rows)
+    got = FM.template_pairs(data, crowded_pairs=crowded, block=7).collect()
+    assert len(got) == len(want) > 50 and {(r.hash_a, r.hash_b): r.similarity for r in got} == want
+    named = FM.families_of(data, crowded_pairs=crowded, block=7).groupBy("docket_id", "family").count().collect()
+    assert sorted((r.docket_id, r.family, r["count"]) for r in named) == brute_families(rows, 0.8)
+
+
+def test_sets_are_stored_packed_and_few_are_compared(spark):
+    """Frequent tokens take two bytes; long unlike letters that share a rare token are not fetched for a comparison."""
+    rng = random.Random(3)
+    pool = [f"p{i}" for i in range(20_000)]
+    rows = [("d", f"k{i:03}", 2, sorted({*rng.sample(pool, 600), f"r{i // 2}"})) for i in range(200)]
+    packed = FM._packed(FM._numbered(letters(spark, rows)))
+    assert [r[0] for r in packed.letters.select(F.length("packed")).distinct().collect()] == [2 * 601]
+    ranked = FM._ranked(packed.letters, 0.8)
+    assert FM._bucket_pairs(ranked, None, packed.counts, 0.8, FM.CROWDED_PAIRS, FM.BLOCK_ROWS).count() == 0
+
+
 def test_components_of_a_long_chain(spark):
     chain = [(f"n{i:04}", f"n{i + 1:04}") for i in range(300)] + [("x", "y"), ("y", "z")]
     random.Random(0).shuffle(chain)
