@@ -436,3 +436,16 @@ def test_features_tell_placeholders(spark, tmp_path):
     assert set(rows[5].asDict()) == {"comment_id", "words", "links", "greeting", "signoff", "placeholder"}
     # the whole letter, "See attached file(s).", a short text, the same in markup with one more word
     assert [rows[c].placeholder for c in (5, 8, 10, 11)] == [False, True, True, False]
+
+
+def test_bodies_of_heads_are_met_where_they_lie(spark):
+    """Texts are not shuffled to the heads of families, whose texts are read for a stance."""
+    comments = spark.range(50).selectExpr("id AS comment_id", "'d' AS docket_id", "concat('text ', id) AS comment")
+    heads = spark.createDataFrame([("d", 3, 5), ("d", 9, 4)], "docket_id string, sample_id long, n long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = CL.with_raw(heads, comments)
+        assert "Exchange hashpartitioning" not in plan_of(found)
+        assert sorted((r["sample_id"], r["n"], r["_raw"]) for r in found.collect()) == [(3, 5, "text 3"), (9, 4, "text 9")]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
