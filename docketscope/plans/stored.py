@@ -9,8 +9,9 @@ speaker per letter:
   letter are one row per docket and agency, so a campaign that holds a third of all comments
   does not make a bucket large.
 * ``exact``: clusters of identical texts, bucketed by their key.
-* ``speakers``: display text and token text of each letter's smallest comment, and the stance of
-  the templates they speak for.
+* ``speakers``: display text of each letter's smallest comment, and the stance of the templates
+  they speak for. Token texts are made from display texts when they are read, and where more than two
+  million comments speak, a few that do not are stored as well: so no text is shuffled to be stored.
 
 Empty input gives empty tables; a comment without text has no keys and is counted in its
 docket's row without one.
@@ -28,9 +29,10 @@ from pyspark.sql import Window
 
 from docketscope.functions.dates import iso_day
 from docketscope.functions.stance import OPPOSE_PHRASES, SUPPORT_PHRASES, stance_hits, stance_label
-from docketscope.functions.text import text_display, text_skeleton, text_token_set
-from docketscope.operators.clusters import all_clusters, keyed_comments, orchestration_stats, top_clusters
-from docketscope.operators.joins import checked_broadcast, keep_listed
+from docketscope.functions.text import text_display
+from docketscope.operators.clusters import LETTER_ROWS, all_clusters, keyed_comments, orchestration_stats, top_clusters
+from docketscope.operators.forms import with_forms
+from docketscope.operators.joins import BROADCAST_ROWS, checked_broadcast, keep_possible
 
 TEMPLATE = ["key_near", "key_template"]
 
@@ -56,7 +58,7 @@ def _write_bucketed(df: DataFrame, path: str, key: str, buckets: int) -> None:
     name = f"stored_{uuid4().hex}"
     df.limit(0).write.parquet(f"{path}_columns")  # an empty bucketed table has no file to name them
     rows = df.repartition(buckets, key)
-    rows.write.bucketBy(buckets, key).sortBy(key).format("parquet").option("path", path).saveAsTable(name)
+    rows.write.bucketBy(buckets, key).sortBy(key).format("parquet").options(compression="zstd", path=path).saveAsTable(name)
     df.sparkSession.sql(f"DROP TABLE {name}")  # external: the files stay
 
 
@@ -100,23 +102,24 @@ def store_keys(
     buckets: int | None = None,
     support: Sequence[str] = SUPPORT_PHRASES,
     oppose: Sequence[str] = OPPOSE_PHRASES,
+    max_rows: int = BROADCAST_ROWS,
 ) -> StoredKeys:
     """Write the tables under ``base``, in shared storage, and open them.
 
     ``buckets`` is the number of tasks that later reports use; as many as shuffles have
-    unless it is given.
+    unless it is given. Up to ``max_rows`` ids are broadcast.
     """
     spark = comments.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed_comments(comments, carried=("agency_code",)).write.parquet(f"{base}/keys")
+    keyed_comments(comments, carried=("agency_code",)).write.parquet(f"{base}/keys", compression="zstd")
     keyed = spark.read.parquet(f"{base}/keys")
     _write_bucketed(_letters(keyed), f"{base}/letters", "key_near", buckets)
     _write_bucketed(all_clusters(keyed, ("exact",)), f"{base}/exact", "key", buckets)
     keys = open_keys(spark, base, buckets)
 
     letters = keys.table("letters").where(F.col("key_template").isNotNull())
-    shown = letters.select(F.col("sample_id").alias("comment_id")).union(letters.select("speaker")).distinct()
-    texts = keep_listed(comments.select("comment_id", "comment"), shown.where("comment_id IS NOT NULL"), ["comment_id"])
+    shown = letters.select(F.col("sample_id").alias("comment_id")).union(letters.select("speaker"))
+    texts = keep_possible(comments.select("comment_id", "comment"), shown, "comment_id", max_rows)
     # an id that repeats speaks once; such ids are found without the texts, and only their texts are grouped
     counted = comments.where("comment_id IS NOT NULL").groupBy("comment_id").agg(F.count("*").alias("n"))
     repeated = checked_broadcast(counted.where("n > 1").select("comment_id"))
@@ -125,11 +128,9 @@ def store_keys(
         texts = texts.join(repeated, "comment_id", "left_anti").unionByName(once)
     display = texts.select("comment_id", text_display(F.col("comment")).alias("body"))
     pro, con = stance_hits(F.col("body"), support, oppose)
-    scored = display.select(
-        "comment_id", "body", text_token_set(text_skeleton(F.col("body"))).alias("tokenset"),
-        pro.alias("support_hits"), con.alias("oppose_hits"),
-    )
-    scored.withColumn("stance", stance_label(F.col("support_hits"), F.col("oppose_hits"))).write.parquet(f"{base}/speakers")
+    scored = display.select("comment_id", "body", pro.alias("support_hits"), con.alias("oppose_hits"))
+    scored = scored.withColumn("stance", stance_label(F.col("support_hits"), F.col("oppose_hits")))
+    scored.write.parquet(f"{base}/speakers", compression="zstd")
     return keys
 
 
@@ -156,13 +157,20 @@ def stored_clusters(keys: StoredKeys, tier: str) -> DataFrame:
 
 
 def stored_comment_clusters(keys: StoredKeys, tier: str = "near", top_n: int | None = None) -> DataFrame:
-    """``comment_clusters`` of the near or template tier; samples are joined by id, no text is normalised."""
+    """``comment_clusters`` of the near or template tier; samples are joined by id, only their words are split.
+
+    Clusters are sent to the texts, up to ``LETTER_ROWS``; beyond that texts meet them in a shuffle, without a sort.
+    """
     if tier == "exact":
         raise ValueError("samples are stored for near and template letters")
-    clusters = top_clusters(stored_clusters(keys, tier), top_n)
-    texts = keys.speakers().select(F.col("comment_id").alias("sample_id"), F.col("body").alias("sample"), "tokenset")
-    return clusters.join(texts, "sample_id").select(
-        "docket_id", F.col("key").alias("hash"), "n", "sample", "tokenset",
+    clusters = top_clusters(stored_clusters(keys, tier), top_n).select("docket_id", "key", "n", "sample_id", "first_day", "last_day")
+    texts = keys.speakers().select(F.col("comment_id").alias("sample_id"), "body")
+    if clusters.count() <= LETTER_ROWS:
+        met = texts.join(F.broadcast(clusters), "sample_id")
+    else:
+        met = clusters.hint("shuffle_hash").join(keep_possible(texts, clusters, "sample_id", 0), "sample_id")
+    return with_forms(met, "body", ("display", "tokenset"), displayed=True).select(
+        "docket_id", F.col("key").alias("hash"), "n", F.col("display").alias("sample"), "tokenset",
         iso_day(F.col("first_day")).alias("first_day"), iso_day(F.col("last_day")).alias("last_day"),
     )
 

@@ -4,7 +4,12 @@ import re
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from docketscope.functions import text as TX
 from docketscope.operators import clusters as CL
+from docketscope.operators import forms as FR
+from docketscope.operators import joins as J
 from docketscope.plans import report as RP
 from docketscope.plans import stored as SK
 
@@ -87,3 +92,27 @@ def test_only_texts_of_repeated_ids_are_grouped(spark, tmp_path, monkeypatch):
     assert ["comment_id", "comment"] in grouped
     bodies = sorted((r["comment_id"], r["body"]) for r in keys.speakers().collect())
     assert bodies == [("c1", twice[1][3]), ("c2", twice[2][3])]
+
+
+def test_a_long_list_of_speakers_is_a_table_of_bits(spark, both, tmp_path):
+    """More speakers than are broadcast: all are stored, their texts are not shuffled, the reports are the same."""
+    comments, keys = both
+    long = SK.store_keys(comments, str(tmp_path / "t"), buckets=3, max_rows=0)
+    assert set(keys.speakers().columns) == {"comment_id", "body", "support_hits", "oppose_hits", "stance"}
+    assert {tuple(r) for r in keys.speakers().collect()} <= {tuple(r) for r in long.speakers().collect()}
+    same(SK.stored_stance(long), SK.stored_stance(keys))
+    same(SK.stored_comment_clusters(long), SK.stored_comment_clusters(keys))
+    big = spark.range(1000).selectExpr("id AS k", "concat('text ', id) AS comment")
+    listed = spark.range(0, 1000, 3).selectExpr("id AS k")
+    found = J.keep_possible(big, listed, "k", 0, 1 << 16)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    kept = {r.k for r in found.collect()}
+    assert kept >= set(range(0, 1000, 3)) and len(kept) < 400
+
+
+def test_texts_that_are_displayed_keep_their_marks(spark):
+    rows = spark.createDataFrame([(1, "&amp;lt;b&amp;gt;bold&amp;lt;/b&amp;gt; words for all, see <i>this</i>")], "id int, comment string")
+    shown = rows.select("id", TX.text_display(F.col("comment")).alias("body"))
+    want = shown.select("body", TX.text_token_set(TX.text_skeleton(F.col("body")))).first()
+    assert tuple(FR.with_forms(shown, "body", ("display", "tokenset"), displayed=True).select("display", "tokenset").first()) == tuple(want)
