@@ -174,3 +174,13 @@ def test_repeated_ids_vote_together_and_no_shingle_is_a_row(spark):
     # a row for each word of a text did not finish on 0.1 GB
     plan = simhash.comment_signatures(df.where("comment_id = 2"))._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "Exchange" not in plan
+
+
+def test_pieces_of_a_text_are_hashed_together():
+    """Many shingles at once give what MD5 gives of each: empty, of one block, at its border, and longer."""
+    rng = random.Random(5)
+    text = bytes(rng.choice(b"abcdefghij ") for _ in range(20_000))
+    first = [rng.randrange(19_000) for _ in range(9000)] + [0, 20_000, 20_000 - 55, 20_000 - 56]
+    last = [a + rng.randrange(80) for a in first[:9000]] + [0, 20_000, 20_000, 20_000]
+    got = simhash._hashes()(text, np.array(first), np.array(last))
+    assert [r.tobytes() for r in got] == [hashlib.md5(text[a:b]).digest()[:8] for a, b in zip(first, last)]
