@@ -5,7 +5,8 @@ divide it into Voronoi cells. A row belongs to the cell of its nearest pivot and
 partner: its distance to the plane between the two pivots is at most the radius, and so is its distance to the
 ball round the cell's rows. Of two cells only one sends visitors to the other, so a pair is formed once. Nothing is lost
 by either bound, whatever the pivots are; poor pivots only cost comparisons. Cells are dealt over blocks of bounded size,
-which Spark spreads, and a block is compared as one matrix product inside its task.
+which Spark spreads, and a block is compared inside its task, a tile at a time: a matrix product of some components and
+the length of the rest, in single precision, bounds every cosine from above; what may reach the threshold is computed exactly.
 
 Rows without clusters visit nearly every cell, and their copies would grow with n * sqrt(n). So visits are counted
 before a row is sent, and where larger blocks of all rows take fewer copies, all rows are compared in such blocks.
@@ -33,8 +34,13 @@ WHOLE_BYTES = 32 << 20
 WHOLE_BLOCKS = 4
 # Of fewer rows, cells are compared as they are.
 WHOLE_FROM = 4096
-# Slack of distances that are computed from inner products.
+# Slack of distances that are computed from inner products; of products in single precision, for each component.
 SLACK = 1e-6
+SINGLE_SLACK = 1e-6
+# Share of the components in the product that bounds; rows and columns of a tile; pairs that are computed exactly at once.
+HEAD_SHARE = 3 / 8
+TILE = (512, 2048)
+EXACT_PAIRS = 1 << 15
 
 _PLACED = "id long, x binary, cell int, away double"
 _VISIT = "cell int, id long, x binary"
@@ -81,6 +87,20 @@ def _reader():
     return matrix
 
 
+def _heads(dim: int):
+    """How tasks shorten unit vectors: the products of what is left are at least the products of the vectors.
+
+    Some components, and the length of all others as one more (Cauchy and Schwarz).
+    """
+    kept = max(1, int(dim * HEAD_SHARE))
+
+    def heads(x: np.ndarray) -> np.ndarray:
+        rest = np.sqrt((x[:, kept:] * x[:, kept:]).sum(axis=1, keepdims=True))
+        return np.concatenate((x[:, :kept], rest), axis=1).astype(np.float32)
+
+    return heads
+
+
 def _placed(units: DataFrame, pivots: np.ndarray) -> DataFrame:
     """(id, x, cell, away): each row with its nearest pivot and the distance to it."""
 
@@ -189,7 +209,16 @@ def _dealt(placed: DataFrame, visits: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _compared(left: DataFrame, right: DataFrame, dim: int, threshold: float, forest: bool) -> DataFrame:
     """(a, b, similarity) of every similar pair of a unit, or of pairs that connect the same rows."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
-    matrix = _reader()
+    matrix, heads, (tall, wide), at_once = _reader(), _heads(dim), TILE, EXACT_PAIRS
+    least = threshold - SINGLE_SLACK * (dim + 2)
+
+    def tiles(left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows and columns of pairs whose bound reaches the threshold, some at once."""
+        for first in range(0, len(left), tall):
+            for second in range(0, len(right), wide):
+                rows, cols = np.nonzero(left[first : first + tall] @ right[second : second + wide].T >= least)
+                for at in range(0, len(rows), at_once):
+                    yield rows[at : at + at_once] + first, cols[at : at + at_once] + second
 
     def run(one: pa.Table, two: pa.Table) -> pa.Table:
         found: list[tuple] = []
@@ -205,10 +234,7 @@ def _compared(left: DataFrame, right: DataFrame, dim: int, threshold: float, for
                     i = root[i]
                 return i
 
-            for first in range(0, len(x), 128):
-                near = x[first : first + 128] @ y.T
-                rows, cols = np.nonzero(near >= threshold - SLACK)
-                rows = rows + first
+            for rows, cols in tiles(heads(x), heads(y)):
                 exact = (x[rows] * y[cols]).sum(axis=1)
                 keep = exact >= threshold
                 if same:

@@ -184,3 +184,18 @@ def test_pieces_of_a_text_are_hashed_together():
     last = [a + rng.randrange(80) for a in first[:9000]] + [0, 20_000, 20_000, 20_000]
     got = simhash._hashes()(text, np.array(first), np.array(last))
     assert [r.tobytes() for r in got] == [hashlib.md5(text[a:b]).digest()[:8] for a, b in zip(first, last)]
+
+
+@pytest.mark.parametrize("dim", [1, 2, 16, 64])
+def test_heads_bound_every_product(dim):
+    """The short vectors, in single precision, never fall below the products of the vectors they stand for."""
+    rng = np.random.default_rng(dim)
+    x = rng.standard_normal((400, dim))
+    x = np.concatenate((x, x[:100] + 0.01 * rng.standard_normal((100, dim)), np.eye(dim)))
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    short = vectors._heads(dim)(x)
+    assert short.dtype == np.float32 and short.shape[1] <= max(2, dim // 2)
+    assert ((short @ short.T) >= x @ x.T - vectors.SINGLE_SLACK * (dim + 2)).all()
+    # unlike vectors are told by their heads
+    if dim == 64:
+        assert (short[:400] @ short[:400].T >= 0.9 - vectors.SINGLE_SLACK * (dim + 2)).mean() < 0.01
